@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -31,9 +31,9 @@ def block_count(df: DataFrame, text: str, block_bytes: int) -> int:
     return max(1, -(-max(got["b"] or 0, 64 * got["n"]) // block_bytes))
 
 
-def blocked(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """``block``, ``id`` and ``text`` of every row. The hash takes in id and text, so equal ids don't meet in one block."""
-    return df.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+def blocked(df: DataFrame, id_col: str, text: str, n: int, **more: Column) -> DataFrame:
+    """``block``, ``id``, ``text`` and ``more`` of every row. The hash takes in id and text: equal ids don't all meet in one block."""
+    return df.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n)).cast("int").alias("block"), F.col(id_col).alias("id"), F.col(text).alias("text"), *(v.alias(k) for k, v in more.items()))
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:

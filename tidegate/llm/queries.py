@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegate.llm.folds import fold
 from tidegate.llm.jaccard_join import jaccard_components
+from tidegate.llm.lm_scoring import lm_scores
+from tidegate.llm.suffix_dedup import digest, remove_repeats
 from tidegate.session import table
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, pct=90)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scores(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return found.withColumn("held_out", fold("doc_id", 7) == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op5_suffix_array_dedup, op8_ngram_jaccard_join, op9_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U(pow(int(BASE), -1, 1 << 64))
-CHUNK = 3 << 20
+CHUNK = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
