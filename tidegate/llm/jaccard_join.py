@@ -164,7 +164,7 @@ def _compare(pct: int):
     return compare
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, pct: int = 80, block_bytes: int = 12 << 20, tile: int = 1024) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, pct: int = 80, block_bytes: int = 6 << 20, tile: int = 1024) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of ``docs``.
 
     Rows link when 100 * intersection >= pct * union of their sets of distinct ``width``-word shingles (A-Z lower-cased,
