@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.llm.text import tidy
+
 U = np.uint64
 SENT = "block int, bucket int, kind int, keys binary, vals binary"
 SENT_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -101,12 +103,12 @@ def answer(replies: pa.Table, kind: int, decode: Callable[[bytes], np.ndarray] =
 
 
 def send(blocks: DataFrame, make: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return blocks.groupBy("block").applyInArrow(make, SENT)
+    return blocks.groupBy("block").applyInArrow(tidy(make), SENT)
 
 
 def reply(sent: DataFrame, bucket: Callable[[pa.Table], pa.Table] = count_bucket) -> DataFrame:
-    return sent.groupBy("bucket").applyInArrow(bucket, REPLY)
+    return sent.groupBy("bucket").applyInArrow(tidy(bucket), REPLY)
 
 
 def finish(blocks: DataFrame, replies: DataFrame, make: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(make, schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tidy(make), schema)

@@ -196,7 +196,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiled = member.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select(F.col("node").alias("cls"), "root", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
     sets = rows.where("shingles is not null").select("cls", "shingles").dropDuplicates(["cls"])
-    met = tiled.join(sets, "cls").groupBy("root", "lo", "hi").applyInArrow(_compare(pct), "u long, v long")
+    met = tiled.join(sets, "cls").groupBy("root", "lo", "hi").applyInArrow(X.tidy(_compare(pct)), "u long, v long")
 
     comp = components(links.unionByName(met))
     labelled = spread(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least")), "cls", comp, "root")

@@ -164,6 +164,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 rate.append(low / np.maximum(np.diff(o), 1))
             cat = lambda x: np.concatenate(x) if x else np.zeros(0)
             k = np.where(letters, cat(best), len(m.langs)).astype(np.int64)
+            X.release()
             yield pa.RecordBatch.from_arrays([t.column(0).cast(pa.int64()), pa.array(names[k].tolist(), pa.string()), pa.array(np.where(letters, cat(share), 0.0)), pa.array(cat(rate))], ["id", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))

@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = B.block_count(docs, text_col, block_bytes)
     blocks = B.blocked(docs, id_col, text_col, n)
     settled = B.reply(B.send(blocks, _send_phrases(length, gram, n)), _dictionary)
-    windows = B.reply(blocks.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_send_windows(length, gram, n), B.SENT))
+    windows = B.reply(blocks.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(X.tidy(_send_windows(length, gram, n)), B.SENT))
     return B.finish(blocks, settled.unionByName(windows), _cut(length, gram, whole_chars), OUT).withColumnRenamed("id", id_col)
 
 
