@@ -17,6 +17,14 @@ def token_index(log: DataFrame) -> DataFrame:
     return log.select(F.explode(X.identifiers(F.col("sql"))).alias("token"), "query_id")
 
 
+def distinct_changes(ops: DataFrame) -> DataFrame:
+    """One row for each distinct change (kind, tbl, col, new_name), under the least script that makes it.
+
+    Scripts of a fleet repeat changes; what depends on a change is found once, and its scripts share the rows.
+    """
+    return ops.groupBy("kind", "tbl", "col", "new_name").agg(F.min("script_id").alias("script_id"))
+
+
 def touched_objects(ops: DataFrame) -> DataFrame:
     """(script_id, token), distinct: tables, columns and new names that change events name."""
     return ops.select("script_id", F.explode(F.array_compact(F.array(F.lower("tbl"), F.lower("col"), F.lower("new_name")))).alias("token")).distinct()

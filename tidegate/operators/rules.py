@@ -41,33 +41,48 @@ def sized(ops: DataFrame, stats: DataFrame) -> DataFrame:
     return ops.join(stats, "tbl", "left")
 
 
+def _rules() -> dict[str, tuple[Column, Column]]:
+    """Rules that one change event and its table's size decide: code, when it holds, and how severe it is."""
+    kind, sql, rows = F.col("kind"), F.col("sql"), F.coalesce("rows", F.lit(0))
+    bare = (kind == "add_column") & sql.rlike(r"(?i)not\s+null") & ~sql.rlike(r"(?i)\bdefault\b")
+    return {
+        "DESTRUCTIVE_NO_EXPAND_CONTRACT": (kind.isin(*V.DESTRUCTIVE), F.lit("high")),
+        "INDEX_LOCK_NO_CONCURRENT": ((kind == "create_index") & ~X.is_concurrent(sql), _by_size(huge="blocker")),
+        "CONSTRAINT_VALIDATION_LOCK": ((kind == "add_constraint") & sql.rlike(r"(?i)\b(check|foreign\s+key)\b") & ~sql.rlike(r"(?i)not\s+valid"), _by_size()),
+        "TABLE_REWRITE_LOCK": (kind.isin("maintenance_rewrite", "alter_type"), _by_size()),
+        "UNBATCHED_BACKFILL": ((kind == "dml_update") & ~X.is_batched(sql) & (rows >= MEDIUM), _by_size()),
+        "NOT_NULL_NO_DEFAULT": ((kind == "set_not_null") | bare, F.when(kind == "set_not_null", "high").otherwise("blocker")),
+    }
+
+
+def _one(code: str, ops: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    holds, severity = _rules()[code]
+    o = ops.withColumn("rows", F.lit(None).cast("long")) if stats is None else sized(ops, stats)
+    return finding(o.where(holds), code, severity, _object())
+
+
 def destructive(ops: DataFrame) -> DataFrame:
-    return finding(ops.where(F.col("kind").isin(*V.DESTRUCTIVE)), "DESTRUCTIVE_NO_EXPAND_CONTRACT", "high", _object())
+    return _one("DESTRUCTIVE_NO_EXPAND_CONTRACT", ops)
 
 
 def index_lock(ops: DataFrame, stats: DataFrame) -> DataFrame:
-    o = sized(ops.where((F.col("kind") == "create_index") & ~X.is_concurrent(F.col("sql"))), stats)
-    return finding(o, "INDEX_LOCK_NO_CONCURRENT", _by_size(huge="blocker"), _object())
+    return _one("INDEX_LOCK_NO_CONCURRENT", ops, stats)
 
 
 def constraint_lock(ops: DataFrame, stats: DataFrame) -> DataFrame:
-    o = ops.where((F.col("kind") == "add_constraint") & F.col("sql").rlike(r"(?i)\b(check|foreign\s+key)\b") & ~F.col("sql").rlike(r"(?i)not\s+valid"))
-    return finding(sized(o, stats), "CONSTRAINT_VALIDATION_LOCK", _by_size(), _object())
+    return _one("CONSTRAINT_VALIDATION_LOCK", ops, stats)
 
 
 def rewrite_lock(ops: DataFrame, stats: DataFrame) -> DataFrame:
-    return finding(sized(ops.where(F.col("kind").isin("maintenance_rewrite", "alter_type")), stats), "TABLE_REWRITE_LOCK", _by_size(), _object())
+    return _one("TABLE_REWRITE_LOCK", ops, stats)
 
 
 def unbatched(ops: DataFrame, stats: DataFrame) -> DataFrame:
-    o = sized(ops.where((F.col("kind") == "dml_update") & ~X.is_batched(F.col("sql"))), stats).where(F.col("rows") >= MEDIUM)
-    return finding(o, "UNBATCHED_BACKFILL", _by_size(), _object())
+    return _one("UNBATCHED_BACKFILL", ops, stats)
 
 
 def not_null(ops: DataFrame) -> DataFrame:
-    set_it = F.col("kind") == "set_not_null"
-    bare = (F.col("kind") == "add_column") & F.col("sql").rlike(r"(?i)not\s+null") & ~F.col("sql").rlike(r"(?i)\bdefault\b")
-    return finding(ops.where(set_it | bare), "NOT_NULL_NO_DEFAULT", F.when(F.col("kind") == "set_not_null", "high").otherwise("blocker"), _object())
+    return _one("NOT_NULL_NO_DEFAULT", ops)
 
 
 def access_path(ops: DataFrame, stats: DataFrame, indexes: DataFrame, users: DataFrame, replaced: DataFrame) -> DataFrame:
@@ -90,9 +105,12 @@ def open_transaction(ops: DataFrame) -> DataFrame:
     return ops.withColumn("in_tx", F.coalesce(F.last(F.when(begins, True).when(ends, False), ignorenulls=True).over(w), F.lit(False)))
 
 
+def _in_transaction() -> Column:
+    return F.col("kind").isin("create_index", "drop_index") & X.is_concurrent(F.col("sql")) & F.col("in_tx")
+
+
 def concurrent_in_transaction(ops: DataFrame) -> DataFrame:
-    o = open_transaction(ops).where(F.col("kind").isin("create_index", "drop_index") & X.is_concurrent(F.col("sql")) & F.col("in_tx"))
-    return finding(o, "CONCURRENT_DDL_IN_TRANSACTION", "blocker", _object())
+    return finding(open_transaction(ops).where(_in_transaction()), "CONCURRENT_DDL_IN_TRANSACTION", "blocker", _object())
 
 
 def procedural(bodies: DataFrame) -> DataFrame:
@@ -156,9 +174,11 @@ def narrowing(found: DataFrame) -> DataFrame:
 
 
 def apply_rules(ops: DataFrame, stats: DataFrame) -> DataFrame:
-    """Findings of the rules that need only change events and table sizes."""
-    every = [destructive(ops), index_lock(ops, stats), constraint_lock(ops, stats), rewrite_lock(ops, stats), unbatched(ops, stats), not_null(ops), concurrent_in_transaction(ops)]
-    return reduce(DataFrame.unionByName, every)
+    """Findings of the rules that need only change events and table sizes: one pass over the events, one join, one window."""
+    every = _rules() | {"CONCURRENT_DDL_IN_TRANSACTION": (_in_transaction(), F.lit("blocker"))}
+    hits = F.array_compact(F.array(*(F.when(holds, F.struct(F.lit(code).alias("code"), severity.alias("severity"))) for code, (holds, severity) in every.items())))
+    o = sized(open_transaction(ops), stats).withColumn("hit", F.explode(hits))
+    return finding(o, F.col("hit.code"), F.col("hit.severity"), _object())
 
 
 # ---- coverage gaps -------------------------------------------------------------------------------------------------

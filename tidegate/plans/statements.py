@@ -237,14 +237,19 @@ _INDEX = f"(SELECT DISTINCT query_id, unnest({_TOKENS}) AS token {_Q})"
 _TOUCHED = f"(SELECT DISTINCT script_id, token FROM (SELECT script_id, unnest([lower(tbl), lower(col), lower(new_name)]) AS token FROM {B.OPS} o) WHERE token IS NOT NULL)"
 
 
+#: touched by distinct column and table changes, each under the least script that makes it
+_CHANGED = f"(SELECT DISTINCT script_id, token FROM (SELECT script_id, unnest([lower(tbl), lower(col), lower(new_name)]) AS token FROM (SELECT kind, tbl, col, new_name, min(script_id) AS script_id FROM {B.OPS} o WHERE kind IN ('drop_column', 'rename_column', 'drop_table') GROUP BY ALL)) WHERE token IS NOT NULL)"
+
+
 @query(f"SELECT token, query_id FROM {_INDEX} x")
 def j1_token_index(spark, d):
     return C.token_index(_log(spark, d))
 
 
-@query(f"""SELECT t.script_id, query_id, service, criticality, matched, sql LIKE 'SELECT *%' AS select_star FROM (SELECT script_id, query_id, string_agg(token, ',' ORDER BY token) AS matched FROM {_INDEX} i JOIN {_TOUCHED} t USING (token) GROUP BY script_id, query_id) t JOIN {B.LOG} q USING (query_id)""".replace(f"FROM {B.OPS} o)", f"FROM {B.OPS} o WHERE kind = 'drop_column' AND tbl = 'part')"))
+@query(f"""SELECT t.script_id, query_id, service, criticality, matched, sql LIKE 'SELECT *%' AS select_star FROM (SELECT script_id, query_id, string_agg(token, ',' ORDER BY token) AS matched FROM {_INDEX} i JOIN {_TOUCHED} t USING (token) GROUP BY script_id, query_id) t JOIN {B.LOG} q USING (query_id)""".replace(_TOUCHED, _CHANGED))
 def j2_dependents(spark, d):
-    return C.dependents(_log(spark, d), C.touched_objects(_ops(spark, d).where("kind = 'drop_column' and tbl = 'part'")))
+    changes = C.distinct_changes(_ops(spark, d).where("kind in ('drop_column', 'rename_column', 'drop_table')"))
+    return C.dependents(_log(spark, d), C.touched_objects(changes))
 
 
 @query(f"SELECT script_id, token FROM {_TOUCHED} t")
@@ -301,7 +306,7 @@ def j9_unaccounted_statements(spark, d):
     return C.unaccounted_statements(o, o.where("kind not in ('unsupported', 'drop_table')"))
 
 
-@query(f"SELECT script_id, CAST(sum({_W}) AS BIGINT) AS score FROM (SELECT DISTINCT script_id, query_id, criticality FROM {_INDEX} i JOIN {_TOUCHED} t USING (token) JOIN {B.LOG} q USING (query_id)) GROUP BY script_id".replace(f"FROM {B.OPS} o)", f"FROM {B.OPS} o WHERE kind = 'drop_column' AND tbl = 'part')"))
+@query(f"SELECT script_id, CAST(sum({_W}) AS BIGINT) AS score FROM (SELECT DISTINCT script_id, query_id, criticality FROM {_INDEX} i JOIN {_TOUCHED} t USING (token) JOIN {B.LOG} q USING (query_id)) GROUP BY script_id".replace(_TOUCHED, _CHANGED))
 def g1_blast_score(spark, d):
     return C.blast_score(j2_dependents(spark, d))
 

@@ -48,6 +48,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` itself, unless it has fewer partitions than there are cores: then dealt over all of them, for work that is bound by CPU."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
     app = spark.sparkContext.applicationId
