@@ -14,8 +14,10 @@ from tidegate.operators import rules as R
 from tidegate.operators import runs as RU
 from tidegate.plans import audit as A
 from tidegate.plans import bindings as B
+from tidegate.plans import review as RV
 from tidegate.plans.registry import query
 from tidegate.session import table
+from tidegate.operators.events import change_events
 from tidegate.streaming.learning import record_learning
 
 _O = f"{B.OPS} o LEFT JOIN {B.STATS} st USING (tbl)"
@@ -481,3 +483,26 @@ def u5_exhaustiveness(spark, d):
 def u6_only_in_one(spark, d):
     e = table(spark, d, "events")
     return e.where("event_type = 'click'").select(F.col("user_id").alias("path")).distinct().exceptAll(e.where("event_type = 'error'").select("user_id").distinct())
+
+
+# ---- whole reviews -------------------------------------------------------------------------------------------------
+@query(f"SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY idx) - 1 AS INTEGER) AS idx, kind, coalesce(tbl, '') AS tbl, coalesce(CASE WHEN kind = 'add_column' THEN c || '_new' ELSE col END, '') AS col, coalesce(new_name, '') AS new_name, coalesce(index_name, '') AS index_name FROM {B.OPS} o")
+def p10_change_events(spark, d):
+    o = change_events(CE.split_scripts(_scripts(spark, d)))
+    return o.select("script_id", "idx", "kind", *(F.coalesce(c, F.lit("")).alias(c) for c in ("tbl", "col", "new_name", "index_name")))
+
+
+_R9 = _finding("PROCEDURAL_DDL_UNREVIEWED", "'blocker'", "kind = 'procedural_block'", obj="CAST(idx AS VARCHAR)", frm=f"{B.OPS} o")
+_R10 = _finding("INTEGRITY_CONSTRAINT_REMOVED", "'high'", "kind = 'drop_constraint'", obj="index_name", frm=f"{B.OPS} o")
+_R12 = f"SELECT script_id, 0 AS seq, 'MISSING_ROLLBACK' AS code, 'medium' AS severity, 'rollback' AS objects, '' AS services, '' AS evidence, 'static' AS source FROM {_SCRIPTS} s WHERE script_id % 3 = 0"
+_ALL = f"(SELECT script_id, code, objects, max({_RANK}) AS r FROM ({' UNION ALL '.join((_R1, _R2, _R3, _R4, _R5, _R6.replace(_OBJ, 'tbl || CASE WHEN kind = ' + chr(39) + 'add_column' + chr(39) + ' THEN ' + chr(39) + '.' + chr(39) + ' || c || ' + chr(39) + '_new' + chr(39) + ' ELSE ' + chr(39) + '.' + chr(39) + ' || col END'), _R8, _R9, _R10, _R12))}) u GROUP BY ALL)"
+_BODY = _gap("procedural_body", "CAST(idx AS VARCHAR)", "kind = 'procedural_block'")
+_NEW = f"(SELECT DISTINCT script_id, token FROM (SELECT script_id, unnest([lower(tbl), lower(CASE WHEN kind = 'add_column' THEN c || '_new' ELSE col END), lower(new_name)]) AS token FROM {B.OPS} o) WHERE token IS NOT NULL)"
+_LEDGER = f"(SELECT script_id, count(*) AS gaps FROM (SELECT DISTINCT script_id, kind, object FROM ({' UNION ALL '.join((_K1, _K2, _K3, _K5.replace(_TOUCHED, _NEW), _K8, _BODY))}) g) GROUP BY script_id)"
+
+
+@query(f"""SELECT s.script_id, CASE WHEN coalesce(top, 0) = 4 THEN 'BLOCK' WHEN coalesce(gaps, 0) > 0 THEN 'NEEDS_COVERAGE_SIGNOFF' WHEN top = 3 THEN 'SAFE_WITH_PLAN' ELSE 'SAFE' END AS verdict, coalesce(blockers, 0) AS blockers, coalesce(highs, 0) AS highs, coalesce(gaps, 0) AS gaps
+FROM {_SCRIPTS} s LEFT JOIN (SELECT script_id, max(r) AS top, count(*) FILTER (r = 4) AS blockers, count(*) FILTER (r = 3) AS highs FROM {_ALL} a GROUP BY script_id) f USING (script_id) LEFT JOIN {_LEDGER} l USING (script_id)""")
+def review_fleet(spark, d):
+    s = _scripts(spark, d).withColumn("rollback_sql", F.when(F.col("script_id") % 3 > 0, "undo"))
+    return RV.review(s, _stats(spark, d), B.rows(spark, d, B.LOG)).drop("headline")
