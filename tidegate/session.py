@@ -12,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: bytes of an Arrow batch on its way to a Python worker: ten thousand long texts are too many for small executors
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def get_spark(app: str = "tidegate", cpus: str = "*", partitions: int = 8) -> SparkSession:
@@ -55,8 +58,10 @@ def spread_out(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
+    """Send this package to the executors' Python workers, once per application, and bound the session's Arrow batches where it sets no bound."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
