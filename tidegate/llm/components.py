@@ -43,8 +43,9 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     e = links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null and u <> v")
     e = materialize(e.mapInArrow(_thin, "u long, v long").distinct())
-    seen = None
-    while True:
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = mark(e)
+    while seen[0]:
         # e has u > v always: the lesser end is v
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -53,10 +54,10 @@ def components(links: DataFrame) -> DataFrame:
         lo = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lo, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select(F.col("x.a").alias("u"), F.col("x.b").alias("v")).where("u <> v")
         e = materialize(small.distinct())
-        mark = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (now := (mark["n"], mark["h"])) == seen:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()) if mark["n"] else spark.createDataFrame([], "node long, root long")
+        if (now := mark(e)) == seen:
+            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = now
+    return spark.createDataFrame([], "node long, root long")
 
 
 def spread(rows: DataFrame, node: str, comp: DataFrame, out: str) -> DataFrame:

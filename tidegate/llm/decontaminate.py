@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm import text as X
-from tidegate.session import ship
+from tidegate.session import materialize, ship
 
 U = np.uint64
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -118,6 +118,7 @@ def _search(tables: list[Length], owners: dict[bytes, list[str]]):
                     hits.append(np.flatnonzero(under[at[r] : at[r + 1]]) if r in found else [])
                     items.append(sorted(found.get(r, ())))
             yield pa.RecordBatch.from_arrays([t.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "hits", "items"])
+            X.release()
 
     return search
 
@@ -161,5 +162,5 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` in which no window occurs. A row that shares a non-null id with a contaminated one goes with it."""
-    gone = contaminated_words(docs, bench, id_col, **options).where(F.size("hits") > 0).select(id_col).distinct()
+    gone = materialize(contaminated_words(docs, bench, id_col, **options).where(F.size("hits") > 0).select(id_col).distinct())  # of known size: broadcast if small
     return docs.join(gone, id_col, "left_anti")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.components import components, local_forest, spread
+from tidegate.llm.text import tidy
 from tidegate.session import materialize, ship
 
 STEPS = (8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
@@ -148,7 +149,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         transform({after}, o -> struct(strip as at, concat('s', tile) as lo, concat('n', o) as hi, 0 as side)),
         transform({before}, o -> struct(strip - 1 as at, concat('s', o) as lo, concat('n', tile) as hi, 1 as side)))""")))
     met = met.select("node", "label", "d", "v", "copies", "pair.*")
-    found = materialize(met.groupBy("label", "d", "at", "lo", "hi").applyInArrow(_compare(turn, threshold), "node long, links long, root long"))
+    found = materialize(met.groupBy("label", "d", "at", "lo", "hi").applyInArrow(tidy(_compare(turn, threshold)), "node long, links long, root long"))
     comp = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     direct = found.groupBy("node").agg(F.sum("links").alias("links"))
     grouped = spread(classes.select("node", "copies", "least"), "node", comp, "root").join(direct, "node", "left")

@@ -210,5 +210,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Rows are told apart by id: rows that repeat an id stay or go together. Rows with a null id, or without words, stay.
     """
     found = jaccard_components(docs, id_col, text_col, width, pct, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())  # of known size: broadcast if small
     return docs.join(gone, id_col, "left_anti")

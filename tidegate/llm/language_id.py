@@ -12,8 +12,6 @@ chosen by a hash of the id. Scoring covers whole texts of all rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidegate.llm import automaton
 from tidegate.llm import text as X
-from tidegate.session import ship
+from tidegate.session import ship, spread_out
 
 U = np.uint64
 NONE = "und"
@@ -44,29 +42,34 @@ class Model:
                 break
             min_count *= 2
         self.states = {g: i for i, g in enumerate(contexts)}
-        shape = (len(contexts), self.width)
-        self.table = np.zeros(shape, np.int32)
-        costs = np.zeros((*shape, max(1, len(self.langs))), np.float32)
-        costs[0] = 8.0
-        own = []
-        for c in (counts[x] for x in self.langs):
-            after: dict[bytes, list] = defaultdict(list)
-            for g, n in c.items():
-                if g[:-1] in self.states:
-                    after[g[:-1]].append((g[-1], n))
-            own.append(after)
-        for g, i in self.states.items():
-            if i:
-                less = self.states[g[1:]]
-                self.table[i], costs[i] = self.table[less], costs[less]
-            for k, (after, lang) in enumerate(zip(own, self.langs, strict=True)):
-                if (found := after.get(g)) and (not g or counts[lang].get(g, 0) >= min_count):
-                    n, d = sum(x for _, x in found), len(found)
-                    costs[i, :, k] += np.log2((n + d) / d)
-                    costs[i, self.code[[b for b, _ in found]], k] = [np.log2((n + d) / x) for _, x in found]
-            for b in seen:
-                if (to := self.states.get(g + bytes([b]))) is not None:
-                    self.table[i, self.code[b]] = to
+        size = len(contexts)
+        length = np.array([len(g) for g in contexts])
+        suffix = np.array([self.states[g[1:]] for g in contexts])
+        parent = np.array([self.states[g[:-1]] for g in contexts])
+        last = np.array([self.code[g[-1]] if g else 0 for g in contexts])
+        self.table = np.zeros((size, self.width), np.int32)
+        costs = np.zeros((size, self.width, max(1, len(self.langs))), np.float32)
+        costs[0] = 8.0  # a byte that no context has seen
+        escape, seen_in = np.zeros((size, costs.shape[2]), np.float32), []
+        for k, lang in enumerate(self.langs):
+            own = counts[lang]
+            rows = [(s, self.code[g[-1]], n) for g, n in own.items() if (s := self.states.get(g[:-1])) is not None and (not s or own.get(g[:-1], 0) >= min_count)]
+            s, c, n = (np.array([r[x] for r in rows]) for x in range(3))
+            total, kinds = np.bincount(s, weights=n, minlength=size), np.bincount(s, minlength=size)
+            escape[:, k] = np.log2(np.where(kinds > 0, (total + kinds) / np.maximum(kinds, 1), 1))
+            seen_in.append((s, c, np.log2((total + kinds)[s] / n)))
+        for level in range(max_order + 1):  # a row starts as its suffix's, which is whole by then
+            at = np.flatnonzero(length == level)
+            if level:
+                self.table[parent[at], last[at]] = at
+            if not len(at):
+                break
+            if level:
+                self.table[at], costs[at] = self.table[suffix[at]], costs[suffix[at]]
+            costs[at] += escape[at, None, :]
+            for k, (s, c, v) in enumerate(seen_in):
+                here = length[s] == level
+                costs[s[here], c[here], k] = v[here]
         self.table[:, len(seen) :] = 0
         costs[:, self.sep] = 0
         self.table, self.costs = self.table.reshape(-1), costs.reshape(-1, costs.shape[2])
@@ -167,5 +170,5 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             X.release()
             yield pa.RecordBatch.from_arrays([t.column(0).cast(pa.int64()), pa.array(names[k].tolist(), pa.string()), pa.array(np.where(letters, cat(share), 0.0)), pa.array(cat(rate))], ["id", "lang_pred", "score", "bits_per_byte"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
+    rows = spread_out(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
     return rows.mapInArrow(score, "id long, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)

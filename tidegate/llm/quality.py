@@ -81,7 +81,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
         k = np.flatnonzero(w)
         return pa.table({"place": pa.array(np.append(k, 1 << bits), pa.int64()), "w": np.append(w[k], bias)})
 
-    per = rows.select("shard", "_id", "text", "_y").groupBy("shard").applyInArrow(fit, "place long, w double")
+    per = rows.select("shard", "_id", "text", "_y").groupBy("shard").applyInArrow(X.tidy(fit), "place long, w double")
     t = per.groupBy("place").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).toArrow()
     out = np.zeros((1 << bits) + 1)
     if t.num_rows:
@@ -110,5 +110,6 @@ def scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
                 f, at = features(data[off[a] : off[b]], off[a : b + 1] - off[a], bits)
                 out.append(X.sums(w[f].astype(np.float64), at) / np.sqrt(np.maximum(np.diff(at), 1)) + w[-1])
             yield pa.RecordBatch.from_arrays([t.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(out), -500, 500))))], ["id", "score"])
+            X.release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, "id long, score double").withColumnRenamed("id", id_col)

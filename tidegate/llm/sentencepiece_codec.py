@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm import text as X
-from tidegate.session import ship
+from tidegate.session import ship, spread_out
 
 U = np.uint64
 MARK = "▁"
@@ -209,8 +209,9 @@ def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str
                     same = np.array([np.array_equal(back[back_at[r] : back_at[r + 1]], part[o[r] : o[r + 1]]) for r in range(b - a)])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([t.column(0)[a:b].cast(pa.int64()), lists, pa.array(same)], ["id", "ids", "round_trip"])
+            X.release()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    return spread_out(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, model: tuple, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

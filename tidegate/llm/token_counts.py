@@ -122,5 +122,6 @@ def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
                 tokens.append(a.counts(part, o))
                 words.append(np.diff(X.words(part, o, ~X.SPACE[part])[2]))
             yield pa.RecordBatch.from_arrays([t.column(0).cast(pa.int64()), pa.array(np.concatenate(words)), pa.array(np.concatenate(tokens))], ["id", "n_words", "n_tokens"])
+            X.release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "id long, n_words long, n_tokens long").withColumnRenamed("id", id_col)
