@@ -43,14 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidegate-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and the copy outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidegate-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean_shared(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote for this application. For use when results that read it are done with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """``df`` itself, unless it has fewer partitions than there are cores: then dealt over all of them, for work that is bound by CPU."""
     cores = df.sparkSession.sparkContext.defaultParallelism
