@@ -182,12 +182,8 @@ def brute_hits(rows, items, n):
 def test_contaminated_words(docs, spark, portion):
     items = [(1, "Jumps, over the LAZY dog while-seven wizards brew odd potions!"), (1, "Jumps, over the LAZY dog while-seven wizards brew odd potions!"), (2, "one"), (3, None), (4, "..."), (5, "é one"), (None, "w3 w4"), (6, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = [r for r in texts() if r[0] is not None] if portion == 300 else texts()
-    df = docs.where("doc_id is not null") if portion == 300 else docs
-    if portion == 300:  # portions are put together by id
-        rows, df = [r for r in rows if r[0] != 14], df.where("doc_id <> 14")
-    got = [(r["doc_id"], r["n_words"], sorted(r["hits"]), r["items"]) for r in decontaminate.contaminated_words(df, bench, portion=portion).collect()]
-    assert sorted(got, key=str) == brute_hits(rows, items, 10)
+    got = [(r["doc_id"], r["n_words"], sorted(r["hits"]), r["items"]) for r in decontaminate.contaminated_words(docs, bench, portion=portion).collect()]
+    assert sorted(got, key=str) == brute_hits(texts(), items, 10)
 
 
 def test_clean_keeps_the_rest(docs, spark):

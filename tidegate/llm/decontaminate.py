@@ -25,7 +25,7 @@ from tidegate.session import materialize, ship
 U = np.uint64
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-FOUND = "id long, n_words long, hits array<long>, items array<string>"
+FOUND = "id long, row long, n_words long, hits array<long>, items array<string>"
 
 
 def item_windows(text: bytes | None, window: int) -> list[bytes]:
@@ -94,7 +94,7 @@ class Length:
 def _search(tables: list[Length], owners: dict[bytes, list[str]]):
     def search(batches):
         for t in batches:
-            data, off = X.column_bytes(t.column(1))
+            data, off = X.column_bytes(t.column(2))
             n_words, hits, items = [], [], []
             for a, b in X.pieces(off):
                 low = X.LOWER[data[off[a] : off[b]]]
@@ -117,7 +117,7 @@ def _search(tables: list[Length], owners: dict[bytes, list[str]]):
                     n_words.append(int(at[r + 1] - at[r]))
                     hits.append(np.flatnonzero(under[at[r] : at[r + 1]]) if r in found else [])
                     items.append(sorted(found.get(r, ())))
-            yield pa.RecordBatch.from_arrays([t.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([t.column(0).cast(pa.int64()), t.column(1), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["id", "row", "n_words", "hits", "items"])
             X.release()
 
     return search
@@ -137,7 +137,8 @@ def contaminated_words(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
     rows = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).distinct()
     total = rows.agg(F.sum(F.octet_length("text") * 6).alias("b")).first()["b"] or 0
     parts = max(1, -(-total // portion))
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    row = F.xxhash64(F.col(id_col), F.col(text_col)) if parts > 1 else F.lit(0).cast("long")
+    plain = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
     found = None
     for k in range(parts):
         owners: dict[bytes, set] = {}
@@ -150,9 +151,11 @@ def contaminated_words(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
         sent = spark.sparkContext.broadcast(([Length(m, ws) for m, ws in sorted(by.items())], {w: sorted(o) for w, o in owners.items()}))
         part = plain.mapInArrow(lambda batches, sent=sent: _search(*sent.value)(batches), FOUND)
         found = part if found is None else found.unionByName(part)
-    if parts > 1:
-        found = found.groupBy("id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.withColumnRenamed("id", id_col)
+    if parts > 1:  # rows with equal ids and texts find the same, and come back as often as they were given
+        both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+        found = found.groupBy("id", "row", "n_words").agg(both("hits"), both("items"), (F.count(F.lit(1)) / parts).cast("int").alias("copies"))
+        found = found.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("id", "row", "n_words", "hits", "items")
+    return found.drop("row").withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
