@@ -10,6 +10,6 @@ def test_materialize_and_clean(spark):
 
 
 def test_spread_out(spark):
-    few, many = spark.range(10).coalesce(1), spark.range(10).repartition(64)
+    few, many, dealt = spark.range(0, 10, 1, 1), spark.range(0, 100, 1, 64), spark.range(10).repartition(1)
     assert spread_out(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread_out(many) is many
+    assert spread_out(many) is many and spread_out(dealt) is dealt

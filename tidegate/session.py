@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -62,7 +63,12 @@ def clean_shared(spark: SparkSession) -> None:
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """``df`` itself, unless it has fewer partitions than there are cores: then dealt over all of them, for work that is bound by CPU."""
+    """``df`` itself, unless it is a plain scan with fewer partitions than there are cores: then dealt over all of them, for work that is bound by CPU.
+
+    A plan that shuffles is left alone: its partitions are only known once its stages have run.
+    """
+    if re.search("Join|Aggregate|Window|Repartition|Sort|Distinct", df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
