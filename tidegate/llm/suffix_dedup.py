@@ -194,7 +194,7 @@ def _cut(length: int, gram: int, whole_chars: bool):
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 16, whole_chars: bool = False, block_bytes: int = 12 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 16, whole_chars: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
     """(id_col, n_bytes, kept, starts, ends) for every row of ``docs``.
 
     kept: the text's UTF-8 bytes without those covered by a string of ``length`` bytes that starts anywhere else in

@@ -49,13 +49,19 @@ def tidy(f):
     return (lambda t: call(t)) if f.__code__.co_argcount == 1 else (lambda a, b: call(a, b))
 
 
+def _series(b: np.uint64, n: int) -> np.ndarray:
+    x = np.full(n, b, U)
+    x[0] = 1
+    return np.cumprod(x, dtype=U)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept by the worker."""
-    if len(_powers.get("up", ())) < n:
-        for name, b in (("up", BASE), ("down", BASE_INV)):
-            x = np.full(max(n, 1 << 16), b, U)
-            x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=U)
+    """BASE**i and BASE**-i for i < n. The worker keeps those of a usual chunk, no longer ones."""
+    most = CHUNK + 4096
+    if n > most:
+        return _series(BASE, n), _series(BASE_INV, n)
+    if not _powers:
+        _powers.update(up=_series(BASE, most), down=_series(BASE_INV, most))
     return _powers["up"][:n], _powers["down"][:n]
 
 
