@@ -276,6 +276,29 @@ def test_lm_model_shares_out_probability(spark):
     assert 0.3 < sum(got) <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("block", [400, 5000])
+def test_lm_scores_come_from_all_training_rows(spark, monkeypatch, block):
+    """With given weights, scores equal brute force over the counts of all training rows, however many blocks there are."""
+    rows = [(i, " ".join(f"w{i * j % 11}" for j in range(1, 9)) + f" only{i} once{i}") for i in range(80)]
+    seen = []
+    weights = [[0.0, 0.7, 0.3]] + [[0.5 + k / 100, 0.3 - k / 100, 0.2] for k in range(1, lm_scoring.LEVELS)]
+    monkeypatch.setattr(lm_scoring, "learn_weights", lambda hist: seen.extend(hist) or lm_scoring.np.array(weights))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(df, F.col("doc_id") % 7 != 2, block_bytes=block).collect()}
+    toks = {i: [*t.split(), "\n"] for i, t in rows}
+    taught = [w for i, w in toks.items() if i % 7 != 2]
+    uni = Counter(x for w in taught for x in w)
+    bi = Counter(x for w in taught for x in zip(["\n", *w], w, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    for i, w in toks.items():
+        want = 0.0
+        for h, x in zip(["\n", *w], w, strict=False):
+            a, b, c = weights[1 + int(math.log2(uni[h])) if uni[h] else 0]
+            want += math.log10(a * bi[h, x] / max(uni[h], 1) + b * uni[x] / n + c / (v + 1))
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+    assert any(j == 0 for _, _, j, _ in seen)  # weights are learned on words that the reduced counts don't hold
+
+
 # ---- classifiers ---------------------------------------------------------------------------------------------------
 def test_language_id(spark):
     import random

@@ -3,6 +3,8 @@
 p(w | h) = a(k) * c(h, w) / c(h) + b(k) * c(w) / N + g(k) / (V + 1), where k is the bucket of the context's frequency
 (0, then the powers of two) and the weights of a bucket are learned by expectation-maximisation on held-out counts:
 one eighth of the blocks of training rows is deleted from the counts, and only those blocks are used to learn weights.
+The reduced counts serve for that alone: scores come from the counts of all training rows. A bucket knows from a block's
+number whether it is deleted, so counts are sent once, and reduced sums go back to deleted blocks only.
 Counts cover all rows; they are gathered by a block exchange, so no row stands for a token and nothing is capped.
 The driver gets a histogram of a fixed largest size, from which it learns some seventy weights.
 """
@@ -21,6 +23,8 @@ from tidegate.session import materialize, ship
 U = np.uint64
 END = X.mix(np.array([0x656E64], U))[0]
 UNI, BI, TOTALS = 0, 1, 2
+#: added to a kind: the same without the deleted blocks
+REDUCED = 4
 DELETED = 8
 LEVELS = 26
 #: resolution of the histogram of estimate ratios: cells for each doubling, and cells on each side
@@ -49,66 +53,73 @@ def _send(buckets: int):
         block = t["block"][0].as_py()
         tok, before, at = _tokens(t)
         taught = np.repeat(np.asarray(t["train"]), np.diff(at))
-        kept = taught & (block % DELETED != 0)
-        keys, place = np.unique(tok, return_inverse=True)
-        both = np.bincount(place, weights=taught).astype(np.int64), np.bincount(place, weights=kept).astype(np.int64)
-        pairs, where = np.unique(_pairs(tok, before), return_inverse=True)
-        found = B.sent_rows(block, [(BI, pairs, np.bincount(where, weights=kept).astype(np.int64))], buckets)
-        uni = B.sent_rows(block, [(UNI, keys, both[0])], buckets)
-        kept_uni = B.sent_rows(block, [(UNI, keys, both[1])], buckets)
-        # one row for a bucket holds both counts of a word: the second ones follow the first
-        vals = [B.pack_ints(np.concatenate([B.unpack_ints(x.as_py()), B.unpack_ints(y.as_py())])) for x, y in zip(uni["vals"], kept_uni["vals"], strict=True)]
-        return pa.concat_tables([found, uni.set_column(4, "vals", pa.array(vals, pa.binary()))])
+        parts = []
+        for kind, x in ((UNI, tok), (BI, _pairs(tok, before))):
+            keys, place = np.unique(x, return_inverse=True)
+            parts.append((kind, keys, np.bincount(place, weights=taught).astype(np.int64)))
+        return B.sent_rows(block, parts, buckets)
 
     return send
 
 
 def _add(t: pa.Table) -> pa.Table:
-    """Sums of a bucket's counts for each block, and the bucket's totals."""
+    """Sums of a bucket's counts for each block, those without the deleted blocks for deleted ones, and the bucket's totals."""
     kinds = np.asarray(t["kind"])
-    out = B.count_bucket(t.filter(pa.array(kinds == BI))) if (kinds == BI).any() else B.REPLY_ARROW.empty_table()
-    rows = t.filter(pa.array(kinds == UNI))
-    if not rows.num_rows:
-        return out
-    keys = [B.unpack_keys(x.as_py()) for x in rows["keys"]]
-    cut = np.cumsum([0, *map(len, keys)])
-    both = [B.unpack_ints(x.as_py()).reshape(2, -1) for x in rows["vals"]]
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = [np.bincount(place, weights=np.concatenate([x[i] for x in both])).astype(np.int64) for i in (0, 1)]
     more: dict[str, list] = {k: [] for k in B.REPLY_ARROW.names}
-    bucket = rows["bucket"][0].as_py()
-    for i, block in enumerate(rows["block"].to_pylist()):
-        p = place[cut[i] : cut[i + 1]]
-        for k, v in zip(B.REPLY_ARROW.names, (block, bucket, UNI, B.pack_ints(np.concatenate([total[0][p], total[1][p]]))), strict=True):
-            more[k].append(v)
-    sums = B.pack_ints(np.array([total[0].sum(), (total[0] > 0).sum(), total[1].sum(), (total[1] > 0).sum()]))
-    for k, v in zip(B.REPLY_ARROW.names, (-1, bucket, TOTALS, sums), strict=True):
-        more[k].append(v)
-    return pa.concat_tables([out, pa.table(more, B.REPLY_ARROW)])
 
+    def put(*row):
+        for k, v in zip(B.REPLY_ARROW.names, row, strict=True):
+            more[k].append(v)
 
-def _estimates(t: pa.Table, replies: pa.Table, totals: tuple):
-    """For each token: all training occurrences, context bucket, and the three estimates; with per-row offsets."""
+    bucket = t["bucket"][0].as_py()
+    for kind in (UNI, BI):
+        rows = t.filter(pa.array(kinds == kind))
+        if not rows.num_rows:
+            continue
+        owners = rows["block"].to_pylist()
+        keys = [B.unpack_keys(x.as_py()) for x in rows["keys"]]
+        cut = np.cumsum([0, *map(len, keys)])
+        vals = np.concatenate([B.unpack_ints(x.as_py()) for x in rows["vals"]])
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        total = np.bincount(place, weights=vals).astype(np.int64)
+        vals[np.repeat(np.array(owners) % DELETED == 0, np.diff(cut))] = 0
+        kept = np.bincount(place, weights=vals).astype(np.int64)
+        for i, block in enumerate(owners):
+            p = place[cut[i] : cut[i + 1]]
+            put(block, bucket, kind, B.pack_ints(total[p]))
+            if block % DELETED == 0:
+                put(block, bucket, kind + REDUCED, B.pack_ints(kept[p]))
+        if kind == UNI:
+            put(-1, bucket, TOTALS, B.pack_ints(np.array([total.sum(), (total > 0).sum(), kept.sum(), (kept > 0).sum()])))
+    return pa.table(more, B.REPLY_ARROW)
+
+
+def _estimates(t: pa.Table, replies: pa.Table, n: int, v: int, less: int = 0):
+    """For each token: training occurrences, context bucket, and the three estimates; with per-row offsets.
+
+    n, v: training tokens and distinct ones. less: 0 for all training rows, REDUCED for those not in deleted blocks.
+    """
     tok, before, at = _tokens(t)
     keys, place = np.unique(tok, return_inverse=True)
-    got = [(b, B.unpack_ints(r).reshape(2, -1)) for b, k, r in zip(replies["bucket"].to_pylist(), replies["kind"].to_pylist(), replies["reply"].to_pylist(), strict=True) if k == UNI]
-    both = np.concatenate([x for _, x in sorted(got, key=lambda x: x[0])], axis=1)
+    counts = B.answer(replies, UNI + less)
+    count = counts[place]
+    context = np.zeros(len(tok), np.int64)
     if len(e := np.flatnonzero(keys == END)):
-        context = np.where(before == END, both[1][e[0]], 0)
-    count, kept = both[0][place], both[1][place]
+        context = np.where(before == END, counts[e[0]], 0)
     inner = before != END
-    context[inner] = kept[np.flatnonzero(inner) - 1]
+    context[inner] = count[np.flatnonzero(inner) - 1]
     _, where = np.unique(_pairs(tok, before), return_inverse=True)
-    pair = B.answer(replies, BI)[where]
+    pair = B.answer(replies, BI + less)[where]
     bucket = np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64), LEVELS - 1), 0)
-    return count, bucket, pair / np.maximum(context, 1), kept / max(totals[2], 1), 1 / (totals[3] + 1), at
+    return count, bucket, pair / np.maximum(context, 1), count / max(n, 1), 1 / (v + 1), at
 
 
 def _histogram(totals: tuple):
     def histogram(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({"k": pa.array([], pa.int32()), "i": pa.array([], pa.int32()), "j": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-        _, bucket, p2, p1, p0, at = _estimates(t, replies, totals)
+        _, bucket, p2, p1, p0, at = _estimates(t, replies, totals[2], totals[3], REDUCED)
         own = np.repeat(np.asarray(t["train"]), np.diff(at))
         cell = [np.where(p > 0, np.clip(1 + np.round(FINE * np.log2(np.maximum(p, 1e-300) / p0)) + CELLS // 4, 1, CELLS - 1), 0).astype(np.int64) for p in (p2, p1)]
         code, n = np.unique(((bucket * CELLS + cell[0]) * CELLS + cell[1])[own], return_counts=True)
@@ -136,7 +147,7 @@ def learn_weights(hist: list[tuple[int, int, int, int]], rounds: int = 100) -> n
 
 def _score(totals: tuple, weights: np.ndarray):
     def score(t: pa.Table, replies: pa.Table) -> pa.Table:
-        count, bucket, p2, p1, p0, at = _estimates(t, replies, totals)
+        count, bucket, p2, p1, p0, at = _estimates(t, replies, totals[0], totals[1])
         w = weights[bucket]
         p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0
         base = np.log10((count + 1) / (totals[0] + totals[1] + 1))
@@ -160,7 +171,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     replies = materialize(B.reply(B.send(blocks, _send(n)), _add))
     sums = [B.unpack_ints(r["reply"]) for r in replies.where(f"kind = {TOTALS}").select("reply").toLocalIterator()]  # four numbers a bucket
     totals = tuple(int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0, 0, 0)
-    own = replies.where("block >= 0")
-    hist = B.finish(blocks.where(F.col("block") % DELETED == 0), own.where(F.col("block") % DELETED == 0), _histogram(totals), HIST)
+    own = replies.where(F.col("kind").isin(UNI, BI))
+    hist = B.finish(blocks.where(F.col("block") % DELETED == 0), replies.where(F.col("kind") >= REDUCED), _histogram(totals), HIST)
     weights = learn_weights([tuple(r) for r in hist.groupBy("k", "i", "j").agg(F.sum("n")).collect()])  # at most LEVELS * CELLS**2 rows
     return B.finish(blocks, own, _score(totals, weights), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
