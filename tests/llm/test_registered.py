@@ -172,6 +172,23 @@ def test_pipeline_stages_against_brute_force(spark, world):
     assert sorted(str(r["doc_id"]) for r in steps[names[4]]) == sorted(str(i) for i, _ in want) and all(r["round_trip"] for r in steps[names[4]])
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, world, tmp_path):
+    """Repeated rows, copies with null ids, and an id that repeats with other texts: one row of each group outlives the dedup stages."""
+    d, *_ = world
+    text = lambda name: " ".join(f"{name}{k}" for k in range(80))
+    rows = [(1, text("ka")), (1, text("ka")), (None, text("lo")), (None, text("lo")), (None, text("lo") + " end"), (5, text("mi")), (None, text("mi")), (7, text("ne")), (9, text("ne")), (9, text("ru")), (None, text("ta")), (11, text("po") + " x"), (11, text("po") + " y"), (13, "7 8"), (13, "7 8"), (14, "..."), (15, None), (15, " ")]
+    df = spark.createDataFrame([(i, t, "xx", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("_row_key", F.lit("own"))
+    got = corpus_pipeline.materialize(corpus_pipeline.jaccard(spark, df, d))
+    assert got.columns == df.columns
+    pairs = [(r["doc_id"], r["text"]) for r in got.collect()]
+    groups = {w: [(i, t) for i, t in pairs if t and t.startswith(f"{w}0 ")] for w in ("ka", "lo", "mi", "ne", "ru", "ta", "po")}
+    assert {w: [i for i, _ in g] for w, g in groups.items()} == {"ka": [1], "lo": [None], "mi": [5], "ne": [7], "ru": [9], "ta": [None], "po": [11]}
+    assert sorted((i, t or "") for i, t in pairs if i in (15,)) == [(15, ""), (15, " ")]
+    assert [r["source"] for r in got.where("doc_id = 1").collect()] == [r["source"] for r in corpus_pipeline.jaccard(spark, df.repartition(3), d).where("doc_id = 1").collect()]
+    cut = [r["text"] for r in corpus_pipeline.remove_repeats(spark, got, d).collect()]
+    assert all(sum(bool(t) and t.startswith(f"{w}0 ") for t in cut) == 1 for w in groups)
+
+
 def test_pipeline_of_nothing(spark, world, tmp_path):
     d, *_ = world
     spark.read.parquet(f"{d}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))

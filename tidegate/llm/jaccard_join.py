@@ -212,3 +212,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     found = jaccard_components(docs, id_col, text_col, width, pct, **options)
     gone = materialize(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())  # of known size: broadcast if small
     return docs.join(gone, id_col, "left_anti")
+
+
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, pct: int = 80, **options) -> DataFrame:
+    """Exactly one row of ``docs`` for each component, and every row without words.
+
+    Rows are told apart by id and text, and rows equal in both by a row number. The row with the least id stays, null
+    ids last; of equal ids the one with the least key. Rows that only their other columns tell apart are ordered by a
+    hash of these. Only texts of rows that repeat both id and text are shuffled.
+    """
+    names = {c.lower() for c in docs.columns}
+    free = lambda name: name if name not in names else free(name + "_")
+    key, num = free("_row_key"), free("_row_number")
+    rows = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    found = materialize(jaccard_components(rows, key, text_col, width, pct, **options).where("n_shingles > 0").groupBy(key).agg(F.min("component_id").alias("comp"), F.count(F.lit(1)).alias("copies")))
+    several = found.join(found.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "comp").select(key, "comp")
+    ids = rows.select(key, F.col(id_col).alias("id")).distinct()
+    best = several.join(ids, key).groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(key).alias("stays"))).alias("best"))
+    gone = materialize(several.join(best, "comp").where(F.col(key) != F.col("best.stays")).select(key))  # of known size: broadcast if small
+    left = rows.join(gone, key, "left_anti")
+    again = materialize(found.where("copies > 1").select(key))
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    one = Window.partitionBy(key).orderBy(F.xxhash64(*plain))
+    repeated = left.join(again, key, "left_semi").withColumn(num, F.row_number().over(one)).where(F.col(num) == 1).drop(num)
+    return left.join(again, key, "left_anti").unionByName(repeated).select(*docs.columns)
