@@ -219,6 +219,22 @@ def brute_viterbi(word, score, byte_ids):
     return best[-1][1]
 
 
+def test_sentencepiece_runs_of_spaces(spark):
+    """Whole texts and the whole vocabulary: a run of spaces takes the path with the largest sum."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    score = {sp.id_to_piece(i).replace("▁", " ").encode(): (i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    assert sum(not p.strip(b" ") and len(p) > 1 for p in score) == 14
+    ts = [" " * k + "word" for k in range(40)] + [" " * k for k in range(1, 40)] + ["def f(x):\n    if x:\n        return  x   \n\t\t   end  ", "a  b   c    d ", " é  漢   ▁    x", " " * 500 + "far" + " " * 130, "x" * 120 + "   " + "y" * 120, "tail   ", "   head", ""]
+    model = sentencepiece_codec.pieces_of(TOKENIZER)
+    found = sentencepiece_codec.encode(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").coalesce(1), model)
+    got = {r["doc_id"]: r for r in found.collect()}
+    for i, t in enumerate(ts):
+        assert got[i]["round_trip"] and got[i]["ids"] == (brute_viterbi((" " + t).encode(), score, model[1]) if t else []), t
+    assert {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode(found, model).collect()} == dict(enumerate(ts))
+
+
 def greedy_count(text, pieces):
     n, longest = 0, max(map(len, pieces))
     for w in re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode()):

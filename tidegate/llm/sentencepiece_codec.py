@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by batched Viterbi search.
 
-A text gets a space before it, and is divided before each space; a space is the mark of a word's start. The distinct
-words of a chunk are encoded once. Words of equal length advance together: at each end every start is tried, the
+A text gets a space before it, and is divided before each space that follows something else; a space is the mark of a
+word's start. Pieces hold spaces at their start only, or are runs of spaces, so no piece spans a division, and a run of
+spaces is encoded with the word after it. The distinct words, with the spaces before them, are encoded once in a chunk. Words of equal length advance together: at each end every start is tried, the
 substring's hash probes the sorted hashes of the pieces, and maxima over starts are kept as backpointers. The path
 with the largest sum of the file's scores wins, on equal sums the longest last piece. A byte that no piece covers is a
 byte piece, at a cost greater than any path of pieces has. Decoding joins the pieces, so it gives the text back.
@@ -31,8 +32,8 @@ def pieces_of(path: str) -> tuple[list[tuple[bytes, int, float]], list[int]]:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = range(sp.get_piece_size())
     plain = [(sp.id_to_piece(i).replace(MARK, " ").encode(), i, sp.get_score(i)) for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    # a mark inside a piece would span words
-    return [x for x in plain if x[0] and b" " not in x[0][1:]], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    # a space after something else would span words: such pieces are the only ones that can't be kept (the given file has none)
+    return [x for x in plain if x[0] and b" " not in x[0].lstrip(b" ")], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
 class Codec:
@@ -126,7 +127,10 @@ class Codec:
         new = off + np.cumsum(lead)  # offsets with a space before each row that isn't empty
         text = np.full(new[-1], 0x20, np.uint8)
         text[np.arange(len(data)) + np.repeat(np.cumsum(lead)[1:], np.diff(off))] = data
-        starts = np.flatnonzero(text == 0x20)
+        begins = text == 0x20
+        begins[1:] &= text[:-1] != 0x20
+        begins[new[full]] = True  # a row that ends with spaces before it doesn't go on
+        starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(text))[: len(starts)]
         size = ends - starts
         _, first, word = np.unique(X.span_hash(X.prefix_hash(text), starts, ends), return_index=True, return_inverse=True)
