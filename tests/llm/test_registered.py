@@ -189,6 +189,25 @@ def test_pipeline_keeps_one_row_of_each_group(spark, world, tmp_path):
     assert all(sum(bool(t) and t.startswith(f"{w}0 ") for t in cut) == 1 for w in groups)
 
 
+def test_pipeline_languages(spark, world):
+    """With no learned language only texts with no letter go; with some, sure predictions replace null and wrong ones."""
+    d, *_ = world
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stage = lambda rows: {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in rows], schema), d).collect()}
+    assert stage([(1, "una casa", None), (2, "12 !!", None), (3, None, None), (4, "漢", None)]) == {1: "und", 4: "und"}
+    held = next(i for i in range(100) if crc(i, 5) == 0)
+    assert stage([(held, "una casa", "es"), (held + 1000, "una casa", None)]) == {held: "es", held + 1000: "und"}
+    words = {"aa": "kata lopo misi neven rugra", "bb": "shyz whux quoth jyrx vexw"}
+    text = lambda x, k: " ".join((words[x].split() * 9)[k % 5 : k % 5 + 30])
+    rows = [(i, text(x, i), x) for i in range(200) for x in (["aa", "bb"][i % 2],)]
+    odd = [(1001, text("aa", 1), "bb"), (1002, text("bb", 2), None), (1003, text("aa", 3), "unlearned"), (1004, "7", "aa"), (1005, text("bb", 5), "bb")]
+    odd[2] = (next(i for i in range(1010, 1200) if crc(i, 5) == 0), *odd[2][1:])
+    got = stage(rows + odd)
+    assert {i: got[i] for i, *_ in rows} == {i: x for i, _, x in rows}
+    assert {i: got.get(i) for i, *_ in odd} == {1001: "aa", 1002: "bb", odd[2][0]: "unlearned", 1004: None, 1005: "bb"}
+    assert set(stage([(i, t, "und" if x == "aa" else x) for i, t, x in rows]).values()) == {"und", "bb"}
+
+
 def test_pipeline_of_nothing(spark, world, tmp_path):
     d, *_ = world
     spark.read.parquet(f"{d}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
