@@ -9,6 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF
+from tidegate.operators import corpus as C
+from tidegate.plans import statements as S
 from tidegate.plans.registry import QUERIES, SQL
 
 
@@ -40,6 +42,21 @@ def test_query(spark, duck, name):
     assert mine == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_every_script_gets_its_dependents(spark):
+    """Members and dependents of changes give every script's dependents and score, whatever it changes."""
+    ops, log = S._ops(spark, SF), S._log(spark, SF)
+    touched = C.touched_objects(ops)
+    each = C.dependents(log, touched)
+    want = {(r["script_id"], r["query_id"]) for r in each.select("script_id", "query_id").collect()}
+    few = {r["change"] for r in QUERIES["j2_change_dependents"](spark, SF).select("change").distinct().collect()}
+    members = [tuple(r) for r in QUERIES["j2_change_members"](spark, SF).select("script_id", "change").collect()]
+    by_change = {}
+    for r in QUERIES["j2_change_dependents"](spark, SF).select("change", "query_id").collect():
+        by_change.setdefault(r["change"], set()).add(r["query_id"])
+    assert {(s, q) for s, c in members for q in by_change.get(c, ())} == want and few <= {c for _, c in members}
+    assert sorted(map(tuple, QUERIES["g1_blast_scores"](spark, SF).collect())) == sorted(map(tuple, C.blast_score(each).collect()))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 

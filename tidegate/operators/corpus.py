@@ -30,11 +30,25 @@ def touched_objects(ops: DataFrame) -> DataFrame:
     return ops.select("script_id", F.explode(F.array_compact(F.array(F.lower("tbl"), F.lower("col"), F.lower("new_name")))).alias("token")).distinct()
 
 
-def dependents(log: DataFrame, touched: DataFrame) -> DataFrame:
-    """(script_id, query_id, service, criticality, matched, select_star): statements that name anything touched, by bare name."""
-    met = token_index(log).join(touched, "token").groupBy("script_id", "query_id").agg(F.array_sort(F.collect_set("token")).alias("matched"))
+def change_members(ops: DataFrame) -> DataFrame:
+    """(script_id, change), distinct: the changes of every script, each as the sorted distinct names that it touches."""
+    names = F.array_sort(F.array_distinct(F.array_compact(F.array(F.lower("tbl"), F.lower("col"), F.lower("new_name")))))
+    return ops.select("script_id", names.alias("change")).where(F.size("change") > 0).distinct()
+
+
+def touched_by_change(members: DataFrame) -> DataFrame:
+    """(change, token): the names of each distinct change. Their number is the schema's, not the fleet's."""
+    return members.select("change").distinct().select("change", F.explode("change").alias("token"))
+
+
+def dependents(log: DataFrame, touched: DataFrame, key: str = "script_id") -> DataFrame:
+    """(key, query_id, service, criticality, matched, select_star): statements that name anything touched, by bare name.
+
+    Keyed by `change`, these and ``change_members`` give each script's dependents without a row for each script and statement.
+    """
+    met = token_index(log).join(touched, "token").groupBy(key, "query_id").agg(F.array_sort(F.collect_set("token")).alias("matched"))
     own = log.select("query_id", "service", "criticality", X.uses_select_star(F.col("sql")).alias("select_star"))
-    return met.join(own, "query_id").select("script_id", "query_id", "service", "criticality", "matched", "select_star")
+    return met.join(own, "query_id").select(key, "query_id", "service", "criticality", "matched", "select_star")
 
 
 def dependent_views(views: DataFrame, touched: DataFrame) -> DataFrame:
@@ -76,6 +90,18 @@ def blast_score(found: DataFrame) -> DataFrame:
     return found.groupBy("script_id").agg(F.sum(X.weight(F.col("criticality"))).alias("score"))
 
 
+def blast_scores(log: DataFrame, touched: DataFrame) -> DataFrame:
+    """(script_id, score) of every script with dependents: as ``blast_score`` of ``dependents``, without the product of scripts and statements.
+
+    Statements that name the same touched things count as one, with the sum of their weights.
+    """
+    named = token_index(log).join(touched.select("token").distinct(), "token").groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("matched"))
+    own = log.select("query_id", X.weight(F.col("criticality")).alias("w"))
+    alike = named.join(own, "query_id").groupBy("matched").agg(F.sum("w").alias("w"))
+    met = alike.select("matched", "w", F.explode("matched").alias("token")).join(touched, "token").select("script_id", "matched", "w").distinct()
+    return met.groupBy("script_id").agg(F.sum("w").alias("score"))
+
+
 def top_users(users: DataFrame, n: int = 4) -> DataFrame:
     """The first ``n`` users of each index: heaviest first, then by id."""
     best = F.struct((-X.weight(F.col("criticality"))).alias("w"), F.col("query_id").alias("query_id"))

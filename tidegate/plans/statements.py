@@ -252,6 +252,21 @@ def j2_dependents(spark, d):
     return C.dependents(_log(spark, d), C.touched_objects(changes))
 
 
+#: all change events, each as the names that it touches
+_MEMBERS = f"(SELECT DISTINCT script_id, change FROM (SELECT script_id, array_to_string(list_sort(list_distinct([lower(tbl), lower(col), lower(new_name)])), ',') AS change FROM {B.OPS} o) WHERE change <> '')"
+_BY_CHANGE = f"(SELECT change, unnest(string_split(change, ',')) AS token FROM (SELECT DISTINCT change FROM {_MEMBERS} m))"
+
+
+@query(f"SELECT script_id, change FROM {_MEMBERS} m")
+def j2_change_members(spark, d):
+    return C.change_members(_ops(spark, d))
+
+
+@query(f"SELECT change, query_id, service, criticality, matched, sql LIKE 'SELECT *%' AS select_star FROM (SELECT change, query_id, string_agg(token, ',' ORDER BY token) AS matched FROM {_INDEX} i JOIN {_BY_CHANGE} t USING (token) GROUP BY change, query_id) t JOIN {B.LOG} q USING (query_id)")
+def j2_change_dependents(spark, d):
+    return C.dependents(_log(spark, d), C.touched_by_change(C.change_members(_ops(spark, d))), "change")
+
+
 @query(f"SELECT script_id, token FROM {_TOUCHED} t")
 def j3_touched_objects(spark, d):
     return C.touched_objects(_ops(spark, d))
@@ -311,6 +326,11 @@ def g1_blast_score(spark, d):
     return C.blast_score(j2_dependents(spark, d))
 
 
+@query(f"SELECT script_id, CAST(sum({_W}) AS BIGINT) AS score FROM (SELECT DISTINCT script_id, query_id, criticality FROM {_INDEX} i JOIN {_TOUCHED} t USING (token) JOIN {B.LOG} q USING (query_id)) GROUP BY script_id")
+def g1_blast_scores(spark, d):
+    return C.blast_scores(_log(spark, d), C.touched_objects(_ops(spark, d)))
+
+
 @query(f"SELECT name, CAST(rank AS INTEGER) AS rank, query_id FROM (SELECT name, query_id, row_number() OVER (PARTITION BY name ORDER BY {_W} DESC, query_id) AS rank FROM {_USERS} u) WHERE rank <= 4")
 def l2_top_users(spark, d):
     return C.top_users(C.access_path_users(_log(spark, d), _indexes(spark, d)))
