@@ -57,6 +57,12 @@ def test_every_script_gets_its_dependents(spark):
     assert sorted(map(tuple, QUERIES["g1_blast_scores"](spark, SF).collect())) == sorted(map(tuple, C.blast_score(each).collect()))
 
 
+def test_top_users_are_limited_before_the_shuffle(spark):
+    """No list of an index's users is built: each partition keeps its first few."""
+    plan = QUERIES["l2_top_users"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "collect_list" not in plan
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 

@@ -6,7 +6,7 @@ a log; Spark broadcasts it when its measured size allows, and sorts and merges o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
@@ -104,5 +104,5 @@ def blast_scores(log: DataFrame, touched: DataFrame) -> DataFrame:
 
 def top_users(users: DataFrame, n: int = 4) -> DataFrame:
     """The first ``n`` users of each index: heaviest first, then by id."""
-    best = F.struct((-X.weight(F.col("criticality"))).alias("w"), F.col("query_id").alias("query_id"))
-    return users.groupBy("name").agg(F.slice(F.array_sort(F.collect_list(best)), 1, n).alias("t")).select("name", F.posexplode("t").alias("rank", "t")).select("name", (F.col("rank") + 1).alias("rank"), "t.query_id")
+    first = Window.partitionBy("name").orderBy(X.weight(F.col("criticality")).desc(), "query_id")
+    return users.select("name", "query_id", "criticality").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n).select("name", "rank", "query_id")
