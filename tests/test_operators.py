@@ -147,7 +147,7 @@ def test_unparsed_text_suppresses_the_rest(spark):
 ])
 def test_census(text, statements, left_open):
     found, _ = census.scan(text)
-    assert len(found) == statements and any(f[3] for f in found) == left_open
+    assert len(found) == statements and any(f.left_open for f in found) == left_open
 
 
 def test_census_never_raises(spark):

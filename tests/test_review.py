@@ -1,82 +1,185 @@
-"""Whole reviews of a billing world: each case's findings, and the cases that must stay clean."""
+"""Whole reviews of a library's lending world: each case's findings, and the cases that must stay clean."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidegate.operators import corpus as C
 from tidegate.operators import findings as FI
+from tidegate.operators import replay as RE
 from tidegate.operators import rules as R
+from tidegate.operators.census import split_scripts
 from tidegate.operators.events import change_events
+from tidegate.plans import evidence as EV
 from tidegate.plans import review as RV
 
-STATS = [("customers", 2_400_000), ("subscriptions", 2_600_000), ("invoices", 48_000_000), ("invoice_lines", 190_000_000), ("usage_events", 900_000_000)]
-LOG = [(1, "web", "critical", "SELECT id, email FROM customers WHERE company_name = 'x'"), (2, "billing", "high", "SELECT * FROM customer_billing_summary WHERE id = 1"), (3, "worker", "low", "SELECT seats, status FROM subscriptions WHERE customer_id = 4"), (4, "billing", "medium", "SELECT status, amount_cents, customer_id FROM invoices WHERE status = 'open' ORDER BY issued_at")]
+STATS = [("readers", 300_000), ("books", 9_000_000), ("loans", 70_000_000), ("shelves", 400)]
+LOG = [
+    (1, "desk", "critical", "SELECT id, email FROM readers WHERE card_no = 'x'"), (2, "reports", "high", "SELECT * FROM overdue WHERE id = 1"), (3, "kiosk", "low", "SELECT due_on, state FROM loans WHERE reader_id = 4"),
+    (4, "reports", "medium", "SELECT state, fee_cents, reader_id FROM loans l WHERE l.state = 'open' ORDER BY lent_at"), (5, "kiosk", "high", "SELECT title FROM books WHERE shelf_id IN (1, 2)"),
+]
+INDEXES = [("loans_reader", "loans", ["reader_id"]), ("books_author", "books", ["author"]), ("shelves_room", "shelves", ["room"]), ("books_shelf", "books", ["shelf_id"])]
+DESTROY = "DESTRUCTIVE_NO_EXPAND_CONTRACT"
 CASES = [
     # text, rollback, codes expected with severities, verdict
-    ("ALTER TABLE customers RENAME COLUMN company_name TO org_name; CREATE OR REPLACE VIEW customer_billing_summary AS SELECT * FROM customers;", "", {"DESTRUCTIVE_NO_EXPAND_CONTRACT": "high", "MISSING_ROLLBACK": "medium"}, "NEEDS_COVERAGE_SIGNOFF"),
-    ("CREATE INDEX invoices_status ON invoices (status)", "undo", {"INDEX_LOCK_NO_CONCURRENT": "blocker"}, "BLOCK"),
-    ("ALTER TABLE subscriptions ADD COLUMN region text NOT NULL", "undo", {"NOT_NULL_NO_DEFAULT": "blocker"}, "BLOCK"),
-    ("CREATE UNIQUE INDEX CONCURRENTLY s ON invoices (status)", "undo", {}, "SAFE"),
-    ("ALTER TABLE subscriptions DROP CONSTRAINT seats_positive", "undo", {"INTEGRITY_CONSTRAINT_REMOVED": "high"}, "SAFE_WITH_PLAN"),
-    ("ALTER TABLE customers ALTER COLUMN email TYPE varchar(2)", "undo", {"TABLE_REWRITE_LOCK": "high"}, "SAFE_WITH_PLAN"),
-    ("UPDATE invoices SET status = 'x' WHERE status IS NULL; ALTER TABLE invoices ALTER COLUMN status SET NOT NULL", "undo", {"UNBATCHED_BACKFILL": "high", "NOT_NULL_NO_DEFAULT": "high"}, "NEEDS_COVERAGE_SIGNOFF"),
-    ("ALTER TABLE invoices ADD CONSTRAINT f FOREIGN KEY (customer_id) REFERENCES customers (id)", "undo", {"CONSTRAINT_VALIDATION_LOCK": "high"}, "SAFE_WITH_PLAN"),
-    ("BEGIN; CREATE INDEX CONCURRENTLY i ON invoices (status); COMMIT", "undo", {"CONCURRENT_DDL_IN_TRANSACTION": "blocker"}, "BLOCK"),
-    ("DO $$ BEGIN DROP TABLE customers; END $$;", "undo", {"PROCEDURAL_DDL_UNREVIEWED": "blocker"}, "BLOCK"),
-    ("ALTER TABLE customers ALTER COLUMN email SET NOT NULL; SELECT 'never closed", "undo", {"MIGRATION_TEXT_UNPARSED": "blocker"}, "BLOCK"),
-    ("-- a note; with a semicolon\nCREATE TABLE audit_log (id bigint, note text DEFAULT 'a;b')", "undo", {}, "NEEDS_COVERAGE_SIGNOFF"),
-    ("ALTER TABLE subscriptions DROP COLUMN seats, ADD COLUMN seat_count int DEFAULT 0", "undo", {"DESTRUCTIVE_NO_EXPAND_CONTRACT": "high"}, "NEEDS_COVERAGE_SIGNOFF"),
+    ("ALTER TABLE readers RENAME COLUMN card_no TO card; CREATE OR REPLACE VIEW overdue AS SELECT * FROM readers;", "", {DESTROY: "high", "MISSING_ROLLBACK": "medium"}, "SAFE_WITH_PLAN"),
+    ("CREATE INDEX loans_state ON loans (state)", "undo", {"INDEX_LOCK_NO_CONCURRENT": "blocker"}, "BLOCK"),
+    ("ALTER TABLE readers ADD COLUMN region text NOT NULL", "undo", {"NOT_NULL_NO_DEFAULT": "blocker"}, "BLOCK"),
+    ("CREATE UNIQUE INDEX CONCURRENTLY s ON loans (state)", "undo", {}, "SAFE"),
+    ("ALTER TABLE readers DROP CONSTRAINT fee_positive", "undo", {"INTEGRITY_CONSTRAINT_REMOVED": "high"}, "SAFE_WITH_PLAN"),
+    ("ALTER TABLE readers ALTER COLUMN email TYPE varchar(2)", "undo", {"TABLE_REWRITE_LOCK": "high"}, "SAFE_WITH_PLAN"),
+    ("UPDATE loans SET state = 'x' WHERE state IS NULL; ALTER TABLE loans ALTER COLUMN state SET NOT NULL", "undo", {"UNBATCHED_BACKFILL": "high", "NOT_NULL_NO_DEFAULT": "high"}, "NEEDS_COVERAGE_SIGNOFF"),
+    ("ALTER TABLE loans ADD CONSTRAINT f FOREIGN KEY (reader_id) REFERENCES readers (id)", "undo", {"CONSTRAINT_VALIDATION_LOCK": "high"}, "SAFE_WITH_PLAN"),
+    ("BEGIN; CREATE INDEX CONCURRENTLY i ON loans (state); COMMIT", "undo", {"CONCURRENT_DDL_IN_TRANSACTION": "blocker"}, "BLOCK"),
+    ("DO $$ BEGIN DROP TABLE readers; END $$;", "undo", {"PROCEDURAL_DDL_UNREVIEWED": "blocker"}, "BLOCK"),
+    ("ALTER TABLE readers ALTER COLUMN email SET NOT NULL; SELECT 'never closed", "", {"MIGRATION_TEXT_UNPARSED": "blocker", "MISSING_ROLLBACK": "medium"}, "BLOCK"),
+    ("-- a note; with a semicolon\nCREATE TABLE audit_log (id bigint, note text DEFAULT 'a;b')", "undo", {}, "SAFE"),
+    ("ALTER TABLE loans DROP COLUMN fee_cents, ADD COLUMN fee int DEFAULT 0", "undo", {DESTROY: "high"}, "SAFE_WITH_PLAN"),
+    # comments neither hide a statement nor make one
+    ("-- tidy up\nDROP TABLE readers;", "undo", {DESTROY: "high"}, "SAFE_WITH_PLAN"),
+    ("/* x */ ALTER TABLE loans -- why\n DROP /* , */ COLUMN state;", "undo", {DESTROY: "high"}, "SAFE_WITH_PLAN"),
+    ("/* ALTER TABLE loans /* nested; */ DROP COLUMN state; */ -- DROP TABLE readers", "undo", {}, "SAFE"),
+    ("DO $$ BEGIN -- DROP TABLE readers;\n RAISE NOTICE 'DROP TABLE readers'; END $$", "undo", {}, "NEEDS_COVERAGE_SIGNOFF"),
+    ("ALTER TABLE loans ADD CONSTRAINT c CHECK (coalesce(fee_cents, abs(fee_cents)) > 0), DROP COLUMN state", "undo", {"CONSTRAINT_VALIDATION_LOCK": "high", DESTROY: "high"}, "SAFE_WITH_PLAN"),
+    # dropped indexes: looked up by, looked up by and replaced, by nobody, unknown, small table
+    ("DROP INDEX loans_reader", "undo", {"ACCESS_PATH_REMOVED": "high"}, "SAFE_WITH_PLAN"),
+    ("CREATE INDEX CONCURRENTLY n ON loans (reader_id, state); DROP INDEX CONCURRENTLY loans_reader", "undo", {}, "SAFE"),
+    ("-- unused\nDROP INDEX IF EXISTS books_author", "undo", {}, "NEEDS_COVERAGE_SIGNOFF"),
+    ("DROP INDEX nobody_knows", "undo", {"ACCESS_PATH_REMOVED": "medium"}, "NEEDS_COVERAGE_SIGNOFF"),
+    ("DROP INDEX books_shelf", "undo", {"ACCESS_PATH_REMOVED": "blocker"}, "BLOCK"),
 ]
 
 
 @pytest.fixture(scope="module")
 def world(spark):
     scripts = spark.createDataFrame([(i, t, r) for i, (t, r, *_) in enumerate(CASES)], "script_id long, text string, rollback_sql string")
-    return scripts, spark.createDataFrame(STATS, "tbl string, rows long"), spark.createDataFrame(LOG, "query_id long, service string, criticality string, sql string")
+    make = spark.createDataFrame
+    return scripts, make(STATS, "tbl string, rows long"), make(LOG, "query_id long, service string, criticality string, sql string"), make(INDEXES, RV.INDEX)
+
 
+@pytest.fixture(scope="module")
+def read(world):
+    return RV.read_scripts(world[0])
 
-def test_findings(world):
-    scripts, stats, _ = world
-    found = RV.review_findings(scripts, *RV.read_scripts(scripts), stats)
+
+def by_script(found):
     got = {}
     for r in FI.highest_per_code(found).collect():
         got.setdefault(r["script_id"], {})[r["code"]] = r["severity"]
+    return got
+
+
+def test_findings(world, read):
+    scripts, stats, log, indexes = world
+    got = by_script(RV.review_findings(scripts, *read, stats, log, indexes))
     assert {i: got.get(i, {}) for i in range(len(CASES))} == {i: c[2] for i, c in enumerate(CASES)}
 
 
-def test_verdicts(world):
-    got = {r["script_id"]: r for r in RV.review(*world).collect()}
+def test_verdicts(world, read):
+    got = {r["script_id"]: r for r in RV.review(*world, read=read).collect()}
     assert {i: r["verdict"] for i, r in got.items()} == {i: c[3] for i, c in enumerate(CASES)}
     assert got[3]["headline"] == "No blocking hazards found. 0 blocker, 0 high."
 
 
-def test_incident_raises_a_lock(world, spark):
-    inc = spark.createDataFrame([("i1", "CONSTRAINT_VALIDATION_LOCK", ["invoices"], [], 1)], "id string, hazard_code string, tables array<string>, services array<string>, severity_bump int")
-    got = {r["script_id"]: r["verdict"] for r in RV.review(*world, incidents=inc).collect()}
+def test_no_dropped_index_is_plainly_safe(world, read):
+    """Without a catalogue nothing can be looked up: every drop is then a gap."""
+    scripts, stats, log, _ = world
+    got = {r["script_id"]: r["verdict"] for r in RV.review(scripts, stats, log, read=read).collect()}
+    assert all(got[i] != "SAFE" for i, c in enumerate(CASES) if "DROP INDEX" in c[0])
+
+
+def test_incident_raises_a_lock(world, read, spark):
+    inc = spark.createDataFrame([("i1", "CONSTRAINT_VALIDATION_LOCK", ["loans"], [], 1)], "id string, hazard_code string, tables array<string>, services array<string>, severity_bump int")
+    got = {r["script_id"]: r["verdict"] for r in RV.review(*world, incidents=inc, read=read).collect()}
     assert got[7] == "BLOCK" and got[3] == "SAFE"
 
 
-def test_adding_a_hazardous_statement_never_makes_a_script_safer(world, spark):
+def test_unclaimed_statements(world, read):
+    """Where another reader's events leave statements out: a destructive one is a finding, another a gap, and the script's other findings go."""
+    scripts, stats, log, indexes = world
+    statements, ops = read
+    less = ops.where("not (script_id = 13) and not (script_id = 11) and not (script_id = 0 and idx = 1)")
+    got = by_script(RV.review_findings(scripts, statements, less, stats, log, indexes))
+    assert got[13] == {"MIGRATION_TEXT_UNPARSED": "blocker"} and 11 not in got and got[0] == CASES[0][2]
+    gaps = {(r["script_id"], r["kind"]) for r in RV.review_gaps(statements, less, log, indexes).collect()}
+    assert {(11, "unattributed_statement"), (0, "unattributed_statement")} <= gaps and (13, "unattributed_statement") not in gaps
+
+
+def test_adding_a_hazardous_statement_never_makes_a_script_safer(world, read):
     order = ["SAFE", "SAFE_WITH_PLAN", "NEEDS_COVERAGE_SIGNOFF", "BLOCK"]
-    scripts, stats, log = world
-    whole = scripts.where("script_id <> 10")  # its text is left open
-    before = {r["script_id"]: r["verdict"] for r in RV.review(whole, stats, log).collect()}
-    after = RV.review(whole.withColumn("text", F.concat("text", F.lit("; DROP TABLE customers"))), stats, log).collect()
+    scripts, *rest = world
+    before = {r["script_id"]: r["verdict"] for r in RV.review(scripts, *rest, read=read).collect()}
+    whole = scripts.where("script_id not in (10, 15)")  # their text is left open, or ends in a comment
+    after = RV.review(whole.withColumn("text", F.concat("text", F.lit("; -- more\nDROP TABLE readers"))), *rest).collect()
     assert all(order.index(r["verdict"]) >= order.index(before[r["script_id"]]) for r in after)
 
 
 def test_change_events(spark):
-    rows = [(1, 0, 'ALTER TABLE IF EXISTS "Inv" ADD COLUMN a numeric(8,2) DEFAULT 0, DROP COLUMN b,\n RENAME COLUMN c TO d'), (2, 0, "CREATE UNIQUE INDEX CONCURRENTLY IF NOT EXISTS x ON t (A, b)"), (3, 0, "REINDEX TABLE t"), (4, 0, "drop view if exists v")]
-    got = [tuple(r) for r in change_events(spark.createDataFrame(rows, "script_id long, idx int, sql string")).select("script_id", "kind", "tbl", "col", "new_name", "index_name", "columns").collect()]
+    rows = [(1, 'ALTER TABLE IF EXISTS "Inv" ADD COLUMN a numeric(8,2) DEFAULT 0, DROP COLUMN b,\n RENAME COLUMN c TO d'), (2, "CREATE UNIQUE INDEX CONCURRENTLY IF NOT EXISTS x ON t (A, b)"), (3, "REINDEX TABLE t"), (4, "drop view if exists v"), (5, "ALTER TABLE t ADD CONSTRAINT c CHECK (f(a, g(b, 'x,y')) > 0), ALTER COLUMN q TYPE numeric(6, 1)")]
+    statements = split_scripts(spark.createDataFrame(rows, "script_id long, text string"))
+    got = [tuple(r) for r in change_events(statements).select("script_id", "kind", "tbl", "col", "new_name", "index_name", "columns", "new_type").collect()]
     assert got == [
-        (1, "add_column", "inv", "a", None, None, []), (1, "drop_column", "inv", "b", None, None, []), (1, "rename_column", "inv", "c", "d", None, []),
-        (2, "create_index", "t", None, None, "x", ["a", "b"]), (3, "maintenance_rewrite", "t", None, None, None, []), (4, "drop_view", None, None, "v", None, []),
+        (1, "add_column", "inv", "a", None, None, [], None), (1, "drop_column", "inv", "b", None, None, [], None), (1, "rename_column", "inv", "c", "d", None, [], None),
+        (2, "create_index", "t", None, None, "x", ["a", "b"], None), (3, "maintenance_rewrite", "t", None, None, None, [], None), (4, "drop_view", None, None, "v", None, [], None),
+        (5, "add_constraint", "t", None, None, "c", [], None), (5, "alter_type", "t", "q", None, None, [], "numeric(6, 1)"),
     ]
 
 
-def test_rules_alone_and_fused_agree(world):
-    scripts, stats, _ = world
-    _, ops = RV.read_scripts(scripts)
+def test_rules_alone_and_fused_agree(world, read):
+    stats, ops = world[1], read[1]
     alone = [R.destructive(ops), R.index_lock(ops, stats), R.constraint_lock(ops, stats), R.rewrite_lock(ops, stats), R.unbatched(ops, stats), R.not_null(ops), R.concurrent_in_transaction(ops)]
     for one in alone[1:]:
         alone[0] = alone[0].unionByName(one)
     assert sorted(map(str, alone[0].collect())) == sorted(map(str, R.apply_rules(ops, stats).collect()))
+    assert sorted(map(str, R.unmodelled(ops).unionByName(R.unruled(ops)).collect())) == sorted(map(str, R.statement_gaps(ops).collect()))
+
+
+def test_index_columns_are_touched(read, spark):
+    log = spark.createDataFrame([(1, "s", "low", "SELECT 1 FROM t WHERE state = 2")], "query_id long, service string, criticality string, sql string")
+    assert 1 in {r["script_id"] for r in C.dependents(log, C.touched_objects(read[1])).collect()}
+
+
+# ---- evidence of tables and log ------------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def tables(spark):
+    loans = spark.createDataFrame([(i, i % 7, None if i == 3 else "open", float(i * 100)) for i in range(1, 60)], "id long, reader_id long, state string, fee_cents double")
+    readers = spark.createDataFrame([(i, f"c{i % 40}", f"reader{i}@x.org", i) for i in range(50)], "id long, card_no string, email string, books_out int")
+    return {"loans": loans, "readers": readers}
+
+
+def measured(spark, tables, texts, log, views=None, samples=None):
+    ops = change_events(split_scripts(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string")))
+    return EV.measure(ops, log, tables, views, samples)
+
+
+def test_scans_of_tables(spark, world, tables):
+    texts = [
+        "ALTER TABLE loans ALTER COLUMN state SET NOT NULL", "CREATE UNIQUE INDEX u ON readers (card_no)", "ALTER TABLE loans ADD CONSTRAINT c CHECK (fee_cents < 5000)", "ALTER TABLE loans ADD CONSTRAINT c CHECK (fee_cents ~ 'a')",
+        "ALTER TABLE readers ALTER COLUMN email TYPE varchar(5)", "ALTER TABLE readers ALTER COLUMN books_out TYPE bigint", "ALTER TABLE readers ALTER COLUMN id TYPE integer", "ALTER TABLE nowhere ALTER COLUMN a SET NOT NULL", "ALTER TABLE loans ADD CONSTRAINT c CHECK (fee_cents < 5000) NOT VALID",
+    ]
+    e = measured(spark, tables, texts, world[2])
+    assert {(r["script_id"], r["kind"], r["violations"]) for r in e.data.collect()} == {(0, "not_null", 1), (1, "unique", 10), (2, "check", 10)}
+    assert {(r["script_id"], r["object"], r["severity"], r["offending_rows"]) for r in e.narrowed.collect()} == {(4, "readers.email", "blocker", 50), (6, "readers.id", "medium", 0)}
+    assert {r["script_id"] for r in e.bounded.collect()} == {3, 7}  # another dialect's predicate; no such table
+    part = measured(spark, tables, texts[:1], world[2], samples={"loans": "id > 10"})
+    assert [r["object"] for r in part.bounded.collect()] == ["loans.state"] and part.data.first()["violations"] == 0
+
+
+def test_replay_of_changes(spark, tables):
+    log = spark.createDataFrame([(1, "desk", "low", "SELECT * FROM readers WHERE id = 1"), (2, "kiosk", "low", "SELECT * FROM readers WHERE id = 22"), (3, "web", "low", "SELECT l.state FROM loans l, readers r WHERE l.reader_id = r.id"), (4, "web", "low", "SELECT c FROM cards")], "query_id long, service string, criticality string, sql string")
+    views = {"cards": "SELECT card_no AS c FROM readers", "open_cards": "SELECT c FROM cards", "plain": "SELECT id FROM loans"}
+    texts = ["ALTER TABLE readers DROP COLUMN card_no", "ALTER TABLE loans RENAME COLUMN state TO status", "ALTER TABLE readers RENAME TO members; CREATE VIEW readers AS SELECT * FROM members", "DROP TABLE loans", "DROP VIEW open_cards", "ALTER TABLE loans ADD COLUMN x int"]
+    e = measured(spark, tables, texts, log, views)
+    assert {(r["script_id"], r["query_id"], r["is_view"]) for r in e.broken.collect()} == {(0, "4", False), (0, "open_cards", True), (1, "3", False), (3, "3", False), (3, "plain", True), (4, "open_cards", True)}
+    assert [(r["script_id"], r["query_id"], r["services"], r["removed"]) for r in e.drift.collect()] == [(0, "1", ["desk", "kiosk"], ["card_no"])]
+    owners = spark.createDataFrame([(i, "web") for i in range(6)], "script_id long, owner string")
+    found = FI.merge_findings(R.suppress_unparsed(e.findings(owners)[-1]))
+    assert [(r["script_id"], r["services"]) for r in found.collect()] == [(0, ["desk", "kiosk"])]
+
+
+def test_replay_leaves_texts_alone(spark, tables):
+    reads = [("alias", "SELECT x.state FROM loans x -- end"), ("comma", "SELECT count(*) FROM loans, readers r WHERE reader_id = r.id;"), ("with", "WITH l AS (SELECT * FROM loans) SELECT '{x} FROM readers' AS t FROM l"), ("view", "SELECT n FROM named"), ("write", "DROP TABLE loans"), ("same", "SELECT loans.id, readers.id FROM loans JOIN readers ON loans.id = readers.id"), ("gone", "SELECT 1 FROM lost")]
+    got = {r["query_id"]: (r["ok"], r["error"], r["rows"]) for r in RE.replay(spark, reads, tables, views={"named": "SELECT email AS n FROM readers", "lost": "SELECT nope FROM loans"}).collect()}
+    assert got == {
+        "alias": (True, None, 59), "comma": (True, None, 1), "with": (True, None, 59), "view": (True, None, 50), "write": (False, "PARSE_SYNTAX_ERROR", None), "same": (True, None, 49), "gone": (False, "TABLE_OR_VIEW_NOT_FOUND", None),
+        "__view__named": (True, None, 50), "__view__lost": (False, "UNRESOLVED_COLUMN", None),
+    }

@@ -1,12 +1,14 @@
 """A census of statements in scripts: where each begins and ends, what is left open, what procedural bodies hold.
 
 One script's text is scanned in one task, by one regular expression of lexical items (comments may nest, quotes may be
-dollar tags); scripts are dealt over partitions by Spark.
+dollar tags); scripts are dealt over partitions by Spark. What is judged later is `code`, the statement with comments
+blanked, so that a comment neither hides a statement nor makes one.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,68 +17,115 @@ from pyspark.sql import functions as F
 from tidegate.functions import exprs as X
 from tidegate.session import ship
 
-SCHEMA = "script_id long, idx int, sql string, start int, stop int, code_chars int, unterminated boolean, bodies array<string>, script_chars int, script_seen int"
-ITEM = re.compile(r"(?P<line>--[^\n]*)|(?P<block>/\*)|(?P<str>'(?:[^']|'')*')|(?P<ident>\"[^\"]*\")|(?P<tag>\$(?:[A-Za-z_]\w*)?\$)|(?P<end>;)|(?P<open>['\"])|(?P<gap>\s+)|(?P<text>[^;'\"$/\-\s]+|.)", re.S)
+SCHEMA = "script_id long, idx int, sql string, code string, clauses array<string>, start int, stop int, code_chars int, unterminated boolean, bodies array<string>, script_chars int, script_seen int"
+ARROW = pa.schema([("script_id", pa.int64()), ("idx", pa.int32()), ("sql", pa.string()), ("code", pa.string()), ("clauses", pa.list_(pa.string())), ("start", pa.int32()), ("stop", pa.int32()), ("code_chars", pa.int32()), ("unterminated", pa.bool_()), ("bodies", pa.list_(pa.string())), ("script_chars", pa.int32()), ("script_seen", pa.int32())])
+ITEM = re.compile(r"(?P<line>--[^\n]*)|(?P<block>/\*)|(?P<str>'(?:[^']|'')*')|(?P<ident>\"[^\"]*\")|(?P<tag>\$(?:[A-Za-z_]\w*)?\$)|(?P<end>;)|(?P<open>['\"])|(?P<deep>[(\[])|(?P<shallow>[)\]])|(?P<comma>,)|(?P<gap>\s+)|(?P<text>[^;'\"$/\-\s()\[\],]+|.)", re.S)
+NESTED = re.compile(r"/\*|\*/")
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int, bool, list[str]]], int]:
-    """Statements as (start, stop, characters that aren't white space or comment, left open, dollar-quoted bodies), and such characters in comments."""
-    out, bodies, i, start, code, in_comment, left_open = [], [], 0, 0, 0, 0, False
-    solid = lambda s: len(re.sub(r"\s", "", s))
+@dataclass
+class Statement:
+    start: int
+    stop: int = 0
+    #: characters that are neither white space nor comment
+    solid: int = 0
+    left_open: bool = False
+    #: dollar-quoted texts
+    bodies: list[str] = field(default_factory=list)
+    #: the text without comments, cut at commas outside brackets and quotes
+    clauses: list[str] = field(default_factory=list)
+
+
+def _solid(s: str) -> int:
+    return len(re.sub(r"\s", "", s))
+
+
+def items(text: str):
+    """(kind, start, end, left open) of each lexical item of ``text``."""
+    i = 0
     while i < len(text):
         m = ITEM.match(text, i)
-        kind, end = m.lastgroup, m.end()
+        kind, end, left_open = m.lastgroup, m.end(), False
         if kind == "block":
             depth = 1
-            while depth and end < len(text):
-                n = re.compile(r"/\*|\*/").search(text, end)
-                end, depth = (n.end(), depth + (1 if n[0] == "/*" else -1)) if n else (len(text), depth)
-                if not n:
-                    break
-            left_open |= depth > 0
+            while depth and (n := NESTED.search(text, end)):
+                end, depth = n.end(), depth + (1 if n[0] == "/*" else -1)
+            left_open, end = depth > 0, len(text) if depth else end
         elif kind == "tag":
             close = text.find(m[0], end)
-            bodies.append(text[end : close if close >= 0 else len(text)])
-            left_open |= close < 0
-            end = close + len(m[0]) if close >= 0 else len(text)
+            left_open, end = close < 0, close + len(m[0]) if close >= 0 else len(text)
         elif kind == "open":
             left_open, end = True, len(text)
-        if kind in ("line", "block"):
-            in_comment += solid(text[i:end])
-        elif kind != "end":
-            code += solid(text[i:end])
+        yield kind, i, end, left_open
         i = end
-        if kind == "end" or i >= len(text):
-            if code or bodies or left_open:
-                out.append((start, i, code, left_open, bodies))
-            bodies, code, start, left_open = [], 0, i, False
+
+
+def scan(text: str) -> tuple[list[Statement], int]:
+    """Statements with code, and the number of solid characters in comments."""
+    out, now, part, depth, in_comment = [], Statement(0), [], 0, 0
+
+    def close(at: int):
+        nonlocal now, part, depth
+        if now.solid or now.bodies or now.left_open:
+            now.stop = at
+            now.clauses.append("".join(part))
+            out.append(now)
+        now, part, depth = Statement(at), [], 0
+
+    for kind, i, end, left_open in items(text):
+        now.left_open |= left_open
+        if kind in ("line", "block"):
+            in_comment += _solid(text[i:end])
+            part.append(" ")
+        elif kind == "end":
+            close(end)
+        else:
+            now.solid += _solid(text[i:end])
+            depth = max(0, depth + (kind == "deep") - (kind == "shallow"))
+            if kind == "comma" and not depth:
+                now.clauses.append("".join(part))
+                part = []
+            else:
+                part.append(text[i:end])
+            if kind == "tag":
+                tag = text[i : text.index("$", i + 1) + 1]
+                now.bodies.append(text[i + len(tag) : end if left_open else end - len(tag)])
+    close(len(text))
     return out, in_comment
 
 
+def masked(text: str) -> str:
+    """``text`` with comments, string literals and quoted names blanked: what a keyword may be looked for in."""
+    return "".join(" " if kind in ("line", "block", "str", "ident", "open") else text[i:end] for kind, i, end, _ in items(text))
+
+
 def split_scripts(scripts: DataFrame) -> DataFrame:
     """One row for each statement of ``scripts`` (script_id, text), with spans, flags and bodies.
 
-    Null and empty texts have no statements. script_seen counts the script's characters that a statement or comment
-    accounts for (without semicolons and white space), script_chars all of them.
+    sql: the statement as written; code: without comments; clauses: code cut at commas outside brackets and quotes;
+    bodies: dollar-quoted texts with comments and literals blanked. Null and empty texts have no statements.
+    script_seen counts the script's characters that a statement or comment accounts for (without semicolons and white
+    space), script_chars all of them.
     """
     ship(scripts.sparkSession)
 
     def census(batches):
         for t in batches:
-            rows: dict[str, list] = {k: [] for k in ("script_id", "idx", "sql", "start", "stop", "code_chars", "unterminated", "bodies", "script_chars", "script_seen")}
+            rows: dict[str, list] = {k: [] for k in ARROW.names}
             for ident, text in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
-                found, comment = scan(text or "")
-                seen = sum(c for _, _, c, _, _ in found) + comment
-                chars = len(re.sub(r"\s", "", text or ""))
-                for k, (a, b, code, left_open, bodies) in enumerate(found):
-                    for name, v in zip(rows, (ident, k, text[a:b].rstrip(";").strip(), a, b, code, left_open, bodies, chars, seen), strict=True):
+                text = text or ""
+                found, comment = scan(text)
+                seen = sum(s.solid for s in found) + comment
+                for k, s in enumerate(found):
+                    code = ",".join(s.clauses).strip()
+                    for name, v in zip(rows, (ident, k, text[s.start : s.stop].rstrip(";").strip(), code, [c.strip() for c in s.clauses], s.start, s.stop, s.solid, s.left_open, [masked(b) for b in s.bodies], _solid(text), seen), strict=True):
                         rows[name].append(v)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("script_id", pa.int64()), ("idx", pa.int32()), ("sql", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("code_chars", pa.int32()), ("unterminated", pa.bool_()), ("bodies", pa.list_(pa.string())), ("script_chars", pa.int32()), ("script_seen", pa.int32())]))
+            yield pa.RecordBatch.from_pydict(rows, ARROW)
 
     found = scripts.select(F.col("script_id").cast("long"), "text").mapInArrow(census, SCHEMA)
-    ddl = lambda f: F.exists("bodies", lambda b: F.exists(F.split(b, ";"), f))
-    kw = r"(?is)\b(create|alter|drop|truncate)\s+(table|view|index|schema|column|unique)?"
-    return found.withColumns({"body_ddl": ddl(lambda s: s.rlike(kw)), "body_destructive": ddl(X.is_destructive)})
+    runs = X.is_procedural(F.col("code"))
+    inside = lambda f: runs & F.exists("bodies", lambda b: F.exists(F.split(b, ";"), f))
+    return found.withColumns({"procedural": runs, "body_ddl": inside(X.changes_inside), "body_destructive": inside(lambda s: X.changes_inside(s) & X.is_destructive(s))})
 
 
 def splitter_loss(scripts: DataFrame, census: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ a log; Spark broadcasts it when its measured size allows, and sorts and merges o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
+from tidegate.functions import vocab as V
 
 
 def token_index(log: DataFrame) -> DataFrame:
@@ -25,14 +26,20 @@ def distinct_changes(ops: DataFrame) -> DataFrame:
     return ops.groupBy("kind", "tbl", "col", "new_name").agg(F.min("script_id").alias("script_id"))
 
 
+def named_objects(ops: DataFrame) -> Column:
+    """Tables, columns and new names that a change event names, and the columns of an index where ``ops`` has them."""
+    named = F.array_compact(F.array(F.lower("tbl"), F.lower("col"), F.lower("new_name")))
+    return F.concat(named, F.coalesce(F.transform("columns", F.lower), F.array().cast("array<string>"))) if "columns" in ops.columns else named
+
+
 def touched_objects(ops: DataFrame) -> DataFrame:
-    """(script_id, token), distinct: tables, columns and new names that change events name."""
-    return ops.select("script_id", F.explode(F.array_compact(F.array(F.lower("tbl"), F.lower("col"), F.lower("new_name")))).alias("token")).distinct()
+    """(script_id, token), distinct: everything that change events name."""
+    return ops.select("script_id", F.explode(named_objects(ops)).alias("token")).distinct()
 
 
 def change_members(ops: DataFrame) -> DataFrame:
     """(script_id, change), distinct: the changes of every script, each as the sorted distinct names that it touches."""
-    names = F.array_sort(F.array_distinct(F.array_compact(F.array(F.lower("tbl"), F.lower("col"), F.lower("new_name")))))
+    names = F.array_sort(F.array_distinct(named_objects(ops)))
     return ops.select("script_id", names.alias("change")).where(F.size("change") > 0).distinct()
 
 
@@ -58,9 +65,14 @@ def dependent_views(views: DataFrame, touched: DataFrame) -> DataFrame:
 
 
 def access_path_users(log: DataFrame, indexes: DataFrame) -> DataFrame:
-    """(name, query_id, service, criticality, used, excerpt): statements that name an index's table and look up by its columns."""
-    keys = log.select("query_id", "service", "criticality", "sql", X.filter_columns(F.col("sql")).alias("filters"), X.identifiers(F.col("sql")).alias("tokens"))
-    probe = keys.select("*", F.explode("tokens").alias("tbl")).drop("tokens")
+    """(name, query_id, service, criticality, used, excerpt): statements that name an index's table and look up by its columns.
+
+    A statement's words are first cut to the tables that have an index (one row, as large as the catalogue), so a row is
+    made for each such table that it names and not for each word, and only these are read for their clauses.
+    """
+    tables = indexes.agg(F.collect_set("tbl").alias("_tables"))
+    probe = log.select("query_id", "service", "criticality", "sql").join(F.broadcast(tables)).withColumn("tbl", F.explode(F.array_intersect(X.identifiers(F.col("sql")), "_tables"))).drop("_tables")
+    probe = probe.withColumn("filters", X.filter_columns(F.col("sql")))
     met = probe.join(indexes, "tbl").withColumn("used", F.array_sort(F.array_intersect("filters", "columns"))).where(F.size("used") > 0)
     return met.select("name", "query_id", "service", "criticality", "used", X.clause_excerpt(F.col("sql"), F.col("used")).alias("excerpt"))
 
@@ -74,10 +86,20 @@ def uncovered_columns(touched: DataFrame, log: DataFrame) -> DataFrame:
     return touched.join(token_index(log).select("token").distinct(), "token", "left_anti").select("script_id", "token")
 
 
+def uncovered_objects(ops: DataFrame, log: DataFrame) -> DataFrame:
+    """(script_id, idx, tbl, col): existing columns that a change touches and no statement names."""
+    touched = ops.where(F.col("kind").isin(*V.TOUCHING) & F.col("col").isNotNull()).select("script_id", "idx", "tbl", "col", F.lower("col").alias("token"))
+    return touched.join(token_index(log).select("token").distinct(), "token", "left_anti").select("script_id", "idx", "tbl", "col")
+
+
 def replaced_indexes(drops: DataFrame, creates: DataFrame) -> DataFrame:
-    """(name, by): a dropped index whose columns lead a created one's on the same table. Both (name, tbl, columns)."""
-    c = creates.select("tbl", F.col("name").alias("by"), F.col("columns").alias("have"))
-    return drops.join(c, "tbl").where(F.slice("have", F.lit(1), F.size("columns")) == F.col("columns")).select("name", "by")
+    """(name, by): a dropped index whose columns lead a created one's on the same table.
+
+    Both (name, tbl, columns); where both have script_id, within the script, which then comes first in the result.
+    """
+    within = ["script_id"] if "script_id" in drops.columns and "script_id" in creates.columns else []
+    c = creates.select(*within, "tbl", F.col("name").alias("by"), F.col("columns").alias("have"))
+    return drops.join(c, [*within, "tbl"]).where(F.slice("have", F.lit(1), F.size("columns")) == F.col("columns")).select(*within, "name", "by")
 
 
 def unaccounted_statements(scanned: DataFrame, ops: DataFrame) -> DataFrame:

@@ -100,8 +100,11 @@ def claims_audit(metrics: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def arm_parity(scores: DataFrame, base: str, other: str) -> DataFrame:
-    """(case_id, moved): cases where verdict, tp, fp or fn of two arms differ, with the names of what moved."""
-    cols = ["verdict", "tp", "fp", "fn"]
+    """(case_id, moved): cases where verdict, tp, fp, fn or declared gaps of two arms differ, with the names of what moved.
+
+    gaps: a column of ``scores`` with the number of declared gaps; it is compared where it is there.
+    """
+    cols = ["verdict", "tp", "fp", "fn", *(c for c in scores.columns if c == "gaps")]
     a = scores.where(F.col("arm") == base).select("case_id", *cols)
     b = scores.where(F.col("arm") == other).select("case_id", *(F.col(c).alias(f"o_{c}") for c in cols))
     moved = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"o_{c}")), c) for c in cols)))

@@ -7,40 +7,47 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
 
-_NAME = r'"?([\w$.]+)"?'
-_MAYBE = r"(?:if\s+(?:not\s+)?exists\s+)?"
-ALTER = rf"(?is)^(alter\s+table\s+{_MAYBE}(?:only\s+)?{_NAME})\s+(.*)$"
-#: commas outside parentheses divide the actions of an ALTER TABLE
-COMMA = r",(?![^()]*\))"
-# where the table of a statement stands, tried in this order
-_TABLE = [
-    rf"(?i)^alter\s+table\s+{_MAYBE}(?:only\s+)?{_NAME}", rf"(?i)^create\s+(?:unique\s+)?index\b.*?\bon\s+{_NAME}", rf"(?i)^(?:drop|create)\s+table\s+{_MAYBE}{_NAME}", rf"(?i)^update\s+{_NAME}", rf"(?i)^delete\s+from\s+{_NAME}", rf"(?i)^insert\s+into\s+{_NAME}",
-    rf"(?i)^(?:cluster|vacuum\s+full|reindex(?:\s+(?:table|index|schema|database))?|refresh\s+materialized\s+view)(?:\s+(?:concurrently|verbose|analyze))*\s+{_NAME}",
-]
+#: words of maintenance commands that are no relation
+_UPKEEP = "cluster vacuum full reindex table index schema database refresh materialized view concurrently verbose analyze ( )".split()
+_NAMELESS = ("drop_index", "create_view", "drop_view", "procedural_block", "transaction_control", "unsupported")
 
 
-def _found(sql: Column, pattern: str) -> Column:
-    got = F.lower(F.regexp_extract(sql, pattern, 1))
-    return F.when(got != "", got)
+def _name(word: Column) -> Column:
+    return F.regexp_replace(word, '"', "")
 
 
 def change_events(statements: DataFrame) -> DataFrame:
-    """(script_id, idx, kind, sql, tbl, col, new_name, index_name, columns) of ``statements`` (script_id, idx, sql).
+    """(script_id, idx, kind, sql, tbl, col, new_name, new_type, index_name, columns) of ``statements`` (script_id, idx, code, clauses).
 
-    What the text doesn't name is null. sql is the statement with white space collapsed, for an ALTER TABLE with the
-    action alone. Kinds are those of ``statement_kind``.
+    What the text doesn't name is null. sql is the code with white space collapsed, for an ALTER TABLE with the action
+    alone: its actions are the clauses, which the census cuts at commas outside brackets and quotes. Kinds are those of
+    ``statement_kind``. columns: of a created index, of an inserted row, of a unique or foreign key.
     """
-    s = statements.select("script_id", "idx", X.norm_sql(F.col("sql")).alias("s"))
-    body = F.regexp_extract("s", ALTER, 3)
-    actions = F.when(body != "", F.transform(F.split(body, COMMA), lambda a: F.concat(F.regexp_extract("s", ALTER, 1), F.lit(" "), F.trim(a)))).otherwise(F.array("s"))
+    s = statements.select("script_id", "idx", X.norm_sql(F.col("code")).alias("code"), F.transform("clauses", X.norm_sql).alias("clauses"))
+    altered = F.array_join(F.slice(X.statement_words(F.col("code")), 1, 2), " ") == "alter table"
+    # the head of an ALTER TABLE ends with the table's name: the third word, those that stand aside not counted
+    head = F.regexp_extract("code", rf"(?i)^(?:(?:{X.ASIDE}|\S+)\s+?){{2}}(?:\s*{X.ASIDE}\s+)*\S+", 0)
+    others = F.transform(F.slice("clauses", F.lit(2), F.greatest(F.lit(0), F.size("clauses") - 1)), lambda c: F.concat(head, F.lit(" "), c))
+    actions = F.when(altered, F.concat(F.slice("clauses", 1, 1), others)).otherwise(F.array("code"))
     one = s.select("script_id", "idx", F.explode(actions).alias("sql")).withColumn("kind", X.statement_kind(F.col("sql")))
-    sql, kind = F.col("sql"), F.col("kind")
-    listed = F.transform(F.split(F.regexp_extract(sql, r"\(([^)]*)\)", 1), ","), X.ident)
+    one = one.withColumns({"_w": X.statement_words(F.col("sql"))}).withColumn("_i", F.filter("_w", lambda x: ~x.isin("unique", "concurrently")))
+    kind, w, i = F.col("kind"), F.col("_w"), F.col("_i")
+    word = lambda c, n: F.get(c, F.lit(n))
+    after = lambda c, x: F.when(F.array_position(c, x) > 0, F.get(c, F.array_position(c, x).cast("int")))
+    table = (
+        F.when(kind == "create_index", word(i, 4)).when(kind == "dml_update", word(w, 1))
+        .when(kind == "maintenance_rewrite", F.get(F.filter(w, lambda x: ~x.isin(*_UPKEEP)), F.lit(0)))
+        .when(~kind.isin(*_NAMELESS), word(w, 2))
+    )
+    listed = F.transform(F.split(F.regexp_extract("sql", r"\(([^)]*)\)", 1), ","), X.ident)
+    on_column = (F.array_join(F.slice(w, 1, 2), " ") == "alter table") & (word(w, 4) == "column")
+    keyed = kind.isin("create_index", "dml_insert") | ((kind == "add_constraint") & F.exists(w, lambda x: x.isin("unique", "foreign", "primary")))
     return one.select(
         "script_id", "idx", "kind", "sql",
-        F.when(~kind.isin("drop_index", "create_view", "drop_view", "procedural_block", "transaction_control", "unsupported"), F.coalesce(*(_found(sql, p) for p in _TABLE))).alias("tbl"),
-        _found(sql, rf"(?i)^alter\b.*?\b(?:add|drop|rename|alter)\s+column\s+{_MAYBE}{_NAME}").alias("col"),
-        F.when(kind.isin("rename_column", "rename_table"), _found(sql, rf"(?i)\bto\s+{_NAME}\s*$")).when(kind.isin("create_view", "drop_view"), _found(sql, rf"(?i)\bview\s+{_MAYBE}{_NAME}")).alias("new_name"),
-        F.when(kind.isin("create_index", "drop_index"), _found(sql, rf"(?i)\bindex\s+(?:concurrently\s+)?{_MAYBE}{_NAME}")).when(kind.isin("add_constraint", "drop_constraint", "validate_constraint"), _found(sql, rf"(?i)\bconstraint\s+{_MAYBE}{_NAME}")).alias("index_name"),
-        F.when(kind == "create_index", listed).otherwise(F.array().cast("array<string>")).alias("columns"),
+        _name(table).alias("tbl"),
+        F.when(on_column, _name(word(w, 5))).alias("col"),
+        _name(F.when(kind.isin("rename_column", "rename_table"), F.element_at(w, -1)).when(kind.isin("create_view", "drop_view"), word(w, 2))).alias("new_name"),
+        F.when(kind == "alter_type", F.trim(F.regexp_extract("sql", r"(?i)\btype\s+(.+?)(?:\s+using\b.*)?$", 1))).alias("new_type"),
+        _name(F.when(kind.isin("create_index", "drop_index"), word(i, 2)).when(kind.isin("add_constraint", "drop_constraint", "validate_constraint"), after(w, "constraint"))).alias("index_name"),
+        F.when(keyed, listed).otherwise(F.array().cast("array<string>")).alias("columns"),
     )

@@ -104,10 +104,17 @@ def highest_per_code(findings: DataFrame) -> DataFrame:
     return findings.groupBy("script_id", "code").agg(X.severity_name(F.max(X.severity_rank(F.col("severity")))).alias("severity"))
 
 
-def verification(broken: DataFrame, drift: DataFrame, data_errors: DataFrame) -> DataFrame:
-    """(script_id, problems, verified, first): problems of three kinds, each (script_id, problem); first: the first three, for a retry."""
+def verification(scripts: DataFrame, broken: DataFrame, drift: DataFrame, data_errors: DataFrame) -> DataFrame:
+    """(script_id, problems, verified, first) for each of ``scripts`` (script_id): a script without problems is verified.
+
+    Problems are of three kinds, each (script_id, problem); first: the first three, for a retry.
+    """
     every = broken.unionByName(drift).unionByName(data_errors)
-    return every.groupBy("script_id").agg(F.count("problem").alias("problems"), F.slice(F.array_sort(F.collect_list("problem")), 1, 3).alias("first")).withColumn("verified", F.col("problems") == 0)
+    order = Window.partitionBy("script_id").orderBy("problem")
+    few = every.withColumn("_n", F.row_number().over(order)).where("_n <= 3").groupBy("script_id").agg(F.array_sort(F.collect_list("problem")).alias("first"))
+    n = every.groupBy("script_id").agg(F.count("problem").alias("problems"))
+    out = scripts.select("script_id").distinct().join(n, "script_id", "left").join(few, "script_id", "left")
+    return out.select("script_id", F.coalesce("problems", F.lit(0)).alias("problems"), F.col("problems").isNull().alias("verified"), F.coalesce("first", F.array().cast("array<string>")).alias("first"))
 
 
 def new_blockers(findings: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.session import materialize
+
 
 def migrate(df: DataFrame, ops: list[dict]) -> DataFrame:
     """The table's rows in its new shape. ops, in order: rename_column (col, new_name), drop_column (col), add_column (col, type, default), alter_type (col, new_type)."""
@@ -45,7 +47,7 @@ def backfill_batches(df: DataFrame, key: str, size: int = 5_000, where: str = "t
     """
     need = df.where(F.expr(where)).select(F.col(key).alias("k"))
     parts = need.repartitionByRange("k").sortWithinPartitions("k").select("k", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    local = parts.withColumn("r", F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    local = materialize(parts.withColumn("r", F.col("m").bitwiseAND(F.lit((1 << 33) - 1))))  # written: both uses see the same partitions
     counts = sorted((r["p"], r["n"]) for r in local.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
     for p, n in counts:

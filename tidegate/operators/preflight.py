@@ -19,6 +19,12 @@ def check_unique(df: DataFrame, keys: list[str], samples: int = 5) -> DataFrame:
     return k.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rejected")).crossJoin(F.broadcast(top))
 
 
+def rejected(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(violations): rows that a unique key over ``keys`` would reject; a key with a null never collides."""
+    n = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
+
+
 def null_counts(cols: list[str]) -> dict[str, Column]:
     return {f"{c}_not_null": F.count_if(F.col(c).isNull()) for c in cols}
 

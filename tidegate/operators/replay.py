@@ -1,45 +1,121 @@
 """Running read queries on a table's old and new shapes, and comparing what they give.
 
-The list of query texts is read to the driver, since each text is then a Spark job of its own; rows never are.
+Query texts are never edited. Whether a text still runs, and with which columns, is asked of a session of its own, in
+which each table is an empty view of its shape and each view is what its text says. Rows are counted in the caller's
+session, with the same names bound by a WITH clause in front of the text.
+
+Texts are read to the driver, so a log is replayed by its distinct shapes (``read_shapes``): their number is that of the
+statements that applications hold, not of those that they send.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 
-from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OUTCOME = "query_id string, ok boolean, error string, columns array<string>, rows long"
+#: of the id under which a view itself is read
+VIEW = "__view__"
+LOG = logging.getLogger("SQLQueryContextLogger")
 
 
-def replay(spark: SparkSession, queries: list[tuple[str, str]], tables: dict[str, DataFrame], count: bool = True) -> DataFrame:
-    """(query_id, ok, error, columns, rows): the outcome of each (id, sql) with ``tables`` as views.
+def _inner(sql: str) -> str:
+    """As a subquery, which only a read can be. Texts may end in a semicolon or a comment."""
+    return f"(\n{sql.rstrip().rstrip(';')}\n)"
 
-    A statement that doesn't analyse gives its error class, at no cost; others are counted by a distributed job.
-    """
-    own = spark.newSession()
+
+def _error(e: PySparkException) -> str:
+    return (e.getCondition() or type(e).__name__).split(".")[0]
+
+
+def shape_session(spark: SparkSession, tables: dict[str, DataFrame], views: dict[str, str]) -> tuple[SparkSession, dict[str, str]]:
+    """A session that knows the shapes alone, and the errors of the views that don't resolve, which it lacks."""
+    own, errors = spark.newSession(), {}
     for name, df in tables.items():
         own.createDataFrame([], df.schema).createOrReplaceTempView(name)
+    for name, sql in views.items():
+        if error := add_view(own, name, sql):
+            errors[name] = error
+    return own, errors
+
+
+def add_view(own: SparkSession, name: str, sql: str) -> str | None:
+    """The error that keeps a view from being, if any."""
+    try:
+        own.sql(f"SELECT * FROM {_inner(sql)} AS v").createOrReplaceTempView(name)
+    except PySparkException as e:
+        return _error(e)
+    return None
+
+
+def resolve(own: SparkSession, queries: list[tuple[str, str]], errors: dict[str, str]) -> list[tuple[str, str | None, list[str] | None]]:
+    """(id, error, columns) of each (id, sql) in a session of shapes: analysis alone, nothing runs."""
     out = []
+    LOG.setLevel(logging.CRITICAL)  # an error here is an answer
     for ident, sql in queries:
         try:
-            columns = own.sql(sql).columns  # analysis alone, against the shape
-            rows = spark.sql(_bound(sql, tables), **{f"t_{k}": v for k, v in tables.items()}).count() if count else None
-            out.append((ident, True, None, columns, rows))
-        except AnalysisException as e:
-            out.append((ident, False, (e.getCondition() or "ANALYSIS").split(".")[0], None, None))
+            out.append((ident, None, own.sql(f"SELECT * FROM {_inner(sql)} AS q").columns))
         except PySparkException as e:
-            out.append((ident, False, (e.getCondition() or "RUNTIME").split(".")[0], None, None))
+            out.append((ident, errors.get(ident.removeprefix(VIEW)) or _error(e), None))
+    return out
+
+
+def with_views(queries: list[tuple[str, str]], views: dict[str, str]) -> list[tuple[str, str]]:
+    return [*queries, *((VIEW + v, f"SELECT * FROM {v}") for v in views)]
+
+
+def replay(spark: SparkSession, queries: list[tuple[str, str]], tables: dict[str, DataFrame], count: bool = True, views: dict[str, str] | None = None) -> DataFrame:
+    """(query_id, ok, error, columns, rows): the outcome of each (id, sql) over ``tables`` and ``views`` (name to text).
+
+    Each view is a query of its own too, with ``VIEW`` before its name. A statement that doesn't resolve gives its error
+    class, at no cost; others are counted by a distributed job, unless ``count`` is false. A statement that isn't a read
+    gives a syntax error and isn't run.
+    """
+    views = views or {}
+    own, errors = shape_session(spark, tables, views)
+    bound = {f"t{i}": df for i, df in enumerate(tables.values())}
+    names = [f"{name} AS (SELECT * FROM {{{key}}})" for name, key in zip(tables, bound, strict=True)]
+    names += [f"{name} AS {_inner(_plain(sql))}" for name, sql in views.items() if name not in errors]
+    every, out = with_views(queries, views), []
+    for (ident, error, columns), (_, sql) in zip(resolve(own, every, errors), every, strict=True):
+        rows = None
+        if count and not error:
+            try:
+                rows = spark.sql(f"WITH {', '.join(names)} SELECT * FROM {_inner(_plain(sql))} AS q", **bound).count()
+            except PySparkException as e:
+                error, columns = _error(e), None
+        out.append((ident, not error, error, columns, rows))
     return spark.createDataFrame(out, OUTCOME)
 
 
-def _bound(sql: str, tables: dict[str, DataFrame]) -> str:
-    """The statement with each table's name bound to its DataFrame, so no view is left behind in the session."""
-    for name in tables:
-        sql = re.sub(rf"(?i)\b(from|join)\s+{name}\b", rf"\1 {{t_{name}}} AS {name}", sql)
-    return sql
+def _plain(sql: str) -> str:
+    """Braces of a text stand for themselves where names are bound."""
+    return re.sub(r"([{}])", r"\1\1", sql)
+
+
+def is_read(sql: Column) -> Column:
+    return sql.rlike(r"(?i)^\s*(select|with)\b")
+
+
+def shape_of(sql: Column) -> Column:
+    """A statement with its literals blanked and its white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(sql, r"'(?:[^']|'')*'|\b\d+(?:\.\d+)?\b", "?"), r"\s+", " "))
+
+
+def read_shapes(log: DataFrame) -> DataFrame:
+    """(shape, query_id, sql): the reads of a log by shape, each with the least query id and that query's text."""
+    reads = log.where(is_read(F.col("sql"))).select(shape_of(F.col("sql")).alias("shape"), "query_id", "sql")
+    return reads.groupBy("shape").agg(F.min(F.struct("query_id", "sql")).alias("x")).select("shape", "x.query_id", "x.sql")
+
+
+def log_outcomes(log: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(query_id, ok): the outcome of every read of ``log``, from outcomes by shape (shape, ok)."""
+    reads = log.where(is_read(F.col("sql"))).select("query_id", shape_of(F.col("sql")).alias("shape"))
+    return reads.join(outcomes.select("shape", "ok"), "shape").select("query_id", "ok")
 
 
 def column_drift(pre: DataFrame, post: DataFrame) -> DataFrame:

@@ -86,15 +86,20 @@ def not_null(ops: DataFrame) -> DataFrame:
 
 
 def access_path(ops: DataFrame, stats: DataFrame, indexes: DataFrame, users: DataFrame, replaced: DataFrame) -> DataFrame:
-    """Dropped indexes: an unknown one is medium; one with users and no replacement is priced by rows, and a blocker only with a critical or high user."""
+    """Dropped indexes: an unknown one is medium; one with users and no replacement is priced by rows, and a blocker only with a critical or high user.
+
+    ``indexes`` (name, tbl, columns), ``users`` (name, service, criticality); ``replaced`` (name), or (script_id, name).
+    """
     d = ops.where("kind = 'drop_index'").drop("tbl", "columns")
+    within = [c for c in replaced.columns if c == "script_id"]
     use = users.groupBy("name").agg(F.array_sort(F.collect_set("service")).alias("users"), F.max(X.weight(F.col("criticality"))).alias("top"))
-    known = d.join(indexes.select(F.col("name").alias("index_name"), "tbl"), "index_name", "left").join(use.withColumnRenamed("name", "index_name"), "index_name", "left")
-    known = known.join(replaced.select(F.col("name").alias("index_name"), F.lit(True).alias("again")).distinct(), "index_name", "left").join(stats, "tbl", "left")
+    known = d.join(indexes.select(F.col("name").alias("index_name"), "tbl", "columns"), "index_name", "left").join(use.withColumnRenamed("name", "index_name"), "index_name", "left")
+    known = known.join(replaced.select(*within, F.col("name").alias("index_name"), F.lit(True).alias("again")).distinct(), [*within, "index_name"], "left").join(stats, "tbl", "left")
     hit = known.where(F.col("tbl").isNull() | (F.col("users").isNotNull() & F.col("again").isNull()))
     rows = F.coalesce("rows", F.lit(0))
     severity = F.when(F.col("tbl").isNull(), "medium").when((rows >= HUGE) & (F.col("top") >= 3), "blocker").when(rows >= LARGE, "high").otherwise("medium")
-    return finding(hit, "ACCESS_PATH_REMOVED", severity, F.array("index_name"), F.coalesce("users", _none()))
+    objects = F.when(F.col("tbl").isNull(), F.array("index_name")).otherwise(F.transform("columns", lambda c: F.concat_ws(".", "tbl", c)))
+    return finding(hit, "ACCESS_PATH_REMOVED", severity, objects, F.coalesce("users", _none()))
 
 
 def open_transaction(ops: DataFrame) -> DataFrame:
@@ -148,16 +153,16 @@ def uncoordinated(services: DataFrame) -> DataFrame:
 
 
 def broken_queries(broken: DataFrame) -> DataFrame:
-    """(script_id, query_id, service, is_view) that worked before a change and fail after it."""
+    """(script_id, query_id, services, is_view) that worked before a change and fail after it."""
     b = broken.withColumns({"idx": F.lit(-1), "sql": F.lit("")})
-    one = lambda view, code: finding(b.where(F.col("is_view") == F.lit(view)), code, "blocker", F.array(F.col("query_id").cast("string")), F.array("service"), source="replay")
-    return one(False, "BREAKING_QUERY").unionByName(one(True, "VIEW_BREAKAGE"))
+    code = F.when(F.col("is_view"), "VIEW_BREAKAGE").otherwise("BREAKING_QUERY")
+    return finding(b, code, "blocker", F.array(F.col("query_id").cast("string")), F.col("services"), source="replay")
 
 
 def star_drift(drift: DataFrame) -> DataFrame:
-    """(script_id, query_id, service, removed): a column set that lost a column; a purely larger one is no finding."""
+    """(script_id, query_id, services, removed): a column set that lost a column; a purely larger one is no finding."""
     d = drift.where(F.size("removed") > 0).withColumns({"idx": F.lit(-1), "sql": F.lit("")})
-    return finding(d, "SELECT_STAR_DRIFT", "high", F.array(F.col("query_id").cast("string")), F.array("service"), F.col("removed"), "replay")
+    return finding(d, "SELECT_STAR_DRIFT", "high", F.array(F.col("query_id").cast("string")), F.col("services"), F.col("removed"), "replay")
 
 
 def data_failures(counts: DataFrame) -> DataFrame:
@@ -185,19 +190,58 @@ def apply_rules(ops: DataFrame, stats: DataFrame) -> DataFrame:
 GAP = "script_id long, seq long, kind string, object string, inferred boolean, irreversible boolean"
 
 
-def gap(df: DataFrame, kind: Column | str, obj: Column, inferred: Column | None = None, irreversible: bool = False) -> DataFrame:
-    return df.select("script_id", F.col("idx").cast("long").alias("seq"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), obj.alias("object"), (inferred if inferred is not None else F.lit(False)).alias("inferred"), F.lit(irreversible).alias("irreversible"))
+def gap(df: DataFrame, kind: Column | str, obj: Column, inferred: Column | None = None, irreversible: Column | bool = False) -> DataFrame:
+    lasting = F.lit(irreversible) if isinstance(irreversible, bool) else irreversible
+    return df.select("script_id", F.col("idx").cast("long").alias("seq"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), obj.alias("object"), (inferred if inferred is not None else F.lit(False)).alias("inferred"), lasting.alias("irreversible"))
+
+
+def _gap_struct(kind: str, obj: Column, inferred: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), obj.alias("object"), (inferred if inferred is not None else F.lit(False)).alias("inferred"))
+
+
+def _unmodelled() -> Column:
+    hint = F.coalesce("tbl", X.relation_hint(F.col("sql")), F.lit("unknown"))
+    return F.when(F.col("kind").isin(*V.UNMODELLED), _gap_struct("unmodelled_statement", hint, F.col("tbl").isNull() & X.relation_hint(F.col("sql")).isNotNull()))
+
+
+def _unruled(kind: str = "unruled_statement") -> Column:
+    named = F.concat_ws(":", F.coalesce("tbl", X.relation_hint(F.col("sql")), F.lit("statement")), "kind")
+    return F.when(X.bucket(F.col("kind")).isin("RESIDUAL", "UNCLASSIFIED"), _gap_struct(kind, named))
+
+
+def _each(ops: DataFrame, found: Column) -> DataFrame:
+    g = ops.withColumn("_g", found).where("_g is not null")
+    return gap(g, F.col("_g.kind"), F.col("_g.object"), F.col("_g.inferred"))
+
+
+def statement_gaps(ops: DataFrame) -> DataFrame:
+    """Gaps that a change event's own kind opens (unmodelled, unruled), in one pass over the events."""
+    g = ops.withColumn("_g", F.explode(F.array_compact(F.array(_unmodelled(), _unruled()))))
+    return gap(g, F.col("_g.kind"), F.col("_g.object"), F.col("_g.inferred"))
 
 
 def unmodelled(ops: DataFrame) -> DataFrame:
-    o = ops.where(F.col("kind").isin(*V.UNMODELLED))
-    return gap(o, "unmodelled_statement", F.coalesce("tbl", X.relation_hint(F.col("sql")), F.lit("(unknown)")), F.col("tbl").isNull())
+    return _each(ops, _unmodelled())
+
+
+def mutated(ops: DataFrame) -> DataFrame:
+    """(script_id, idx, tbl, col): what updates and deletes rewrite, a column for each that an update assigns; null where none is named."""
+    o = ops.where(F.col("kind").isin("dml_update", "dml_delete"))
+    cols = F.when(F.col("kind") == "dml_update", X.assigned_columns(F.col("sql"))).otherwise(F.array().cast("array<string>"))
+    return o.select("script_id", "idx", "tbl", F.explode_outer(cols).alias("col"))
 
 
 def in_place_mutation(ops: DataFrame, erased: DataFrame) -> DataFrame:
-    """Updates and deletes, but for those whose erased nulls are a gap of their own (``erased``: script_id, tbl)."""
-    o = ops.where(F.col("kind").isin("dml_update", "dml_delete")).join(erased.select("script_id", "tbl").distinct(), ["script_id", "tbl"], "left_anti")
-    return gap(o, "in_place_data_mutation", F.col("tbl"))
+    """What updates and deletes rewrite, but for columns whose erased nulls are a gap of their own (``erased``: script_id, tbl, col)."""
+    o = mutated(ops).join(erased.select("script_id", "tbl", "col").distinct(), ["script_id", "tbl", "col"], "left_anti")
+    return gap(o, "in_place_data_mutation", F.concat_ws(".", F.coalesce("tbl", F.lit("unknown")), "col"))
+
+
+def erased_nulls(ops: DataFrame) -> DataFrame:
+    """(script_id, tbl, col), distinct: columns whose nulls an update tests for and overwrites, in a script that also sets them NOT NULL."""
+    seal = ops.where("kind = 'set_not_null'").select("script_id", "tbl", "col")
+    fill = ops.where("kind = 'dml_update'").select("script_id", "tbl", F.explode(X.nulls_erased(F.col("sql"), X.assigned_columns(F.col("sql")))).alias("col"))
+    return fill.join(seal, ["script_id", "tbl", "col"]).distinct()
 
 
 def value_class_erased(erased: DataFrame) -> DataFrame:
@@ -205,28 +249,35 @@ def value_class_erased(erased: DataFrame) -> DataFrame:
 
 
 def bounded_scan(scans: DataFrame) -> DataFrame:
-    """(script_id, object, bounded): scans that saw a clean sample only."""
+    """(script_id, object, bounded): scans that found nothing in less than the whole table, or couldn't be made."""
     return gap(scans.where("bounded").withColumn("idx", F.lit(-1)), "fixture_bounded_value_scan", F.col("object"), irreversible=True)
 
 
 def uncovered(columns: DataFrame) -> DataFrame:
-    return gap(columns.withColumn("idx", F.lit(-1)), "uncovered_object", F.col("token"))
+    """(script_id, idx, tbl, col) that no statement of the log names."""
+    return gap(columns, "uncovered_object", F.concat_ws(".", "tbl", "col"))
 
 
 def unused_path(unused: DataFrame) -> DataFrame:
-    return gap(unused.withColumn("idx", F.lit(-1)), "unused_access_path", F.col("name"))
+    """(script_id, idx, tbl, columns): dropped indexes that no statement of the log looks up by, and nothing replaces."""
+    return gap(unused, "unused_access_path", F.concat(F.coalesce("tbl", F.lit("unknown")), F.lit("("), F.array_join("columns", ", "), F.lit(")")))
 
 
 def unattributed(statements: DataFrame) -> DataFrame:
-    """Census rows (script_id, idx, unterminated, claimed, body_ddl) that nothing accounts for."""
-    bad = F.when(F.col("unterminated"), "unreviewable_text").when(~F.col("claimed"), "unattributed_statement").when(F.col("body_ddl"), "procedural_body")
+    """Census rows (script_id, idx, sql, unterminated, claimed, procedural, body_destructive) that nothing accounts for.
+
+    A statement that is neither claimed nor plainly destructive is a gap; one that is destructive is a finding instead.
+    """
+    lost = ~F.col("claimed") & ~X.is_destructive(F.col("sql"))
+    bad = F.when(F.col("unterminated"), "unreviewable_text").when(lost, "unattributed_statement").when(F.col("procedural"), "procedural_body")
     g = statements.withColumn("k", bad).where("k is not null")
-    return gap(g, F.col("k"), F.concat(F.lit("statement "), F.col("idx").cast("string")))
+    place = F.concat(F.lit("statement "), F.col("idx").cast("string"))
+    hint = F.when(F.col("k") == "unattributed_statement", X.relation_hint(F.col("sql")))
+    return gap(g, F.col("k"), F.coalesce(hint, place), hint.isNotNull(), F.coalesce(F.col("body_destructive"), F.lit(False)) & (F.col("k") == "procedural_body"))
 
 
 def unruled(ops: DataFrame, kind: str = "unruled_statement") -> DataFrame:
-    o = ops.where(X.bucket(F.col("kind")).isin("RESIDUAL", "UNCLASSIFIED"))
-    return gap(o, kind, F.coalesce("tbl", "index_name", F.lit("(statement)")))
+    return _each(ops, _unruled(kind))
 
 
 def gap_ledger(*gaps: DataFrame) -> DataFrame:

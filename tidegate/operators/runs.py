@@ -53,9 +53,15 @@ def cost_rollup(calls: DataFrame, *by: str) -> DataFrame:
     return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost"))
 
 
-def trace_summary(trace: DataFrame, kinds: list[str]) -> DataFrame:
-    """Events by kind, and the milliseconds they took, for each run."""
-    return trace.groupBy("run").agg(F.count(F.lit(1)).alias("events"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds), F.sum("ms").alias("ms"))
+def trace_summary(trace: DataFrame, kinds: list[str], *by: str) -> DataFrame:
+    """For each run, or each run and what ``by`` names (its agent): events by kind, tool calls with their milliseconds, retries and checkpoints.
+
+    ``trace`` (run, kind, ms, …): tool calls, retries and checkpoints are events of those kinds.
+    """
+    of = lambda k: F.col("kind") == k
+    counts = (F.count_if(of(k)).alias(f"n_{k}") for k in kinds)
+    special = (F.count_if(of("tool_call")).alias("tool_calls"), F.coalesce(F.sum(F.when(of("tool_call"), F.col("ms"))), F.lit(0.0)).alias("tool_ms"), F.count_if(of("retry")).alias("retries"), F.count_if(of("human_checkpoint")).alias("checkpoints"))
+    return trace.groupBy("run", *by).agg(F.count(F.lit(1)).alias("events"), *counts, F.sum("ms").alias("ms"), *special)
 
 
 def agent_sections(trace: DataFrame, starts: Column, agent: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegate.session import table
 
@@ -48,32 +49,48 @@ TEMPLATES = [
     ("drop_column", "ALTER TABLE {t} DROP COLUMN {c}", "tc"), ("rename_column", "ALTER TABLE {t} RENAME COLUMN {c} TO {c}_v2", "tcn"), ("rename_table", "ALTER TABLE {t} RENAME TO {t}_v2", "tm"),
     ("alter_type", "ALTER TABLE {t} ALTER COLUMN {c} TYPE varchar(8)", "tc"), ("set_not_null", "ALTER TABLE {t} ALTER COLUMN {c} SET NOT NULL", "tc"), ("drop_not_null", "ALTER TABLE {t} ALTER COLUMN {c} DROP NOT NULL", "tc"),
     ("set_default", "ALTER TABLE {t} ALTER COLUMN {c} SET DEFAULT 0", "tc"), ("drop_default", "ALTER TABLE {t} ALTER COLUMN {c} DROP DEFAULT", "tc"), ("unknown_alter_column", "ALTER TABLE {t} ALTER COLUMN {c} SET STATISTICS 500", "tc"),
-    ("add_constraint", "ALTER TABLE {t} ADD CONSTRAINT {c}_chk CHECK ({c} > 0)", "tx"), ("add_constraint", "ALTER TABLE {t} ADD CONSTRAINT {c}_fk FOREIGN KEY ({c}) REFERENCES region NOT VALID", "ty"),
+    ("add_constraint", "ALTER TABLE {t} ADD CONSTRAINT {c}_chk CHECK (coalesce({c}, nullif({c}, {c})) IS NOT NULL)", "tx"), ("add_constraint", "ALTER TABLE {t} ADD CONSTRAINT {c}_fk FOREIGN KEY ({c}) REFERENCES region NOT VALID", "ty"),
     ("drop_constraint", "ALTER TABLE {t} DROP CONSTRAINT {c}_chk", "tx"), ("validate_constraint", "ALTER TABLE {t} VALIDATE CONSTRAINT {c}_fk", "ty"), ("unknown_alter", "ALTER TABLE {t} OWNER TO admin", "t"),
     ("create_index", "CREATE INDEX {c}_idx ON {t} ({c})", "ti"), ("create_index", "CREATE INDEX CONCURRENTLY {c}_big ON {t} ({c}, id)", "tj"), ("drop_index", "DROP INDEX {c}_idx", "i"), ("create_view", "CREATE OR REPLACE VIEW {t}_view AS SELECT * FROM {t}", "v"), ("drop_view", "DROP VIEW {t}_view", "v"),
     ("drop_table", "DROP TABLE {t}", "t"), ("create_table", "CREATE TABLE {t} (id int)", "t"), ("dml_update", "UPDATE {t} SET {c} = 0 WHERE {c} IS NULL", "t"), ("dml_delete", "DELETE FROM {t} WHERE {c} IS NULL", "t"), ("dml_insert", "INSERT INTO {t} ({c}) VALUES (1)", "t"),
     ("procedural_block", "DO $$ BEGIN DROP TABLE {t}; END $$", ""), ("maintenance_rewrite", "VACUUM FULL {t}", "t"), ("unsupported", "COMMENT ON TABLE {t} IS ''x''", ""), ("transaction_control", "BEGIN", ""), ("transaction_control", "COMMIT", ""),
-    ("dml_update", "UPDATE {t} SET {c} = 0 WHERE id BETWEEN 1 AND 9", "t"),
+    ("dml_update", "UPDATE {t} SET {c} = 0 WHERE id BETWEEN 1 AND 9", "t"), ("create_index", "CREATE UNIQUE INDEX CONCURRENTLY {c}_uq ON {t} ({c})", "tq"),
 ]
 
 
+def _template(kind: str, text: str, has: str) -> tuple:
+    """A change event with {t} and {c} for its table and column: kind, text, table, column, new name, other name, an index's columns."""
+    pick = lambda d: next((v for h, v in d.items() if h in has), None)
+    names = {"x": "{c}_chk", "y": "{c}_fk", "i": "{c}_idx", "j": "{c}_big", "q": "{c}_uq"}
+    column = "{c}_new" if kind == "add_column" else "{c}"
+    listed = {"i": "{c}", "j": "{c},id", "q": "{c}"} if kind == "create_index" else {}
+    return kind, text, pick({"t": "{t}"}), column if "c" in has else None, pick({"n": "{c}_v2", "m": "{t}_v2", "v": "{t}_view"}), pick(names), pick(listed)
+
+
 def _ops() -> str:
-    text = lambda s: "'" + s.replace("{t}", "' || t || '").replace("{c}", "' || c || '") + "'"
-    pick = lambda f, end="NULL": "CASE k " + " ".join(f"WHEN {i} THEN {v}" for i, x in enumerate(TEMPLATES) if (v := f(*x))) + f" ELSE {end} END"
-    new = {"n": "c || '_v2'", "m": "t || '_v2'", "v": "t || '_view'"}
-    name = {"x": "c || '_chk'", "y": "c || '_fk'", "i": "c || '_idx'", "j": "c || '_big'"}
-    one = lambda d: lambda kind, s, has: next((d[h] for h in has if h in d), None)
-    kind, sql, tbl, col = pick(lambda k, *_: f"'{k}'"), pick(lambda _, s, __: text(s)), pick(one({"t": "t"})), pick(one({"c": "c"}))
-    return f"""(SELECT script_id, idx, {kind} AS kind, {sql} AS sql, {tbl} AS tbl, {col} AS col, {pick(one(new))} AS new_name, {pick(one(name))} AS index_name, t, c
+    """The templates as rows, joined to orders by number: each order is a statement of its customer's script."""
+    quoted = lambda v: "NULL" if v is None else f"'{v}'"
+    values = ", ".join(f"({k}, {', '.join(map(quoted, _template(*x)))})" for k, x in enumerate(TEMPLATES))
+    fill = lambda c: f"replace(replace({c}_, '{{t}}', t), '{{c}}', c) AS {c}"
+    return f"""(SELECT script_id, idx, kind, {', '.join(map(fill, ("sql", "tbl", "col", "new_name", "index_name", "cols")))}, t, c
   FROM (SELECT *, CASE o_orderkey % 5 WHEN 0 THEN CASE b WHEN 0 THEN 'c_custkey' ELSE 'c_name' END WHEN 1 THEN CASE b WHEN 0 THEN 'o_custkey' ELSE 'o_orderdate' END WHEN 2 THEN CASE b WHEN 0 THEN 'l_partkey' ELSE 'l_shipdate' END
       WHEN 3 THEN CASE b WHEN 0 THEN 'p_name' ELSE 'p_size' END ELSE CASE b WHEN 0 THEN 's_name' ELSE 's_nationkey' END END AS c
-    FROM (SELECT o_custkey AS script_id, o_orderkey AS idx, o_orderkey, o_orderkey % 2 AS b, (o_orderkey * 7 + o_custkey) % {len(TEMPLATES)} AS k,
-      CASE o_orderkey % 5 WHEN 0 THEN 'customer' WHEN 1 THEN 'orders' WHEN 2 THEN 'lineitem' WHEN 3 THEN 'part' ELSE 'supplier' END AS t FROM orders) z0) z1)"""
+    FROM (SELECT o_custkey AS script_id, o_orderkey AS idx, o_orderkey, o_orderkey % 2 AS b, (o_orderkey * 7 + o_custkey * 3 + CAST(floor(o_orderkey / 32) AS BIGINT)) % {len(TEMPLATES)} AS k,
+      CASE o_orderkey % 5 WHEN 0 THEN 'customer' WHEN 1 THEN 'orders' WHEN 2 THEN 'lineitem' WHEN 3 THEN 'part' ELSE 'supplier' END AS t FROM orders) z0) z1
+  JOIN (VALUES {values}) AS tpl(n, kind, sql_, tbl_, col_, new_name_, index_name_, cols_) ON k = n)"""
 
 
 OPS = _ops()
-#: sizes as measured, times a hundred, so that small tables reach the larger classes
-STATS = "(" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) * 100 AS rows FROM {t}" for t in ("customer", "orders", "lineitem", "part", "supplier")) + ")"
+
+
+def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change events with an index's columns and a new type, as ``change_events`` gives them, and t and c: the table and column they are about."""
+    o = rows(spark, sf_dir, OPS)
+    return o.withColumns({"columns": F.coalesce(F.split("cols", ","), F.array().cast("array<string>")), "new_type": F.when(F.col("kind") == "alter_type", "varchar(8)")}).drop("cols")
+
+
+#: sizes as measured
+STATS = "(" + " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS rows FROM {t}" for t in ("customer", "orders", "lineitem", "part", "supplier")) + ")"
 
 CODES = ["BREAKING_QUERY", "SELECT_STAR_DRIFT", "INDEX_LOCK_NO_CONCURRENT", "NOT_NULL_NO_DEFAULT", "MISSING_ROLLBACK", "ACCESS_PATH_REMOVED", "PROCEDURAL_DDL_UNREVIEWED"]
 
@@ -97,5 +114,5 @@ CASES = """(SELECT doc_id AS case_id, 'arm' || CAST(a AS STRING) AS arm, toxic =
 PREDICTED = f"""(SELECT doc_id AS case_id, 'arm' || CAST(a AS STRING) AS arm, {_case("(doc_id + i * 3 + a) % 4", ["BREAKING_QUERY", "VIEW_BREAKAGE", "MISSING_ROLLBACK", "NOT_NULL_NO_DEFAULT"])} AS code, {_case("(doc_id + i + a) % 4", SEVERITY)} AS severity, (doc_id + i) % 3 <> 0 AS evidenced
   FROM labels, (SELECT 0 AS a UNION ALL SELECT 1 UNION ALL SELECT 2) z, (SELECT 0 AS i UNION ALL SELECT 1) y WHERE (doc_id + a + i) % 5 <> 0)"""
 TRACE = """(SELECT conv_id AS run, turn AS seq, role AS kind, text, CAST(turn * 10 + conv_id % 7 AS DOUBLE) AS t_ms, CAST(length(text) % 13 AS DOUBLE) AS ms FROM conversations)"""
-CALLS = """(SELECT conv_id * 1000 + turn AS call_id, conv_id % 5 AS run, CASE WHEN conv_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, substring(text, 1, 12) AS key, length(text) AS tokens_in, length(text) % 17 AS tokens_out, CAST(turn AS DOUBLE) / 4 AS cost FROM conversations)"""
+CALLS = """(SELECT conv_id * 1000 + turn AS call_id, conv_id % 5 AS run, CASE WHEN conv_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, text AS key, length(text) AS tokens_in, length(text) % 17 AS tokens_out, CAST(turn AS DOUBLE) / 4 AS cost FROM conversations)"""
 RUNS = """(SELECT doc_id AS case_id, 'p' || CAST(doc_id % 3 AS STRING) AS provider, CASE WHEN toxic = 1 THEN 'off' ELSE 'structural' END AS mode, CASE WHEN quality = 0 THEN 'BLOCK' ELSE 'SAFE' END AS verdict, doc_id % 7 AS gaps, doc_id % 11 = 0 AS crashed, doc_id % 5 = 0 AS surface_changed, doc_id % 4 = 0 AS model_written, doc_id % 9 = 0 AS misleading, doc_id % 6 = 0 AS flagged FROM labels)"""

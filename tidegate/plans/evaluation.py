@@ -86,12 +86,12 @@ def g18_claims_audit(spark, d):
     return E.claims_audit(metrics, claims)
 
 
-_MOVED = ", ".join(f"CASE WHEN a.{c} <> b.{c} THEN '{c}' END" for c in ("verdict", "tp", "fp", "fn"))
+_MOVED = ", ".join(f"CASE WHEN a.{c} <> b.{c} THEN '{c}' END" for c in ("verdict", "tp", "fp", "fn", "human_gates")).replace("'human_gates'", "'gaps'")
 
 
 @query(f"SELECT * FROM (SELECT case_id, array_to_string(list_filter([{_MOVED}], lambda x: x IS NOT NULL), ',') AS moved FROM {_SCORES} a JOIN {_SCORES} b USING (case_id) WHERE a.arm = 'arm0' AND b.arm = 'arm1') x WHERE moved <> ''")
 def j20_arm_parity(spark, d):
-    return E.arm_parity(_scores(spark, d), "arm0", "arm1")
+    return E.arm_parity(_scores(spark, d).withColumn("gaps", F.col("human_gates")), "arm0", "arm1")
 
 
 # ---- run logs ------------------------------------------------------------------------------------------------------
@@ -141,9 +141,19 @@ def g14_cost_rollup(spark, d):
     return R.cost_rollup(B.rows(spark, d, B.CALLS), "run", "model")
 
 
-@query(f"SELECT run, count(*) AS events, count(*) FILTER (kind = 'user') AS n_user, count(*) FILTER (kind = 'assistant') AS n_assistant, sum(ms) AS ms FROM {B.TRACE} t GROUP BY run")
+#: a conversation's turns as the events of two agents
+_STEPS = f"(SELECT run, ms, 'agent' || CAST(seq % 2 AS STRING) AS agent, CASE WHEN length(text) % 5 = 0 THEN 'retry' WHEN length(text) % 7 = 0 THEN 'human_checkpoint' WHEN kind = 'assistant' THEN 'tool_call' ELSE kind END AS kind FROM {B.TRACE} t)"
+_SUMMED = "count(*) AS events, count(*) FILTER (kind = 'user') AS n_user, sum(ms) AS ms, count(*) FILTER (kind = 'tool_call') AS tool_calls, coalesce(sum(ms) FILTER (kind = 'tool_call'), 0) AS tool_ms, count(*) FILTER (kind = 'retry') AS retries, count(*) FILTER (kind = 'human_checkpoint') AS checkpoints"
+
+
+@query(f"SELECT run, {_SUMMED} FROM {_STEPS} s GROUP BY run")
 def g15_trace_summary(spark, d):
-    return R.trace_summary(B.rows(spark, d, B.TRACE), ["user", "assistant"])
+    return R.trace_summary(B.rows(spark, d, _STEPS), ["user"])
+
+
+@query(f"SELECT run, agent, {_SUMMED} FROM {_STEPS} s GROUP BY run, agent")
+def g15_trace_summary_by_agent(spark, d):
+    return R.trace_summary(B.rows(spark, d, _STEPS), ["user"], "agent")
 
 
 @query(f"SELECT run, seq, last_value(CASE WHEN kind = 'user' THEN 'u' || CAST(seq AS VARCHAR) END IGNORE NULLS) OVER w AS agent, row_number() OVER w AS n, t_ms - lag(t_ms) OVER w AS gap FROM {B.TRACE} t WINDOW w AS (PARTITION BY run ORDER BY seq)")

@@ -13,8 +13,11 @@ from tidegate.operators import corpus as C
 from tidegate.operators import findings as FI
 from tidegate.operators import rules as R
 from tidegate.operators.events import change_events
+from tidegate.plans.evidence import Evidence
 from tidegate.session import materialize
 
+INDEX = "name string, tbl string, columns array<string>"
+
 
 def read_scripts(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Statements and change events of ``scripts`` (script_id, text), scanned once and written: every rule reads them."""
@@ -22,30 +25,73 @@ def read_scripts(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return statements, materialize(change_events(statements))
 
 
-def review_findings(scripts: DataFrame, statements: DataFrame, ops: DataFrame, stats: DataFrame, incidents: DataFrame | None = None, constraints: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
-    """Merged findings of ``scripts`` (script_id, text, rollback_sql); ``more`` are findings of scans and replays."""
-    texts = constraints if constraints is not None else scripts.sparkSession.createDataFrame([], "index_name string, text string")
-    every = [R.apply_rules(ops, stats), R.constraint_removed(ops, texts), R.procedural(statements), R.unparsed(statements.withColumn("destructive", F.lit(False))), R.missing_rollback(scripts)]
-    found = FI.merge_findings(R.suppress_unparsed(reduce(DataFrame.unionByName, every + ([more] if more is not None else []))))
+def claims(statements: DataFrame, ops: DataFrame) -> DataFrame:
+    """``statements`` with claimed: whether a change event accounts for it, and destructive: no event does and its code takes something away."""
+    lost = C.unaccounted_statements(statements.select("script_id", "idx", F.col("code").alias("sql")), ops).withColumnRenamed("destructive", "_d")
+    out = statements.join(lost, ["script_id", "idx"], "left")
+    return out.withColumns({"claimed": F.col("_d").isNull(), "destructive": F.coalesce("_d", F.lit(False)), "sql": F.col("code")}).drop("_d")
+
+
+def dropped_indexes(ops: DataFrame, indexes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Indexes that scripts drop (script_id, idx, name, tbl, columns; the last two null if unknown), and those that the same script replaces (script_id, name)."""
+    drops = ops.where("kind = 'drop_index'").select("script_id", "idx", F.col("index_name").alias("name")).join(indexes, "name", "left")
+    creates = ops.where("kind = 'create_index'").select("script_id", "tbl", F.col("index_name").alias("name"), "columns")
+    return drops, C.replaced_indexes(drops.select("script_id", "name", "tbl", "columns"), creates).select("script_id", "name").distinct()
+
+
+def unused_drops(drops: DataFrame, replaced: DataFrame, log: DataFrame) -> DataFrame:
+    """(script_id, idx, tbl, columns) of dropped indexes that nothing replaces and no statement looks up by; an unknown index's name stands for its columns."""
+    used = C.access_path_users(log, drops.where("tbl is not null").select("name", "tbl", "columns").distinct()).select("name").distinct()
+    left = drops.join(replaced, ["script_id", "name"], "left_anti").join(used, "name", "left_anti")
+    return left.select("script_id", "idx", "tbl", F.coalesce("columns", F.array("name")).alias("columns"))
+
+
+def review_findings(
+    scripts: DataFrame, statements: DataFrame, ops: DataFrame, stats: DataFrame, log: DataFrame, indexes: DataFrame | None = None,
+    incidents: DataFrame | None = None, constraints: DataFrame | None = None, evidence: Evidence | None = None, owners: DataFrame | None = None,
+) -> DataFrame:
+    """Merged findings of ``scripts`` (script_id, text, rollback_sql) by all rules, with past incidents counted in."""
+    spark = scripts.sparkSession
+    texts = constraints if constraints is not None else spark.createDataFrame([], "index_name string, text string")
+    known = indexes if indexes is not None else spark.createDataFrame([], INDEX)
+    drops, replaced = dropped_indexes(ops, known)
+    used = known.join(drops.select("name").distinct(), "name", "left_semi")
+    every = [
+        R.apply_rules(ops, stats), R.access_path(ops, stats, known, C.access_path_users(log, used), replaced), R.constraint_removed(ops, texts),
+        R.procedural(statements), R.unparsed(claims(statements, ops)), *(evidence or Evidence()).findings(owners),
+    ]
+    found = FI.merge_findings(R.suppress_unparsed(reduce(DataFrame.unionByName, every)).unionByName(R.missing_rollback(scripts)))
     return FI.escalate(found, incidents) if incidents is not None else found
 
 
-def review_gaps(statements: DataFrame, ops: DataFrame, log: DataFrame) -> DataFrame:
-    """Gap ledger of scripts against the statements of a query log."""
-    seal = ops.where("kind = 'set_not_null'").select("script_id", "tbl", "col")
-    fill = ops.where("kind = 'dml_update'").select("script_id", "tbl", F.explode(X.nulls_erased(F.col("sql"), X.assigned_columns(F.col("sql")))).alias("col"))
-    erased = fill.join(seal, ["script_id", "tbl", "col"]).distinct()
-    uncovered = R.uncovered(C.uncovered_columns(C.touched_objects(ops), log))
-    return R.gap_ledger(R.unmodelled(ops), R.in_place_mutation(ops, erased), R.value_class_erased(erased), uncovered, R.unruled(ops), R.unattributed(statements.withColumn("claimed", F.lit(True))))
+def review_gaps(statements: DataFrame, ops: DataFrame, log: DataFrame, indexes: DataFrame | None = None, evidence: Evidence | None = None) -> DataFrame:
+    """Gap ledger of scripts against the statements of a query log.
+
+    A dropped index that isn't in ``indexes`` is a gap: neither its users nor its replacement could be looked for.
+    """
+    erased = R.erased_nulls(ops)
+    drops, replaced = dropped_indexes(ops, indexes if indexes is not None else ops.sparkSession.createDataFrame([], INDEX))
+    unused = unused_drops(drops, replaced, log)
+    every = [R.statement_gaps(ops), R.in_place_mutation(ops, erased), R.value_class_erased(erased), R.uncovered(C.uncovered_objects(ops, log)), R.unused_path(unused), R.unattributed(claims(statements, ops))]
+    return R.gap_ledger(*every, *(evidence or Evidence()).gaps())
+
 
+def review(
+    scripts: DataFrame, stats: DataFrame, log: DataFrame, indexes: DataFrame | None = None, incidents: DataFrame | None = None,
+    constraints: DataFrame | None = None, evidence: Evidence | None = None, owners: DataFrame | None = None, read: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """(script_id, verdict, blockers, highs, gaps, headline) for every script.
 
-def review(scripts: DataFrame, stats: DataFrame, log: DataFrame, incidents: DataFrame | None = None, constraints: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
-    """(script_id, verdict, blockers, highs, gaps, headline) for every script."""
-    statements, ops = read_scripts(scripts)
-    found = review_findings(scripts, statements, ops, stats, incidents, constraints, more)
+    ``scripts`` (script_id, text, rollback_sql), ``stats`` (tbl, rows), ``log`` (query_id, service, criticality, sql),
+    ``indexes`` (name, tbl, columns): the catalogue's; ``constraints`` (index_name, text); ``owners`` (script_id, owner).
+    ``evidence``: what scans and replays found. ``read``: statements and change events, where another reader made them;
+    a statement that no event claims is then a finding if it is destructive, and a gap if not.
+    """
+    statements, ops = read or read_scripts(scripts)
+    found = review_findings(scripts, statements, ops, stats, log, indexes, incidents, constraints, evidence, owners)
     counts = found.groupBy("script_id").agg(F.max(X.severity_rank(F.col("severity"))).alias("top"), F.count_if(F.col("severity") == "blocker").alias("blockers"), F.count_if(F.col("severity") == "high").alias("highs"), F.count_if(F.col("code") == "BREAKING_QUERY").alias("broken"))
     own = scripts.select("script_id").join(counts, "script_id", "left").fillna(0)
     own = own.withColumn("verdict", F.when(F.col("top") == 4, "BLOCK").when(F.col("top") == 3, "SAFE_WITH_PLAN").otherwise("SAFE"))
-    out = FI.cap_verdict(own, review_gaps(statements, ops, log))
+    out = FI.cap_verdict(own, review_gaps(statements, ops, log, indexes, evidence))
     line = X.headline(F.col("verdict"), F.col("blockers"), F.col("highs"), F.col("gaps"), F.col("broken"))
     return out.select("script_id", "verdict", "blockers", "highs", "gaps", line.alias("headline"))

@@ -20,7 +20,7 @@ def _log(spark, d):
 
 
 def _ops(spark, d):
-    return B.rows(spark, d, B.OPS)
+    return B.ops(spark, d)
 
 
 def _join(x: str) -> str:
@@ -96,8 +96,11 @@ def p10_statement_kind(spark, d):
     return _ops(spark, d).select("script_id", "idx", X.statement_kind(F.col("sql")).alias("kind"))
 
 
-@query(f"""SELECT script_id, idx, lower(regexp_extract(sql, '^\\s*([A-Za-z]+)', 1)) AS word, lower(regexp_extract(sql, '^\\s*([A-Za-z]+)', 1)) IN ('create', 'alter', 'drop', 'truncate', 'rename', 'insert', 'update', 'delete', 'merge', 'reindex', 'cluster', 'vacuum', 'refresh') AS ddl_or_dml,
-regexp_matches(sql, '(?i)\\b(drop\\s+(table|column|view|index|constraint|schema)|truncate|delete\\s+from|rename\\s+(to|column))\\b') AS destructive FROM {B.OPS} q""")
+_DESTRUCTIVE = f"regexp_matches(sql, '(?i)\\b({'|'.join(V.DESTRUCTIVE_TEXT)})\\b')"
+
+
+@query(f"""SELECT script_id, idx, lower(regexp_extract(sql, '^\\s*([A-Za-z]+)', 1)) AS word, lower(regexp_extract(sql, '^\\s*([A-Za-z]+)', 1)) IN ({', '.join(map(repr, V.DDL_OR_DML))}) AS ddl_or_dml,
+{_DESTRUCTIVE} AS destructive FROM {B.OPS} q""")
 def p11_statement_flags(spark, d):
     s = F.col("sql")
     return _ops(spark, d).select("script_id", "idx", X.leading_keyword(s).alias("word"), X.is_ddl_or_dml(s).alias("ddl_or_dml"), X.is_destructive(s).alias("destructive"))
@@ -188,12 +191,15 @@ def p22_choose_headline(spark, d):
     return B.rows(spark, d, _SAID).select("conv_id", "turn", X.choose_headline(mode, F.col("text"), F.col("verdict"), _line()).alias("x")).select("conv_id", "turn", "x.*")
 
 
-_STAMPED = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"ms": ' || CAST(value AS STRING) || '}' WHEN 1 THEN 'took ' || CAST(event_id AS STRING) || ' ms, or 3 s' WHEN 2 THEN '{"generated_at": "x' || CAST(event_id AS STRING) || '"}' WHEN 3 THEN 'at 2024-01-02T03:04:05Z user ' || CAST(user_id AS STRING) ELSE event_type END AS line FROM events)"""
+_STAMPED = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"ms": ' || CAST(value AS STRING) || '}' WHEN 1 THEN 'took ' || CAST(event_id AS STRING) || ' ms, or 3 s' WHEN 2 THEN '{"generated_at": "x' || CAST(event_id AS STRING) || '"}' WHEN 3 THEN 'at 2024-01-02T03:04:05Z user ' || CAST(user_id AS STRING) ELSE '| Wall clock per case (ms, measured) | ' || CAST(user_id AS STRING) || '.5 | ' || event_type || ' |' END AS line FROM events)"""
 _BLURRED = "line"
 _FOUND = []
 for _name, _p, _to in V.CLOCK:
     _FOUND.append(f"CASE WHEN regexp_matches({_BLURRED}, '{_p}') THEN '{_name}' END")
     _BLURRED = f"regexp_replace({_BLURRED}, '{_p}', '{_to.replace('$', chr(92))}', 'g')"
+_NAME, _HEAD, _TO = V.CLOCK_ROW
+_FOUND.append(f"CASE WHEN regexp_matches({_BLURRED}, '{_HEAD}') THEN '{_NAME}' END")
+_BLURRED = f"CASE WHEN regexp_matches({_BLURRED}, '{_HEAD}') THEN regexp_extract({_BLURRED}, '{_HEAD}') || regexp_replace(regexp_replace({_BLURRED}, '{_HEAD}', ''), '[0-9.]+', '{_TO}', 'g') ELSE {_BLURRED} END"
 
 
 @query(f"SELECT event_id, {_BLURRED} AS blurred, array_to_string(list_filter([{', '.join(_FOUND)}], lambda x: x IS NOT NULL), ',') AS fields FROM {_STAMPED} q")
@@ -234,7 +240,8 @@ def p28_family(spark, d):
 
 # ---- the query log -------------------------------------------------------------------------------------------------
 _INDEX = f"(SELECT DISTINCT query_id, unnest({_TOKENS}) AS token {_Q})"
-_TOUCHED = f"(SELECT DISTINCT script_id, token FROM (SELECT script_id, unnest([lower(tbl), lower(col), lower(new_name)]) AS token FROM {B.OPS} o) WHERE token IS NOT NULL)"
+_NAMED = "list_concat([lower(tbl), lower(col), lower(new_name)], coalesce(string_split(cols, ','), []))"
+_TOUCHED = f"(SELECT DISTINCT script_id, token FROM (SELECT script_id, unnest({_NAMED}) AS token FROM {B.OPS} o) WHERE token IS NOT NULL)"
 
 
 #: touched by distinct column and table changes, each under the least script that makes it
@@ -253,7 +260,7 @@ def j2_dependents(spark, d):
 
 
 #: all change events, each as the names that it touches
-_MEMBERS = f"(SELECT DISTINCT script_id, change FROM (SELECT script_id, array_to_string(list_sort(list_distinct([lower(tbl), lower(col), lower(new_name)])), ',') AS change FROM {B.OPS} o) WHERE change <> '')"
+_MEMBERS = f"(SELECT DISTINCT script_id, change FROM (SELECT script_id, array_to_string(list_sort(list_distinct({_NAMED})), ',') AS change FROM {B.OPS} o) WHERE change <> '')"
 _BY_CHANGE = f"(SELECT change, unnest(string_split(change, ',')) AS token FROM (SELECT DISTINCT change FROM {_MEMBERS} m))"
 
 
@@ -306,16 +313,15 @@ def j7_uncovered_columns(spark, d):
     return C.uncovered_columns(C.touched_objects(_ops(spark, d)), _log(spark, d))
 
 
-@query(f"SELECT DISTINCT a.index_name AS name, b.index_name AS by FROM {B.OPS} a JOIN {B.OPS} b ON a.t = b.tbl AND b.sql LIKE 'CREATE INDEX%' AND a.c = b.c WHERE a.kind = 'drop_index'".replace(" AS by FROM", ' AS "by" FROM'))
+@query(f"SELECT DISTINCT a.index_name AS name, b.index_name AS by FROM {B.OPS} a JOIN {B.OPS} b ON a.t = b.tbl AND b.kind = 'create_index' AND a.c = b.c WHERE a.kind = 'drop_index'".replace(" AS by FROM", ' AS "by" FROM'))
 def j8_replaced_indexes(spark, d):
     o = _ops(spark, d)
     drops = o.where("kind = 'drop_index'").select(F.col("index_name").alias("name"), F.col("t").alias("tbl"), F.array("c").alias("columns")).distinct()
-    big = F.when(F.col("sql").contains("CONCURRENTLY"), F.array(F.col("c"), F.lit("id"))).otherwise(F.array("c"))
-    creates = o.where("kind = 'create_index'").select(F.col("index_name").alias("name"), "tbl", big.alias("columns")).distinct()
+    creates = o.where("kind = 'create_index'").select(F.col("index_name").alias("name"), "tbl", "columns").distinct()
     return C.replaced_indexes(drops, creates)
 
 
-@query(f"SELECT script_id, idx, regexp_matches(sql, '(?i)\\b(drop\\s+(table|column|view|index|constraint|schema)|truncate|delete\\s+from|rename\\s+(to|column))\\b') AS destructive FROM {B.OPS} o WHERE kind IN ('unsupported', 'drop_table')")
+@query(f"SELECT script_id, idx, {_DESTRUCTIVE} AS destructive FROM {B.OPS} o WHERE kind IN ('unsupported', 'drop_table')")
 def j9_unaccounted_statements(spark, d):
     o = _ops(spark, d)
     return C.unaccounted_statements(o, o.where("kind not in ('unsupported', 'drop_table')"))

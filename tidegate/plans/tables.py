@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
@@ -11,7 +13,7 @@ from tidegate.operators import preflight as P
 from tidegate.operators import rules as R
 from tidegate.plans import bindings as B
 from tidegate.plans.registry import query
-from tidegate.session import table
+from tidegate.session import shared_dir, table
 from tidegate.sources import io
 
 
@@ -47,9 +49,13 @@ def a5_check_narrowing(spark, d):
     return P.check_narrowing(table(spark, d, "lineitem"), "l_extendedprice", "numeric(12,2)", "numeric(7,2)")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'blocker' ELSE 'medium' END AS severity FROM orders""")
+_FITS = {"l_extendedprice": ("numeric(7,2)", "abs(l_extendedprice) >= 100000"), "l_tax": ("integer", "l_tax <> floor(l_tax)"), "l_quantity": ("numeric(12,2)", "abs(l_quantity) >= 10000000000"), "l_discount": ("numeric(1)", "abs(l_discount) >= 10")}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "check", count(*) FILTER ({bad}) AS violations, CASE WHEN count(*) FILTER ({bad}) > 0 THEN 'blocker' ELSE 'medium' END AS severity FROM lineitem""" for c, (_, bad) in _FITS.items()))
 def a6_narrowing_severity(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", P.narrowing_severity(F.col("o_orderkey") % 3).alias("severity"))
+    found = P.preflight(table(spark, d, "lineitem"), {c: F.count_if(X.offends(F.col(c), new, False)) for c, (new, _) in _FITS.items()})
+    return found.withColumn("severity", P.narrowing_severity(F.col("violations")))
 
 
 @query(f"""SELECT count(*) FILTER (l_orderkey % 1000 = 1) AS sample_rows, count(*) FILTER (l_orderkey % 1000 = 1 AND {_WIDE}) AS sample_offending, count(*) AS table_rows, count(*) FILTER ({_WIDE}) AS table_offending,
@@ -69,7 +75,7 @@ def a8_preflight(spark, d):
 FROM (SELECT * FROM {B.OPS} o WHERE kind = 'dml_update' AND tbl = 'part' AND sql LIKE '%IS NULL') a JOIN (SELECT * FROM {B.OPS} o WHERE kind = 'set_not_null') b ON a.script_id = b.script_id AND a.tbl = b.tbl AND a.c = b.col""")
 def a9_null_erasure(spark, d):
     part = table(spark, d, "part").withColumn("p_name", F.when(~F.col("p_name").contains("a"), F.col("p_name")))
-    return P.null_erasure(part, "part", B.rows(spark, d, B.OPS))
+    return P.null_erasure(part, "part", B.ops(spark, d))
 
 
 @query("SELECT count(*) FILTER (o_orderstatus = 'F') AS touched, count(*) AS rows, count(*) FILTER (o_orderstatus = 'F') / greatest(count(*), 1) AS share FROM orders")
@@ -110,6 +116,43 @@ def s3_explode_stats(spark, d):
     return io.explode_stats(_cases(spark, d))
 
 
+def _folder(spark):
+    return f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS id, count(*) AS queries, count(*) AS estimates FROM orders GROUP BY o_custkey")
+def s1_read_cases(spark, d):
+    """Cases are written as documents of JSON and read again; the format reads one document a line too."""
+    path = _folder(spark)
+    _cases(spark, d).write.json(path)
+    return io.read_cases(spark, path, False).select("id", F.size("queries").cast("long").alias("queries"), F.size("row_estimates").cast("long").alias("estimates"))
+
+
+@query(f"SELECT id, hazard_code, obj AS tables, service AS services, CAST(severity_bump AS INTEGER) AS severity_bump FROM {B.INCIDENTS} i")
+def s4_read_incidents(spark, d):
+    """Incidents as lines of JSON, with a comment and a blank line after each."""
+    path, i = _folder(spark), B.rows(spark, d, B.INCIDENTS)
+    line = F.to_json(F.struct("id", "hazard_code", F.array("obj").alias("tables"), F.array("service").alias("services"), F.col("severity_bump").cast("int").alias("severity_bump")))
+    i.select(F.explode(F.array(line, F.lit("// a note"), F.lit(""))).alias("value")).write.text(path)
+    return io.read_incidents(spark, path).select("id", "hazard_code", "tables", "services", "severity_bump")
+
+
+@query("SELECT o_orderpriority AS case_id, o_orderkey AS seq, o_orderstatus AS code FROM orders")
+def s5_write_findings(spark, d):
+    path, o = _folder(spark), table(spark, d, "orders")
+    io.write_findings(o.select(F.col("o_orderpriority").alias("case_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("code")), path)
+    return spark.read.schema("case_id string, seq long, code string").json(f"{path}/cases")
+
+
+@query("SELECT o_orderkey AS path, sha256(o_orderpriority || '|' || o_orderstatus || chr(10)) AS sha256 FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_orderstatus, o_orderpriority)")
+def s7_file_manifest(spark, d):
+    """A file for each status and priority, named after its least order, and the manifest of the tree."""
+    path, o = _folder(spark), table(spark, d, "orders")
+    few = o.groupBy("o_orderstatus", "o_orderpriority").agg(F.min("o_orderkey").alias("k")).select("k", F.concat_ws("|", "o_orderpriority", "o_orderstatus").alias("value"))
+    few.repartition("k").write.partitionBy("k").text(path)
+    return io.file_manifest(spark, path).select(F.regexp_extract("path", "k=([0-9]+)", 1).cast("long").alias("path"), "sha256")
+
+
 @query("SELECT 'orders' AS tbl, count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'documents', count(*) FROM documents")
 def s8_measured_stats(spark, d):
     return io.measured_stats({t: table(spark, d, t) for t in ("orders", "lineitem", "documents")})

@@ -8,11 +8,13 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCOPES: list[list[str]] = []
 #: bytes of an Arrow batch on its way to a Python worker: ten thousand long texts are too many for small executors
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
@@ -36,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that every executor can read: spark.checkpoint.dir. Only a local session gets a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidegate-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,18 +52,46 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidegate-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and the copy outlives lost executors."""
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and the copy outlives lost executors.
+
+    It stays until ``discard``, ``clean_shared`` or the end of the ``scratch`` around it, which passes over what is kept.
+    """
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``; nothing if it isn't such a copy. No other plan may still need it."""
+    if path := getattr(df, "written_to", None):
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Copies that are written inside are deleted at the end. What is made of them must be written, and kept, by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clean_shared(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote for this application. For use when results that read it are done with."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _scratch(spark))
 
 
 def spread_out(df: DataFrame) -> DataFrame:

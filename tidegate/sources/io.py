@@ -15,9 +15,9 @@ INCIDENT = "id string, hazard_code string, tables array<string>, services array<
 TRACE = "seq long, t_ms double, kind string, agent string, goal string, output string, tool string, result string, ms double, text string, attempt int, reason string, name string, state string, model string, tokens_in long, tokens_out long, cost_usd double"
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of JSON case documents, sorted by file name."""
-    return spark.read.schema(CASE).json(path, multiLine=True).withColumn("_file", F.col("_metadata.file_name")).orderBy("_file").drop("_file")
+def read_cases(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    """A folder of JSON case documents, one a file or one a line, sorted by file name."""
+    return spark.read.schema(CASE).json(path, multiLine=one_a_file).withColumn("_file", F.col("_metadata.file_name")).orderBy("_file").drop("_file")
 
 
 def explode_corpus(cases: DataFrame) -> DataFrame:
