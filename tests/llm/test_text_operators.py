@@ -2,10 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,9 +97,33 @@ def test_jaccard_group_of_near_copies(spark):
     assert sorted(map(tuple, got), key=key) == brute_components(rows, 3, 90)
 
 
-def test_keep_one(docs):
-    kept = [r["doc_id"] for r in jaccard_join.keep_one(docs).collect()]
-    assert {2, 12} & set(kept) in ({12}, set()) and 1 in kept and None in kept and 5 in kept
+def test_jaccard_templated_pages(spark):
+    """Pages made of stock sentences: they share passages with hundreds of others, few link; a stray beside a large group of near copies."""
+    rng = random.Random(5)
+    stock = [" ".join(f"s{i}w{j}" for j in range(9)) for i in range(14)]
+    rows = [(i, " . ".join(rng.sample(stock, 6))) for i in range(400)] + [(i + 1000, " . ".join(stock[:6]).replace("s3w4", f"x{i}")) for i in range(60)] + [(2000, " . ".join(stock[:6]).replace("s3", "q").replace("s2", "p"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for pct, tile in ((90, 16), (80, 1024), (60, 16)):
+        got = jaccard_join.jaccard_components(df, width=3, pct=pct, tile=tile, tile_bytes=1 << 14).collect()
+        assert sorted(map(tuple, got), key=key) == brute_components(rows, 3, pct)
+
+
+def test_sketch_bounds_overlap():
+    rng = np.random.default_rng(1)
+    for n in (3, 60, 600, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 2).astype(np.uint64)]))
+        coarse, fine = jaccard_join._sketches(pa.chunked_array([pa.array([jaccard_join.sketch(a), jaccard_join.sketch(b)])]))
+        both = len(np.intersect1d(a, b))
+        assert np.minimum(*coarse).sum() >= both and (n < 1000 or np.minimum(*fine).sum() >= both)
+
+
+def test_keep_one_keeps_one_row_of_each_text(spark):
+    """Two texts under one id are two rows; equal rows are one; a component's row of least id stays, null ids last."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "y"), (9, b + " more", "z"), (20, "some other words of its own", "x"), (20, "some other words of its own", "x"), (None, a, "n"), (None, None, "n"), (None, None, "n"), (7, "", "e"), (8, "", "e")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _row_key string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(3, a, "x"), (5, b, "y"), (20, "some other words of its own", "x"), (None, None, "n"), (None, None, "n"), (7, "", "e"), (8, "", "e")], key=str)
 
 
 def test_empty_tables(none, spark):
