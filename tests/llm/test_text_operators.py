@@ -339,7 +339,20 @@ def test_lm_scores_come_from_all_training_rows(spark, monkeypatch, block):
             a, b, c = weights[1 + int(math.log2(uni[h])) if uni[h] else 0]
             want += math.log10(a * bi[h, x] / max(uni[h], 1) + b * uni[x] / n + c / (v + 1))
         assert math.isclose(got[i], want, rel_tol=1e-9)
-    assert any(j == 0 for _, _, j, _ in seen)  # weights are learned on words that the reduced counts don't hold
+    assert any(j == 0 for _, _, j, _ in seen)  # weights are learned on words that no other block holds
+    # the histogram: each block's training tokens under the counts of all other blocks
+    n_blocks = max(lm_scoring.LEAST_BLOCKS, lm_scoring.B.block_count(df, "text", block))
+    at = {r["id"]: r["block"] for r in lm_scoring.B.blocked(df, "doc_id", "text", n_blocks).collect()}
+    cell = lambda p, p0: 0 if p <= 0 else int(np.clip(1 + np.round(lm_scoring.FINE * np.log2(p / p0)) + lm_scoring.CELLS // 4, 1, lm_scoring.CELLS - 1))
+    hist = Counter()
+    for gone in set(at.values()):
+        rest = [w for i, w in toks.items() if i % 7 != 2 and at[i] != gone]
+        u, b = Counter(x for w in rest for x in w), Counter(x for w in rest for x in zip(["\n", *w], w, strict=False))
+        for w in (w for i, w in toks.items() if i % 7 != 2 and at[i] == gone):
+            for h, x in zip(["\n", *w], w, strict=False):
+                k = min(1 + int(math.log2(u[h])), lm_scoring.LEVELS - 1) if u[h] else 0
+                hist[k, cell(b[h, x] / max(u[h], 1), 1 / (len(u) + 1)), cell(u[x] / max(sum(u.values()), 1), 1 / (len(u) + 1))] += 1
+    assert sorted((*k, c) for k, c in hist.items()) == sorted(seen)
 
 
 # ---- classifiers ---------------------------------------------------------------------------------------------------
@@ -351,7 +364,7 @@ def test_language_id(spark):
     rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), k) for i, k in enumerate(["aa", "bb"] * 60)]
     rows += [(900, None, "aa"), (901, "123 !!", "bb"), (902, "", "aa"), (903, "und nicht", None), (904, "el niño", None), (None, "straße", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(1)).withColumn("letters", F.lit("x"))
-    model = language_id.learn(df, folds.fold("doc_id", 5) != 0, "doc_id", "text", "lang", min_count=2)
+    model = language_id.learn(df, folds.fold("doc_id", 5) != 0, "doc_id", "text", "lang")
     got = {r["doc_id"]: r for r in language_id.predict(df, model).collect()}
     assert all(got[i]["lang_pred"] == k for i, _, k in rows[:120])
     assert [got[i]["lang_pred"] for i in (900, 901, 902, 903, 904, None)] == ["und", "und", "und", "aa", "bb", "aa"]
@@ -364,7 +377,7 @@ def test_language_model_code_lengths():
 
     train = {"a": b"abracadabra abracadabra cab", "b": b"banana bandana ban anna"}
     counts = {k: dict(Counter(t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1))) for k, t in train.items()}
-    model = language_id.Model(counts, 3, 1, 1000)
+    model = language_id.Model(counts, 3, 1000)
 
     def bits(c, text):
         total = 0.0
@@ -408,6 +421,44 @@ def test_quality_classifier(spark):
     assert empty[0] == empty[1]
 
 
+def test_quality_updates_follow_the_regularised_leader():
+    """The learner's weights equal those of FTRL-proximal written out place by place, and averaged over shards."""
+    rng = np.random.default_rng(7)
+    docs = [(rng.integers(0, 30, int(rng.integers(1, 12))), int(rng.integers(0, 2))) for _ in range(60)]
+    size, alpha, beta, l1, l2 = 30, 0.5, 1.0, 0.05, 0.01
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(2):
+        for f, y in docs:
+            x = {int(i): c / math.sqrt(len(f)) for i, c in Counter(f.tolist()).items()} | {size: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, g in [(i, (p - y) * v) for i, v in x.items()]:
+                w, more = weight(i), math.sqrt(n[i] + g * g)
+                z[i] += g - (more - math.sqrt(n[i])) / alpha * w
+                n[i] += g * g
+    got, bias = quality.train_shard(docs, size, 2, alpha, beta, l1, l2)
+    assert np.allclose([*got, bias], [weight(i) for i in range(size + 1)], atol=1e-9) and np.count_nonzero(got) > 5
+
+
+def test_quality_scores_are_sparse_dot_products(spark):
+    """Shards are averaged, and a score is the logistic of the hashed features' weights over the root of their number."""
+    rows = [(i, f"w{i % 5} w{i % 3} w{i % 7} same same") for i in range(40)] + [(90, None), (91, "unseen words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    w = quality.learn(df, labels, F.col("doc_id") % 4 != 2, bits=10, shards=3)
+    shard = {r["doc_id"]: r["s"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).alias("s")).collect()}
+    place = lambda t: quality.features(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]), 10)[0]
+    each = [quality.train_shard([(place(t), i % 2) for i, t in rows[:40] if i % 4 != 2 and shard[i] == s], 1 << 10, 3, 4.0, 1.0, 0.1, 1e-4) for s in range(3) if any(i % 4 != 2 and shard[i] == s for i in range(40))]
+    want = np.mean([np.append(x, b) for x, b in each], axis=0)
+    assert np.allclose(w, want, atol=1e-9)
+    for r in quality.scores(df, w).collect():
+        f = place(dict(rows)[r["doc_id"]])
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(want[f].sum() / math.sqrt(max(1, len(f))) + want[-1]))), rel_tol=1e-5)
+
+
 def test_quality_features():
     import numpy as np
 

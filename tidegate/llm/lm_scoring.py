@@ -2,9 +2,9 @@
 
 p(w | h) = a(k) * c(h, w) / c(h) + b(k) * c(w) / N + g(k) / (V + 1), where k is the bucket of the context's frequency
 (0, then the powers of two) and the weights of a bucket are learned by expectation-maximisation on held-out counts:
-one eighth of the blocks of training rows is deleted from the counts, and only those blocks are used to learn weights.
-The reduced counts serve for that alone: scores come from the counts of all training rows. A bucket knows from a block's
-number whether it is deleted, so counts are sent once, and reduced sums go back to deleted blocks only.
+each block of training rows in turn is deleted, and its tokens are estimated from the counts of all other blocks. A block
+knows its own counts, so it takes them off the sums that it gets back, and nothing is sent twice. Weights serve all
+blocks; scores come from the counts of all training rows.
 Counts cover all rows; they are gathered by a block exchange, so no row stands for a token and nothing is capped.
 The driver gets a histogram of a fixed largest size, from which it learns some seventy weights.
 """
@@ -23,9 +23,8 @@ from tidegate.session import materialize, ship
 U = np.uint64
 END = X.mix(np.array([0x656E64], U))[0]
 UNI, BI, TOTALS = 0, 1, 2
-#: added to a kind: the same without the deleted blocks
-REDUCED = 4
-DELETED = 8
+#: fewest blocks: a model without one of them is nearly the whole
+LEAST_BLOCKS = 16
 LEVELS = 26
 #: resolution of the histogram of estimate ratios: cells for each doubling, and cells on each side
 FINE, CELLS = 4, 160
@@ -63,7 +62,7 @@ def _send(buckets: int):
 
 
 def _add(t: pa.Table) -> pa.Table:
-    """Sums of a bucket's counts for each block, those without the deleted blocks for deleted ones, and the bucket's totals."""
+    """Sums of a bucket's counts for each block, and the bucket's totals."""
     kinds = np.asarray(t["kind"])
     more: dict[str, list] = {k: [] for k in B.REPLY_ARROW.names}
 
@@ -83,26 +82,26 @@ def _add(t: pa.Table) -> pa.Table:
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
         total = np.bincount(place, weights=vals).astype(np.int64)
-        vals[np.repeat(np.array(owners) % DELETED == 0, np.diff(cut))] = 0
-        kept = np.bincount(place, weights=vals).astype(np.int64)
         for i, block in enumerate(owners):
-            p = place[cut[i] : cut[i + 1]]
-            put(block, bucket, kind, B.pack_ints(total[p]))
-            if block % DELETED == 0:
-                put(block, bucket, kind + REDUCED, B.pack_ints(kept[p]))
+            put(block, bucket, kind, B.pack_ints(total[place[cut[i] : cut[i + 1]]]))
         if kind == UNI:
-            put(-1, bucket, TOTALS, B.pack_ints(np.array([total.sum(), (total > 0).sum(), kept.sum(), (kept > 0).sum()])))
+            put(-1, bucket, TOTALS, B.pack_ints(np.array([total.sum(), (total > 0).sum()])))
     return pa.table(more, B.REPLY_ARROW)
 
 
-def _estimates(t: pa.Table, replies: pa.Table, n: int, v: int, less: int = 0):
+def _estimates(t: pa.Table, replies: pa.Table, n: int, v: int, own: bool):
     """For each token: training occurrences, context bucket, and the three estimates; with per-row offsets.
 
-    n, v: training tokens and distinct ones. less: 0 for all training rows, REDUCED for those not in deleted blocks.
+    n, v: training tokens and distinct ones. own: whether the block's own training rows count.
     """
     tok, before, at = _tokens(t)
+    taught = np.repeat(np.asarray(t["train"]), np.diff(at)).astype(np.int64)
+    less = lambda place: 0 if own else np.bincount(place, weights=taught).astype(np.int64)
     keys, place = np.unique(tok, return_inverse=True)
-    counts = B.answer(replies, UNI + less)
+    all_of, mine = B.answer(replies, UNI), less(place)
+    counts = all_of - mine
+    if not own:
+        n, v = n - int(taught.sum()), v - int(((mine > 0) & (counts == 0)).sum())
     count = counts[place]
     context = np.zeros(len(tok), np.int64)
     if len(e := np.flatnonzero(keys == END)):
@@ -110,7 +109,7 @@ def _estimates(t: pa.Table, replies: pa.Table, n: int, v: int, less: int = 0):
     inner = before != END
     context[inner] = count[np.flatnonzero(inner) - 1]
     _, where = np.unique(_pairs(tok, before), return_inverse=True)
-    pair = B.answer(replies, BI + less)[where]
+    pair = (B.answer(replies, BI) - less(where))[where]
     bucket = np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64), LEVELS - 1), 0)
     return count, bucket, pair / np.maximum(context, 1), count / max(n, 1), 1 / (v + 1), at
 
@@ -119,7 +118,7 @@ def _histogram(totals: tuple):
     def histogram(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({"k": pa.array([], pa.int32()), "i": pa.array([], pa.int32()), "j": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-        _, bucket, p2, p1, p0, at = _estimates(t, replies, totals[2], totals[3], REDUCED)
+        _, bucket, p2, p1, p0, at = _estimates(t, replies, *totals, own=False)
         own = np.repeat(np.asarray(t["train"]), np.diff(at))
         cell = [np.where(p > 0, np.clip(1 + np.round(FINE * np.log2(np.maximum(p, 1e-300) / p0)) + CELLS // 4, 1, CELLS - 1), 0).astype(np.int64) for p in (p2, p1)]
         code, n = np.unique(((bucket * CELLS + cell[0]) * CELLS + cell[1])[own], return_counts=True)
@@ -147,7 +146,7 @@ def learn_weights(hist: list[tuple[int, int, int, int]], rounds: int = 100) -> n
 
 def _score(totals: tuple, weights: np.ndarray):
     def score(t: pa.Table, replies: pa.Table) -> pa.Table:
-        count, bucket, p2, p1, p0, at = _estimates(t, replies, totals[0], totals[1])
+        count, bucket, p2, p1, p0, at = _estimates(t, replies, *totals, own=True)
         w = weights[bucket]
         p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0
         base = np.log10((count + 1) / (totals[0] + totals[1] + 1))
@@ -163,15 +162,15 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     add-one unigram estimate from the rows where ``train`` holds; score: log10 of the interpolated model's probability.
     Null and empty texts, and texts without words, have the end only. Repeated rows and equal or null ids are scored
     and counted row by row. An empty table gives an empty result; with no training rows all probabilities are uniform.
-    Other columns aren't read.
+    Ids are integers. Other columns aren't read.
     """
     ship(docs.sparkSession)
-    n = max(2 * DELETED, B.block_count(docs, text_col, block_bytes))
+    n = max(LEAST_BLOCKS, B.block_count(docs, text_col, block_bytes))
     blocks = B.blocked(docs, id_col, text_col, n, train=F.coalesce(train, F.lit(False)))
     replies = materialize(B.reply(B.send(blocks, _send(n)), _add))
-    sums = [B.unpack_ints(r["reply"]) for r in replies.where(f"kind = {TOTALS}").select("reply").toLocalIterator()]  # four numbers a bucket
-    totals = tuple(int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0, 0, 0)
+    sums = [B.unpack_ints(r["reply"]) for r in replies.where(f"kind = {TOTALS}").select("reply").toLocalIterator()]  # two numbers a bucket
+    totals = tuple(int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     own = replies.where(F.col("kind").isin(UNI, BI))
-    hist = B.finish(blocks.where(F.col("block") % DELETED == 0), replies.where(F.col("kind") >= REDUCED), _histogram(totals), HIST)
+    hist = B.finish(blocks, own, _histogram(totals), HIST)
     weights = learn_weights([tuple(r) for r in hist.groupBy("k", "i", "j").agg(F.sum("n")).collect()])  # at most LEVELS * CELLS**2 rows
     return B.finish(blocks, own, _score(totals, weights), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
