@@ -63,10 +63,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     """2**bits weights and a bias. The driver gets one number for each place at most. Null labels teach nothing; other labels count as 0 or 1."""
     ship(docs.sparkSession)
     taught = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
-    known = taught.count()
-    share = min(1.0, sample_docs / max(1, known))
-    taught = taught.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = docs.where(train).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(taught, "_id")
+    usable = docs.where(train).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(taught, "_id")
+    share = min(1.0, sample_docs / max(1, docs.where(train).select(F.col(id_col).alias("_id")).join(taught, "_id", "left_semi").count()))
+    rows = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(shards)).cast("int"))
 
     def fit(t: pa.Table) -> pa.Table:
