@@ -7,7 +7,9 @@ distinct bytes. The trees of all languages are folded into one automaton whose s
 hold every language's exact code length, so one pass over a text gives all its code lengths.
 
 The counts come from a bounded sample: at most about ``sample_docs`` labelled documents of each language, whole texts,
-chosen by a hash of the id. Scoring covers whole texts of all rows.
+chosen by a hash of the id. A language knows a context that makes up at least one part in ``rarest`` of its sample, so
+no language has more than ``rarest`` contexts of each length, however large the sample; all bytes that follow a known
+context count, those seen once too. Scoring covers whole texts of all rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidegate.llm import automaton
 from tidegate.llm import text as X
-from tidegate.session import ship, spread_out
+from tidegate.session import materialize, ship, spread_out
 
 U = np.uint64
 NONE = "und"
@@ -29,18 +31,16 @@ LANES = 1024
 class Model:
     """langs; code (byte -> symbol); table, costs (state * width + symbol); order."""
 
-    def __init__(self, counts: dict[str, dict[bytes, int]], max_order: int, min_count: int, max_states: int):
+    def __init__(self, counts: dict[str, dict[bytes, int]], max_order: int, rarest: int):
+        total_of = {k: sum(n for g, n in c.items() if len(g) == 1) for k, c in counts.items()}
+        known = {k: {g for g, n in c.items() if len(g) <= max_order and n * rarest >= total_of[k]} for k, c in counts.items()}
         self.langs, self.order = sorted(counts), max_order
         seen = sorted({g[0] for c in counts.values() for g in c if len(g) == 1})
         self.code = np.full(256, len(seen), np.int64)  # bytes that no language has seen share a symbol
         self.code[seen] = np.arange(len(seen))
         self.width = len(seen) + 2
         self.sep = len(seen) + 1
-        while True:
-            contexts = [b"", *sorted({g for c in counts.values() for g, n in c.items() if len(g) <= max_order and n >= min_count}, key=lambda g: (len(g), g))]
-            if len(contexts) <= max_states:
-                break
-            min_count *= 2
+        contexts = [b"", *sorted(set().union(*known.values()), key=lambda g: (len(g), g))]
         self.states = {g: i for i, g in enumerate(contexts)}
         size = len(contexts)
         length = np.array([len(g) for g in contexts])
@@ -53,7 +53,7 @@ class Model:
         escape, seen_in = np.zeros((size, costs.shape[2]), np.float32), []
         for k, lang in enumerate(self.langs):
             own = counts[lang]
-            rows = [(s, self.code[g[-1]], n) for g, n in own.items() if (s := self.states.get(g[:-1])) is not None and (not s or own.get(g[:-1], 0) >= min_count)]
+            rows = [(s, self.code[g[-1]], n) for g, n in own.items() if (s := self.states.get(g[:-1])) is not None and (not s or g[:-1] in known[lang])]
             s, c, n = (np.array([r[x] for r in rows]) for x in range(3))
             total, kinds = np.bincount(s, weights=n, minlength=size), np.bincount(s, minlength=size)
             escape[:, k] = np.log2(np.where(kinds > 0, (total + kinds) / np.maximum(kinds, 1), 1))
@@ -121,8 +121,8 @@ def _grams(max_order: int):
     return grams
 
 
-def learn(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, max_order: int = 4, min_count: int = 12, sample_docs: int = 600, max_states: int = 20_000) -> Model:
-    """Fit the trees. Grams of more than two bytes that the sample holds once are left out; what the driver gets is bounded by the sample."""
+def learn(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col: str, max_order: int = 4, rarest: int = 4_000, sample_docs: int = 600) -> Model:
+    """Fit the trees. The driver gets the known contexts and the bytes that follow them: a number bounded by ``rarest``."""
     ship(docs.sparkSession)
     usable = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
@@ -130,13 +130,17 @@ def learn(docs: DataFrame, train: Column, id_col: str, text_col: str, lang_col:
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, int((1 << 20) * sample_docs / n) + 1))).otherwise(share)
     sample = usable.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("text", "lang")
-    rows = sample.mapInArrow(_grams(max_order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = materialize(sample.mapInArrow(_grams(max_order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("size", F.shiftrightunsigned("gram", 56)))
+    total = rows.where("size = 1").groupBy("lang").agg(F.sum("n").alias("total"))
+    known = rows.join(total, "lang").where(F.col("n") * rarest >= F.col("total")).select("lang", F.col("gram").alias("context"))
+    # a gram's context: its bytes but the last, under its own length
+    context = F.expr("(gram & (shiftleft(1L, cast(8 * (size - 1) as int)) - 1)) | shiftleft(size - 1, 56)")
     counts: dict[str, dict[bytes, int]] = {x: {} for x in sizes}
-    t = rows.where("n > 1 or shiftrightunsigned(gram, 56) <= 2").toArrow()
+    t = rows.where("size = 1").drop("size").unionByName(rows.where("size > 1").withColumn("context", context).join(known, ["lang", "context"], "left_semi").select("lang", "gram", "n")).toArrow()
     for lang, gram, n in zip(t["lang"].to_pylist(), t["gram"].to_pylist(), t["n"].to_pylist(), strict=True):
         size = gram >> 56
         counts[lang][(gram & (1 << 56) - 1).to_bytes(7, "little")[:size]] = n
-    return Model({k: v for k, v in counts.items() if v}, max_order, min_count, max_states)
+    return Model({k: v for k, v in counts.items() if v}, max_order, rarest)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +152,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     learned language everything is `und`. Other columns aren't read.
     """
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_states * 258 * languages numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most rarest * max_order states a language, in practice some thousands
 
     def score(batches):
         m = sent.value
