@@ -3,11 +3,13 @@
 A benchmark item's windows are its runs of ``window`` words (a shorter item is one window). Windows of one length are
 searched together: the shift table says, for the two words under the search position's end, how far the position may
 move before a window could end there; where the shift is zero, the bucket of those two words' hash gives the windows
-to test, first by hash of the whole window and then by comparing the words themselves. Many stretches of text move
-through the table side by side, each by its own shifts.
+to test, first by hash of the whole window (a bucket is in order of these, so a bucket of any size is searched by
+halving) and then by comparing the words themselves. Many stretches of text move through the table side by side, each by
+its own shifts.
 
-Windows are sent to the tasks in portions of at most ``portion`` bytes each, measured before; each portion is one pass
-over the documents, so the benchmark may grow beyond what a task holds.
+Windows are sent to the tasks in portions of about ``portion`` bytes each, measured before. Several portions are as many
+passes over the documents, one after another: what a pass finds is written and its tables are given up before the next
+are made, so neither driver nor tasks ever hold more than one portion.
 """
 
 from __future__ import annotations
@@ -50,18 +52,20 @@ class Length:
         whole = X.mix((h * (X.mix(np.arange(1, m + 1).astype(U)) | U(1))).sum(axis=1, dtype=U))
         order = np.argsort(whole)
         self.whole, self.windows = whole[order], [windows[i] for i in order]
-        # buckets by the block's slot: which whole-window hashes can end there
-        slot = self.slot(h[:, m - self.block :])
-        by = np.argsort(slot, kind="stable")
-        self.bucket_at = np.searchsorted(slot[by], np.arange((1 << bits) + 1))
-        self.bucket = whole[by]
-        self.place = np.argsort(order)[by]
+        # buckets by the block's slot, each in order of its windows' hashes: a hash is looked up in its bucket by halving
+        key = self.key(self.slot(h[:, m - self.block :]), whole)
+        by = np.argsort(key, kind="stable")
+        self.bucket, self.place = key[by], np.argsort(order)[by]
 
     def slot(self, h: np.ndarray) -> np.ndarray:
         """Slot of each row of ``block`` word hashes."""
         x = h[:, 0] if self.block == 1 else h[:, 0] * U(0x9DDFEA08EB382D69) + h[:, 1]
         return (X.mix(x) >> U(64 - self.bits)).astype(np.int64)
 
+    def key(self, slot: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Slot and whole-window hash as one number, so that buckets lie one after another."""
+        return (slot.astype(U) << U(64 - self.bits)) | (whole >> U(self.bits))
+
     def candidates(self, h: np.ndarray, lanes: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """(first word, window) for every place where a window of this length may occur, by its hash."""
         m, b = self.m, self.block
@@ -84,11 +88,11 @@ class Length:
         for k in range(m):
             whole += h[end - m + 1 + k] * mult[k]
         whole = X.mix(whole)
-        s = slots[end - b + 1]
-        n = self.bucket_at[s + 1] - self.bucket_at[s]
-        test = np.repeat(self.bucket_at[s] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
-        same = self.bucket[test] == np.repeat(whole, n)
-        return np.repeat(end - m + 1, n)[same], self.place[test[same]]
+        key = self.key(slots[end - b + 1], whole)
+        low = np.searchsorted(self.bucket, key)
+        n = np.searchsorted(self.bucket, key, "right") - low
+        test = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
+        return np.repeat(end - m + 1, n), self.place[test]
 
 
 def _search(tables: list[Length], owners: dict[bytes, list[str]]):
@@ -150,6 +154,9 @@ def contaminated_words(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
             by.setdefault(w.count(b" ") + 1, []).append(w)
         sent = spark.sparkContext.broadcast(([Length(m, ws) for m, ws in sorted(by.items())], {w: sorted(o) for w, o in owners.items()}))
         part = plain.mapInArrow(lambda batches, sent=sent: _search(*sent.value)(batches), FOUND)
+        if parts > 1:
+            part = materialize(part)
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     if parts > 1:  # rows with equal ids and texts find the same, and come back as often as they were given
         both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
