@@ -5,7 +5,8 @@ intervals, and every capture is evaluated against the entries that are active at
 (with all hosts below them) or a host with leading path segments; so a URL's possible patterns are few and all known,
 and a match is an equi-join. The as-of part is an equi-join too: intervals are cut at the bounds of time slots whose
 width is set for each pattern by its number of intervals, so a capture meets a bounded number of intervals on
-average, however often a pattern was switched, and a hot pattern's captures are dealt over its slots.
+average, however often a pattern was switched. A hot pattern's captures are dealt over its slots and over as many parts
+as their number asks for, each with a copy of the pattern's intervals (``SPLIT``), so no pattern fills one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 #: intervals of one pattern for each of its time slots, about
 PER_SLOT = 8
 DAY = 86_400
+#: captures of one pattern for each of its parts, about
+SPLIT = 2_000
+#: copies of each pattern's row for the join that tells captures its width and parts
+SALTS = 16
 
 
 def url_host(url: Column) -> Column:
@@ -72,10 +77,14 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     spans = spans.withColumns({"valid_from": F.greatest("valid_from", F.lit(lo)), "valid_to": F.least(F.coalesce("valid_to", F.lit(hi + 1)), F.lit(hi + 1))}).where("valid_from < valid_to")
     # a width for each pattern: so many slots that each holds about PER_SLOT intervals
     width = spans.groupBy("pattern").agg(F.ceil(F.lit(float(hi - lo + 1)) / F.ceil(F.count(F.lit(1)) / F.lit(PER_SLOT))).cast("long").alias("width"))
-    slots = spans.join(width, "pattern").withColumn("slot", F.explode(F.sequence(F.floor((F.col("valid_from") - lo) / F.col("width")), F.floor((F.col("valid_to") - 1 - lo) / F.col("width")))))
-    found = rows.distinct().where("_at is not null").withColumn("pattern", F.explode(url_patterns(F.col("_url"), F.lit(sizes["labels"]), F.lit(sizes["depth"]))))
-    found = found.join(width, "pattern").withColumn("slot", F.floor((F.col("_at") - lo) / F.col("width")))
-    met = found.join(slots.select("pattern", "slot", "list", "effect", "valid_from", "valid_to"), ["pattern", "slot"]).where("_at >= valid_from and _at < valid_to")
+    named = rows.distinct().where("_at is not null").withColumn("pattern", F.explode(url_patterns(F.col("_url"), F.lit(sizes["labels"]), F.lit(sizes["depth"]))))
+    width = width.join(named.groupBy("pattern").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")), "pattern")
+    slots = spans.join(width, "pattern").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("slot", F.explode(F.sequence(F.floor((F.col("valid_from") - lo) / F.col("width")), F.floor((F.col("valid_to") - 1 - lo) / F.col("width")))))
+    salted = width.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mark = F.xxhash64("_id", "_url", "_at")
+    found = named.withColumn("salt", F.pmod(mark, F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"])
+    found = found.withColumns({"slot": F.floor((F.col("_at") - lo) / F.col("width")), "part": F.pmod(F.shiftrightunsigned(mark, 8), F.col("parts")).cast("int")})
+    met = found.join(slots.select("pattern", "slot", "part", "list", "effect", "valid_from", "valid_to"), ["pattern", "slot", "part"]).where("_at >= valid_from and _at < valid_to")
     count = lambda effect: F.count(F.when(F.col("effect") == effect, 1))
     hits = met.groupBy(F.col("_id").alias("k_id"), F.col("_url").alias("k_url"), F.col("_at").alias("k_at")).agg(count("block").alias("b"), count("allow").alias("a"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "list", "pattern"))), ",").alias("m"))
     out = rows.join(hits, F.expr("_id <=> k_id and _url <=> k_url and _at <=> k_at"), "left")
