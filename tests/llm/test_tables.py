@@ -50,7 +50,7 @@ def vectors():
     return rows
 
 
-@pytest.mark.parametrize("tile", [1024, 7])
+@pytest.mark.parametrize("tile", [1024, 7, 2])
 def test_near_duplicates(spark, tile):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit("x")).withColumn("id", F.lit(1))

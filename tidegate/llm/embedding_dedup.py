@@ -1,17 +1,20 @@
 """Near-duplicate embeddings by PCA-ordered, tiled comparison.
 
 Unit vectors are rotated to the principal axes of all vectors, so leading coordinates carry most of a product. Vectors
-at an angle within the threshold lie within a fixed distance of each other on the first axis: strips of that width
-need comparing with themselves and the next strip only. Strips are cut into tiles of bounded size, and pairs of tiles
-are compared: products of leading coordinates are accumulated first, the rest is bounded by the norms of what is left
-(Cauchy-Schwarz), and pairs that can't reach the threshold are dropped. What is left is decided in double precision on
-the vectors as given. Equal vectors are one class with a count from the start, and a pair of tiles gives one row for
-each class: its number of links and its tree in a spanning forest. So copies never become rows for pairs.
+at an angle within the threshold lie within a fixed distance of each other on every axis: a grid of that width over some
+leading axes needs comparing cell by cell with itself and its neighbours only. The number of those axes grows with the
+largest label (``grid_axes``), so that cells hold about a tile's vectors at any size, and a vector goes to its
+neighbouring cells and not to its whole label. Cells are cut into tiles of bounded size, and pairs of tiles are compared:
+products of leading coordinates are accumulated first, the rest is bounded by the norms of what is left (Cauchy-Schwarz),
+and pairs that can't reach the threshold are dropped. What is left is decided in double precision on the vectors as
+given. Equal vectors are one class with a count from the start, and a pair of tiles gives one row for each class: its
+number of links and its tree in a spanning forest. So copies never become rows for pairs.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +82,11 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, rotate: np.ndarray, threshold: fl
         yield x[ok], y[ok]
 
 
+def grid_axes(largest: int, tile: int) -> int:
+    """Leading axes of the grid: each divides a label into about four cells that hold most of it. The result is the same for any number."""
+    return 1 + max(0, int(math.log(max(1, largest / tile), 4)))
+
+
 def _compare(turn: dict[int, np.ndarray], threshold: float):
     def compare(t: pa.Table) -> pa.Table:
         node, count, side = (np.asarray(t[c]) for c in ("node", "copies", "side"))
@@ -125,30 +133,35 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     width = math.sqrt(2 - 2 * threshold) + 1e-6
     sent = vectors.sparkSession.sparkContext.broadcast(turn)  # a square of the dimensions
 
-    def strips(batches):
+    largest = classes.groupBy("label", "d").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    m = grid_axes(largest, tile)
+
+    def cells(batches):
         for t in batches:
             n = np.asarray(t.column(4))
-            at = np.zeros(len(n), np.int32)
+            at = np.zeros((len(n), m), np.int32)
             for d in np.unique(n):
                 x = _matrix(t.column(2).filter(pa.array(n == d)))
-                first = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ sent.value[int(d)][:, 0]
-                at[n == d] = np.floor(first / width)
-            yield pa.RecordBatch.from_arrays([*(t.column(i) for i in range(5)), pa.array(at)], ["node", "label", "v", "copies", "d", "strip"])
-
-    kind = dict(classes.dtypes)["label"]
-    placed = classes.select("node", "label", "v", "copies", "d").mapInArrow(strips, f"node long, label {kind}, v array<double>, copies long, d int, strip int")
-    units = placed.groupBy("label", "d", "strip").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("k"))
-    ahead = units.select("label", "d", (F.col("strip") - 1).alias("strip"), F.col("k").alias("next_k"))
-    behind = units.select("label", "d", (F.col("strip") + 1).alias("strip"), F.col("k").alias("last_k"))
-    units = materialize(units.join(ahead, ["label", "d", "strip"], "left").join(behind, ["label", "d", "strip"], "left"))
-    tiled = placed.join(units, ["label", "d", "strip"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    # the pairs of tiles that a tile is of: (strip, lower tile) and (strip or the next one, other tile)
-    own, after, before = "sequence(0, k - 1)", "if(next_k is null, array(), sequence(0, next_k - 1))", "if(last_k is null, array(), sequence(0, last_k - 1))"
-    met = tiled.withColumn("pair", F.explode(F.expr(f"""concat(
-        transform({own}, o -> struct(strip as at, concat('s', least(tile, o)) as lo, concat('s', greatest(tile, o)) as hi, if(tile <= o, 0, 1) as side)),
-        transform({after}, o -> struct(strip as at, concat('s', tile) as lo, concat('n', o) as hi, 0 as side)),
-        transform({before}, o -> struct(strip - 1 as at, concat('s', o) as lo, concat('n', tile) as hi, 1 as side)))""")))
-    met = met.select("node", "label", "d", "v", "copies", "pair.*")
+                lead = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ sent.value[int(d)][:, :m]
+                at[n == d, : lead.shape[1]] = np.floor(lead / width)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * m), pa.array(at.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(t.column(i) for i in range(5)), lists], ["node", "label", "v", "copies", "d", "cell"])
+
+    kind, key = dict(classes.dtypes)["label"], ["label", "d", "cell"]
+    placed = classes.select("node", "label", "v", "copies", "d").mapInArrow(cells, f"node long, label {kind}, v array<double>, copies long, d int, cell array<int>")
+    units = materialize(placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("k")))
+    # of two neighbouring cells the lesser one names the pair
+    steps = [list(x) for x in product((-1, 0, 1), repeat=m) if x > (0,) * m]
+    ahead = units.withColumn("step", F.explode(F.array(*(F.array(*map(F.lit, x)) for x in steps)))).withColumn("other", F.zip_with("cell", "step", lambda x, y: x + y))
+    pairs = ahead.join(units.select("label", "d", F.col("cell").alias("other"), F.col("k").alias("other_k")), ["label", "d", "other"])
+    where = F.concat_ws("|", F.array_join("cell", ","), F.array_join("other", ","))
+    own = units.select(*key, "k", F.col("k").alias("others"), F.array_join("cell", ",").alias("at"), F.lit(None).cast("int").alias("side"))
+    first = pairs.select(*key, "k", F.col("other_k").alias("others"), where.alias("at"), F.lit(0).alias("side"))
+    second = pairs.select("label", "d", F.col("other").alias("cell"), F.col("other_k").alias("k"), F.col("k").alias("others"), where.alias("at"), F.lit(1).alias("side"))
+    tiled = placed.join(own.unionByName(first).unionByName(second), key).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, others - 1)")))
+    lo, hi = F.when(F.col("side").isNull(), F.least("tile", "o")).when(F.col("side") == 0, F.col("tile")).otherwise(F.col("o")), F.when(F.col("side").isNull(), F.greatest("tile", "o")).when(F.col("side") == 0, F.col("o")).otherwise(F.col("tile"))
+    far = F.when(F.col("side").isNull(), "s").otherwise("n")
+    met = tiled.select("node", "label", "d", "v", "copies", "at", F.concat(F.lit("s"), lo).alias("lo"), F.concat(far, hi).alias("hi"), F.coalesce("side", F.when(F.col("tile") <= F.col("o"), 0).otherwise(1)).alias("side"))
     found = materialize(met.groupBy("label", "d", "at", "lo", "hi").applyInArrow(tidy(_compare(turn, threshold)), "node long, links long, root long"))
     comp = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     direct = found.groupBy("node").agg(F.sum("links").alias("links"))
