@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.session import materialize
+from tidegate.session import discard, materialize
 
 
 def local_forest(a: list, b: list) -> list[tuple]:
@@ -53,7 +53,8 @@ def components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         lo = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lo, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select(F.col("x.a").alias("u"), F.col("x.b").alias("v")).where("u <> v")
-        e = materialize(small.distinct())
+        last, e = e, materialize(small.distinct())
+        discard(last)
         if (now := mark(e)) == seen:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = now

@@ -79,8 +79,8 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     width = spans.groupBy("pattern").agg(F.ceil(F.lit(float(hi - lo + 1)) / F.ceil(F.count(F.lit(1)) / F.lit(PER_SLOT))).cast("long").alias("width"))
     named = rows.distinct().where("_at is not null").withColumn("pattern", F.explode(url_patterns(F.col("_url"), F.lit(sizes["labels"]), F.lit(sizes["depth"]))))
     width = width.join(named.groupBy("pattern").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")), "pattern")
-    slots = spans.join(width, "pattern").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("slot", F.explode(F.sequence(F.floor((F.col("valid_from") - lo) / F.col("width")), F.floor((F.col("valid_to") - 1 - lo) / F.col("width")))))
     salted = width.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    slots = spans.withColumn("salt", F.pmod(F.xxhash64("list", "effect", "valid_from"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"]).drop("salt").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("slot", F.explode(F.sequence(F.floor((F.col("valid_from") - lo) / F.col("width")), F.floor((F.col("valid_to") - 1 - lo) / F.col("width")))))
     mark = F.xxhash64("_id", "_url", "_at")
     found = named.withColumn("salt", F.pmod(mark, F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"])
     found = found.withColumns({"slot": F.floor((F.col("_at") - lo) / F.col("width")), "part": F.pmod(F.shiftrightunsigned(mark, 8), F.col("parts")).cast("int")})
