@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidegate.llm import blocks as B
 from tidegate.llm import text as X
 from tidegate.llm.components import components, local_forest, spread
-from tidegate.session import materialize, ship
+from tidegate.session import discard, materialize, ship
 
 U = np.uint64
 ROWS = "id long, n long, cls long, toks array<long>, lkeys array<long>, lcs array<int>, sketch binary, shingles binary"
@@ -330,11 +330,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = keyed.join(first, "key").where(fits).select(F.col("cls").alias("u"), F.col("f.cls").alias("v"))
 
     # heavy: scan the inverted lists of rare shingles, then compare what may link
-    heavy = materialize(rows.where("toks is not null").select("cls", "n", "toks", "sketch", "shingles").dropDuplicates(["cls"]))
+    heavy = materialize(rows.where("toks is not null").select("cls", "n", "toks", "sketch").dropDuplicates(["cls"]))
     lists = heavy.select(F.explode("toks").alias("grp"), "cls", F.xxhash64("cls").alias("rank"), F.octet_length("sketch").cast("long").alias("bytes"))
     near = tiled_forest(lists, heavy.select("cls", "n", "sketch"), _may_link(pct), 2 * tile, tile_bytes)
-    clusters = components(near).join(heavy.select(F.col("cls").alias("node"), F.size("toks").alias("rank"), F.octet_length("shingles").cast("long").alias("bytes")), "node")
-    met = tiled_forest(clusters.select(F.col("root").alias("grp"), F.col("node").alias("cls"), "rank", "bytes"), heavy.select("cls", "shingles"), _do_link(pct), tile, tile_bytes)
+    clusters = materialize(components(near).join(heavy.select(F.col("cls").alias("node"), F.size("toks").alias("rank"), (8 * F.col("n")).alias("bytes")), "node"))
+    # only the sets of clusters are moved; a class that several blocks hold comes once
+    sets = rows.where("shingles is not null").select("cls", "shingles").join(clusters.select(F.col("node").alias("cls")), "cls", "left_semi").dropDuplicates(["cls"])
+    met = tiled_forest(clusters.select(F.col("root").alias("grp"), F.col("node").alias("cls"), "rank", "bytes"), sets, _do_link(pct), tile, tile_bytes)
+    discard(clusters)
+    discard(heavy)
 
     comp = components(links.unionByName(met))
     labelled = spread(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least")), "cls", comp, "root")
