@@ -10,7 +10,9 @@ The order. Equal windows agree in at least half of their bytes on one side of th
 by that side, is keyed by its half window beside the trigger: as in the suffix order of a dictionary, phrases that
 could hold equal windows lie together, and no others. A dictionary entry that occurs twice settles all its windows at
 once, so interiors of repeated passages cost one entry for each phrase. Only where an entry shares its key with a
-different one (the ends of repeated passages) are single windows compared.
+different one (the ends of repeated passages) are single windows compared. Entries are owned by a hash of key and
+entry, and a key's bucket only gets one value a block, so a line that a third of all texts hold in different
+surroundings fills no bucket either.
 
 Full suffix arrays of the dictionary and parse aren't built: removal asks only which strings of ``length`` bytes are
 equal, so suffixes are grouped to that depth, not ordered beyond it. Strings are compared by 64-bit hashes.
@@ -29,7 +31,9 @@ from tidegate.session import ship
 
 U = np.uint64
 ONE = U(1)
-SETTLED, SINGLE = 1, 2
+SETTLED, FIRST = 1, 2
+#: kinds of the exchange
+ENTRY, WINDOW, KEY = 0, 1, 2
 OUT = "id long, n_bytes long, kept binary, starts array<long>, ends array<long>"
 
 
@@ -81,76 +85,85 @@ def _chunks(t: pa.Table, length: int, gram: int):
         yield a, b, part, o, phrases(part, o, length, gram)
 
 
-def _distinct(key: np.ndarray, entry: np.ndarray):
-    """Distinct (key, entry) in order, whether each occurs again, and the place of every input among them."""
-    order = np.lexsort((entry, key))
-    k, e = key[order], entry[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
-    group = np.cumsum(new) - 1
-    place = np.empty(len(k), np.int64)
-    place[order] = group
-    return k[new], e[new], np.bincount(group, minlength=new.sum()) > 1, place
+def _own(key: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """One hash of each (key, entry), by which entries are owned: those of one key don't all meet."""
+    return X.mix(key * U(0x9DDFEA08EB382D69) + entry)
 
 
-def _all(found: list, i: int, kind=U):
-    return np.concatenate([x[4][i] for x in found]) if found else np.zeros(0, kind)
+def _spans(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts ``x``, and where each distinct value begins in it."""
+    order = np.argsort(x, kind="stable")
+    y = x[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(y)), bool), y[1:] != y[:-1]]))
 
 
 def _send_phrases(length: int, gram: int, buckets: int):
+    """Each distinct entry, with whether the block holds it again; and each distinct key, with its entry if the block knows but one, otherwise 0."""
+
     def send(t: pa.Table) -> pa.Table:
         keys, entries = [], []
         for *_, (_, _, key, entry, _) in _chunks(t, length, gram):
             keys.append(key)
             entries.append(entry)
-        k, e, again, _ = _distinct(np.concatenate(keys), np.concatenate(entries))
-        return B.sent_rows(t["block"][0].as_py(), [(0, k, e | again.astype(U))], buckets)
+        key, entry = np.concatenate(keys), np.concatenate(entries)
+        own, count = np.unique(_own(key, entry), return_counts=True)
+        parts = [(ENTRY, own, (count > 1).astype(np.int64))]
+        if len(key):
+            order, at = _spans(key)
+            e = entry[order]
+            one = np.minimum.reduceat(e, at) == np.maximum.reduceat(e, at)
+            parts.append((KEY, key[order][at], np.where(one, e[at] >> U(2) | ONE, 0).astype(np.int64)))
+        return B.sent_rows(t["block"][0].as_py(), parts, buckets)
 
     return send
 
 
 def _dictionary(t: pa.Table) -> pa.Table:
-    """For each phrase: SETTLED if its entry occurs again, SINGLE if its windows are to be compared one by one."""
-    keys = [B.unpack_keys(x.as_py()) for x in t["keys"]]
-    cut = np.cumsum([0, *map(len, keys)])
-    key = np.concatenate(keys)
-    entry = np.concatenate([B.unpack_ints(x.as_py()) for x in t["vals"]]).view(U)
-    block = np.repeat(np.asarray(t["block"]), np.diff(cut))
-    order = np.lexsort((block, entry & ~ONE, key))
-    k, e = key[order], entry[order]
-    first = np.ones(len(k), bool)
-    first[1:] = (k[1:] != k[:-1]) | (e[1:] & ~ONE != e[:-1] & ~ONE)
-    lists = np.ones(len(k), bool)
-    lists[1:] = k[1:] != k[:-1]
-    same, kin = np.cumsum(first) - 1, np.cumsum(lists) - 1
-    settled = (np.bincount(same, weights=1 + (e & ONE).astype(np.int64)) > 1)[same]
-    mixed = (np.bincount(kin, weights=first) > 1)[kin]
-    flags = np.empty(len(k), np.int64)
-    flags[order] = SETTLED * settled + SINGLE * (mixed & first)
+    """For each entry: SETTLED if it occurs again, FIRST in the least block that has it. For each key: 1 if it has different entries."""
+    t = t.sort_by("block")
+    kinds = np.asarray(t["kind"])
     out: dict[str, list] = {x: [] for x in B.REPLY_ARROW.names}
-    for i, (blk, bucket) in enumerate(zip(t["block"].to_pylist(), t["bucket"].to_pylist(), strict=True)):
-        for x, v in zip(B.REPLY_ARROW.names, (blk, bucket, 0, B.pack_ints(flags[cut[i] : cut[i + 1]])), strict=True):
-            out[x].append(v)
+    for kind in np.unique(kinds):
+        rows = t.filter(pa.array(kinds == kind))
+        keys = [B.unpack_keys(x.as_py()) for x in rows["keys"]]
+        cut = np.cumsum([0, *map(len, keys)])
+        vals = np.concatenate([B.unpack_ints(x.as_py()) for x in rows["vals"]])
+        order, at = _spans(np.concatenate(keys))  # equal keys in order of their blocks
+        size, v = np.diff(np.append(at, len(order))), vals[order]
+        if kind == ENTRY:
+            said = SETTLED * np.repeat(np.add.reduceat(v + 1, at) > 1, size)
+            said[at] += FIRST
+        else:
+            low = np.minimum.reduceat(v, at)
+            said = np.repeat((low == 0) | (low != np.maximum.reduceat(v, at)), size).astype(np.int64)
+        flags = np.empty(len(order), np.int64)
+        flags[order] = said
+        for i, (blk, bucket) in enumerate(zip(rows["block"].to_pylist(), rows["bucket"].to_pylist(), strict=True)):
+            for x, y in zip(B.REPLY_ARROW.names, (blk, bucket, int(kind), B.pack_ints(flags[cut[i] : cut[i + 1]])), strict=True):
+                out[x].append(y)
     return pa.table(out, B.REPLY_ARROW)
 
 
 def _flagged(t: pa.Table, replies: pa.Table, length: int, gram: int):
-    """Each chunk with the flags of its phrases and the hashes of the windows that are compared one by one."""
+    """Each chunk with its settled phrases and the hashes of the windows that are compared one by one."""
     keys, entries, sizes = [], [], []
     for *_, (_, _, key, entry, _) in _chunks(t, length, gram):
         keys.append(key)
         entries.append(entry)
         sizes.append(len(key))
-    *_, place = _distinct(np.concatenate(keys), np.concatenate(entries)) if keys else (np.zeros(0, np.int64),)
-    flags = B.answer(replies, 0)[place] if len(place) else place
+    settled = single = np.zeros(0, bool)
+    if sum(sizes):
+        key, entry = np.concatenate(keys), np.concatenate(entries)
+        flags = B.answer(replies, ENTRY)[np.unique(_own(key, entry), return_inverse=True)[1]]
+        mixed = B.answer(replies, KEY)[np.unique(key, return_inverse=True)[1]] > 0
+        settled, single = flags & SETTLED > 0, (flags & FIRST > 0) & mixed
     at = 0
     for (a, b, data, off, (first, last, _, _, h)), n in zip(_chunks(t, length, gram), sizes, strict=True):
-        f = flags[at : at + n]
+        done, one = settled[at : at + n], single[at : at + n]
         at += n
-        one = f & SINGLE > 0
         k = (last - first + 1)[one]
         p = np.repeat(first[one] - np.concatenate([[0], np.cumsum(k)[:-1]]) if len(k) else k, k) + np.arange(k.sum())
-        yield a, b, data, off, first[f & SETTLED > 0], last[f & SETTLED > 0], p, X.span_hash(h, p, p + length)
+        yield a, b, data, off, first[done], last[done], p, X.span_hash(h, p, p + length)
 
 
 def _send_windows(length: int, gram: int, buckets: int):
@@ -159,7 +172,7 @@ def _send_windows(length: int, gram: int, buckets: int):
             return B.SENT_ARROW.empty_table()
         h = np.concatenate([x[-1] for x in _flagged(t, replies, length, gram)])
         keys, counts = np.unique(h, return_counts=True)
-        return B.sent_rows(t["block"][0].as_py(), [(1, keys, counts)], buckets)
+        return B.sent_rows(t["block"][0].as_py(), [(WINDOW, keys, counts)], buckets)
 
     return send
 
@@ -168,7 +181,7 @@ def _cut(length: int, gram: int, whole_chars: bool):
     def cut(t: pa.Table, replies: pa.Table) -> pa.Table:
         found = list(_flagged(t, replies, length, gram))
         keys, place = np.unique(np.concatenate([x[-1] for x in found]) if found else np.zeros(0, U), return_inverse=True)
-        again = (B.answer(replies, 1) > 1)[place] if len(keys) else np.zeros(0, bool)
+        again = (B.answer(replies, WINDOW) > 1)[place] if len(keys) else np.zeros(0, bool)
         sizes, kept, starts, ends, at = [], [], [], [], 0
         for a, b, data, off, first, last, p, _ in found:
             p, at = p[again[at : at + len(p)]], at + len(p)
