@@ -176,6 +176,34 @@ def test_remove_repeats_overlaps(spark):
     assert sorted(map(tuple, got), key=key) == brute_repeats(rows, 60)
 
 
+@pytest.mark.parametrize("block", [4000, 1 << 20])
+def test_remove_repeats_hot_line(spark, block):
+    """A line shorter than the length that all texts hold in different surroundings, and a few texts that share more than it."""
+    import random
+
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line, before, after = noise(150), noise(80), noise(80)
+    rows = [(i, noise(rng.randint(0, 120)) + (before[-(i % 80) :] if i % 5 == 0 else "") + line + (after[: i % 80] if i % 3 == 0 else "") + noise(100)) for i in range(120)] + [(500, line), (501, line * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(df, block_bytes=block)).collect()
+    want = brute_repeats(rows, 200)
+    assert sorted(map(tuple, got), key=key) == want and 0 < sum(r[2] > 0 for r in want) < 100
+
+
+def test_remove_repeats_keys_cost_one_value_a_block():
+    """A key with many entries sends one value; each entry goes to the bucket of its own hash."""
+    import pyarrow as pa
+
+    line = "the same line of a hundred and fifty bytes " * 4
+    rows = [f"{i:08x}" * 20 + line[:150] + f"{i * 7919:08x}" * 20 for i in range(50)]
+    sent = suffix_dedup._send_phrases(200, 16, 8)(pa.table({"block": pa.array([0] * 50, pa.int32()), "text": rows})).to_pylist()
+    size = {k: sum(len(r["keys"]) // 8 for r in sent if r["kind"] == k) for k in (suffix_dedup.ENTRY, suffix_dedup.KEY)}
+    assert size[suffix_dedup.KEY] < size[suffix_dedup.ENTRY]
+    most = max(len(r["keys"]) // 8 for r in sent if r["kind"] == suffix_dedup.ENTRY)
+    assert most < size[suffix_dedup.ENTRY] / 2
+
+
 def test_remove_repeats_whole_chars(spark):
     t = "é" * 40
     df = spark.createDataFrame([(1, "x" + t + "y"), (2, "zz" + t)], "doc_id long, text string")
@@ -234,6 +262,30 @@ def test_sentencepiece_round_trip_and_viterbi(docs):
             assert next(r["ids"] for r in rows if r["doc_id"] == i) == ids
 
 
+def test_sentencepiece_long_words(spark):
+    """Words beyond what advances together take the same path as brute force, and megabytes of one word come back."""
+    import random
+
+    rng = random.Random(3)
+    model = sentencepiece_codec.pieces_of(TOKENIZER)
+    score = {p: (i, s) for p, i, s in model[0]}
+    common = [p.decode() for p in list(score)[300:900] if p.strip(b" ") == p]
+    ts = ["".join(rng.choice(common) for _ in range(60)), "漢字" * 40, "".join(chr(rng.randint(33, 0x2FF)) for _ in range(150)), "x" * 97, "Zm9vYmFy" * 20]
+    found = sentencepiece_codec.encode(spark.createDataFrame([*enumerate(ts), (9, "Zm9vYmFy漢" * 100_000)], "doc_id long, text string").coalesce(1), model)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert all(r["round_trip"] for r in got.values()) and len(got) == 6
+    for i, t in enumerate(ts):
+        assert got[i]["ids"] == brute_viterbi((" " + t).encode(), score, model[1]), t
+
+
+def test_sentencepiece_decode_edges(spark):
+    model = sentencepiece_codec.pieces_of(TOKENIZER)
+    odd = [model[1][0xC3], model[1][0x28]]
+    rows = spark.createDataFrame([(1, None), (2, []), (None, odd), (2, [])], "doc_id long, ids array<int>")
+    assert sorted(map(tuple, sentencepiece_codec.decode(rows, model).collect()), key=key) == sorted([(1, ""), (2, ""), (2, ""), (None, "\ufffd(")], key=key)
+    assert sentencepiece_codec.decode(rows.limit(0), model).collect() == []
+
+
 def brute_viterbi(word, score, byte_ids):
     worst = -1e3 * (1 + max(abs(s) for _, s in score.values()))
     best = [(0.0, [])]

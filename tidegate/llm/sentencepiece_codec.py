@@ -21,7 +21,7 @@ from tidegate.session import ship, spread_out
 U = np.uint64
 MARK = "▁"
 CHUNK = 2 << 20
-#: words beyond this length are searched one by one
+#: longer words don't advance together (few have the same length): each probes the keys with all its substrings at once
 TOGETHER = 96
 
 
@@ -102,21 +102,32 @@ class Codec:
             out[first[r] - 1 - k] = ids
         return counts, out
 
-    def _one(self, word: bytes) -> list[int]:
-        """Pieces of one word of any length."""
-        best, back = [0.0], [(0, -1)]
-        for j in range(1, len(word) + 1):
-            b, f = best[j - 1] + self.worst, (j - 1, int(self.byte_ids[word[j - 1]]))
-            for i in range(j - 1, max(0, j - self.longest) - 1, -1):
-                if (hit := self.by_piece.get(word[i:j])) and best[i] + hit[1] >= b:
-                    b, f = best[i] + hit[1], (i, hit[0])
-            best.append(b)
-            back.append(f)
-        out, j = [], len(word)
+    def _one(self, word: np.ndarray) -> np.ndarray:
+        """Pieces of one word of any length: the substrings of each length probe the keys together, then maxima go from byte to byte."""
+        n = len(word)
+        h, at = X.prefix_hash(word), np.arange(n)
+        best, back, piece = [0.0] * (n + 1), [0] * (n + 1), [0, *self.byte_ids[word].tolist()]
+        starts, places = [], []
+        for size in range(1, min(n, self.longest) + 1):
+            p = self._look(X.span_hash(h, at[: n - size + 1], at[size - 1 :] + 1))
+            starts.append(np.flatnonzero(p >= 0))
+            places.append(p[starts[-1]])
+        ends = np.concatenate([s + k + 1 for k, s in enumerate(starts)])
+        order = np.argsort(ends, kind="stable")  # shorter pieces first: of equal sums the longest wins
+        p = np.concatenate(places)[order]
+        of = np.searchsorted(ends[order], np.arange(n + 2)).tolist()
+        start, score, ids = np.concatenate(starts)[order].tolist(), self.scores[p].tolist(), self.ids[p].tolist()
+        for j in range(1, n + 1):
+            b, i = best[j - 1] + self.worst, j - 1
+            for k in range(of[j], of[j + 1]):
+                if (s := best[start[k]] + score[k]) >= b:
+                    b, i, piece[j] = s, start[k], ids[k]
+            best[j], back[j] = b, i
+        out, j = [], n
         while j:
-            j, p = back[j]
-            out.append(p)
-        return out[::-1]
+            out.append(piece[j])
+            j = back[j]
+        return np.array(out[::-1], np.int32)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and their offsets."""
@@ -142,8 +153,8 @@ class Codec:
             if length <= TOGETHER:
                 c, ids = self._equal(text[s[:, None] + np.arange(length)])
             else:
-                found = [self._one(text[i : i + length].tobytes()) for i in s]
-                c, ids = np.array([len(x) for x in found]), np.concatenate(found).astype(np.int32)
+                found = [self._one(text[i : i + length]) for i in s]
+                c, ids = np.array([len(x) for x in found]), np.concatenate(found)
             counts[k] = c
             parts.append(ids)
             where.append(k)
