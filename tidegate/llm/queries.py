@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import decontaminate, language_id, quality, sentencepiece_codec, suffix_dedup, token_counts, url_filters
+from tidegate.llm import decontaminate, importance, language_id, merkle, oracle, quality, sentencepiece_codec, sharding, suffix_dedup, token_counts, url_filters
 from tidegate.llm.embedding_dedup import near_duplicates
 from tidegate.llm.folds import fold
 from tidegate.llm.jaccard_join import jaccard_components
@@ -115,10 +115,22 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))[0]
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_url_filters, op2_quality_classifier, op3_language_id, op4_token_counts, op5_suffix_array_dedup, op6_benchmark_decontamination, op7_sentencepiece, op8_ngram_jaccard_join, op9_lm_scoring, op10_embedding_near_dedup)
+    every = (op1_url_filters, op2_quality_classifier, op3_language_id, op4_token_counts, op5_suffix_array_dedup, op6_benchmark_decontamination, op7_sentencepiece, op8_ngram_jaccard_join, op9_lm_scoring, op10_embedding_near_dedup, op11_merkle_manifest, op12_sharding, op13_importance_resampling)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op6_benchmark_decontamination": OP6_SQL}
+    return {"op1_url_filters": OP1_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_merkle_manifest": oracle.merkle(), "op13_importance_resampling": oracle.resampling()}
