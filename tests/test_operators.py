@@ -225,3 +225,17 @@ def test_learning_stream_adds_once(spark, tmp_path):
         learn_stream(stream(), str(tmp_path / "known"), str(tmp_path / n)).awaitTermination(60)
     got = io.read_incidents(spark, str(tmp_path / "known")).collect()
     assert [(r["hazard_code"], r["tables"]) for r in got] == [("A", ["t"])]
+
+
+def test_wording_of_changes(spark):
+    """Statements that take something away or change what it is, and bodies that change schema, data or rights."""
+    from tidegate.functions import exprs as X
+
+    rows = [
+        ("DROP TABLE t", True, True), ("drop  materialized view v", False, False), ("DROP\nVIEW v", True, True), ("ALTER TABLE t DROP COLUMN c", True, True), ("ALTER TABLE t ALTER COLUMN c DROP NOT NULL", True, True), ("ALTER TABLE t ALTER c DROP DEFAULT", True, True), ("ALTER TABLE t RENAME TO u", True, True),
+        ("ALTER TABLE t ALTER c SET DATA TYPE text", True, True), ("TRUNCATE t", True, True), ("CREATE UNIQUE INDEX i ON t (a)", False, True), ("CREATE TABLE t (a int)", False, True), ("GRANT SELECT ON t TO u", False, True), ("UPDATE t SET a = 1", False, True), ("SELECT dropped, table_name FROM truncated", False, False),
+        ("INSERT INTO t VALUES (1)", False, True), ("DELETE FROM t", False, True), ("SELECT 1", False, False), ("DROP TYPE x", True, False), ("create unique table t", False, False),
+    ]
+    df = spark.createDataFrame(rows, "sql string, takes boolean, changes boolean")
+    bad = df.where((X.is_destructive(F.col("sql")) != F.col("takes")) | (X.changes_inside(F.col("sql")) != F.col("changes"))).collect()
+    assert not bad

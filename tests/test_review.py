@@ -1,5 +1,8 @@
 """Whole reviews of a library's lending world: each case's findings, and the cases that must stay clean."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +160,7 @@ def test_scans_of_tables(spark, world, tables):
         "ALTER TABLE readers ALTER COLUMN email TYPE varchar(5)", "ALTER TABLE readers ALTER COLUMN books_out TYPE bigint", "ALTER TABLE readers ALTER COLUMN id TYPE integer", "ALTER TABLE nowhere ALTER COLUMN a SET NOT NULL", "ALTER TABLE loans ADD CONSTRAINT c CHECK (fee_cents < 5000) NOT VALID",
     ]
     e = measured(spark, tables, texts, world[2])
+    assert {r["object"] for r in e.unresolved.collect()} == {"nowhere"}
     assert {(r["script_id"], r["kind"], r["violations"]) for r in e.data.collect()} == {(0, "not_null", 1), (1, "unique", 10), (2, "check", 10)}
     assert {(r["script_id"], r["object"], r["severity"], r["offending_rows"]) for r in e.narrowed.collect()} == {(4, "readers.email", "blocker", 50), (6, "readers.id", "medium", 0)}
     assert {r["script_id"] for r in e.bounded.collect()} == {3, 7}  # another dialect's predicate; no such table
@@ -183,3 +187,132 @@ def test_replay_leaves_texts_alone(spark, tables):
         "alias": (True, None, 59), "comma": (True, None, 1), "with": (True, None, 59), "view": (True, None, 50), "write": (False, "PARSE_SYNTAX_ERROR", None), "same": (True, None, 49), "gone": (False, "TABLE_OR_VIEW_NOT_FOUND", None),
         "__view__named": (True, None, 50), "__view__lost": (False, "UNRESOLVED_COLUMN", None),
     }
+
+
+# ---- scripts as wholes ---------------------------------------------------------------------------------------------
+CUSTOMERS = [(1, "x", 1, 5_000_000_000), (2, None, 1, 7), (3, "x", 3, None)]
+PROBES = [
+    # text, codes expected, verdict or none
+    ("CREATE OR REPLACE VIEW v AS SELECT a FROM customers", {"BREAKING_QUERY"}, "BLOCK"), ("DROP VIEW v; CREATE VIEW v AS SELECT a FROM customers", {"BREAKING_QUERY"}, "BLOCK"),
+    ("ALTER TABLE customers RENAME TO c2; CREATE VIEW customers AS SELECT a FROM c2", {"BREAKING_QUERY", DESTROY}, "BLOCK"), ("ALTER TABLE customers RENAME TO c2; CREATE VIEW customers AS SELECT * FROM c2", {DESTROY}, "SAFE_WITH_PLAN"),
+    ("UPDATE customers SET b='q' WHERE b IS NULL; ALTER TABLE customers ALTER COLUMN b SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "NEEDS_COVERAGE_SIGNOFF"), ("UPDATE customers SET b='q' WHERE b IS NULL AND a > 2; ALTER TABLE customers ALTER COLUMN b SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "BLOCK"),
+    ("DELETE FROM customers WHERE a = 3; CREATE UNIQUE INDEX CONCURRENTLY u ON customers (b)", set(), "NEEDS_COVERAGE_SIGNOFF"), ("DELETE FROM customers WHERE a = 2; CREATE UNIQUE INDEX CONCURRENTLY u ON customers (b)", {"UNIQUE_VIOLATION_EXISTING_DATA"}, "BLOCK"),
+    ("CREATE UNIQUE INDEX CONCURRENTLY u ON customers (b) WHERE a < 3", set(), "SAFE"),
+    ("ALTER TABLE customers ADD PRIMARY KEY (b)", {"UNIQUE_VIOLATION_EXISTING_DATA", "NOT_NULL_NO_DEFAULT"}, "BLOCK"), ("ALTER TABLE customers ADD PRIMARY KEY (a)", set(), "SAFE"),
+    ("ALTER TABLE customers ALTER COLUMN big TYPE integer", {"TYPE_NARROWING_DATA_LOSS", "TABLE_REWRITE_LOCK"}, "BLOCK"), ("UPDATE customers SET big = 1 WHERE big > 2147483647; ALTER TABLE customers ALTER COLUMN big TYPE integer", {"TYPE_NARROWING_DATA_LOSS", "TABLE_REWRITE_LOCK"}, "NEEDS_COVERAGE_SIGNOFF"),
+    ("ALTER TABLE customers ADD CONSTRAINT f FOREIGN KEY (boss) REFERENCES customers (a)", {"CONSTRAINT_VALIDATION_LOCK"}, "SAFE"), ("DELETE FROM customers WHERE a = 1; ALTER TABLE customers ADD CONSTRAINT f FOREIGN KEY (boss) REFERENCES customers (a)", {"CONSTRAINT_VALIDATION_LOCK", "INTEGRITY_CONSTRAINT_REMOVED"}, "BLOCK"),
+    ("ALTER TABLE customers ADD CONSTRAINT f FOREIGN KEY (boss) REFERENCES nowhere (a)", {"CONSTRAINT_VALIDATION_LOCK"}, "NEEDS_COVERAGE_SIGNOFF"),
+    ("DROP TABLE x, customers", {DESTROY, "BREAKING_QUERY"}, "BLOCK"), ("DROP TABLE public.customers", {DESTROY, "BREAKING_QUERY"}, "BLOCK"), ("ALTER TABLE elsewhere.things DROP COLUMN b", {DESTROY}, "NEEDS_COVERAGE_SIGNOFF"), ("ALTER TABLE customers DROP b", set(), "NEEDS_COVERAGE_SIGNOFF"),
+    ("ALTER TABLE customers ADD COLUMN n int; ALTER TABLE customers ALTER COLUMN n SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "BLOCK"), ("ALTER TABLE customers ADD COLUMN n int DEFAULT 4; ALTER TABLE customers ALTER COLUMN n SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, None),
+    ("ALTER TABLE customers DROP COLUMN b; ALTER TABLE customers ADD COLUMN b text", {DESTROY}, None), ("ALTER TABLE customers RENAME COLUMN b TO c; ALTER TABLE customers RENAME COLUMN c TO b", {DESTROY}, None), ("CREATE TABLE customers (a int, z text, CONSTRAINT k CHECK (a > 0))", {"BREAKING_QUERY"}, "BLOCK"), ("CREATE TABLE IF NOT EXISTS customers (a int)", set(), "SAFE"),
+    ("UPDATE customers AS c SET b = coalesce(c.b, 'q'); ALTER TABLE customers ALTER COLUMN b SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "NEEDS_COVERAGE_SIGNOFF"), ("DELETE FROM customers c WHERE c.b IS NULL; ALTER TABLE customers ALTER COLUMN b SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "NEEDS_COVERAGE_SIGNOFF"),
+    ("INSERT INTO customers (a) VALUES (9); ALTER TABLE customers ALTER COLUMN a SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "NEEDS_COVERAGE_SIGNOFF"), ("UPDATE customers c SET b = o.b FROM other o; ALTER TABLE customers ALTER COLUMN b SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "NEEDS_COVERAGE_SIGNOFF"),
+]
+
+
+def test_whole_scripts(spark):
+    """Each script is replayed and scanned as a whole, statement by statement."""
+    make = spark.createDataFrame
+    tables = {"customers": make(CUSTOMERS, "a long, b string, boss long, big long")}
+    log = make([(1, "web", "high", "SELECT b FROM v"), (2, "web", "high", "SELECT a, b, boss, big FROM customers")], "query_id long, service string, criticality string, sql string")
+    scripts = make([(i, p[0], "undo") for i, p in enumerate(PROBES)], "script_id long, text string, rollback_sql string")
+    read = RV.read_scripts(scripts)
+    e = EV.measure(read[1], log, tables, {"v": "SELECT a, b FROM customers"})
+    stats = make([("customers", 3)], "tbl string, rows long")
+    got = by_script(RV.review_findings(scripts, *read, stats, log, evidence=e))
+    assert {i: set(got.get(i, {})) for i in range(len(PROBES))} == {i: p[1] for i, p in enumerate(PROBES)}
+    verdicts = {r["script_id"]: r["verdict"] for r in RV.review(scripts, stats, log, evidence=e, read=read).collect()}
+    assert {i: verdicts[i] for i, p in enumerate(PROBES) if p[2]} == {i: p[2] for i, p in enumerate(PROBES) if p[2]}
+
+
+def test_replay_is_that_of_whole_scripts(spark):
+    """A thousand random scripts: the outcomes are those of each script's last shapes, resolved one by one; scripts share resolutions."""
+    rng = random.Random(11)
+    tables = {"ta": spark.createDataFrame([], "k long, x string, y double"), "tb": spark.createDataFrame([], "k long, z string")}
+    views = {"va": "SELECT k, x FROM ta", "vb": "SELECT va.k, z FROM va JOIN tb ON va.k = tb.k"}
+    acts = [
+        "ALTER TABLE ta DROP COLUMN x", "ALTER TABLE ta RENAME COLUMN x TO w", "ALTER TABLE ta RENAME COLUMN w TO x", "ALTER TABLE ta ADD COLUMN x text", "ALTER TABLE tb ADD COLUMN x text", "ALTER TABLE tb RENAME TO tc", "ALTER TABLE tc RENAME TO tb", "DROP VIEW va", "CREATE OR REPLACE VIEW va AS SELECT k FROM ta",
+        "CREATE VIEW tb AS SELECT k, x AS z FROM ta", "DROP TABLE ta", "CREATE TABLE ta (k int, x text, extra int)", "CREATE OR REPLACE VIEW va AS SELECT * FROM ta", "ALTER TABLE ta DROP COLUMN y", "ALTER TABLE ta ADD COLUMN unheard int",
+    ]
+    texts = ["; ".join(rng.choice(acts) for _ in range(rng.randint(1, 6))) for _ in range(1000)]
+    reads = ["SELECT x FROM ta", "SELECT * FROM va", "SELECT z FROM vb", "SELECT ta.k FROM ta JOIN tb ON ta.k = tb.k WHERE x = 'a'", "SELECT count(*) AS n FROM tb", "SELECT * FROM ta"]
+    log = spark.createDataFrame([(i, "s", "low", q) for i, q in enumerate(reads)], "query_id long, service string, criticality string, sql string")
+    ops = change_events(split_scripts(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string")))
+    e = EV.replay_changes(ops, log, tables, views)
+    got = {(r["script_id"], r["query_id"]) for r in e.broken.where("not is_view").collect()}
+    drift = {(r["script_id"], r["query_id"]): set(r["removed"]) for r in e.drift.collect()}
+    assert e.resolutions < 600
+
+    def columns(sql, shapes, depth=0):
+        """What a read of this test gives on shapes, or None: rules of the six texts, not of SQL."""
+        def rel(name):
+            s = shapes.get(name)
+            if depth > 4 or s is None or isinstance(s, list):
+                return s
+            return columns(s, shapes, depth + 1)
+
+        if " JOIN " in sql:
+            a, b = re.search(r"FROM (\w+) JOIN (\w+)", sql).groups()
+            ca, cb = rel(a), rel(b)
+            if ca is None or cb is None or "k" not in ca or "k" not in cb:
+                return None
+            free = [w for w in re.findall(r"(?<![.\w])(x|z)\b", sql)]
+            if any((w in ca) + (w in cb) != 1 for w in free):
+                return None
+            return ["k", "z"] if "z FROM" in sql else ["k"]
+        name = re.search(r"FROM (\w+)", sql)[1]
+        c = rel(name)
+        if c is None:
+            return None
+        want = sql.split(" FROM ")[0].removeprefix("SELECT ")
+        if want == "*":
+            return c
+        if want.startswith("count"):
+            return ["n"]
+        parts = [p.split(" AS ") for p in want.split(", ")]
+        return [p[-1] for p in parts] if all(p[0] in c for p in parts) else None
+
+    def run(text):
+        now = {"ta": ["k", "x", "y"], "tb": ["k", "z"]} | views
+        for act in text.split("; "):
+            w = act.split()
+            if act.startswith("CREATE TABLE"):
+                now["ta"] = ["k", "x", "extra"]
+            elif act.startswith("CREATE"):
+                now[act.split(" VIEW ")[1].split()[0]] = act.split(" AS ", 1)[1]
+            elif act.startswith("DROP"):
+                now.pop(w[2], None)
+            elif w[2] in now and "RENAME TO" in act:
+                now[w[5]] = now.pop(w[2])
+            elif w[2] in now and isinstance(now[w[2]], list):
+                t = now[w[2]]
+                if "DROP" in act:
+                    now[w[2]] = [c for c in t if c != w[5]]
+                elif "RENAME" in act:
+                    now[w[2]] = [w[7] if c == w[5] else c for c in t]
+                elif w[5] not in t:
+                    now[w[2]] = [*t, w[5]]
+        return now
+
+    base = {"ta": ["k", "x", "y"], "tb": ["k", "z"]} | views
+    for i, text in enumerate(texts):
+        after = run(text)
+        for k, q in enumerate(reads):
+            was, now = columns(q, base), columns(q, after)
+            assert ((i, str(k)) in got) == (now is None), (text, q)
+            if now is not None:
+                assert drift.get((i, str(k)), set()) == set(was) - set(now), (text, q)
+
+
+def test_many_keys_in_one_exchange(spark):
+    """Fifty keys counted together give what fifty single checks give, with one exchange for the rows."""
+    from itertools import combinations
+
+    from tests.conftest import SF
+    from tidegate.operators import preflight as P
+
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_tax", F.when(F.col("l_tax") > 0.02, F.col("l_tax")))
+    keys = [list(c) for n in (1, 2, 3) for c in combinations(li.columns[:7] + ["l_tax"], n)][:50]
+    got = P.rejected_by_keys(li, {",".join(k): [F.col(c) for c in k] for k in keys})
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
+    assert {r["key"]: r["violations"] for r in got.collect()} == {",".join(k): P.rejected(li, k).first()[0] for k in keys}

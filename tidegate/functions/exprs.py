@@ -114,7 +114,7 @@ def statement_kind(sql: Column) -> Column:
     )
     index = F.filter(w, lambda x: ~x.isin("unique", "concurrently"))
     out = F.when((table == "alter table") & word(3).isNotNull(), altered).when((_phrase(index, 1, 2) == "create index") & (F.get(index, F.lit(3)) == "on") & F.array_contains(w, "("), "create_index")
-    out = out.when((table == "create view") & (word(3) == "as"), "create_view").when((word(0) == "update") & (word(2) == "set"), "dml_update").when(is_procedural(sql) & sql.contains("$"), "procedural_block")
+    out = out.when((table == "create view") & (word(3) == "as"), "create_view").when((word(0) == "update") & ((word(2) == "set") | (word(3) == "set") | ((word(2) == "as") & (word(4) == "set"))), "dml_update").when(is_procedural(sql) & sql.contains("$"), "procedural_block")
     return out.when(sql.isNotNull(), F.coalesce(_map(_HEADS.items())[table], _map(_FIRST.items())[word(0)], F.lit("unsupported")))
 
 
@@ -126,18 +126,20 @@ def is_ddl_or_dml(sql: Column) -> Column:
     return leading_keyword(sql).isin(*V.DDL_OR_DML)
 
 
-def _phrases(sql: Column, phrases: list[str]) -> Column:
-    """Whether any of ``phrases`` stands in ``sql`` as whole words."""
-    return sql.rlike(r"(?i)\b(" + "|".join(p.replace(" ", r"\s+") for p in phrases) + r")\b")
+def _acts(sql: Column, verbs: dict[str, list[str]]) -> Column:
+    """Whether one of ``verbs`` stands in ``sql`` before something that it acts on, as whole words."""
+    spaced = lambda x: x.replace(" ", r"\s+")
+    each = (verb + (rf"\s+(?:{'|'.join(map(spaced, objects))})" if objects else "") for verb, objects in verbs.items())
+    return sql.rlike(rf"(?i)\b(?:{'|'.join(each)})\b")
 
 
 def is_destructive(sql: Column) -> Column:
-    return _phrases(sql, V.DESTRUCTIVE_TEXT)
+    return _acts(sql, V.DESTRUCTIVE_VERBS)
 
 
 def changes_inside(text: Column) -> Column:
-    """Whether a statement of a procedural body (literals blanked) changes schema or data."""
-    return _phrases(text, V.BODY_CHANGES) | text.rlike(r"(?i)\bupdate\s+\S+\s+set\b")
+    """Whether a statement of a procedural body (literals blanked) changes schema, data or rights."""
+    return _acts(text, V.BODY_VERBS) | text.rlike(r"(?i)\bupdate\s+\S+\s+set\b")
 
 
 def assigned_columns(sql: Column) -> Column:

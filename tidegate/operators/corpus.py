@@ -68,10 +68,11 @@ def access_path_users(log: DataFrame, indexes: DataFrame) -> DataFrame:
     """(name, query_id, service, criticality, used, excerpt): statements that name an index's table and look up by its columns.
 
     A statement's words are first cut to the tables that have an index (one row, as large as the catalogue), so a row is
-    made for each such table that it names and not for each word, and only these are read for their clauses.
+    made for each such table that it names and not for each word, and only these are read for their clauses. Spark
+    broadcasts that row if its measured size allows.
     """
     tables = indexes.agg(F.collect_set("tbl").alias("_tables"))
-    probe = log.select("query_id", "service", "criticality", "sql").join(F.broadcast(tables)).withColumn("tbl", F.explode(F.array_intersect(X.identifiers(F.col("sql")), "_tables"))).drop("_tables")
+    probe = log.select("query_id", "service", "criticality", "sql").join(tables).withColumn("tbl", F.explode(F.array_intersect(X.identifiers(F.col("sql")), "_tables"))).drop("_tables")
     probe = probe.withColumn("filters", X.filter_columns(F.col("sql")))
     met = probe.join(indexes, "tbl").withColumn("used", F.array_sort(F.array_intersect("filters", "columns"))).where(F.size("used") > 0)
     return met.select("name", "query_id", "service", "criticality", "used", X.clause_excerpt(F.col("sql"), F.col("used")).alias("excerpt"))

@@ -17,19 +17,21 @@ def _name(word: Column) -> Column:
 
 
 def change_events(statements: DataFrame) -> DataFrame:
-    """(script_id, idx, kind, sql, tbl, col, new_name, new_type, index_name, columns) of ``statements`` (script_id, idx, code, clauses).
+    """(script_id, idx, part, kind, sql, tbl, col, new_name, new_type, index_name, columns) of ``statements`` (script_id, idx, code, clauses).
 
     What the text doesn't name is null. sql is the code with white space collapsed, for an ALTER TABLE with the action
     alone: its actions are the clauses, which the census cuts at commas outside brackets and quotes. Kinds are those of
-    ``statement_kind``. columns: of a created index, of an inserted row, of a unique or foreign key.
+    ``statement_kind``. A DROP of several names is an event for each. part: the event's place in its statement. columns:
+    of a created index, of an inserted row, of a unique, primary or foreign key.
     """
     s = statements.select("script_id", "idx", X.norm_sql(F.col("code")).alias("code"), F.transform("clauses", X.norm_sql).alias("clauses"))
     altered = F.array_join(F.slice(X.statement_words(F.col("code")), 1, 2), " ") == "alter table"
     # the head of an ALTER TABLE ends with the table's name: the third word, those that stand aside not counted
     head = F.regexp_extract("code", rf"(?i)^(?:(?:{X.ASIDE}|\S+)\s+?){{2}}(?:\s*{X.ASIDE}\s+)*\S+", 0)
-    others = F.transform(F.slice("clauses", F.lit(2), F.greatest(F.lit(0), F.size("clauses") - 1)), lambda c: F.concat(head, F.lit(" "), c))
-    actions = F.when(altered, F.concat(F.slice("clauses", 1, 1), others)).otherwise(F.array("code"))
-    one = s.select("script_id", "idx", F.explode(actions).alias("sql")).withColumn("kind", X.statement_kind(F.col("sql")))
+    listed = F.regexp_extract("code", r"(?i)^drop\s+(?:table|view|index)\b(?:\s+concurrently\b)?(?:\s+if\s+exists\b)?", 0)
+    others = lambda before: F.transform(F.slice("clauses", F.lit(2), F.greatest(F.lit(0), F.size("clauses") - 1)), lambda c: F.concat(before, F.lit(" "), c))
+    actions = F.when(altered, F.concat(F.slice("clauses", 1, 1), others(head))).when(listed != "", F.concat(F.slice("clauses", 1, 1), others(listed))).otherwise(F.array("code"))
+    one = s.select("script_id", "idx", F.posexplode(actions).alias("part", "sql")).withColumn("kind", X.statement_kind(F.col("sql")))
     one = one.withColumns({"_w": X.statement_words(F.col("sql"))}).withColumn("_i", F.filter("_w", lambda x: ~x.isin("unique", "concurrently")))
     kind, w, i = F.col("kind"), F.col("_w"), F.col("_i")
     word = lambda c, n: F.get(c, F.lit(n))
@@ -43,7 +45,7 @@ def change_events(statements: DataFrame) -> DataFrame:
     on_column = (F.array_join(F.slice(w, 1, 2), " ") == "alter table") & (word(w, 4) == "column")
     keyed = kind.isin("create_index", "dml_insert") | ((kind == "add_constraint") & F.exists(w, lambda x: x.isin("unique", "foreign", "primary")))
     return one.select(
-        "script_id", "idx", "kind", "sql",
+        "script_id", "idx", "part", "kind", "sql",
         _name(table).alias("tbl"),
         F.when(on_column, _name(word(w, 5))).alias("col"),
         _name(F.when(kind.isin("rename_column", "rename_table"), F.element_at(w, -1)).when(kind.isin("create_view", "drop_view"), word(w, 2))).alias("new_name"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
@@ -25,6 +27,46 @@ def rejected(df: DataFrame, keys: list[str]) -> DataFrame:
     return n.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
 
 
+def _hashes(values: list[Column]) -> list[Column]:
+    """Two independent hashes of a key, 128 bits together; null where a part is null."""
+    full = reduce(Column.__and__, (v.isNotNull() for v in values))
+    return [F.when(full, F.xxhash64(*values)).alias("h"), F.when(full, F.xxhash64(F.lit("g"), *values)).alias("g")]
+
+
+def rejected_by_keys(df: DataFrame, keys: dict[str, list[Column]]) -> DataFrame:
+    """(key, violations): rows that each of many unique keys would reject, from one scan and one exchange.
+
+    A row is sent once for each key, as a number and a hash of 128 bits, after equal ones are counted on the map side:
+    a hot key is a row for each task. A key with a null never collides.
+    """
+    each = F.array(*(F.struct(F.lit(i).alias("k"), *_hashes(values)) for i, values in enumerate(keys.values())))
+    n = df.select(F.inline(each)).where("h is not null").groupBy("k", "h", "g").agg(F.count(F.lit(1)).alias("n"))
+    return _by_key(df.sparkSession, list(keys), n.groupBy("k").agg(F.sum(F.col("n") - 1).alias("violations")))
+
+
+def _by_key(spark: SparkSession, keys: list[str], found: DataFrame) -> DataFrame:
+    names = spark.createDataFrame(list(enumerate(keys)), "k int, key string")
+    return names.join(found, "k", "left").select("key", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
+
+
+def orphans_by_keys(keys: dict[str, tuple[tuple[DataFrame, list[Column], list[str]], tuple[DataFrame, list[Column], list[str]]]]) -> DataFrame:
+    """(key, violations): rows without a parent, for each of many foreign keys, in one exchange.
+
+    keys: of child and parent each the table, the key's columns and their types. Both sides are sent as the key's number
+    and a hash of 128 bits, equal ones combined on the map side. A key with a null needs no parent.
+    """
+    whole = ("tinyint", "smallint", "int", "bigint")
+
+    def side(k: int, df: DataFrame, values: list[Column], kinds: list[str], others: list[str], child: bool) -> DataFrame:
+        alike = [v if a == b else v.cast("bigint") if a in whole and b in whole else v.cast("string") for v, a, b in zip(values, kinds, others, strict=True)]
+        return df.select(F.lit(k).alias("k"), *_hashes(alike), F.lit(int(child)).alias("n"), F.lit(not child).alias("there"))
+
+    parts = [side(k, df, values, kinds, others, child) for k, (a, b) in enumerate(keys.values()) for (df, values, kinds), others, child in ((a, b[2], True), (b, a[2], False))]
+    met = reduce(DataFrame.unionByName, parts).where("h is not null").groupBy("k", "h", "g").agg(F.sum("n").alias("n"), F.bool_or("there").alias("there"))
+    spark = next(iter(keys.values()))[0][0].sparkSession
+    return _by_key(spark, list(keys), met.where("not there").groupBy("k").agg(F.sum("n").alias("violations")))
+
+
 def null_counts(cols: list[str]) -> dict[str, Column]:
     return {f"{c}_not_null": F.count_if(F.col(c).isNull()) for c in cols}
 
@@ -113,6 +155,15 @@ def check_foreign_key(child: DataFrame, parent: DataFrame, key: str, parent_key:
 RANGES = {"smallint": 1 << 15, "int": 1 << 31, "integer": 1 << 31, "bigint": 1 << 63}
 
 
+def outside(value: Column, new: str, is_number: bool) -> Column:
+    """Whether a value lies beyond the integer type ``new``; false for other types, texts and null."""
+    m = RANGES.get(new.strip().lower())
+    if m is None or not is_number:
+        return F.lit(False)
+    v = value.cast("double")
+    return F.coalesce((v < float(-m)) | (v >= float(m)), F.lit(False))
+
+
 def check_int_range(df: DataFrame, col: str, new: str) -> DataFrame:
     """(outside): values beyond the new integer type; null is inside."""
     m = RANGES[new]

@@ -10,8 +10,11 @@ statements that applications hold, not of those that they send.
 
 from __future__ import annotations
 
+import json
 import logging
 import re
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +67,52 @@ def resolve(own: SparkSession, queries: list[tuple[str, str]], errors: dict[str,
     return out
 
 
+def _bound(state: str, left_out: set[str] = frozenset()) -> list[tuple[str, str]]:
+    """The relations of a state (see ``scripts.visible``), each a name and a WITH item of its shape alone."""
+    out = []
+    for name, shape in json.loads(state):
+        if name not in left_out:
+            columns = ", ".join(f"CAST(NULL AS {t}) AS `{c}`" for c, t in shape) if not isinstance(shape, str) else ""
+            out.append((name, f"`{name}` AS " + (_inner(shape) if isinstance(shape, str) else f"(SELECT {columns or 'NULL AS `__none`'})")))
+    return out
+
+
+def outcomes(spark: SparkSession, asked: list[tuple[str, str]], threads: int = 8) -> list[tuple[str | None, list[str] | None]]:
+    """(error, columns) of each (read, state): analysis alone, nothing runs.
+
+    Reads are analysed side by side, in sessions that know no relation but those of the state. A view that doesn't
+    resolve isn't there.
+    """
+    LOG.setLevel(logging.CRITICAL)  # an error here is an answer
+    here = threading.local()
+
+    def tell(sql: str) -> tuple[str | None, list[str] | None]:
+        if not hasattr(here, "own"):
+            here.own = spark.newSession()
+        try:
+            return None, here.own.sql(sql).columns
+        except PySparkException as e:
+            return _error(e), None
+
+    def text(items: list[tuple[str, str]], read: str) -> str:
+        head = f"WITH {', '.join(x for _, x in items)} " if items else ""
+        return f"{head}SELECT * FROM {_inner(read)} AS q"
+
+    def one(pair: tuple[str, str]) -> tuple[str | None, list[str] | None]:
+        read, state = pair
+        bad: set[str] = set()
+        for name, shape in json.loads(state):
+            if isinstance(shape, str):
+                items = _bound(state, bad)
+                upto = [n for n, _ in items].index(name) + 1
+                if tell(text(items[:upto], f"SELECT * FROM `{name}`"))[0]:
+                    bad.add(name)
+        return tell(text(_bound(state, bad), read))
+
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(one, asked))
+
+
 def with_views(queries: list[tuple[str, str]], views: dict[str, str]) -> list[tuple[str, str]]:
     return [*queries, *((VIEW + v, f"SELECT * FROM {v}") for v in views)]
 

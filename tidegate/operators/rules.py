@@ -253,6 +253,11 @@ def bounded_scan(scans: DataFrame) -> DataFrame:
     return gap(scans.where("bounded").withColumn("idx", F.lit(-1)), "fixture_bounded_value_scan", F.col("object"), irreversible=True)
 
 
+def unresolved_relation(lost: DataFrame) -> DataFrame:
+    """(script_id, seq, object): relations that a script changes and nobody knows: neither scanned nor replayed."""
+    return gap(lost.withColumnRenamed("seq", "idx"), "unresolved_relation", F.col("object"))
+
+
 def uncovered(columns: DataFrame) -> DataFrame:
     """(script_id, idx, tbl, col) that no statement of the log names."""
     return gap(columns, "uncovered_object", F.concat_ws(".", "tbl", "col"))

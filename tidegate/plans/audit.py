@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import vocab as V
+from tidegate.operators import rules as R
 
 
 def plan_steps(plans: DataFrame) -> DataFrame:
@@ -45,3 +46,9 @@ def plan_findings(steps: DataFrame, code_steps: DataFrame, gates: DataFrame) ->
     a = ungated_steps(steps, gates).withColumn("code", F.lit("UNGATED_STEP"))
     b = rollback_conflicts(steps, code_steps, gates).withColumn("code", F.lit("ROLLBACK_CONFLICT"))
     return a.unionByName(b).select("script_id", "code", "seq", "object").orderBy("script_id", "code", "seq")
+
+
+def plan_gaps(steps: DataFrame, gates: DataFrame) -> DataFrame:
+    """Gaps of plans: statements of a kind that nothing inspects, and steps that count as gated because a gate's text names their object."""
+    unruled = R.unruled(steps.withColumnsRenamed({"seq": "idx", "object": "tbl"}), "unruled_generated_statement")
+    return unruled.unionByName(R.gap(text_gated_steps(steps, gates).withColumnRenamed("seq", "idx"), "audit_gate_text_only", F.col("object")))

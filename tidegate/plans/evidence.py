@@ -1,13 +1,14 @@
 """What the real tables and the query log say about a fleet's changes: scans of data, and reads that stop working.
 
-Both ask once for each distinct check or change, however many scripts make it, and join the answers back to the scripts.
-The distinct ones come to the driver: they are of the size of the catalogue and of what its reviewers write, not of the
-tables, the log or the fleet.
+Scripts are taken as wholes, statement by statement (``operators.scripts``). Both ask once for each distinct check, or
+state that a read sees, however many scripts come to it, and join the answers back to the scripts. The distinct ones come
+to the driver: they are of the size of the catalogue and of what its reviewers write, not of the tables or the log.
 """
 
 from __future__ import annotations
 
-import re
+import json
+from contextlib import suppress
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -21,12 +22,11 @@ from tidegate.operators import findings as FI
 from tidegate.operators import preflight as P
 from tidegate.operators import replay as RE
 from tidegate.operators import rules as R
+from tidegate.operators import scripts as S
 from tidegate.session import materialize
 
 #: expressions of one scan; more are counted in further scans
 AT_ONCE = 200
-#: kinds of change that can take a name away from a read
-STRUCTURAL = "drop_column rename_column drop_table rename_table drop_view".split()
 SCANNED = "script_id long, check string, kind string, violations long"
 BROKEN = "script_id long, query_id string, services array<string>, is_view boolean"
 DRIFT = "script_id long, query_id string, services array<string>, removed array<string>"
@@ -43,6 +43,9 @@ class Evidence:
     bounded: DataFrame | None = None
     broken: DataFrame | None = None
     drift: DataFrame | None = None
+    unresolved: DataFrame | None = None
+    #: analyses that a replay took
+    resolutions: int | None = None
 
     def __or__(self, other: Evidence) -> Evidence:
         return replace(self, **{k: v for k, v in vars(other).items() if v is not None})
@@ -56,7 +59,7 @@ class Evidence:
         return every
 
     def gaps(self) -> list[DataFrame]:
-        return [] if self.bounded is None else [R.bounded_scan(self.bounded)]
+        return [rule(df) for df, rule in ((self.bounded, R.bounded_scan), (self.unresolved, R.unresolved_relation)) if df is not None]
 
 
 # ---- scans ---------------------------------------------------------------------------------------------------------
@@ -67,195 +70,155 @@ def declared(df: DataFrame, col: str) -> str:
     return names.get(kind, kind.replace("decimal", "numeric"))
 
 
-def checks(ops: DataFrame) -> DataFrame:
-    """(script_id, tbl, kind, arg): what each change event demands of the rows that exist.
-
-    kind: not_null (arg: the column), unique (columns joined by a comma), check (the predicate) or narrow (column and
-    new type, divided by a colon).
-    """
-    sql, kind = F.col("sql"), F.col("kind")
-    predicate = F.regexp_extract(sql, r"(?is)\bcheck\s*\((.*)\)", 1)
-    unique = (F.size("columns") > 0) & sql.rlike(r"(?i)\bunique\b")
-    what = (
-        F.when(kind == "set_not_null", F.struct(F.lit("not_null").alias("kind"), F.col("col").alias("arg")))
-        .when((kind == "alter_type") & (F.col("new_type") != ""), F.struct(F.lit("narrow").alias("kind"), F.concat_ws(":", "col", "new_type").alias("arg")))
-        .when(kind.isin("create_index", "add_constraint") & unique, F.struct(F.lit("unique").alias("kind"), F.array_join("columns", ",").alias("arg")))
-        .when((kind == "add_constraint") & (predicate != "") & ~sql.rlike(r"(?i)not\s+valid"), F.struct(F.lit("check").alias("kind"), F.trim(predicate).alias("arg")))
-    )
-    return ops.withColumn("_c", what).where("_c is not null and tbl is not null").select("script_id", "tbl", "_c.kind", "_c.arg").distinct()
-
-
-def _count(df: DataFrame, kind: str, arg: str) -> Column | None:
-    """Rows that break a check, as an aggregate; None where it can't be asked of this table."""
-    if kind == "not_null":
-        return F.count_if(F.col(arg).isNull()) if arg in df.columns else None
-    if kind == "narrow":
-        col, new = arg.split(":", 1)
-        if col not in df.columns:
+class Scanned:
+    """A table with the steps that scripts' statements make of its columns. A step that can't be analysed, another dialect's, is left out with all that rest on it."""
+
+    def __init__(self, df: DataFrame, steps: dict[str, list]):
+        self.df, left = df, dict(steps)
+        while left:
+            # steps are named by what they are made of, so none rests on itself
+            ready = {n: made for n, made in left.items() if not any(other in text for other in left for text in made[1:] if text)}
+            left = {n: made for n, made in left.items() if n not in ready}
+            good = {}
+            for name, made in ready.items():
+                with suppress(AnalysisException, KeyError):
+                    one = F.expr(self._sql(*made))
+                    self.df.select(one.alias(name)).schema  # analysed only
+                    good[name] = one
+            if good:
+                self.df = self.df.withColumns(good)
+        self.types = dict(self.df.dtypes)
+
+    def _sql(self, kind: str, *texts: str | None) -> str:
+        if kind == "set":
+            where, value, ref = texts
+            return f"CASE WHEN ({where}) THEN try_cast(({value}) AS {dict(self.df.dtypes)[ref]}) ELSE `{ref}` END"
+        if kind == "left":
+            where, before = texts
+            return f"NOT coalesce(({where}), false)" + (f" AND `{before}`" if before else "")
+        return texts[0]
+
+    def alive(self, spec: dict) -> Column:
+        return F.col(spec["alive"]) if spec["alive"] else F.lit(True)
+
+    def has(self, spec: dict) -> bool:
+        return all(c in self.types for c in [*spec["refs"], *([spec["alive"]] if spec["alive"] else [])])
+
+    def count(self, kind: str, spec: dict) -> Column | None:
+        """Rows that break a check, as an aggregate; None where it can't be asked."""
+        if not self.has(spec):
+            return None
+        if kind == "not_null":
+            return F.count_if(self.alive(spec) & F.col(spec["refs"][0]).isNull())
+        if kind == "narrow":
+            col, new = F.col(spec["refs"][0]), spec["text"]
+            number = isinstance(self.df.schema[spec["refs"][0]].dataType, NumericType)
+            return F.count_if(self.alive(spec) & (X.offends(col if number else col.cast("string"), new, not number) | P.outside(col, new, number)))
+        try:
+            found = F.count_if(self.alive(spec) & ~F.expr(spec["text"]))
+            self.df.agg(found).schema  # analysed only: a predicate of another dialect isn't asked
+            return found
+        except AnalysisException:
             return None
-        number = isinstance(df.schema[col].dataType, NumericType)
-        return F.count_if(X.offends(F.col(col) if number else F.col(col).cast("string"), new, not number))
-    try:
-        found = P.violation(arg)
-        df.limit(0).agg(found).schema  # analysed only: a predicate of another dialect isn't asked
-        return found
-    except AnalysisException:
-        return None
 
 
 def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str, str] | None = None) -> Evidence:
-    """Data failures, narrowing and bounded scans of the scripts' changes, from one scan of each table for most checks.
+    """Data failures, narrowing and bounded scans of the scripts' checks, each on the rows as its script has left them by then.
 
-    Uniqueness needs a shuffle and has a scan of its own for each distinct key. ``samples`` (table to predicate): where
-    given, only these rows are scanned, and a clean scan is bounded if the table has others. A check that can't be asked
-    (no such column, another dialect's predicate) counts as bounded: nothing was seen.
+    One scan of each table for most checks; one more, with one exchange, for all its unique keys; and one exchange for
+    all foreign keys. ``samples`` (table to predicate): where given, only these rows are scanned, and a clean scan is
+    bounded if the table has others. A clean scan after an INSERT is bounded too, since no scan saw the new rows, and so
+    is a check that can't be asked (``scripts.row_checks``): nothing was seen.
     """
-    wanted = checks(ops)
-    asked = sorted((r["tbl"], r["kind"], r["arg"]) for r in wanted.select("tbl", "kind", "arg").distinct().collect())
-    spark, parts, lost = ops.sparkSession, [], []
-    wide = _wider(spark, [(t, a, declared(tables[t], a.split(":", 1)[0]), a.split(":", 1)[1]) for t, k, a in asked if k == "narrow" and t in tables and a.split(":", 1)[0] in tables[t].columns])
-    label = lambda t, k, a: F.struct(F.lit(t).alias("tbl"), F.lit(k).alias("kind"), F.lit(a).alias("arg"))
-    for name in sorted({t for t, *_ in asked}):
-        df = tables.get(name)
-        own = [(k, a) for t, k, a in asked if t == name]
-        if df is None:
-            lost += [(name, k, a) for k, a in own]
-            continue
-        seen = df.where((samples or {}).get(name, "true"))
-        counts = {}
-        for k, a in own:
-            if (name, a) in wide:
-                continue  # every value fits
-            if k == "unique":
-                if set(a.split(",")) <= set(df.columns):
-                    parts.append(P.rejected(seen, a.split(",")).select(label(name, k, a).alias("x"), "violations", F.lit(name in (samples or {})).alias("part")))
-                else:
-                    lost.append((name, k, a))
-            elif (c := _count(df, k, a)) is None:
-                lost.append((name, k, a))
-            else:
-                counts[(k, a)] = c
+    spark, samples = ops.sparkSession, samples or {}
+    wanted = materialize(S.row_checks(S.ordered(ops), {t: dict(df.dtypes) for t, df in tables.items()}))
+    asked = [(r["kind"], r["spec"], json.loads(r["spec"])) for r in wanted.where("spec is not null").select("kind", "spec").distinct().collect()]
+    steps: dict[str, dict[str, list]] = {t: {} for t in tables}
+    for _, _, spec in asked:
+        for own in filter(None, (spec, spec["parent"])):
+            steps[own["base"]] |= {name: made for name, *made in own["steps"]}
+    used = {own["base"] for _, _, spec in asked for own in (spec, spec["parent"]) if own}
+    scanned = {t: Scanned(tables[t], steps[t]) for t in used}
+    narrow = [(spec_text, declared(scanned[s["base"]].df, s["refs"][0]), s["text"]) for k, spec_text, s in asked if k == "narrow" and scanned[s["base"]].has(s)]
+    wide = _wider(spark, narrow)
+    parts, rejected, foreign = [], {}, []
+    for name in sorted(used):
+        own = [x for x in asked if x[2]["base"] == name and not (x[0] == "narrow" and x[1] in wide)]
+        table = scanned[name]
+        seen = table.df.where(samples.get(name, "true"))
+        counts = {(k, text): c for k, text, s in own if k not in ("unique", "foreign") and (c := table.count(k, s)) is not None}
+        rejected[name] = [(text, s) for k, text, s in own if k == "unique" and table.has(s)]
+        foreign += [(text, s) for k, text, s in own if k == "foreign" and table.has(s) and scanned[s["parent"]["base"]].has(s["parent"])]
         for at in range(0, len(counts), AT_ONCE):
             some = list(counts.items())[at : at + AT_ONCE]
             one = seen.agg(F.count(F.lit(1)).alias("n"), *(c.alias(f"c{i}") for i, (_, c) in enumerate(some)))
-            part = F.lit(False) if not (samples or {}).get(name) else F.lit(None).cast("boolean")
-            rows = F.array(*(F.struct(label(name, k, a).alias("x"), F.col(f"c{i}").alias("violations"), part.alias("part")) for i, ((k, a), _) in enumerate(some)))
-            found = one.select("n", F.inline(rows))
-            if (samples or {}).get(name):
-                found = found.join(df.agg(F.count(F.lit(1)).alias("all"))).withColumn("part", F.col("n") < F.col("all"))
-            parts.append(found.select("x", "violations", "part"))
-    schema = "x struct<tbl: string, kind: string, arg: string>, violations long, part boolean"
-    unseen = spark.createDataFrame([(x, None, True) for x in lost], schema)
-    found = reduce(DataFrame.unionByName, parts, unseen).select("x.*", "violations", "part")
-    met = materialize(wanted.join(found, ["tbl", "kind", "arg"]))
-    clean = F.coalesce("violations", F.lit(0)) == 0
-    narrow = F.col("kind") == "narrow"
-    target = F.concat_ws(".", "tbl", F.when(narrow, F.split("arg", ":")[0]).otherwise(F.col("arg")))
-    named = met.withColumn("object", F.when(F.col("kind") == "unique", F.concat(F.col("tbl"), F.lit("("), F.col("arg"), F.lit(")"))).otherwise(target))
-    known = named.where("violations is not null")
+            rows = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(text).alias("spec"), F.col(f"c{i}").alias("violations")) for i, ((k, text), _) in enumerate(some)))
+            found = one.select("n", F.inline(rows)).withColumn("partly", F.lit(False))
+            if samples.get(name):
+                found = found.join(tables[name].agg(F.count(F.lit(1)).alias("all"))).withColumn("partly", F.col("n") < F.col("all"))
+            parts.append(found.select("kind", "spec", "violations", "partly"))
+        if rejected[name]:
+            keys = {text: [F.when(table.alive(s), F.col(c)) for c in s["refs"]] for text, s in rejected[name]}
+            parts.append(P.rejected_by_keys(seen, keys).select(F.lit("unique").alias("kind"), F.col("key").alias("spec"), "violations", F.lit(name in samples).alias("partly")))
+    if foreign:
+        side = lambda s: (scanned[s["base"]].df, [F.when(scanned[s["base"]].alive(s), F.col(c)) for c in s["refs"]], [scanned[s["base"]].types[c] for c in s["refs"]])
+        parts.append(P.orphans_by_keys({text: (side(s), side(s["parent"])) for text, s in foreign}).select(F.lit("foreign").alias("kind"), F.col("key").alias("spec"), "violations", F.lit(False).alias("partly")))
+    none = spark.createDataFrame([], "kind string, spec string, violations long, partly boolean")
+    found = reduce(DataFrame.unionByName, parts, none)
+    kept = wanted.join(spark.createDataFrame([(x,) for x in wide], "spec string").withColumn("kind", F.lit("narrow")), ["kind", "spec"], "left_anti")
+    met = materialize(kept.join(found, ["kind", "spec"], "left").withColumn("part", F.col("violations").isNull() | F.col("part") | F.col("partly")))
+    target = F.concat_ws(".", "tbl", F.when(F.col("kind") == "narrow", F.split("arg", ":")[0]).otherwise(F.col("arg")))
+    named = met.withColumn("object", F.when(F.col("kind").isin("unique", "foreign"), F.concat(F.col("tbl"), F.lit("("), F.col("arg"), F.lit(")"))).otherwise(target))
+    known, narrowed = named.where("violations is not null"), F.col("kind") == "narrow"
     return Evidence(
-        data=known.where(~narrow).select("script_id", F.col("object").alias("check"), "kind", "violations"),
-        narrowed=known.where(narrow).select("script_id", "object", P.narrowing_severity(F.col("violations")).alias("severity"), F.col("violations").alias("offending_rows")),
-        bounded=named.where(clean & F.col("part")).select("script_id", "object", F.lit(True).alias("bounded")).distinct(),
+        data=known.where(~narrowed).select("script_id", F.col("object").alias("check"), "kind", "violations").distinct(),
+        narrowed=known.where(narrowed).select("script_id", "object", P.narrowing_severity(F.col("violations")).alias("severity"), F.col("violations").alias("offending_rows")).distinct(),
+        bounded=named.where((F.coalesce("violations", F.lit(0)) == 0) & F.col("part")).select("script_id", "object", F.lit(True).alias("bounded")).distinct(),
     )
 
 
-def _wider(spark: SparkSession, changes: list[tuple[str, str, str, str]]) -> set[tuple[str, str]]:
-    """Those (table, change) whose new type holds every value of the old one; of (table, change, old, new)."""
-    if not changes:
-        return set()
-    df = spark.createDataFrame(changes, "tbl string, arg string, old string, new string")
-    return {(r["tbl"], r["arg"]) for r in df.where(~X.is_narrowing(F.col("old"), F.col("new"))).collect()}
+def _wider(spark: SparkSession, changes: list[tuple[str, str, str]]) -> set[str]:
+    """Those changes (name, old, new) whose new type holds every value of the old one."""
+    df = spark.createDataFrame(changes, "name string, old string, new string")
+    return {r["name"] for r in df.where(~X.is_narrowing(F.col("old"), F.col("new"))).collect()} if changes else set()
 
 
 # ---- replay --------------------------------------------------------------------------------------------------------
-class Catalogue:
-    """Shapes of tables and texts of views in a session of its own, on which one change at a time is tried."""
-
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], views: dict[str, str]):
-        self.views, self.names = views, {v: _words(sql) for v, sql in views.items()}
-        self.own, self.errors = RE.shape_session(spark, tables, views)
-        self.empty = {t: self.own.table(t) for t in tables}
-
-    def resolve(self, reads: list[tuple[str, str]]) -> dict[str, tuple[str | None, list[str] | None]]:
-        return {ident: (error, columns) for ident, error, columns in RE.resolve(self.own, reads, self.errors)}
-
-    def touched(self, name: str) -> set[str]:
-        """``name`` and all views that read it, over others too."""
-        out = {name}
-        while more := {v for v, words in self.names.items() if words & out} - out:
-            out |= more
-        return out
-
-    def _views(self, names: set[str]) -> None:
-        for v in [v for v in self.views if v in names]:
-            self.own.catalog.dropTempView(v)
-            self.errors.pop(v, None)
-            if error := RE.add_view(self.own, v, self.views[v]):
-                self.errors[v] = error
-
-    def after(self, kind: str, tbl: str, col: str, new: str, reads: list[tuple[str, str]]) -> dict[str, tuple[str | None, list[str] | None]]:
-        """Outcomes of ``reads`` after one change; the catalogue is as before when it is done."""
-        gone = new if kind == "drop_view" else tbl
-        base = self.empty.get(gone)
-        if base is None and gone not in self.views:
-            return {}
-        hit = self.touched(gone)
-        self.own.catalog.dropTempView(gone)
-        if kind == "drop_column":
-            base.drop(col).createOrReplaceTempView(tbl)
-        elif kind == "rename_column":
-            base.withColumnRenamed(col, new).createOrReplaceTempView(tbl)
-        elif kind == "rename_table" and new not in self.empty:
-            base.createOrReplaceTempView(new)
-        self._views(hit - {gone})
-        found = self.resolve([(i, sql) for i, sql in reads if _words(sql) & hit])
-        if kind == "rename_table" and new not in self.empty:
-            self.own.catalog.dropTempView(new)
-        if base is not None:
-            base.createOrReplaceTempView(gone)
-        self._views(hit)
-        return found
-
-
-def _words(sql: str) -> set[str]:
-    return set(re.findall("[a-z_][a-z_0-9]*", sql.lower()))
-
-
 def replay_changes(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame], views: dict[str, str] | None = None) -> Evidence:
-    """Reads and views that stop working, or lose columns, by the changes of each script.
+    """Reads and views that stop working, or lose columns, when each script has run as a whole.
 
-    Each distinct structural change is tried alone on the catalogue, and each read shape of ``log`` (query_id, service,
-    criticality, sql) and each view is resolved before and after it; no rows are read. A name that a script takes away
-    and gives back (a view of the old name over a renamed table, a column added again) counts as still there. A broken
-    view that the log reads is left to the reads that break with it. query_id is the least of a shape's; services are
-    all that send it.
+    Each read shape of ``log`` (query_id, service, criticality, sql) and each view is resolved before the change and on
+    the shapes that a script leaves; no rows are read. Scripts that leave what a read can see alike share a resolution,
+    so ``resolutions`` counts distinct states and not scripts. A broken view that the log reads is left to the reads
+    that break with it. query_id is the least of a shape's; services are all that send it. Relations that a script
+    changes and nobody knows are ``unresolved``.
     """
     spark, views = ops.sparkSession, views or {}
-    changes = ops.where(F.col("kind").isin(*STRUCTURAL)).select("kind", "tbl", "col", "new_name")
-    distinct = [tuple(r) for r in changes.distinct().collect()]
-    shapes = [(str(r["query_id"]), r["sql"]) for r in RE.read_shapes(log).collect()]
+    catalogue = {t: dict(df.dtypes) for t, df in tables.items()} | views
+    shapes = [(str(r["query_id"]), r["sql"]) for r in RE.read_shapes(log).collect()]  # what applications hold, not what they send
+    reads = dict(RE.with_views(shapes, views))
+    events = materialize(S.ordered(ops))
+    states, first = S.read_states(events, list(reads.items()), catalogue)
+    states = materialize(states)
+    asked = [tuple(r) for r in states.select("query_id", "state").distinct().collect()]
+    told = RE.outcomes(spark, [(reads[i], first[i]) for i in reads] + [(reads[i], state) for i, state in asked])
+    before, rows = dict(zip(reads, told, strict=False)), []
+    for (ident, state), (error, columns) in zip(asked, told[len(reads) :], strict=True):
+        was_error, was = before[ident]
+        if was_error is None and (error or (gone := [c for c in was if c not in columns])):
+            rows.append((ident, state, error is not None, [] if error else gone))
+    hit = spark.createDataFrame(rows, "query_id string, state string, broken boolean, removed array<string>")
     sent = log.where(RE.is_read(F.col("sql"))).groupBy(RE.shape_of(F.col("sql")).alias("shape")).agg(F.min("query_id").cast("string").alias("query_id"), F.array_sort(F.collect_set("service")).alias("services")).drop("shape")
-    catalogue, reads, rows = Catalogue(spark, tables, views), RE.with_views(shapes, views), []
-    before = catalogue.resolve(reads)
-    for change in distinct:
-        for ident, (error, columns) in catalogue.after(*change, reads).items():
-            was_error, was = before[ident]
-            if was_error is None and (error or (gone := [c for c in was if c not in columns])):
-                rows.append((*change, ident, error is not None, [] if error else gone))
-    hit = spark.createDataFrame(rows, "kind string, tbl string, col string, new_name string, query_id string, broken boolean, removed array<string>")
-    own = ops.where(F.col("kind").isin(*STRUCTURAL)).select("script_id", "kind", "tbl", "col", "new_name", F.coalesce(F.when(F.col("kind").endswith("column"), F.concat_ws(".", "tbl", "col")), F.when(F.col("kind") == "drop_view", F.col("new_name")), "tbl").alias("gone"))
-    back = F.when(F.col("kind") == "add_column", F.concat_ws(".", "tbl", "col")).when(F.col("kind") == "rename_column", F.concat_ws(".", "tbl", "new_name")).when(F.col("kind").isin("create_view", "rename_table"), F.col("new_name"))
-    lasting = own.join(ops.select("script_id", back.alias("gone")).where("gone is not null").distinct(), ["script_id", "gone"], "left_anti")
-    on = [lasting[c].eqNullSafe(hit[c]) for c in ("kind", "tbl", "col", "new_name")]
-    met = lasting.join(hit, reduce(Column.__and__, on)).select("script_id", "query_id", "broken", "removed")
-    met = met.groupBy("script_id", "query_id").agg(F.bool_or("broken").alias("broken"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
-    met = met.join(sent, "query_id", "left").withColumns({"services": F.coalesce("services", F.array(F.lit("database"))), "is_view": F.col("query_id").startswith(RE.VIEW)})
+    met = states.join(hit, ["query_id", "state"]).join(sent, "query_id", "left")
+    met = met.select("script_id", "query_id", "broken", F.array_sort("removed").alias("removed"), F.coalesce("services", F.array(F.lit("database"))).alias("services"), F.col("query_id").startswith(RE.VIEW).alias("is_view"))
     words = log.select(F.explode(X.identifiers(F.col("sql"))).alias("token")).distinct()
     named = [r["token"] for r in words.where(F.col("token").isin(*views)).collect()] if views else []
     met = met.where(~F.col("is_view") | ~F.col("query_id").isin(*[RE.VIEW + v for v in named])).withColumn("query_id", F.regexp_replace("query_id", f"^{RE.VIEW}", ""))
     met = materialize(met)
-    return Evidence(broken=met.where("broken").select("script_id", "query_id", "services", "is_view"), drift=met.where("not broken and not is_view").select("script_id", "query_id", "services", "removed"))
+    return Evidence(
+        broken=met.where("broken").select("script_id", "query_id", "services", "is_view"), drift=met.where("not broken and not is_view").select("script_id", "query_id", "services", "removed"),
+        unresolved=S.unresolved(events, catalogue), resolutions=len(told),
+    )
 
 
 def measure(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame], views: dict[str, str] | None = None, samples: dict[str, str] | None = None) -> Evidence:

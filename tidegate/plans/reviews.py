@@ -233,11 +233,14 @@ def j12_outcome_diff(spark, d):
 _NEEDS = [("SELECT * FROM orders%", "orders", "o_custkey"), ("SELECT c_name%", "customer", "c_custkey"), ("SELECT c_name%", "customer", "c_name"), ("SELECT o_orderstatus%", "orders", "o_custkey"), ("SELECT o_orderstatus%", "customer", "c_custkey"), ("SELECT l.%", "lineitem", "l_partkey"), ("SELECT l.%", "lineitem", "l_shipdate")]
 _NEED = "(" + " UNION ALL ".join(f"SELECT '{p}' AS p, '{t}' AS t, '{c}' AS c" for p, t, c in _NEEDS) + ")"
 _SENT = f"(SELECT p, CAST(min(query_id) AS VARCHAR) AS query_id, string_agg(DISTINCT service, ',' ORDER BY service) AS services FROM {B.LOG} q JOIN (SELECT DISTINCT p FROM {_NEED} n) n ON sql LIKE p GROUP BY p)"
-_GONE = "(kind IN ('drop_column', 'rename_column') AND o.c = n.c) OR kind IN ('drop_table', 'rename_table')"
+#: kinds after which a table's name stands for nothing, or for another table
+_RESET = "('drop_table', 'rename_table', 'create_table')"
+_GONE = f"(kind IN ('drop_column', 'rename_column') AND o.c = n.c) OR kind IN {_RESET}"
+#: of scripts that change orders or its view: the last event of either, and whether the view's column goes
+_ORDERS = f"""(SELECT script_id, arg_max(kind, idx) FILTER (kind IN ('create_view', 'drop_view')) AS v, arg_max(kind, idx) FILTER (kind IN {_RESET}) AS r, bool_or(kind IN ('drop_column', 'rename_column') AND c = 'o_custkey') AS gone FROM {B.OPS} o WHERE t = 'orders' GROUP BY script_id)"""
 _BROKEN = f"""(SELECT DISTINCT o.script_id, query_id, services, false AS is_view FROM {B.OPS} o JOIN {_NEED} n ON o.t = n.t AND ({_GONE}) JOIN {_SENT} s ON s.p = n.p
-UNION ALL SELECT DISTINCT script_id, 'orders_view', 'database', true FROM {B.OPS} o WHERE (t = 'orders' AND ((kind IN ('drop_column', 'rename_column') AND c = 'o_custkey') OR kind IN ('drop_table', 'rename_table')))
-  OR (kind = 'drop_view' AND new_name = 'orders_view' AND script_id NOT IN (SELECT script_id FROM {B.OPS} z WHERE kind = 'create_view' AND new_name = 'orders_view')))"""
-_DRIFT = f"(SELECT DISTINCT script_id, query_id, services FROM {B.OPS} o, {_SENT} s WHERE p = 'SELECT * FROM orders%' AND kind IN ('drop_column', 'rename_column') AND c = 'o_orderdate' AND script_id NOT IN (SELECT script_id FROM {B.OPS} z WHERE t = 'orders' AND ((kind IN ('drop_column', 'rename_column') AND c = 'o_custkey') OR kind IN ('drop_table', 'rename_table'))))"
+UNION ALL SELECT script_id, 'orders_view', 'database', true FROM {_ORDERS} w WHERE v = 'drop_view' OR (v IS NULL AND (r IS NOT NULL OR gone)) OR (v = 'create_view' AND r IN ('drop_table', 'rename_table')))"""
+_DRIFT = f"(SELECT DISTINCT script_id, query_id, services FROM {B.OPS} o, {_SENT} s WHERE p = 'SELECT * FROM orders%' AND kind IN ('drop_column', 'rename_column') AND c = 'o_orderdate' AND script_id NOT IN (SELECT script_id FROM {B.OPS} z WHERE t = 'orders' AND ((kind IN ('drop_column', 'rename_column') AND c = 'o_custkey') OR kind IN {_RESET})))"
 _R14 = _finding("BREAKING_QUERY", "'blocker'", "NOT is_view", obj="query_id", services="services", ev="''", source="replay", frm=f"{_BROKEN} b", seq="-1") + " UNION ALL " + _finding("VIEW_BREAKAGE", "'blocker'", "is_view", obj="query_id", services="services", ev="''", source="replay", frm=f"{_BROKEN} b", seq="-1")
 _R15 = _finding("SELECT_STAR_DRIFT", "'high'", "true", obj="query_id", services="services", ev="'o_orderdate'", source="replay", frm=f"{_DRIFT} b", seq="-1")
 
@@ -265,13 +268,21 @@ def j14_fold_view_breakage(spark, d):
 _COLUMNS = [("customer", "c_custkey"), ("customer", "c_name"), ("orders", "o_custkey"), ("orders", "o_orderdate"), ("lineitem", "l_partkey"), ("lineitem", "l_shipdate"), ("part", "p_name"), ("part", "p_size"), ("supplier", "s_name"), ("supplier", "s_nationkey")]
 _VALUE = lambda c: "CASE WHEN p_name NOT LIKE '%a%' THEN p_name END" if c == "p_name" else c
 _TEXTUAL = ("c_name", "o_orderdate", "l_shipdate", "p_name", "s_name")
-#: of each column: nulls, rows that a unique key rejects, values too long for eight characters
-_FACTS = "(" + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, count(*) FILTER (v IS NULL) AS nulls, count(v) - count(DISTINCT v) AS again, {'count(*) FILTER (length(CAST(v AS VARCHAR)) > 8)' if c in _TEXTUAL else '0'} AS long FROM (SELECT {_VALUE(c)} AS v FROM {t})" for t, c in _COLUMNS) + ")"
-_FAILED = f"""(SELECT DISTINCT o.script_id, CASE kind WHEN 'set_not_null' THEN 'NOT_NULL_NO_DEFAULT' WHEN 'create_index' THEN 'UNIQUE_VIOLATION_EXISTING_DATA' ELSE 'INTEGRITY_CONSTRAINT_REMOVED' END AS code,
-  CASE kind WHEN 'set_not_null' THEN o.t || '.' || o.c WHEN 'create_index' THEN o.t || '(' || o.c || ')' ELSE o.t || '.coalesce(' || o.c || ', nullif(' || o.c || ', ' || o.c || ')) IS NOT NULL' END AS obj, CASE kind WHEN 'create_index' THEN again ELSE nulls END AS n
-FROM {B.OPS} o JOIN {_FACTS} f ON f.t = o.t AND f.c = o.c WHERE kind = 'set_not_null' OR sql LIKE 'CREATE UNIQUE%' OR sql LIKE '%CHECK (%')"""
+#: of each column: nulls, rows that a unique key rejects (as they are, with nulls filled, without rows whose p_name is null), values too long for eight characters
+_FACTS = "(" + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, count(*) FILTER (v IS NULL) AS nulls, count(v) - count(DISTINCT v) AS again, count(*) - count(DISTINCT coalesce(CAST(v AS VARCHAR), '0')) AS filled, count(v) FILTER (named) - count(DISTINCT v) FILTER (named) AS left_, {'count(*) FILTER (length(CAST(v AS VARCHAR)) > 8)' if c in _TEXTUAL else '0'} AS long FROM (SELECT {_VALUE(c)} AS v, {_VALUE('p_name') + ' IS NOT NULL' if t == 'part' else 'true'} AS named FROM {t})" for t, c in _COLUMNS) + ")"
+_BEFORE_T, _BEFORE_C = ("OVER (PARTITION BY script_id, t{} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)".format(x) for x in ("", ", c"))
+#: events with what their script did before to the table and the column: whether the column is gone, no longer known (an update by a column that no table has, or of a timestamp by a number), or filled
+_PAST = f"""(SELECT *, coalesce(bool_or(kind IN ('drop_column', 'rename_column')) {_BEFORE_C}, false) AS gone, coalesce(bool_or(kind = 'dml_update' AND (sql LIKE '%BETWEEN%' OR c IN ('o_orderdate', 'l_shipdate'))) {_BEFORE_C}, false) AS odd, coalesce(bool_or(kind = 'dml_update' AND sql LIKE '%IS NULL') {_BEFORE_C}, false) AS filled_ FROM {B.OPS} o)"""
+#: checks with what is left to ask: nothing (lost), or n violating rows; more: rows were inserted that no scan sees
+_ASKED = f"""(SELECT p.script_id, p.kind, p.t, p.c, lost, more, long, CASE kind WHEN 'set_not_null' THEN 'NOT_NULL_NO_DEFAULT' WHEN 'create_index' THEN 'UNIQUE_VIOLATION_EXISTING_DATA' ELSE 'INTEGRITY_CONSTRAINT_REMOVED' END AS code,
+  CASE kind WHEN 'create_index' THEN p.t || '(' || p.c || ')' WHEN 'add_constraint' THEN p.t || '.coalesce(' || p.c || ', nullif(' || p.c || ', ' || p.c || ')) IS NOT NULL' ELSE p.t || '.' || p.c END AS obj,
+  CASE kind WHEN 'alter_type' THEN long WHEN 'create_index' THEN CASE WHEN p.c = 'p_name' AND filled_ AND NOT thinned THEN filled WHEN p.t = 'part' AND thinned THEN left_ ELSE again END ELSE CASE WHEN filled_ OR thinned THEN 0 ELSE nulls END END AS n
+FROM (SELECT *, coalesce(bool_or(kind IN {_RESET}) {_BEFORE_T}, false) OR gone OR odd OR coalesce(bool_or(kind = 'dml_delete' AND (gone OR odd)) {_BEFORE_T}, false) AS lost, coalesce(bool_or(kind = 'create_table') {_BEFORE_T}, false) AS anew,
+    coalesce(bool_or(kind = 'dml_insert') {_BEFORE_T}, false) AS more, coalesce(bool_or(kind = 'dml_delete' AND c = 'p_name' AND NOT filled_) {_BEFORE_T}, false) AS thinned FROM {_PAST} z) p JOIN {_FACTS} f ON f.t = p.t AND f.c = p.c
+WHERE NOT anew AND (kind IN ('set_not_null', 'alter_type') OR sql LIKE 'CREATE UNIQUE%' OR sql LIKE '%CHECK (%'))"""
+_FAILED = f"(SELECT DISTINCT script_id, code, obj, n FROM {_ASKED} a WHERE NOT lost AND kind <> 'alter_type')"
 _R16 = f"SELECT script_id, CAST(-1 AS BIGINT) AS seq, code, 'blocker' AS severity, obj AS objects, '' AS services, obj || ' ' || CAST(n AS VARCHAR) AS evidence, 'replay' AS source FROM {_FAILED} x WHERE n > 0"
-_R17 = f"SELECT DISTINCT o.script_id, CAST(-1 AS BIGINT) AS seq, 'TYPE_NARROWING_DATA_LOSS' AS code, CASE WHEN long > 0 THEN 'blocker' ELSE 'medium' END AS severity, o.t || '.' || o.c AS objects, '' AS services, CAST(long AS VARCHAR) || ' rows' AS evidence, 'replay' AS source FROM {B.OPS} o JOIN {_FACTS} f ON f.t = o.t AND f.c = o.c WHERE kind = 'alter_type'"
+_R17 = f"SELECT DISTINCT script_id, CAST(-1 AS BIGINT) AS seq, 'TYPE_NARROWING_DATA_LOSS' AS code, CASE WHEN n > 0 THEN 'blocker' ELSE 'medium' END AS severity, obj AS objects, '' AS services, CAST(n AS VARCHAR) || ' rows' AS evidence, 'replay' AS source FROM {_ASKED} a WHERE kind = 'alter_type' AND NOT lost"
 
 
 @query(_R16)
@@ -284,6 +295,51 @@ def r17_narrowing(spark, d):
     return R.narrowing(EV.scan_tables(_ops(spark, d), _tables(spark, d)).narrowed)
 
 
+#: scripts about keys and ranges, one of eight for each order: a statement before, and the change
+_KEYED = [
+    ("", "ALTER TABLE lineitem ADD PRIMARY KEY (l_orderkey, l_linenumber)"), ("DELETE FROM customer WHERE c_nationkey = 3", "ALTER TABLE orders ADD CONSTRAINT f FOREIGN KEY (o_custkey) REFERENCES customer (c_custkey)"),
+    ("", "ALTER TABLE orders ADD CONSTRAINT f FOREIGN KEY (o_custkey) REFERENCES customer (c_custkey)"), ("UPDATE orders SET o_orderkey = o_orderkey * 5000000000", "ALTER TABLE orders ALTER COLUMN o_orderkey TYPE integer"),
+    ("", "ALTER TABLE orders ALTER COLUMN o_orderkey TYPE integer"), ("UPDATE part SET p_name = 'x' WHERE p_name IS NULL AND p_size > 25", "ALTER TABLE part ADD PRIMARY KEY (p_name)"),
+    ("DELETE FROM orders WHERE o_orderkey IN (SELECT 1)", "ALTER TABLE orders ADD UNIQUE (o_custkey)"), ("DELETE FROM lineitem WHERE l_linenumber > 1", "CREATE UNIQUE INDEX u ON public.lineitem (l_orderkey, l_linenumber)"),
+]
+_N = "CASE WHEN p_name NOT LIKE '%a%' THEN p_name WHEN p_size > 25 THEN 'x' END"
+#: check, kind and violations of each of them; none where it can't be asked
+_KEY_FACTS = f"""(SELECT 0 AS k, 'lineitem(l_orderkey,l_linenumber)' AS "check", 'unique' AS kind, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS violations FROM lineitem UNION ALL SELECT 0, 'lineitem.l_orderkey', 'not_null', 0 UNION ALL SELECT 0, 'lineitem.l_linenumber', 'not_null', 0
+UNION ALL SELECT 1, 'orders(o_custkey>customer(c_custkey))', 'foreign', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3) UNION ALL SELECT 2, 'orders(o_custkey>customer(c_custkey))', 'foreign', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 3, 'orders.o_orderkey', 'narrow', count(*) FILTER (o_orderkey * 5000000000 > 2147483647) FROM orders UNION ALL SELECT 4, 'orders.o_orderkey', 'narrow', count(*) FILTER (o_orderkey > 2147483647) FROM orders
+UNION ALL SELECT 5, 'part(p_name)', 'unique', count({_N}) - count(DISTINCT {_N}) FROM part UNION ALL SELECT 5, 'part.p_name', 'not_null', count(*) FILTER ({_N} IS NULL) FROM part UNION ALL SELECT 6, 'orders(o_custkey)', 'bounded', NULL
+UNION ALL SELECT 7, 'lineitem(l_orderkey,l_linenumber)', 'unique', count(*) - count(DISTINCT l_orderkey) FROM lineitem WHERE l_linenumber = 1)"""
+
+
+@query(f"SELECT o_orderkey AS script_id, \"check\", kind, violations FROM orders JOIN {_KEY_FACTS} f ON k = o_orderkey % 8")
+def r16_keys_and_ranges(spark, d):
+    """Primary, foreign and unique keys and integer ranges, each on the rows that the statement before leaves."""
+    texts = F.array(*(F.lit(f"{a}; {b}" if a else b) for a, b in _KEYED))
+    scripts = table(spark, d, "orders").select(F.col("o_orderkey").alias("script_id"), F.get(texts, (F.col("o_orderkey") % 8).cast("int")).alias("text"))
+    e = EV.scan_tables(change_events(CE.split_scripts(scripts)), _tables(spark, d))
+    narrow = e.narrowed.select("script_id", F.col("object").alias("check"), F.lit("narrow").alias("kind"), F.col("offending_rows").alias("violations"))
+    bounded = e.bounded.select("script_id", F.col("object").alias("check"), F.lit("bounded").alias("kind"), F.lit(None).cast("long").alias("violations"))
+    return e.data.unionByName(narrow).unionByName(bounded)
+
+
+#: scripts that put another shape behind a name, one of six for each customer
+_BEHIND = [
+    "CREATE OR REPLACE VIEW open_orders AS SELECT o_orderkey FROM orders", "DROP VIEW open_orders; CREATE VIEW open_orders AS SELECT o_orderkey, o_custkey AS buyer FROM orders", "ALTER TABLE orders RENAME TO orders_old; CREATE VIEW orders AS SELECT o_orderkey, o_custkey AS who, o_orderstatus FROM orders_old",
+    "ALTER TABLE orders RENAME TO orders_old; CREATE VIEW orders AS SELECT * FROM orders_old", "DROP TABLE supplier, orders", "ALTER TABLE orders DROP COLUMN o_custkey; ALTER TABLE orders ADD COLUMN o_custkey bigint",
+]
+_BEHIND_LOG = "(SELECT event_id AS query_id, event_type || '-svc' AS service, 'high' AS criticality, CASE WHEN event_id % 3 = 0 THEN 'SELECT who FROM open_orders WHERE o_orderkey = ' || CAST(user_id AS STRING) WHEN event_id % 3 = 1 THEN 'SELECT o_custkey FROM orders LIMIT ' || CAST(user_id AS STRING) ELSE 'SELECT * FROM open_orders' END AS sql FROM events)"
+_HIT = [(0, 0, 'broken', ''), (0, 2, 'drift', 'who'), (1, 0, 'broken', ''), (1, 2, 'drift', 'who'), (2, 0, 'broken', ''), (2, 1, 'broken', ''), (2, 2, 'broken', ''), (4, 0, 'broken', ''), (4, 1, 'broken', ''), (4, 2, 'broken', '')]
+
+
+@query(f"SELECT c_custkey AS script_id, query_id, state, removed FROM customer JOIN (VALUES {', '.join(map(str, _HIT))}) h(k, m, state, removed) ON k = c_custkey % 6 JOIN (SELECT event_id % 3 AS m, CAST(min(event_id) AS VARCHAR) AS query_id FROM events GROUP BY 1) q USING (m)")
+def r14_redefined_names(spark, d):
+    """Reads on what whole scripts leave behind a name: narrower views, views in a renamed table's place, and what is taken away and given back."""
+    texts = F.array(*map(F.lit, _BEHIND))
+    scripts = table(spark, d, "customer").select(F.col("c_custkey").alias("script_id"), F.get(texts, (F.col("c_custkey") % 6).cast("int")).alias("text"))
+    e = EV.replay_changes(change_events(CE.split_scripts(scripts)), B.rows(spark, d, _BEHIND_LOG), _tables(spark, d), OPEN_ORDERS)
+    return e.broken.where("not is_view").select("script_id", "query_id", F.lit("broken").alias("state"), F.lit("").alias("removed")).unionByName(e.drift.select("script_id", "query_id", F.lit("drift").alias("state"), F.array_join("removed", ",").alias("removed")))
+
+
 # ---- findings ------------------------------------------------------------------------------------------------------
 _RANK = "list_position(['low','medium','high','blocker'], severity)"
 
@@ -429,8 +485,7 @@ _K6 = _gap("unused_access_path", "CASE WHEN c IN ('p_size', 's_name') THEN 'unkn
 
 @query(_K6)
 def k6_unused_path(spark, d):
-    drops, replaced = RV.dropped_indexes(_ops(spark, d), _catalogue(spark, d))
-    return R.unused_path(RV.unused_drops(drops, replaced, B.rows(spark, d, B.LOG)))
+    return R.unused_path(RV.unused_drops(RV.access_paths(_ops(spark, d), B.rows(spark, d, B.LOG), _catalogue(spark, d))))
 
 
 @query(f"SELECT script_id, CAST(idx AS BIGINT) AS seq, CASE WHEN kind = 'unsupported' THEN 'unattributed_statement' ELSE 'procedural_body' END AS kind, 'statement ' || CAST(idx AS VARCHAR) AS object, kind = 'procedural_block' AS irreversible FROM {_LOOSE} l WHERE kind IN ('unsupported', 'procedural_block')")
@@ -480,10 +535,9 @@ def d2_plan_findings(spark, d):
 _K9 = _gap("unruled_generated_statement", "tbl || ':' || kind", "kind IN ('set_default', 'drop_default', 'drop_not_null', 'dml_insert', 'validate_constraint')")
 
 
-@query(f"{_K9} UNION ALL SELECT script_id, seq, 'audit_gate_text_only', object, false, false FROM {_STEPS} s WHERE phase = 'phase2' AND kind IN ('drop_column', 'drop_table', 'rename_column', 'rename_table') AND {_GATED}")
+@query(f"{_K9} AND tbl IS NOT NULL UNION ALL SELECT script_id, seq, 'audit_gate_text_only', object, false, false FROM {_STEPS} s WHERE phase = 'phase2' AND kind IN ('drop_column', 'drop_table', 'rename_column', 'rename_table') AND {_GATED}")
 def k9_plan_gaps(spark, d):
-    text = A.text_gated_steps(B.rows(spark, d, _STEPS), B.rows(spark, d, _GATES)).withColumnRenamed("seq", "idx")
-    return R.unruled(_ops(spark, d), "unruled_generated_statement").unionByName(R.gap(text, "audit_gate_text_only", F.col("object")))
+    return A.plan_gaps(B.rows(spark, d, _STEPS), B.rows(spark, d, _GATES))
 
 
 # ---- replay --------------------------------------------------------------------------------------------------------
@@ -597,6 +651,9 @@ _STATIC = " UNION ALL ".join((_R1, _R2, _R3, _R4, _R5, _R6T, _R7, _R8, _R9, _R10
 _LOST = f"(SELECT script_id, string_agg(DISTINCT s, ',' ORDER BY s) AS services FROM (SELECT script_id, unnest(string_split(services, ',')) AS s FROM (SELECT script_id, services FROM {_BROKEN} b UNION ALL SELECT script_id, services FROM {_DRIFT} e)) WHERE s NOT IN ('click-svc', 'database') GROUP BY script_id)"
 _R13 = _finding("CROSS_SERVICE_UNCOORDINATED", "'high'", "true", obj="services", services="services", ev="''", frm=f"{_LOST} c", seq="-1")
 _FULL = " UNION ALL ".join((_STATIC, _R14, _R15, _R16, _R17, _R13))
+_BOUND = _gap("fixture_bounded_value_scan", "obj", "lost OR (n = 0 AND more)", f"{_ASKED} a", "-1", irreversible="true")
+_LAST = lambda kinds: f"last_value(CASE WHEN kind IN ({kinds}) THEN kind END IGNORE NULLS) {_BEFORE_T}"
+_UNKNOWN = _gap("unresolved_relation", "CASE WHEN kind = 'drop_view' THEN new_name ELSE tbl END", "(tbl IS NOT NULL AND kind <> 'create_table' AND r IN ('drop_table', 'rename_table')) OR (kind = 'drop_view' AND (v = 'drop_view' OR (v IS NULL AND t <> 'orders')))", f"(SELECT *, {_LAST(_RESET[1:-1])} AS r, {_LAST(repr('create_view') + ', ' + repr('drop_view'))} AS v FROM {B.OPS} z) o")
 _BODY = _gap("procedural_body", "CAST(idx AS VARCHAR)", "kind = 'procedural_block'")
 _GAPS = " UNION ALL ".join((_K1, _K2, _K3, _K5, _K6, _K8, _BODY))
 
@@ -626,13 +683,25 @@ def _full(spark, d):
     return scripts, log, read, EV.measure(read[1], log, _tables(spark, d), _VIEWS), scripts.select("script_id", F.lit("click-svc").alias("owner"))
 
 
-@query(_verdicts(_FULL, _GAPS))
+@query(_verdicts(_FULL, f"{_GAPS} UNION ALL {_BOUND} UNION ALL {_UNKNOWN}"))
 def review_full(spark, d):
     """All rules, with scans of the tables and a replay of the log; comments in the scripts change nothing."""
     scripts, log, read, evidence, owners = _full(spark, d)
     return RV.review(scripts, _stats(spark, d), log, _catalogue(spark, d), evidence=evidence, owners=owners, read=read).drop("headline")
 
 
+_BLAST = f"""(SELECT script_id, sum(w) AS blast FROM (SELECT DISTINCT t.script_id, q.query_id, w FROM (SELECT query_id, CASE criticality WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'low' THEN 1 ELSE 2 END AS w, unnest(list_distinct(regexp_extract_all(lower(sql), '[a-z_][a-z_0-9]*'))) AS token FROM {B.LOG} q) q
+  JOIN (SELECT DISTINCT script_id, unnest(list_concat([tbl, CASE WHEN kind = 'add_column' THEN c || '_new' ELSE col END, new_name], coalesce(string_split(CASE WHEN kind = 'dml_insert' THEN c WHEN sql LIKE '%FOREIGN KEY%' THEN c ELSE cols END, ','), []))) AS token FROM {B.OPS} o) t ON t.token = q.token) GROUP BY script_id)"""
+
+
+@query(f"""SELECT v.script_id, CASE WHEN v.verdict <> 'BLOCK' AND d.n > 0 THEN 'NEEDS_COVERAGE_SIGNOFF' ELSE v.verdict END AS verdict, gaps, coalesce(d.n, 0) AS defects, CAST(coalesce(blast, 0) AS BIGINT) AS blast FROM ({_verdicts(_STATIC, _GAPS)}) v
+LEFT JOIN (SELECT script_id, count(*) AS n FROM ({_J15} UNION ALL {_J16}) p GROUP BY script_id) d ON d.script_id = v.script_id LEFT JOIN {_BLAST} b ON b.script_id = v.script_id""")
+def review_packet(spark, d):
+    """Reviews of scripts as text with the audits of their plans, which cap verdicts once more, and the weight of who depends on them."""
+    plans = (B.rows(spark, d, x) for x in (_STEPS, _CODE, _GATES))
+    return RV.packet(_with_rollback(_scripts(spark, d)), _stats(spark, d), B.rows(spark, d, B.LOG), *plans, _catalogue(spark, d)).verdicts.select("script_id", "verdict", "gaps", "defects", "blast")
+
+
 @query(f"SELECT code, severity, count(*) AS n FROM (SELECT script_id, code, objects, ['low', 'medium', 'high', 'blocker'][max({_RANK})] AS severity FROM ({_FULL}) u GROUP BY script_id, code, objects) v GROUP BY code, severity")
 def u1_apply_rules(spark, d):
     """The union of all rules' findings, merged, counted by code and severity."""

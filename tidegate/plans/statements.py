@@ -96,7 +96,7 @@ def p10_statement_kind(spark, d):
     return _ops(spark, d).select("script_id", "idx", X.statement_kind(F.col("sql")).alias("kind"))
 
 
-_DESTRUCTIVE = f"regexp_matches(sql, '(?i)\\b({'|'.join(V.DESTRUCTIVE_TEXT)})\\b')"
+_DESTRUCTIVE = "regexp_matches(sql, '(?i)\\b(drop (table|view|schema|sequence|column|index|constraint|type|default|not null)|truncate|rename (to|column)|alter column|set data type)\\b')"
 
 
 @query(f"""SELECT script_id, idx, lower(regexp_extract(sql, '^\\s*([A-Za-z]+)', 1)) AS word, lower(regexp_extract(sql, '^\\s*([A-Za-z]+)', 1)) IN ({', '.join(map(repr, V.DDL_OR_DML))}) AS ddl_or_dml,
