@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegate.llm.components import components
-from tidegate.llm.embedding_dedup import near_duplicates
-from tidegate.llm.url_filters import url_filter, url_host
+from tidegate.llm.embedding_dedup import near_duplicates, neighbours
+from tidegate.llm.url_filters import dealt, url_filter, url_host, validity_intervals
 
 
 def find(up, x):
@@ -116,3 +116,33 @@ def test_url_filter_empty(spark):
     got = url_filter(spark.createDataFrame([(1, "http://a.com", 5)], "page_id long, url string, fetched_at long"), none).collect()
     assert [tuple(r) for r in got] == [(1, "http://a.com", 5, 0, 0, "", False)]
     assert url_filter(spark.createDataFrame([], "page_id long, url string, fetched_at long"), none).collect() == []
+
+
+def test_copies_of_a_hot_patterns_intervals_are_linear(spark):
+    """One host with as many entries as captures: each slot's intervals are copied for its own captures only."""
+    n_copies = []
+    for n in (10_000, 40_000, 160_000):
+        at = (F.col("id") * 7_919 % 1_000_003).cast("long")
+        named = spark.range(n).select(F.col("id").alias("_id"), F.lit("http://a.com").alias("_url"), at.alias("_at"), F.lit("a.com").alias("pattern"))
+        entries = spark.range(n).select(F.lit("l").alias("list"), F.lit("block").alias("effect"), F.lit("a.com").alias("pattern"), (F.col("id") * 104_729 % 1_000_003).cast("long").alias("at"), (F.col("id") % 3 > 0).alias("active"))
+        spans = validity_intervals(entries).withColumn("valid_to", F.coalesce("valid_to", F.lit(1_000_004)))
+        n_copies.append((dealt(named, spans, 0, 1_000_003)[1].count(), spans.count()))
+    assert all(copies <= 3 * spans for copies, spans in n_copies)
+
+
+def test_a_hot_slot_is_split(spark):
+    """All captures at one time: their slot is dealt over parts, each with the slot's few intervals."""
+    named = spark.range(50_000).select(F.col("id").alias("_id"), F.lit("http://a.com").alias("_url"), F.lit(500).cast("long").alias("_at"), F.lit("a.com").alias("pattern"))
+    spans = spark.createDataFrame([("l", "block", "a.com", k, k + 10) for k in range(0, 1000, 10)], "list string, effect string, pattern string, valid_from long, valid_to long")
+    found, slots = dealt(named, spans, 0, 1000)
+    sizes = [r["count"] for r in found.groupBy("part").count().collect()]
+    assert len(sizes) == 25 and max(sizes) < 3_000 and slots.count() < 500
+
+
+def test_neighbouring_cells(spark):
+    """Pairs of cells at most one apart on every axis, found axis by axis, against comparing all."""
+    rng = random.Random(9)
+    cells = {(label, tuple(rng.randint(-3, 3) for _ in range(4))) for label in (0, 1) for _ in range(150)}
+    got = neighbours(spark.createDataFrame([(i, 4, list(c)) for i, c in cells], "label int, d int, cell array<int>"), 4).collect()
+    want = {(i, a, b) for i, a in cells for j, b in cells if i == j and a < b and all(abs(x - y) <= 1 for x, y in zip(a, b, strict=True))}
+    assert len(got) == len(want) and {(r["label"], tuple(r["cell"]), tuple(r["other"])) for r in got} == want

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,8 +64,3 @@ def spread(rows: DataFrame, node: str, comp: DataFrame, out: str) -> DataFrame:
     """Add ``out``: the root of ``node``, or node itself where it has no links."""
     return rows.join(comp.select(F.col("node").alias(node), F.col("root").alias("_root")), node, "left").withColumn(out, F.coalesce("_root", F.col(node))).drop("_root")
 
-
-def link_arrays(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
-    i, j = np.nonzero(mask)
-    f = local_forest(a[i].tolist(), b[j].tolist())
-    return [x for x, _ in f], [y for _, y in f]

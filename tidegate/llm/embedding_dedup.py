@@ -2,7 +2,7 @@
 
 Unit vectors are rotated to the principal axes of all vectors, so leading coordinates carry most of a product. Vectors
 at an angle within the threshold lie within a fixed distance of each other on every axis: a grid of that width over some
-leading axes needs comparing cell by cell with itself and its neighbours only. The number of those axes grows with the
+leading axes needs comparing cell by cell with itself and its neighbours only, which are found axis by axis. The number of those axes grows with the
 largest label (``grid_axes``), so that cells hold about a tile's vectors at any size, and a vector goes to its
 neighbouring cells and not to its whole label. Cells are cut into tiles of bounded size, and pairs of tiles are compared:
 products of leading coordinates are accumulated first, the rest is bounded by the norms of what is left (Cauchy-Schwarz),
@@ -14,7 +14,6 @@ number of links and its tree in a spanning forest. So copies never become rows f
 from __future__ import annotations
 
 import math
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +86,23 @@ def grid_axes(largest: int, tile: int) -> int:
     return 1 + max(0, int(math.log(max(1, largest / tile), 4)))
 
 
+def neighbours(cells: DataFrame, axes: int) -> DataFrame:
+    """(label, d, cell, other) of cells (label, d, cell) that lie at most one apart on each of ``axes`` axes, the lesser one first.
+
+    Pairs of beginnings of cells grow by one axis at a time, each beginning to those that there are: the work follows
+    the pairs that exist, and not the 3 ** axes places around a cell. Rounds are joins on beginnings.
+    """
+    pairs = cells.select("label", "d").distinct().select("label", "d", F.array().cast("array<int>").alias("cell"), F.array().cast("array<int>").alias("other"))
+    for k in range(1, axes + 1):
+        begun = cells.select("label", "d", F.slice("cell", 1, k).alias("_to")).distinct()
+        mine = begun.select("label", "d", F.slice("_to", 1, k - 1).alias("cell"), F.element_at("_to", -1).alias("_x"))
+        ahead = pairs.join(mine, ["label", "d", "cell"]).withColumn("_y", F.explode(F.array(*(F.col("_x") + s for s in (-1, 0, 1)))))
+        grown = ahead.where((F.col("cell") < F.col("other")) | (F.col("_x") <= F.col("_y")))  # of equal beginnings the lesser stays first
+        grown = grown.select("label", "d", F.concat("cell", F.array("_x")).alias("cell"), F.concat("other", F.array("_y")).alias("_to"))
+        pairs = grown.join(begun, ["label", "d", "_to"]).withColumnRenamed("_to", "other")
+    return pairs.where("cell <> other").select("label", "d", "cell", "other")
+
+
 def _compare(turn: dict[int, np.ndarray], threshold: float):
     def compare(t: pa.Table) -> pa.Table:
         node, count, side = (np.asarray(t[c]) for c in ("node", "copies", "side"))
@@ -151,9 +167,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     placed = classes.select("node", "label", "v", "copies", "d").mapInArrow(cells, f"node long, label {kind}, v array<double>, copies long, d int, cell array<int>")
     units = materialize(placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("k")))
     # of two neighbouring cells the lesser one names the pair
-    steps = [list(x) for x in product((-1, 0, 1), repeat=m) if x > (0,) * m]
-    ahead = units.withColumn("step", F.explode(F.array(*(F.array(*map(F.lit, x)) for x in steps)))).withColumn("other", F.zip_with("cell", "step", lambda x, y: x + y))
-    pairs = ahead.join(units.select("label", "d", F.col("cell").alias("other"), F.col("k").alias("other_k")), ["label", "d", "other"])
+    near = neighbours(units.select(*key), m)
+    pairs = units.join(near, key).join(units.select("label", "d", F.col("cell").alias("other"), F.col("k").alias("other_k")), ["label", "d", "other"])
     where = F.concat_ws("|", F.array_join("cell", ","), F.array_join("other", ","))
     own = units.select(*key, "k", F.col("k").alias("others"), F.array_join("cell", ",").alias("at"), F.lit(None).cast("int").alias("side"))
     first = pairs.select(*key, "k", F.col("other_k").alias("others"), where.alias("at"), F.lit(0).alias("side"))

@@ -112,6 +112,11 @@ def _subset_keys(s: np.ndarray, m: np.ndarray, c: int) -> np.ndarray:
     return m.sum(dtype=U) - gone
 
 
+def rarity(df: np.ndarray) -> np.ndarray:
+    """Document counts in eight bits, in their order: as they are up to 31, then five steps for each doubling."""
+    return np.where(df < 32, df, 32 + np.floor(5 * np.log2(np.maximum(df, 32) / 32))).astype(U)
+
+
 def sketch(s: np.ndarray) -> bytes:
     """Shingles in each cell of hash space."""
     if len(s) > UNSKETCHED:
@@ -138,7 +143,7 @@ def _rows(width: int, pct: int, light: int):
             n = 0
             if s is not None:
                 n = len(s)
-                d = np.minimum(df[at : at + n], 255).astype(U)
+                d = rarity(df[at : at + n])
                 at += n
                 total, m = class_of(s)
                 cls = int(total.view(np.int64))

@@ -5,8 +5,9 @@ intervals, and every capture is evaluated against the entries that are active at
 (with all hosts below them) or a host with leading path segments; so a URL's possible patterns are few and all known,
 and a match is an equi-join. The as-of part is an equi-join too: intervals are cut at the bounds of time slots whose
 width is set for each pattern by its number of intervals, so a capture meets a bounded number of intervals on
-average, however often a pattern was switched. A hot pattern's captures are dealt over its slots and over as many parts
-as their number asks for, each with a copy of the pattern's intervals (``SPLIT``), so no pattern fills one task.
+average, however often a pattern was switched. A slot with many captures is dealt over as many parts as their number asks
+for, each with a copy of that slot's intervals (``SPLIT``), so no pattern fills one task; and since a slot holds a bounded
+number of intervals, copies are linear in captures.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 #: intervals of one pattern for each of its time slots, about
 PER_SLOT = 8
 DAY = 86_400
-#: captures of one pattern for each of its parts, about
+#: captures of one pattern's slot for each of its parts, about
 SPLIT = 2_000
-#: copies of each pattern's row for the join that tells captures its width and parts
+#: copies of each pattern's row for the join that tells captures its width, and of a hot slot's for its parts
 SALTS = 16
 
 
@@ -60,6 +61,24 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     return e.where("active").select(*key, F.col("at").alias("valid_from"), F.coalesce("next", "later").alias("valid_to"))
 
 
+def dealt(named: DataFrame, spans: DataFrame, lo: int, hi: int) -> tuple[DataFrame, DataFrame]:
+    """Captures (with pattern, _id, _url and _at) and copies of intervals (list, effect, pattern, valid_from, valid_to within ``lo`` to ``hi``), both with the slot and part in which they meet."""
+    # a width for each pattern: so many slots that each holds about PER_SLOT intervals
+    width = spans.groupBy("pattern").agg(F.ceil(F.lit(float(hi - lo + 1)) / F.ceil(F.count(F.lit(1)) / F.lit(PER_SLOT))).cast("long").alias("width"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = width.join(named.select("pattern").distinct(), "pattern").withColumn("salt", salts)
+    slot = lambda at: F.floor((F.col(at) - lo) / F.col("width"))
+    cut = spans.withColumn("salt", F.pmod(F.xxhash64("list", "effect", "valid_from"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"]).drop("salt")
+    cut = cut.withColumn("slot", F.explode(F.sequence(slot("valid_from"), F.floor((F.col("valid_to") - 1 - lo) / F.col("width")))))
+    mark = F.xxhash64("_id", "_url", "_at")
+    found = named.withColumn("salt", F.pmod(mark, F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"]).withColumn("slot", slot("_at"))
+    # slots with more captures than a part takes: few, since their number times SPLIT is at most that of captures
+    hot = found.groupBy("pattern", "slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("pattern", "slot", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
+    found = found.join(hot.withColumn("salt", salts), ["pattern", "slot", "salt"], "left").withColumn("part", F.pmod(F.shiftrightunsigned(mark, 8), F.coalesce("parts", F.lit(1))).cast("int"))
+    slots = cut.join(hot, ["pattern", "slot"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return found, slots
+
+
 def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """(id_col, url_col, time_col, n_block, n_allow, blocked, matched) for every row of ``captures``.
 
@@ -75,15 +94,8 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     ends = rows.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi")).first()
     lo, hi = ends["lo"] or 0, ends["hi"] or 0
     spans = spans.withColumns({"valid_from": F.greatest("valid_from", F.lit(lo)), "valid_to": F.least(F.coalesce("valid_to", F.lit(hi + 1)), F.lit(hi + 1))}).where("valid_from < valid_to")
-    # a width for each pattern: so many slots that each holds about PER_SLOT intervals
-    width = spans.groupBy("pattern").agg(F.ceil(F.lit(float(hi - lo + 1)) / F.ceil(F.count(F.lit(1)) / F.lit(PER_SLOT))).cast("long").alias("width"))
     named = rows.distinct().where("_at is not null").withColumn("pattern", F.explode(url_patterns(F.col("_url"), F.lit(sizes["labels"]), F.lit(sizes["depth"]))))
-    width = width.join(named.groupBy("pattern").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")), "pattern")
-    salted = width.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    slots = spans.withColumn("salt", F.pmod(F.xxhash64("list", "effect", "valid_from"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"]).drop("salt").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("slot", F.explode(F.sequence(F.floor((F.col("valid_from") - lo) / F.col("width")), F.floor((F.col("valid_to") - 1 - lo) / F.col("width")))))
-    mark = F.xxhash64("_id", "_url", "_at")
-    found = named.withColumn("salt", F.pmod(mark, F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"])
-    found = found.withColumns({"slot": F.floor((F.col("_at") - lo) / F.col("width")), "part": F.pmod(F.shiftrightunsigned(mark, 8), F.col("parts")).cast("int")})
+    found, slots = dealt(named, spans, lo, hi)
     met = found.join(slots.select("pattern", "slot", "part", "list", "effect", "valid_from", "valid_to"), ["pattern", "slot", "part"]).where("_at >= valid_from and _at < valid_to")
     count = lambda effect: F.count(F.when(F.col("effect") == effect, 1))
     hits = met.groupBy(F.col("_id").alias("k_id"), F.col("_url").alias("k_url"), F.col("_at").alias("k_at")).agg(count("block").alias("b"), count("allow").alias("a"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "list", "pattern"))), ",").alias("m"))
