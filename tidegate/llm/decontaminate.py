@@ -134,7 +134,8 @@ def contaminated_words(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
     the words inside any occurrence of a window; items: the ids, as sorted strings, of the items whose windows occur.
     Null and empty texts, and texts without words, have none on either side; null item ids name no item but their
     windows count. Repeated rows, equal and null ids give one row each; an item that occurs twice counts once. Empty
-    tables give no rows, or rows without hits. Other columns aren't read.
+    tables give no rows, or rows without hits. Other columns aren't read. Ids are
+    integers or null.
     """
     spark = docs.sparkSession
     ship(spark)

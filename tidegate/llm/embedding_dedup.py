@@ -136,7 +136,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     non-finite component link with nothing. n_links counts other rows linked directly; component_id is the least id
     that links reach, itself included; kept: it is the row's own id. Rows with equal ids are different rows with links
     of their own; a null id takes part in links (its component_id is null only if no id is in reach). An empty table
-    gives an empty result. Other columns aren't read.
+    gives an empty result. Other columns aren't read. Ids are
+    integers or null.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))

@@ -149,7 +149,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     lang_pred is the language with the least code length (the first by name of equals), `und` with score 0 where the
     text is null or has no letter. score: that language's share of probability, all languages being as likely
     beforehand. Repeated rows, equal and null ids give one row each; an empty table gives an empty result; with no
-    learned language everything is `und`. Other columns aren't read.
+    learned language everything is `und`. Other columns aren't read. Ids are
+    integers or null.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most rarest * max_order states a language, in practice some thousands

@@ -94,7 +94,8 @@ def scores(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_co
     """(id_col, score) for every row of ``docs``: the probability of label 1.
 
     Null and empty texts get the bias alone. Repeated rows, equal and null ids give one row each; an empty table gives
-    an empty result; other columns aren't read. The weights' size is fixed by ``bits``.
+    an empty result; other columns aren't read. The weights' size is fixed by ``bits``. Ids are
+    integers or null.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))

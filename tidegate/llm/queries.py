@@ -38,6 +38,11 @@ def captures_and_entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return captures, entries.unionByName(entry("paths", "allow", head, 49_979_687, F.pmod(F.col("page_id"), F.lit(2)) == 0))
 
 
+def _first(df: DataFrame, *names: str) -> DataFrame:
+    """The columns that the query's contract names, then the others."""
+    return df.select(*names, *(c for c in df.columns if c not in names))
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(*captures_and_entries(table(spark, sf_dir, "pages")))
 
@@ -60,13 +65,14 @@ SELECT page_id, url, fetched_at, coalesce(b, 0) AS n_block, coalesce(a, 0) AS n_
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = quality.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
-    return quality.scores(docs, weights).withColumns({"held_out": fold("doc_id", 4) == 2, "predicted": (F.col("score") >= 0.7).cast("int")})
+    found = quality.scores(docs, weights).withColumns({"held_out": fold("doc_id", 4) == 2, "predicted": (F.col("score") >= 0.7).cast("int")})
+    return _first(found, "doc_id", "held_out", "score", "predicted")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs, fold("doc_id", 5) != 0, "doc_id", "text", "lang")
-    return language_id.predict(docs, model).withColumn("held_out", fold("doc_id", 5) == 0)
+    return _first(language_id.predict(docs, model).withColumn("held_out", fold("doc_id", 5) == 0), "doc_id", "held_out", "lang_pred", "score")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +114,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_scores(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
-    return found.withColumn("held_out", fold("doc_id", 7) == 2)
+    return _first(found.withColumn("held_out", fold("doc_id", 7) == 2), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

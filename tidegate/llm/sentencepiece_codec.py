@@ -206,7 +206,8 @@ def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str
 
     Null and empty texts have no ids (and round_trip true). Words of any length and all bytes are encoded: a mark that
     a text holds itself is encoded by bytes. Repeated rows, equal and null ids give one row each; an empty table gives
-    an empty result; other columns aren't read. ``model`` is a tokenizer's vocabulary: it doesn't grow with the data.
+    an empty result; other columns aren't read. ``model`` is a tokenizer's vocabulary: it doesn't grow with the data. Ids are
+    integers or null.
     """
     ship(docs.sparkSession)
     sent = _Sent(docs.sparkSession, model)

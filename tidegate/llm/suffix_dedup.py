@@ -215,7 +215,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as they are in the input. Null and empty texts, and texts shorter than ``length``, have nothing removed (kept is
     empty for null). A row that occurs twice is removed whole in both places, if it is long enough; equal or null ids
     give one row each. whole_chars: remove also the rest of characters that are cut. An empty table gives an empty
-    result. Other columns aren't read. A single text is held in one task.
+    result. Other columns aren't read. A single text is held in one task. Ids are
+    integers or null.
     """
     ship(docs.sparkSession)
     n = B.block_count(docs, text_col, block_bytes)

@@ -103,7 +103,8 @@ def token_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
 
     Null and empty texts, and texts of white space alone, have 0 words and 0 tokens. Repeated rows, equal and null ids
     give one row each; an empty table gives an empty result; other columns aren't read. ``pieces`` is the tokenizer's
-    vocabulary, which doesn't grow with the data; each Python worker builds its table from it once.
+    vocabulary, which doesn't grow with the data; each Python worker builds its table from it once. Ids are
+    integers or null.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
