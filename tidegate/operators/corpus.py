@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
 from tidegate.functions import vocab as V
+from tidegate.session import materialize
 
 
 def token_index(log: DataFrame) -> DataFrame:
@@ -64,6 +65,27 @@ def dependent_views(views: DataFrame, touched: DataFrame) -> DataFrame:
     return tokens.join(touched, "token").select("script_id", "name").distinct()
 
 
+def view_reach(views: DataFrame) -> DataFrame:
+    """(name, token): every word that a view's text has, or that of a view it names, through any number of views.
+
+    Rounds of joins: what was new in one round is led on through the texts of the views that it names. As many rounds as
+    the longest chain of views has members; chains that go in a circle end too.
+    """
+    own = materialize(views.select("name", F.explode(X.identifiers(F.col("sql"))).alias("token")).distinct())
+    every = new = own
+    while True:
+        led = new.join(own.select(F.col("name").alias("token"), F.col("token").alias("_next")), "token").select("name", F.col("_next").alias("token")).distinct()
+        new = materialize(led.join(every, ["name", "token"], "left_anti"))
+        if new.isEmpty():
+            return every
+        every = every.unionByName(new)
+
+
+def dependent_views_through(views: DataFrame, touched: DataFrame) -> DataFrame:
+    """(script_id, name): views whose text, or that of a view below them, names anything touched."""
+    return view_reach(views).join(touched, "token").select("script_id", "name").distinct()
+
+
 def access_path_users(log: DataFrame, indexes: DataFrame) -> DataFrame:
     """(name, query_id, service, criticality, used, excerpt): statements that name an index's table and look up by its columns.
 

@@ -185,3 +185,56 @@ def answer_drift(pre: DataFrame, post: DataFrame) -> DataFrame:
     one = pre.groupBy(keys.alias("h")).agg(F.count(F.lit(1)).alias("n")).unionByName(post.groupBy(keys.alias("h")).agg((-F.count(F.lit(1))).alias("n")))
     d = one.groupBy("h").agg(F.sum("n").alias("n"))
     return d.agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("only_before"), F.coalesce(F.sum(F.when(F.col("n") < 0, -F.col("n"))), F.lit(0)).alias("only_after"))
+
+
+def _differing(pre: DataFrame, post: DataFrame, by: Column, row: Column) -> DataFrame:
+    """(by, before, after): numbers of rows of each value of ``by`` whose rows, as multisets of hashes, differ."""
+    total = lambda df: df.groupBy(by.alias("by")).agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(20,0)")).alias("s"))
+    a, b = (total(df).select(F.col("by").alias(f"{x}_by"), F.col("n").alias(f"{x}_n"), F.col("s").alias(f"{x}_s")) for df, x in ((pre, "a"), (post, "b")))
+    j = a.join(b, F.col("a_by").eqNullSafe(F.col("b_by")), "full_outer").where(~(F.col("a_n").eqNullSafe(F.col("b_n")) & F.col("a_s").eqNullSafe(F.col("b_s"))))
+    return j.select(F.coalesce("a_by", "b_by").alias("by"), F.coalesce("a_n", F.lit(0)).alias("before"), F.coalesce("b_n", F.lit(0)).alias("after"))
+
+
+def differing_ranges(pre: DataFrame, post: DataFrame, key: str, cells: int = 1024, few: int = 100_000) -> list[tuple[int, int]]:
+    """Ranges of an integer ``key`` outside of which both answers have the same rows.
+
+    Fingerprints of equal ranges are compared, then of finer ones inside those that differ, until these hold ``few``
+    rows or can't be divided. Each round is one aggregation on either side, of ``cells`` rows at most, over the ranges
+    left: where files are sorted by key, the comparison on it keeps the rest from being read.
+    """
+    row = F.xxhash64(*sorted(pre.columns))
+    ends = pre.select(key).unionByName(post.select(key)).agg(F.min(key), F.max(key)).first()
+    if ends[0] is None:
+        return []
+    ranges, width = [(ends[0], ends[1])], None
+    while True:
+        size = sum(b - a + 1 for a, b in ranges)
+        last, width = width, max(1, -(-size // cells))
+        if last is not None and width >= last:
+            return ranges
+        inside, cell = F.lit(False), F.lit(None).cast("long")
+        for a, b in ranges:
+            within = F.col(key).between(a, b)
+            inside, cell = inside | within, F.when(within, F.floor((F.col(key) - a) / F.lit(width)) * width + a).otherwise(cell)
+        found = sorted(_differing(pre.where(inside), post.where(inside), cell, row).collect())
+        ranges, rows = [], sum(max(r["before"], r["after"]) for r in found)
+        for a, b in ((r["by"], r["by"] + width - 1) for r in found):
+            if ranges and a <= ranges[-1][1] + 1:
+                ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
+            else:
+                ranges.append((a, b))
+        if width == 1 or rows <= few:
+            return ranges
+
+
+def answer_rows(pre: DataFrame, post: DataFrame, key: str, cells: int = 1024, few: int = 100_000) -> DataFrame:
+    """(key, before, after): keys whose rows differ between two answers of the same columns, and how many rows each has.
+
+    ``key`` is an integer; it may repeat and be null. Only ranges of it that differ are read for this, and rows with a
+    null key.
+    """
+    ranges = differing_ranges(pre, post, key, cells, few)
+    some = F.col(key).isNull()
+    for a, b in ranges:
+        some |= F.col(key).between(a, b)
+    return _differing(pre.where(some), post.where(some), F.col(key), F.xxhash64(*sorted(pre.columns))).withColumnRenamed("by", key)

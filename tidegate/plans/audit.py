@@ -5,11 +5,14 @@ A step is (script_id, phase, seq, kind, sql, object); code steps and gates are (
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import vocab as V
 from tidegate.operators import rules as R
+from tidegate.session import ship
 
 
 def plan_steps(plans: DataFrame) -> DataFrame:
@@ -18,11 +21,33 @@ def plan_steps(plans: DataFrame) -> DataFrame:
     return one("phase1_sql", "phase1").unionByName(one("phase2_sql", "phase2")).unionByName(one("rollback_sql", "rollback"))
 
 
+def named_in(texts: DataFrame, objects: DataFrame) -> DataFrame:
+    """(script_id, object), distinct: those of all ``objects`` (object) that a script's texts (script_id, text) contain, whatever the case.
+
+    Texts are searched once for all names together, by an automaton of the fleet's distinct object names, which are of
+    the catalogue's size. So a script with many steps and many gates costs what its texts' length is, and not a pair of
+    each.
+    """
+    names = [r["o"] for r in objects.select(F.lower("object").alias("o")).where("o is not null").distinct().collect()]
+    ship(texts.sparkSession)
+
+    def search(batches):
+        found = ahocorasick.Automaton()
+        for n in names:
+            if n:
+                found.add_word(n, n)
+        found.make_automaton()
+        for t in batches:
+            hits = {(i, n) for i, text in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True) if text is not None for n in ([x for _, x in found.iter(text)] if len(found) else []) + [""] * ("" in names)}
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in hits], pa.int64()), pa.array([n for _, n in hits], pa.string())], ["script_id", "object"])
+
+    return texts.select(F.col("script_id").cast("long"), F.lower("text").alias("text")).mapInArrow(search, "script_id long, object string").distinct()
+
+
 def _named(steps: DataFrame, texts: DataFrame, how: str) -> DataFrame:
-    """Steps whose object a text of the same script names: equi-join on the script, substring as the rest."""
-    s, t = steps.alias("s"), texts.alias("t")
-    on = (F.col("s.script_id") == F.col("t.script_id")) & F.contains(F.lower("t.text"), F.lower("s.object"))
-    return s.join(t, on, how)
+    """Steps whose object a text of the same script names."""
+    hits = named_in(texts, steps).select("script_id", F.col("object").alias("_o"))
+    return steps.withColumn("_o", F.lower("object")).join(hits, ["script_id", "_o"], how).drop("_o")
 
 
 def ungated_steps(steps: DataFrame, gates: DataFrame) -> DataFrame:

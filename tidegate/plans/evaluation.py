@@ -103,6 +103,16 @@ def j17_manifest_drift(spark, d):
     return R.manifest_drift(B.rows(spark, d, _M1), B.rows(spark, d, _M2))
 
 
+_TREE = "CAST(user_id % 7 AS STRING) || '/' || CAST(user_id AS STRING) || '/' || event_type || '/' || CAST(event_id AS STRING) AS path"
+_T1, _T2 = f"(SELECT {_TREE}, CAST(value AS STRING) AS sha256 FROM events WHERE event_id % 4000 <> 9)", f"(SELECT {_TREE}, CASE WHEN event_id % 5000 = 3 THEN 'x' ELSE CAST(value AS STRING) END AS sha256 FROM events WHERE event_id % 3000 <> 5)"
+
+
+@query(f"SELECT {_TREE}, CASE WHEN event_id % 4000 = 9 THEN 'added' WHEN event_id % 3000 = 5 THEN 'removed' ELSE 'changed' END AS state FROM events WHERE (event_id % 4000 = 9 AND event_id % 3000 <> 5) OR (event_id % 4000 <> 9 AND (event_id % 3000 = 5 OR event_id % 5000 = 3))")
+def j17_drift_by_folder(spark, d):
+    """Two trees of four levels that differ in few files: digests of folders are compared, level by level, before files are."""
+    return R.manifest_drift_by_folder(B.rows(spark, d, _T1), B.rows(spark, d, _T2))
+
+
 _D1, _D2 = "(SELECT event_id AS id, 'took ' || CAST(user_id AS STRING) || ' ms ' || event_type AS text FROM events WHERE event_id % 9 <> 0)", "(SELECT event_id AS id, 'took ' || CAST(CASE WHEN event_id % 2 = 0 THEN user_id ELSE 7 END AS STRING) || ' ms ' || CASE WHEN event_id % 5 = 0 THEN 'z' ELSE event_type END AS text FROM events)"
 
 

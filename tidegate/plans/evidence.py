@@ -19,6 +19,7 @@ from pyspark.sql.types import NumericType
 
 from tidegate.functions import exprs as X
 from tidegate.operators import findings as FI
+from tidegate.operators import footers as FO
 from tidegate.operators import preflight as P
 from tidegate.operators import replay as RE
 from tidegate.operators import rules as R
@@ -44,6 +45,8 @@ class Evidence:
     broken: DataFrame | None = None
     drift: DataFrame | None = None
     unresolved: DataFrame | None = None
+    #: checks that footers settled or narrowed down
+    footed: int | None = None
     #: analyses that a replay took
     resolutions: int | None = None
 
@@ -122,15 +125,17 @@ class Scanned:
             return None
 
 
-def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str, str] | None = None) -> Evidence:
+def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str, str] | None = None, files: dict[str, str] | None = None) -> Evidence:
     """Data failures, narrowing and bounded scans of the scripts' checks, each on the rows as its script has left them by then.
 
     One scan of each table for most checks; one more, with one exchange, for all its unique keys; and one exchange for
     all foreign keys. ``samples`` (table to predicate): where given, only these rows are scanned, and a clean scan is
     bounded if the table has others. A clean scan after an INSERT is bounded too, since no scan saw the new rows, and so
-    is a check that can't be asked (``scripts.row_checks``): nothing was seen.
+    is a check that can't be asked (``scripts.row_checks``): nothing was seen. ``files`` (table to the path of the
+    Parquet files that it reads whole): where given, footers settle checks on rows as they are (``footed`` counts them),
+    and integer ranges that they leave open are asked of the row groups in doubt only.
     """
-    spark, samples = ops.sparkSession, samples or {}
+    spark, samples, files, footed = ops.sparkSession, samples or {}, files or {}, 0
     wanted = materialize(S.row_checks(S.ordered(ops), {t: dict(df.dtypes) for t, df in tables.items()}))
     asked = [(r["kind"], r["spec"], json.loads(r["spec"])) for r in wanted.where("spec is not null").select("kind", "spec").distinct().collect()]
     steps: dict[str, dict[str, list]] = {t: {} for t in tables}
@@ -146,6 +151,22 @@ def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str,
         own = [x for x in asked if x[2]["base"] == name and not (x[0] == "narrow" and x[1] in wide)]
         table = scanned[name]
         seen = table.df.where(samples.get(name, "true"))
+        plain = [(k, text, s) for k, text, s in own if k in ("not_null", "narrow") and not s["steps"] and name in files and name not in samples]
+        facts = FO.column_facts(spark, files[name], sorted({s["refs"][0] for *_, s in plain})) if plain else {}
+        for k, text, s in plain:
+            ref, got = s["refs"][0], None
+            if (fact := facts.get(ref)) is None:
+                continue
+            if k == "not_null":
+                got = spark.range(1).select(F.lit(fact.nulls).cast("long").alias("violations"))
+            elif FO.fits(fact, s["text"]):
+                got = spark.range(1).select(F.lit(0).cast("long").alias("violations"))
+            elif fact.kind in FO.WHOLE and s["text"].strip().lower() in P.RANGES:
+                got = FO.outside_rows(tables[name], ref, s["text"])
+            if got is not None:
+                footed += 1
+                own.remove((k, text, s))
+                parts.append(got.select(F.lit(k).alias("kind"), F.lit(text).alias("spec"), "violations", F.lit(False).alias("partly")))
         counts = {(k, text): c for k, text, s in own if k not in ("unique", "foreign") and (c := table.count(k, s)) is not None}
         rejected[name] = [(text, s) for k, text, s in own if k == "unique" and table.has(s)]
         foreign += [(text, s) for k, text, s in own if k == "foreign" and table.has(s) and scanned[s["parent"]["base"]].has(s["parent"])]
@@ -174,6 +195,7 @@ def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str,
         data=known.where(~narrowed).select("script_id", F.col("object").alias("check"), "kind", "violations").distinct(),
         narrowed=known.where(narrowed).select("script_id", "object", P.narrowing_severity(F.col("violations")).alias("severity"), F.col("violations").alias("offending_rows")).distinct(),
         bounded=named.where((F.coalesce("violations", F.lit(0)) == 0) & F.col("part")).select("script_id", "object", F.lit(True).alias("bounded")).distinct(),
+        footed=footed,
     )
 
 
@@ -221,6 +243,6 @@ def replay_changes(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame],
     )
 
 
-def measure(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame], views: dict[str, str] | None = None, samples: dict[str, str] | None = None) -> Evidence:
+def measure(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame], views: dict[str, str] | None = None, samples: dict[str, str] | None = None, files: dict[str, str] | None = None) -> Evidence:
     """Everything that tables and log can say about the change events ``ops``."""
-    return scan_tables(ops, tables, samples) | replay_changes(ops, log, tables, views)
+    return scan_tables(ops, tables, samples, files) | replay_changes(ops, log, tables, views)

@@ -594,6 +594,16 @@ def o_answer_drift(spark, d):
     return RE.answer_drift(o, o.where("o_orderstatus <> 'P'"))
 
 
+_CHANGED = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 1000 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 1000 <> 9 UNION ALL SELECT -o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 5000 = 11 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3000 = 5)"
+
+
+@query("SELECT CASE WHEN k = 11 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN k = 11 THEN 0 ELSE 1 END AS before, CASE k WHEN 7 THEN 1 WHEN 9 THEN 0 WHEN 11 THEN 1 ELSE 2 END AS after FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 7 THEN 7 WHEN o_orderkey % 1000 = 9 THEN 9 WHEN o_orderkey % 5000 = 11 THEN 11 WHEN o_orderkey % 3000 = 5 THEN 5 END AS k FROM orders) WHERE k IS NOT NULL")
+def o_answer_rows(spark, d):
+    """Which keys' rows differ between two answers: changed, taken away, added, and repeated."""
+    before = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return RE.answer_rows(before, B.rows(spark, d, _CHANGED), "o_orderkey", cells=256, few=200)
+
+
 # ---- set operations ------------------------------------------------------------------------------------------------
 @query(f"SELECT seq, CASE WHEN code <> family THEN code ELSE '' END AS removed, CASE WHEN code <> family THEN family ELSE '' END AS added FROM (SELECT seq, code, CASE WHEN severity = 'low' THEN code ELSE obj END AS family FROM {_F} f) x")
 def u2_column_sets(spark, d):

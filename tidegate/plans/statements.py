@@ -287,6 +287,16 @@ def j4_dependent_views(spark, d):
     return C.dependent_views(B.rows(spark, d, _VIEWS), C.touched_objects(_ops(spark, d)))
 
 
+#: a view for each customer, over those of a half and a third of its number: chains, and diamonds
+_CHAIN = "(SELECT 'v' || CAST(c_custkey AS STRING) AS name, CASE WHEN c_custkey = 1 THEN 'SELECT c_name FROM customer' ELSE 'SELECT a.c_name FROM v' || CAST(greatest(1, CAST(floor(c_custkey / 2) AS BIGINT)) AS STRING) || ' a, v' || CAST(greatest(1, CAST(floor(c_custkey / 3) AS BIGINT)) AS STRING) || ' b' END AS sql FROM customer)"
+_AT = "(SELECT CAST(n_nationkey AS BIGINT) AS script_id, 'v' || CAST(n_nationkey * 3 + 2 AS STRING) AS token FROM nation UNION ALL SELECT 1000, 'customer' FROM region)"
+
+
+@query(f"WITH RECURSIVE e AS (SELECT name, unnest({_TOKENS}) AS token FROM {_CHAIN} v), r AS (SELECT name, token FROM e UNION SELECT r.name, e.token FROM r JOIN e ON e.name = r.token) SELECT DISTINCT t.script_id, r.name FROM r JOIN {_AT} t USING (token)")
+def j4_views_through_views(spark, d):
+    return C.dependent_views_through(B.rows(spark, d, _CHAIN), B.rows(spark, d, _AT).distinct())
+
+
 _IDX = "(SELECT DISTINCT 'customer' AS tbl, 'c_idx' AS name, 'c_custkey' AS col1, 'c_name' AS col2 FROM region UNION ALL SELECT DISTINCT 'part', 'p_idx', 'p_brand', 'p_type' FROM region UNION ALL SELECT DISTINCT 'part', 'q_idx', 'p_type', 'p_name' FROM region)"
 
 

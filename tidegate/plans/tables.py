@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
 from tidegate.operators import findings as FI
+from tidegate.operators import footers as FO
 from tidegate.operators import migrate as M
 from tidegate.operators import preflight as P
 from tidegate.operators import rules as R
@@ -192,6 +193,15 @@ def m6_dependent_objects(spark, d):
     return M.dependent_objects(objects, B.rows(spark, d, B.OPS))
 
 
+_FOOTED = ("l_orderkey", "l_quantity", "l_linenumber", "l_returnflag")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS col, count(*) AS rows, count(*) - count({c}) AS nulls, {f'CAST(min({c}) AS DOUBLE)' if c != 'l_returnflag' else 'NULL'} AS lo, {f'CAST(max({c}) AS DOUBLE)' if c != 'l_returnflag' else 'NULL'} AS hi FROM lineitem" for c in _FOOTED))
+def a8_footer_facts(spark, d):
+    """Counts, nulls and bounds from footers: no page of lineitem is read."""
+    return FO.fact_rows(spark, FO.column_facts(spark, f"{d}/lineitem.parquet", list(_FOOTED)))
+
+
 # ---- the first slice: uniqueness, its finding and the verdict -----------------------------------------------------
 def unique_verdict(spark, d):
     """Would a unique key on (l_orderkey, l_linenumber) ship?"""
