@@ -9,7 +9,7 @@ from tidegate.operators import corpus as C
 from tidegate.operators import footers as FO
 from tidegate.operators import replay as RE
 from tidegate.operators import runs as RU
-from tidegate.operators.census import split_scripts
+from tidegate.operators.census import read_chunks, run_from, split_chunks, split_scripts
 from tidegate.operators.events import change_events
 from tidegate.plans import audit as A
 from tidegate.plans import evidence as EV
@@ -112,3 +112,52 @@ def test_a_script_of_many_steps_and_gates_is_linear(spark):
     left = A.ungated_steps(steps, gates)
     assert left.count() == 5_000
     assert "NestedLoop" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- scripts in chunks ---------------------------------------------------------------------------------------------
+BITS = ["SELECT 1", ";", "\n", "'a;b", "'", "''", '"q;', '"', "/* c;", "*/", "-- x; y", "$$ b;", "$$", "$t$", "x, y", "(", ")", "DROP TABLE z", " ", "DO $$ DROP TABLE z; $$", "\n;\n"]
+
+
+def chunked_rows(texts, rng):
+    """Chunks of whole lines, of random numbers of lines."""
+    out = []
+    for i, t in enumerate(texts):
+        lines, c = t.splitlines(keepends=True), 0
+        while lines:
+            n = rng.randint(1, 3)
+            out.append((i, c * 7, "".join(lines[:n])))
+            lines, c = lines[n:], c + 1
+    return out
+
+
+def test_chunks_give_what_whole_scripts_give(spark):
+    """Random scripts with open quotes, nested comments and bodies over chunks' ends: every column is that of the scan of the whole text."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    texts = [t.replace("\r", "") for t in texts] + ["a;\nb;\n/* 1\n/* 2\n*/\n;\n*/ c\n;", "DO $x$\nDROP TABLE t;\n$x$;\nSELECT 1", "'\n;\n''\n;'\n;x", "\n\n-- only;\n"]
+    want = split_scripts(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string"))
+    got = split_chunks(spark.createDataFrame(chunked_rows(texts, rng), "script_id long, chunk long, text string").repartition(7))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_states_of_chunks():
+    assert run_from("a; 'b\n", "n") == ("'", [2]) and run_from("c'; d\n", "'") == ("n", [3]) and run_from("/* /* x */\n", "n") == ("/1", [])
+    assert run_from("*/ y */ z;\n", "/2") == ("n", [10]) and run_from("b $f$ c\n", "n") == ("$f$", []) and run_from("x; $f$; y\n", "$f$") == ("n", [7])
+
+
+def test_a_large_file_in_many_tasks(spark, tmp_path):
+    """A file of many splits, with bodies over several lines, read in chunks: the statements of the whole."""
+    body = "DO $body$ BEGIN\n  -- it's;\n  DROP TABLE t;\nEND $body$;\n/* a;\n b; */ ALTER TABLE t\n  DROP COLUMN c;\n"
+    path = tmp_path / "big.sql"
+    path.write_text(body * 20_000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        chunks = read_chunks(spark, str(path), lines=1_500)
+        assert chunks.rdd.getNumPartitions() >= 8
+        got = split_chunks(chunks).select("idx", "code", "body_destructive").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(r["idx"] for r in got) == list(range(40_000))
+    assert {(r["idx"] % 2, r["body_destructive"]) for r in got} == {(0, True), (1, False)}
+    assert {" ".join(r["code"].split()) for r in got if r["idx"] % 2} == {"ALTER TABLE t DROP COLUMN c"}

@@ -1,7 +1,8 @@
 """A census of statements in scripts: where each begins and ends, what is left open, what procedural bodies hold.
 
 One script's text is scanned in one task, by one regular expression of lexical items (comments may nest, quotes may be
-dollar tags); scripts are dealt over partitions by Spark. What is judged later is `code`, the statement with comments
+dollar tags); scripts are dealt over partitions by Spark, and a script too large for a task comes in chunks
+(``split_chunks``). What is judged later is `code`, the statement with comments
 blanked, so that a comment neither hides a statement nor makes one.
 """
 
@@ -11,14 +12,14 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
-from tidegate.session import ship
+from tidegate.session import materialize, ship
 
-SCHEMA = "script_id long, idx int, sql string, code string, clauses array<string>, start int, stop int, code_chars int, unterminated boolean, bodies array<string>, script_chars int, script_seen int"
-ARROW = pa.schema([("script_id", pa.int64()), ("idx", pa.int32()), ("sql", pa.string()), ("code", pa.string()), ("clauses", pa.list_(pa.string())), ("start", pa.int32()), ("stop", pa.int32()), ("code_chars", pa.int32()), ("unterminated", pa.bool_()), ("bodies", pa.list_(pa.string())), ("script_chars", pa.int32()), ("script_seen", pa.int32())])
+SCHEMA = "script_id long, idx int, sql string, code string, clauses array<string>, start long, stop long, code_chars int, unterminated boolean, bodies array<string>, script_chars int, script_seen int"
+ARROW = pa.schema([("script_id", pa.int64()), ("idx", pa.int32()), ("sql", pa.string()), ("code", pa.string()), ("clauses", pa.list_(pa.string())), ("start", pa.int64()), ("stop", pa.int64()), ("code_chars", pa.int32()), ("unterminated", pa.bool_()), ("bodies", pa.list_(pa.string())), ("script_chars", pa.int32()), ("script_seen", pa.int32())])
 ITEM = re.compile(r"(?P<line>--[^\n]*)|(?P<block>/\*)|(?P<str>'(?:[^']|'')*')|(?P<ident>\"[^\"]*\")|(?P<tag>\$(?:[A-Za-z_]\w*)?\$)|(?P<end>;)|(?P<open>['\"])|(?P<deep>[(\[])|(?P<shallow>[)\]])|(?P<comma>,)|(?P<gap>\s+)|(?P<text>[^;'\"$/\-\s()\[\],]+|.)", re.S)
 NESTED = re.compile(r"/\*|\*/")
 
@@ -122,12 +123,161 @@ def split_scripts(scripts: DataFrame) -> DataFrame:
                         rows[name].append(v)
             yield pa.RecordBatch.from_pydict(rows, ARROW)
 
-    found = scripts.select(F.col("script_id").cast("long"), "text").mapInArrow(census, SCHEMA)
+    return _flagged(scripts.select(F.col("script_id").cast("long"), "text").mapInArrow(census, SCHEMA))
+
+
+def _flagged(found: DataFrame) -> DataFrame:
+    """With what procedural bodies do."""
     runs = X.is_procedural(F.col("code"))
     inside = lambda f: runs & F.exists("bodies", lambda b: F.exists(F.split(b, ";"), f))
     return found.withColumns({"procedural": runs, "body_ddl": inside(X.changes_inside), "body_destructive": inside(lambda s: X.changes_inside(s) & X.is_destructive(s))})
 
 
+# ---- scripts too large for one task ---------------------------------------------------------------------------------
+#: outside of quotes and comments; the other states are an open quote's mark, `/` and the depth of open comments, and a dollar tag
+OUTSIDE = "n"
+
+
+def run_from(text: str, state: str) -> tuple[str, list[int]]:
+    """The state after whole lines of text, from a state before them, and the ends of statements among them."""
+    at, cuts = 0, []
+    if state[0] == "/":
+        depth = int(state[1:])
+        while depth and (n := NESTED.search(text, at)):
+            at, depth = n.end(), depth + (1 if n[0] == "/*" else -1)
+        if depth:
+            return f"/{depth}", cuts
+    elif state != OUTSIDE:
+        close = text.find(state)
+        if close < 0:
+            return state, cuts
+        at = close + len(state)
+    rest = text[at:]
+    for kind, i, end, left_open in items(rest):
+        if kind == "end":
+            cuts.append(at + end)
+        elif left_open and kind == "block":
+            marks = [n[0] for n in NESTED.finditer(rest, i)]
+            return f"/{marks.count('/*') - marks.count('*/')}", cuts
+        elif left_open:
+            return (rest[i : rest.index("$", i + 1) + 1] if kind == "tag" else rest[i]), cuts
+    return OUTSIDE, cuts
+
+
+def read_chunks(spark: SparkSession, path: str, script_id: int = 0, lines: int = 20_000) -> DataFrame:
+    """(script_id, chunk, text) of one large file: runs of whole lines, in order, each read by the task that has that part of the file."""
+    got = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+
+    def join(batches):
+        held, first, seq, size = [], None, 0, 0
+        for t in batches:
+            for line, at in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
+                if held and (at != first or size >= lines):
+                    yield first, seq, held
+                    held, size, seq = [], 0, seq + 1 if at == first else 0
+                first = at
+                held.append(line + "\n")
+                size += 1
+        if held:
+            yield first, seq, held
+
+    def rows(batches):
+        for at, seq, held in join(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([at * 4096 + seq]), pa.array(["".join(held)])], ["chunk", "text"])
+
+    return got.select("value", "_at").mapInArrow(rows, "chunk long, text string").select(F.lit(script_id).cast("long").alias("script_id"), "chunk", "text")
+
+
+def _walk(t: pa.Table) -> pa.Table:
+    """The state before each chunk of a script, as far as it is known; beyond, one row with chunk null and the state that is missing."""
+    script, steps = t["script_id"][0].as_py(), {}
+    for chunk, state, end in zip(t["chunk"].to_pylist(), t["state"].to_pylist(), t["after"].to_pylist(), strict=True):
+        steps.setdefault(chunk, {})[state] = end
+    out, now = [], OUTSIDE
+    for chunk in sorted(steps):
+        if now not in steps[chunk]:
+            out.append((None, now))
+            break
+        out.append((chunk, now))
+        now = steps[chunk][now]
+    return pa.table({"script_id": pa.array([script] * len(out), pa.int64()), "chunk": pa.array([c for c, _ in out], pa.int64()), "state": pa.array([s for _, s in out], pa.string())})
+
+
+def chunk_states(chunks: DataFrame) -> DataFrame:
+    """(script_id, chunk, state): the lexical state before each chunk (script_id, chunk, text) of whole lines.
+
+    The scanner as a transducer: every chunk is run from each state that any script is found to be in at a chunk's
+    start, side by side; a script's chunks are then walked through by these steps alone. States that come up on the way
+    (an open body's tag, the depth of a comment) are run in a further round, so rounds follow the distinct kinds of
+    what is left open over a chunk's end, and not the chunks.
+    """
+    ship(chunks.sparkSession)
+
+    def step(states):
+        def run(batches):
+            for t in batches:
+                rows = [(i, c, s, run_from(text or "", s)[0]) for i, c, text in zip(*(t.column(k).to_pylist() for k in range(3)), strict=True) for s in states]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["script_id", "chunk", "state", "after"])
+
+        return run
+
+    new, done, steps = [OUTSIDE], [], None
+    while True:
+        more = materialize(chunks.select("script_id", "chunk", "text").mapInArrow(step(new), "script_id long, chunk long, state string, after string"))
+        done, steps = done + new, more if steps is None else steps.unionByName(more)
+        walked = materialize(steps.groupBy("script_id").applyInArrow(_walk, "script_id long, chunk long, state string"))
+        new = [r["state"] for r in walked.where("chunk is null").select("state").distinct().collect()]
+        if not new:
+            return walked
+
+
+def split_chunks(chunks: DataFrame) -> DataFrame:
+    """As ``split_scripts``, for scripts whose text comes as chunks (script_id, chunk, text) of whole lines, each of a size for one task.
+
+    No task holds a script; one holds a chunk, a statement, or a script's states. Statements are numbered from counts by
+    chunk. A line, and a statement, are held whole. Null and empty chunks are as if not there.
+    """
+    chunks = chunks.select(F.col("script_id").cast("long"), F.col("chunk").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    own = chunks.join(chunk_states(chunks), ["script_id", "chunk"])
+
+    def cut(batches):
+        for t in batches:
+            rows = []
+            for i, c, text, state in zip(*(t.column(k).to_pylist() for k in range(4)), strict=True):
+                ends = run_from(text, state)[1]
+                rows += [(i, c, k, a, text[a:b], b in ends[k : k + 1]) for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(text)], strict=True))]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["script_id", "chunk", "k", "at", "text", "ended"])
+
+    parts = materialize(own.select("script_id", "chunk", "text", "state").mapInArrow(cut, "script_id long, chunk long, k int, at long, text string, ended boolean"))
+    past = Window.partitionBy("script_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+    sizes = parts.groupBy("script_id", "chunk").agg(F.count_if("ended").alias("n"), F.sum(F.length("text")).alias("chars"))
+    sizes = sizes.select("script_id", "chunk", *(F.coalesce(F.sum(c).over(past), F.lit(0)).alias(name) for c, name in (("n", "before"), ("chars", "offset"))))
+    placed = parts.join(sizes, ["script_id", "chunk"]).select("script_id", (F.col("before") + F.col("k")).alias("no"), (F.col("offset") + F.col("at")).alias("start"), "chunk", "text")
+    whole = placed.groupBy("script_id", "no").agg(F.min(F.struct("start", "chunk")).alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias("text"))
+
+    def census(batches):
+        for t in batches:
+            rows: dict[str, list] = {k: [] for k in [*ARROW.names, "chunk", "no"]}
+            for i, no, start, chunk, text in zip(*(t.column(k).to_pylist() for k in range(5)), strict=True):
+                found, comment = scan(text)
+                for s in found or [None]:
+                    code = ",".join(s.clauses).strip() if s else None
+                    values = (i, -1 if s is None else 0, text[s.start : s.stop].rstrip(";").strip(), code, [c.strip() for c in s.clauses], start + s.start, start + s.stop, s.solid, s.left_open, [masked(b) for b in s.bodies]) if s else (i, -1, None, None, [], None, None, None, None, [])
+                    for name, v in zip(rows, (*values, _solid(text), (s.solid if s else 0) + comment, chunk, no), strict=True):
+                        rows[name].append(v)
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([*ARROW, ("chunk", pa.int64()), ("no", pa.int64())]))
+
+    found = materialize(whole.select("script_id", "no", "first.start", "first.chunk", "text").mapInArrow(census, SCHEMA + ", chunk long, no long"))
+    total = found.groupBy("script_id").agg(F.sum("script_chars").cast("int").alias("script_chars"), F.sum("script_seen").cast("int").alias("script_seen"))
+    real = found.where("idx >= 0").drop("script_chars", "script_seen", "idx")
+    count = real.groupBy("script_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    count = count.select("script_id", "chunk", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("script_id", "chunk").orderBy("no")) - 1
+    out = real.withColumn("_r", inside).join(count, ["script_id", "chunk"]).join(total, "script_id").withColumn("idx", (F.col("before") + F.col("_r")).cast("int"))
+    return _flagged(out.select(*ARROW.names))
+
+
 def splitter_loss(scripts: DataFrame, census: DataFrame) -> DataFrame:
     """(script_id, naive, real, lost, phantom): statements that a split at every semicolon loses or makes up."""
     naive = scripts.select("script_id", F.size(F.filter(F.split("text", ";"), lambda s: F.trim(s) != "")).alias("naive"))

@@ -155,6 +155,18 @@ def _remarked(spark, d):
 _LOOSE = f"(SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY idx) - 1 AS INTEGER) AS idx, sql, kind FROM {B.OPS} o)"
 
 
+_BROKEN_UP = "replace(replace(sql, 'BEGIN DROP', 'BEGIN' || chr(10) || 'DROP'), ' ADD ', chr(10) || 'ADD ')"
+_NOTED = f"(SELECT idx, CASE idx % 3 WHEN 0 THEN '/* a; note' || chr(10) || '/* within */ it''s;' || chr(10) || '*/ ' WHEN 1 THEN '-- it''s; so' || chr(10) ELSE '' END || {_BROKEN_UP} || ';' AS text FROM {B.OPS} o)"
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS INTEGER) AS idx, sql AS code, kind = 'procedural_block' AS body_ddl FROM {B.OPS} o")
+def j_census_large_script(spark, d):
+    """All statements as one script, in chunks of a line each, so that comments and bodies lie open over chunks' ends."""
+    lines = B.rows(spark, d, _NOTED).select("idx", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    chunks = lines.select(F.lit(0).alias("script_id"), (F.col("idx") * 16 + F.col("line")).alias("chunk"), F.concat("text", F.lit("\n")).alias("text"))
+    return CE.split_chunks(chunks).select("idx", X.norm_sql(F.col("code")).alias("code"), "body_ddl")
+
+
 @query(_finding("PROCEDURAL_DDL_UNREVIEWED", "'blocker'", "kind = 'procedural_block'", obj="'statement ' || CAST(idx AS VARCHAR)", frm=f"{_LOOSE} l"))
 def r9_procedural(spark, d):
     return R.procedural(CE.split_scripts(_scripts(spark, d)))
