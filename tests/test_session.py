@@ -13,3 +13,5 @@ def test_spread_out(spark):
     few, many, dealt = spark.range(0, 10, 1, 1), spark.range(0, 100, 1, 64), spark.range(10).repartition(1)
     assert spread_out(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread_out(many) is many and spread_out(dealt) is dealt
+    named = few.withColumnRenamed("id", "SortKeyJoinAggregate")  # a column's name is no plan
+    assert spread_out(named) is not named and spread_out(few.distinct()).rdd.getNumPartitions() > 0

@@ -167,6 +167,12 @@ def log_outcomes(log: DataFrame, outcomes: DataFrame) -> DataFrame:
     return reads.join(outcomes.select("shape", "ok"), "shape").select("query_id", "ok")
 
 
+def log_drift(log: DataFrame, drift: DataFrame) -> DataFrame:
+    """(query_id, removed, added) of every read of ``log``, from drift by shape (shape, removed, added)."""
+    reads = log.where(is_read(F.col("sql"))).select("query_id", shape_of(F.col("sql")).alias("shape"))
+    return reads.join(drift.select("shape", "removed", "added"), "shape").select("query_id", "removed", "added")
+
+
 def column_drift(pre: DataFrame, post: DataFrame) -> DataFrame:
     """(query_id, removed, added, reordered) where the ordered column lists differ."""
     j = pre.where("ok").select("query_id", F.col("columns").alias("a")).join(post.where("ok").select("query_id", F.col("columns").alias("b")), "query_id")

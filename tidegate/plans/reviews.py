@@ -591,6 +591,16 @@ def o_diff_column_drift(spark, d):
     return RE.column_drift(RE.replay(spark, READS, a, False, OPEN_ORDERS), RE.replay(spark, READS, b, False, OPEN_ORDERS))
 
 
+@query(f"SELECT query_id, 'o_orderpriority' AS removed, 'priority' AS added FROM {B.LOG} q WHERE sql LIKE 'SELECT * FROM orders%'")
+def o_diff_log_drift(spark, d):
+    """Columns that every read of the log loses and gains: one analysis for each shape of statement on either side, joined back on Spark."""
+    log, t = B.rows(spark, d, B.LOG), _tables(spark, d)
+    shapes = RE.read_shapes(log)
+    texts = [(str(r["query_id"]), r["sql"]) for r in shapes.select("query_id", "sql").collect()]
+    drift = RE.column_drift(RE.replay(spark, texts, t, False), RE.replay(spark, texts, t | {"orders": t["orders"].withColumnRenamed("o_orderpriority", "priority")}, False))
+    return RE.log_drift(log, drift.join(shapes.select("shape", F.col("query_id").cast("string").alias("query_id")), "query_id"))
+
+
 _AFTER = "UNION ALL ".join(x for x in re.sub(r"(?i)\bfrom orders\b", "FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') orders", _BEFORE).split("UNION ALL ") if "'q1'" not in x and "'q3'" not in x)
 
 

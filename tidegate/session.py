@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -94,12 +93,24 @@ def clean_shared(spark: SparkSession) -> None:
     _delete(spark, _scratch(spark))
 
 
+#: nodes of a logical plan after which partitions are only known once stages have run
+_DEALT = {"Join", "Aggregate", "Window", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Sort", "Distinct", "Deduplicate", "GlobalLimit", "Except", "Intersect", "FlatMapGroupsInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas"}
+
+
+def _nodes(plan):
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        yield node.getClass().getSimpleName()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """``df`` itself, unless it is a plain scan with fewer partitions than there are cores: then dealt over all of them, for work that is bound by CPU.
 
     A plan that shuffles is left alone: its partitions are only known once its stages have run.
     """
-    if re.search("Join|Aggregate|Window|Repartition|Sort|Distinct", df._jdf.queryExecution().optimizedPlan().toString()):
+    if _DEALT & set(_nodes(df._jdf.queryExecution().optimizedPlan())):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
