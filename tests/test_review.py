@@ -206,6 +206,7 @@ PROBES = [
     ("ALTER TABLE customers ADD COLUMN n int; ALTER TABLE customers ALTER COLUMN n SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "BLOCK"), ("ALTER TABLE customers ADD COLUMN n int DEFAULT 4; ALTER TABLE customers ALTER COLUMN n SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, None),
     ("ALTER TABLE customers DROP COLUMN b; ALTER TABLE customers ADD COLUMN b text", {DESTROY}, None), ("ALTER TABLE customers RENAME COLUMN b TO c; ALTER TABLE customers RENAME COLUMN c TO b", {DESTROY}, None), ("CREATE TABLE customers (a int, z text, CONSTRAINT k CHECK (a > 0))", {"BREAKING_QUERY"}, "BLOCK"), ("CREATE TABLE IF NOT EXISTS customers (a int)", set(), "SAFE"),
     ("UPDATE customers AS c SET b = coalesce(c.b, 'q'); ALTER TABLE customers ALTER COLUMN b SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "NEEDS_COVERAGE_SIGNOFF"), ("DELETE FROM customers c WHERE c.b IS NULL; ALTER TABLE customers ALTER COLUMN b SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "NEEDS_COVERAGE_SIGNOFF"),
+    ("ALTER TABLE customers ADD CONSTRAINT c CHECK (6 / (a - 2) > 0)", {"CONSTRAINT_VALIDATION_LOCK"}, "NEEDS_COVERAGE_SIGNOFF"), ("ALTER TABLE customers ADD CONSTRAINT c CHECK (6 / (a + 2) > 1)", {"CONSTRAINT_VALIDATION_LOCK"}, "SAFE"), ("UPDATE customers SET a = a / (a - 3); ALTER TABLE customers ADD UNIQUE (a)", set(), "NEEDS_COVERAGE_SIGNOFF"),
     ("INSERT INTO customers (a) VALUES (9); ALTER TABLE customers ALTER COLUMN a SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "NEEDS_COVERAGE_SIGNOFF"), ("UPDATE customers c SET b = o.b FROM other o; ALTER TABLE customers ALTER COLUMN b SET NOT NULL", {"NOT_NULL_NO_DEFAULT"}, "NEEDS_COVERAGE_SIGNOFF"),
 ]
 

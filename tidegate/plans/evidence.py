@@ -8,11 +8,12 @@ to the driver: they are of the size of the catalogue and of what its reviewers w
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Sequence
 from contextlib import suppress
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -125,13 +126,29 @@ class Scanned:
             return None
 
 
+def _answers(some: list, ask: Callable[[list], Sequence[int]]) -> list[tuple]:
+    """(item, number) for each of ``some`` that ``ask`` can answer, all at once; where a row makes an expression fail (a division by zero, a cast), the halves are asked apart, so that only the failing ones are left out."""
+    if not some:
+        return []
+    try:
+        return list(zip(some, ask(some), strict=True))
+    except (ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, SparkRuntimeException):
+        half = len(some) // 2
+        return _answers(some[:half], ask) + _answers(some[half:], ask) if half else []
+
+
+def _in_order(some: list[tuple], found: DataFrame) -> list[int]:
+    told = {r["key"]: r["violations"] for r in found.collect()}  # a number for each key
+    return [told[text] for text, _ in some]
+
+
 def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str, str] | None = None, files: dict[str, str] | None = None) -> Evidence:
     """Data failures, narrowing and bounded scans of the scripts' checks, each on the rows as its script has left them by then.
 
     One scan of each table for most checks; one more, with one exchange, for all its unique keys; and one exchange for
     all foreign keys. ``samples`` (table to predicate): where given, only these rows are scanned, and a clean scan is
     bounded if the table has others. A clean scan after an INSERT is bounded too, since no scan saw the new rows, and so
-    is a check that can't be asked (``scripts.row_checks``): nothing was seen. ``files`` (table to the path of the
+    is a check that can't be asked (``scripts.row_checks``), or that a row makes fail: nothing was seen. ``files`` (table to the path of the
     Parquet files that it reads whole): where given, footers settle checks on rows as they are (``footed`` counts them),
     and integer ranges that they leave open are asked of the row groups in doubt only.
     """
@@ -146,46 +163,40 @@ def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str,
     scanned = {t: Scanned(tables[t], steps[t]) for t in used}
     narrow = [(spec_text, declared(scanned[s["base"]].df, s["refs"][0]), s["text"]) for k, spec_text, s in asked if k == "narrow" and scanned[s["base"]].has(s)]
     wide = _wider(spark, narrow)
-    parts, rejected, foreign = [], {}, []
+    found, foreign = [], []
     for name in sorted(used):
         own = [x for x in asked if x[2]["base"] == name and not (x[0] == "narrow" and x[1] in wide)]
-        table = scanned[name]
+        table, sampled = scanned[name], name in samples
         seen = table.df.where(samples.get(name, "true"))
-        plain = [(k, text, s) for k, text, s in own if k in ("not_null", "narrow") and not s["steps"] and name in files and name not in samples]
+        partly = sampled and seen.count() < tables[name].count()
+        plain = [(k, text, s) for k, text, s in own if k in ("not_null", "narrow") and not s["steps"] and name in files and not sampled]
         facts = FO.column_facts(spark, files[name], sorted({s["refs"][0] for *_, s in plain})) if plain else {}
         for k, text, s in plain:
-            ref, got = s["refs"][0], None
-            if (fact := facts.get(ref)) is None:
+            if (fact := facts.get(s["refs"][0])) is None:
                 continue
             if k == "not_null":
-                got = spark.range(1).select(F.lit(fact.nulls).cast("long").alias("violations"))
+                n = fact.nulls
             elif FO.fits(fact, s["text"]):
-                got = spark.range(1).select(F.lit(0).cast("long").alias("violations"))
+                n = 0
             elif fact.kind in FO.WHOLE and s["text"].strip().lower() in P.RANGES:
-                got = FO.outside_rows(tables[name], ref, s["text"])
-            if got is not None:
-                footed += 1
-                own.remove((k, text, s))
-                parts.append(got.select(F.lit(k).alias("kind"), F.lit(text).alias("spec"), "violations", F.lit(False).alias("partly")))
-        counts = {(k, text): c for k, text, s in own if k not in ("unique", "foreign") and (c := table.count(k, s)) is not None}
-        rejected[name] = [(text, s) for k, text, s in own if k == "unique" and table.has(s)]
-        foreign += [(text, s) for k, text, s in own if k == "foreign" and table.has(s) and scanned[s["parent"]["base"]].has(s["parent"])]
+                n = FO.outside_rows(tables[name], s["refs"][0], s["text"]).first()[0]
+            else:
+                continue
+            footed += 1
+            own.remove((k, text, s))
+            found.append((k, text, n, False))
+        counts = [(k, text, c) for k, text, s in own if k not in ("unique", "foreign") and (c := table.count(k, s)) is not None]
         for at in range(0, len(counts), AT_ONCE):
-            some = list(counts.items())[at : at + AT_ONCE]
-            one = seen.agg(F.count(F.lit(1)).alias("n"), *(c.alias(f"c{i}") for i, (_, c) in enumerate(some)))
-            rows = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(text).alias("spec"), F.col(f"c{i}").alias("violations")) for i, ((k, text), _) in enumerate(some)))
-            found = one.select("n", F.inline(rows)).withColumn("partly", F.lit(False))
-            if samples.get(name):
-                found = found.join(tables[name].agg(F.count(F.lit(1)).alias("all"))).withColumn("partly", F.col("n") < F.col("all"))
-            parts.append(found.select("kind", "spec", "violations", "partly"))
-        if rejected[name]:
-            keys = {text: [F.when(table.alive(s), F.col(c)) for c in s["refs"]] for text, s in rejected[name]}
-            parts.append(P.rejected_by_keys(seen, keys).select(F.lit("unique").alias("kind"), F.col("key").alias("spec"), "violations", F.lit(name in samples).alias("partly")))
-    if foreign:
-        side = lambda s: (scanned[s["base"]].df, [F.when(scanned[s["base"]].alive(s), F.col(c)) for c in s["refs"]], [scanned[s["base"]].types[c] for c in s["refs"]])
-        parts.append(P.orphans_by_keys({text: (side(s), side(s["parent"])) for text, s in foreign}).select(F.lit("foreign").alias("kind"), F.col("key").alias("spec"), "violations", F.lit(False).alias("partly")))
-    none = spark.createDataFrame([], "kind string, spec string, violations long, partly boolean")
-    found = reduce(DataFrame.unionByName, parts, none)
+            rows = _answers(counts[at : at + AT_ONCE], lambda some: seen.agg(*(c.alias(f"c{i}") for i, (_, _, c) in enumerate(some))).first())  # noqa: B023
+            found += [(k, text, n, partly) for (k, text, _), n in rows]
+        keys = [(text, [F.when(table.alive(s), F.col(c)) for c in s["refs"]]) for k, text, s in own if k == "unique" and table.has(s)]
+        rows = _answers(keys, lambda some: _in_order(some, P.rejected_by_keys(seen, dict(some))))  # noqa: B023
+        found += [("unique", text, n, partly) for (text, _), n in rows]
+        foreign += [(text, s) for k, text, s in own if k == "foreign" and table.has(s) and scanned[s["parent"]["base"]].has(s["parent"])]
+    side = lambda s: (scanned[s["base"]].df, [F.when(scanned[s["base"]].alive(s), F.col(c)) for c in s["refs"]], [scanned[s["base"]].types[c] for c in s["refs"]])
+    rows = _answers([(text, (side(s), side(s["parent"]))) for text, s in foreign], lambda some: _in_order(some, P.orphans_by_keys(dict(some))))
+    found += [("foreign", text, n, False) for (text, _), n in rows]
+    found = spark.createDataFrame(found, "kind string, spec string, violations long, partly boolean")
     kept = wanted.join(spark.createDataFrame([(x,) for x in wide], "spec string").withColumn("kind", F.lit("narrow")), ["kind", "spec"], "left_anti")
     met = materialize(kept.join(found, ["kind", "spec"], "left").withColumn("part", F.col("violations").isNull() | F.col("part") | F.col("partly")))
     target = F.concat_ws(".", "tbl", F.when(F.col("kind") == "narrow", F.split("arg", ":")[0]).otherwise(F.col("arg")))
