@@ -317,3 +317,21 @@ def test_many_keys_in_one_exchange(spark):
     got = P.rejected_by_keys(li, {",".join(k): [F.col(c) for c in k] for k in keys})
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
     assert {r["key"]: r["violations"] for r in got.collect()} == {",".join(k): P.rejected(li, k).first()[0] for k in keys}
+
+
+def test_odd_texts_are_tried_in_a_fresh_process(tmp_path):
+    """Nothing that ran before has silenced or replaced Spark's logger of errors."""
+    code = """
+from tidegate.session import get_spark
+from tidegate.plans import evidence as EV
+from tidegate.operators.census import split_scripts
+from tidegate.operators.events import change_events
+spark = get_spark("fresh", "2", 2)
+ops = change_events(split_scripts(spark.createDataFrame([(1, "UPDATE t SET a = nope(1) WHERE id > 3; ALTER TABLE t ALTER COLUMN a SET NOT NULL"), (2, "ALTER TABLE t ADD CONSTRAINT c CHECK (a ~ 'x')")], "script_id long, text string")))
+print(sorted(r["script_id"] for r in EV.scan_tables(ops, {"t": spark.createDataFrame([(1,)], "a int")}).bounded.collect()))
+"""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=240)
+    assert out.stdout.strip().endswith("[1, 2]"), out.stderr[-2000:]

@@ -17,13 +17,19 @@ import threading
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OUTCOME = "query_id string, ok boolean, error string, columns array<string>, rows long"
 #: of the id under which a view itself is read
 VIEW = "__view__"
-LOG = logging.getLogger("SQLQueryContextLogger")
+LOG = PySparkLogger.getLogger("SQLQueryContextLogger")  # by its own class: a plain logger of that name makes every error fail
+
+
+def quiet() -> None:
+    """Errors of analysis aren't logged from now on: where texts of others are tried, an error is an answer."""
+    LOG.setLevel(logging.CRITICAL)
 
 
 def _inner(sql: str) -> str:
@@ -58,7 +64,7 @@ def add_view(own: SparkSession, name: str, sql: str) -> str | None:
 def resolve(own: SparkSession, queries: list[tuple[str, str]], errors: dict[str, str]) -> list[tuple[str, str | None, list[str] | None]]:
     """(id, error, columns) of each (id, sql) in a session of shapes: analysis alone, nothing runs."""
     out = []
-    LOG.setLevel(logging.CRITICAL)  # an error here is an answer
+    quiet()
     for ident, sql in queries:
         try:
             out.append((ident, None, own.sql(f"SELECT * FROM {_inner(sql)} AS q").columns))
@@ -83,7 +89,7 @@ def outcomes(spark: SparkSession, asked: list[tuple[str, str]], threads: int = 8
     Reads are analysed side by side, in sessions that know no relation but those of the state. A view that doesn't
     resolve isn't there.
     """
-    LOG.setLevel(logging.CRITICAL)  # an error here is an answer
+    quiet()
     here = threading.local()
 
     def tell(sql: str) -> tuple[str | None, list[str] | None]:

@@ -79,6 +79,7 @@ class Scanned:
 
     def __init__(self, df: DataFrame, steps: dict[str, list]):
         self.df, left = df, dict(steps)
+        RE.quiet()
         while left:
             # steps are named by what they are made of, so none rests on itself
             ready = {n: made for n, made in left.items() if not any(other in text for other in left for text in made[1:] if text)}
