@@ -58,7 +58,7 @@ class Paths:
 def access_paths(ops: DataFrame, log: DataFrame, indexes: DataFrame) -> Paths:
     drops, replaced = dropped_indexes(ops, indexes)
     drops = materialize(drops)
-    used = indexes.join(drops.select("name").distinct(), "name", "left_semi")
+    used = materialize(indexes.join(drops.select("name").distinct(), "name", "left_semi"))
     return Paths(drops, replaced, materialize(C.access_path_users(log, used).select("name", "service", "criticality").distinct()))
 
 
@@ -69,7 +69,7 @@ def unused_drops(paths: Paths) -> DataFrame:
 
 
 def _paths(ops: DataFrame, log: DataFrame, indexes: DataFrame | None) -> tuple[DataFrame, Paths]:
-    known = indexes if indexes is not None else ops.sparkSession.createDataFrame([], INDEX)
+    known = materialize(indexes) if indexes is not None else ops.sparkSession.createDataFrame([], INDEX)  # a catalogue, read by several rules
     return known, access_paths(ops, log, known)
 
 
