@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OUTCOME = "query_id string, ok boolean, error string, columns array<string>, rows long"
+#: a string or a number in a text
+LITERAL = r"'(?:[^']|'')*'|\b\d+(?:\.\d+)?\b"
 #: of the id under which a view itself is read
 VIEW = "__view__"
 LOG = PySparkLogger.getLogger("SQLQueryContextLogger")  # by its own class: a plain logger of that name makes every error fail
@@ -158,7 +160,7 @@ def is_read(sql: Column) -> Column:
 
 def shape_of(sql: Column) -> Column:
     """A statement with its literals blanked and its white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(sql, r"'(?:[^']|'')*'|\b\d+(?:\.\d+)?\b", "?"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(sql, LITERAL, "?"), r"\s+", " "))
 
 
 def read_shapes(log: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A script's events are one row, in order; scripts are dealt over tasks, and each is folded over the catalogue by a small
 loop. What comes out is keyed by content and not by script: a read with the part of a script's last shapes that it can
-see (``read_states``), and a check with the updates and deletes before it that it depends on (``row_checks``). Scripts that
-begin alike, or differ in what a read or a check can't see, so share one row of either kind.
+see (``read_states``), or with the rows that it leaves there (``row_states``), and a check with the updates and deletes
+before it that it depends on (``row_checks``). Scripts that begin alike, or differ in what a read or a check can't see, so
+share one row of either kind.
 """
 
 from __future__ import annotations
@@ -317,36 +318,20 @@ def _needed(r: Rows, *ends: str | None) -> list:
     return [[n, *made] for n, made in r.steps.items() if n in need]
 
 
-def checks_of(script: int, events: list[dict], catalogue: dict, names: Names):
-    """(script_id, tbl, kind, arg, spec, part) of each demand of a script. spec: JSON of table, steps, live rows and columns; null where it can't be asked."""
-    now = {t: Rows(t, {c.lower() for c in s}, {c.lower(): c for c in s}) for t, s in catalogue.items() if isinstance(s, dict)}
+def _tables_at_first(catalogue: dict) -> dict[str, Rows]:
+    return {t: Rows(t, {c.lower() for c in s}, {c.lower(): c for c in s}) for t, s in catalogue.items() if isinstance(s, dict)}
+
+
+def _walk(events: list[dict], now: dict[str, Rows], names: Names):
+    """(event, table's name, new) of each event, before ``now`` takes it in. new: the script has made the table itself, so it has no rows."""
     made: set[str] = set()
     for e in events:
         kind, tbl = e["kind"], names.bare(e["tbl"], now)
-        r = now.get(tbl)
         if kind == "create_table" and tbl and not (tbl in now and re.search(r"(?i)\bif\s+not\s+exists\b", e["sql"])):
             now.pop(tbl, None)
             made.add(tbl)
-        for want, label, columns, text in _demands(e):
-            if tbl in made and r is None:
-                continue  # a new table has no rows
-            spec = None
-            if r is not None and not r.lost:
-                refs = [r.at.get(c) for c in columns]
-                body = r.text(text) if want == "check" else text
-                other = None
-                if want == "foreign":
-                    parent, there = json.loads(text)
-                    p = now.get(names.bare(parent, now))
-                    at = [p.at.get(c) for c in there] if p and not p.lost else [None]
-                    other = None if None in at or len(at) != len(columns) else {"base": p.base, "steps": _needed(p, *at, p.alive), "alive": p.alive, "refs": at}
-                alive, predicate = r.alive, _where(e["sql"])[1] if kind == "create_index" else None
-                if predicate is not None:  # an index on some rows only
-                    only = r.text(predicate)
-                    body, alive = (None, None) if only is None else (body, r.step("left", f"NOT coalesce(({only}), false)", alive))
-                if None not in refs and body is not None and (want != "foreign" or other):
-                    spec = json.dumps({"base": r.base, "steps": _needed(r, *refs, body, alive), "alive": alive, "refs": refs, "text": body if want in ("check", "narrow") else "", "parent": other})
-            yield script, tbl or e["tbl"], want, label, spec, bool(r and r.grown)
+        r = now.get(tbl)
+        yield e, tbl, tbl in made and r is None
         if r is None:
             continue
         if kind == "dml_update":
@@ -369,6 +354,67 @@ def checks_of(script: int, events: list[dict], catalogue: dict, names: Names):
             r.at[e["col"]] = None if value is None else r.step("new", value)
 
 
+def checks_of(script: int, events: list[dict], catalogue: dict, names: Names):
+    """(script_id, tbl, kind, arg, spec, part) of each demand of a script. spec: JSON of table, steps, live rows and columns; null where it can't be asked."""
+    now = _tables_at_first(catalogue)
+    for e, tbl, new in _walk(events, now, names):
+        r = now.get(tbl)
+        for want, label, columns, text in _demands(e):
+            if new:
+                continue
+            spec = None
+            if r is not None and not r.lost:
+                refs = [r.at.get(c) for c in columns]
+                body = r.text(text) if want == "check" else text
+                other = None
+                if want == "foreign":
+                    parent, there = json.loads(text)
+                    p = now.get(names.bare(parent, now))
+                    at = [p.at.get(c) for c in there] if p and not p.lost else [None]
+                    other = None if None in at or len(at) != len(columns) else {"base": p.base, "steps": _needed(p, *at, p.alive), "alive": p.alive, "refs": at}
+                alive, predicate = r.alive, _where(e["sql"])[1] if e["kind"] == "create_index" else None
+                if predicate is not None:  # an index on some rows only
+                    only = r.text(predicate)
+                    body, alive = (None, None) if only is None else (body, r.step("left", f"NOT coalesce(({only}), false)", alive))
+                if None not in refs and body is not None and (want != "foreign" or other):
+                    spec = json.dumps({"base": r.base, "steps": _needed(r, *refs, body, alive), "alive": alive, "refs": refs, "text": body if want in ("check", "narrow") else "", "parent": other})
+            yield script, tbl or e["tbl"], want, label, spec, bool(r and r.grown)
+
+
+def _left(r: Rows | None, name: str) -> dict | None | bool:
+    """What a script leaves of a table's rows: true if nothing that a read could count changed, null if they can't be known, or steps, live rows and columns."""
+    if r is None or r.lost or r.grown:
+        return None
+    if r.base == name and r.alive is None and all(ref == c or c not in r.columns for c, ref in ((c.lower(), ref and ref.lower()) for c, ref in r.at.items())):
+        return True
+    known = {c: ref for c, ref in r.at.items() if ref is not None}
+    return {"base": r.base, "steps": _needed(r, *known.values(), r.alive), "alive": r.alive, "columns": known}
+
+
+def row_states(events: DataFrame, reads: list[tuple[str, str]], catalogue: dict) -> DataFrame:
+    """(script_id, query_id, state) of each read (id, sql) that reaches relations, over views too, whose rows a script changes.
+
+    state, as JSON: these relations in the order in which they can be made, each a name with a view's text, or with what
+    is left of a table's rows; null where that can't be known (a new table, inserted rows, a statement that reads other
+    tables). Scripts that leave what a read reaches alike share a state. A relation that is gone is in none: its reads
+    break.
+    """
+    names, arrow = Names(catalogue), pa.schema([("script_id", pa.int64()), ("query_id", pa.string()), ("state", pa.string())])
+
+    def each(script, rows):
+        now, (after, _) = _tables_at_first(catalogue), shapes_after(rows, catalogue, names)
+        for _ in _walk(rows, now, names):
+            pass
+        left = {n: (s != catalogue.get(n) and {"view": s}) or True if isinstance(s, str) else _left(now.get(n), n) for n, s in after.items()}
+        changed, seen = {n for n, x in left.items() if x is not True}, {}
+        for ident, sql in reads if changed else ():
+            reached = _reach(seen.setdefault(sql, words_of(sql)), after, seen)[0]
+            if state := [[n, left[n]] for n in reached if n in changed]:
+                yield script, ident, json.dumps(state)
+
+    return _map_events(events, each, STATES, arrow)
+
+
 def row_checks(events: DataFrame, catalogue: dict) -> DataFrame:
     """(script_id, tbl, kind, arg, spec, part), distinct: what each change event demands of the rows as its script has left them by then.
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tidegate.functions import exprs as X
+from tidegate.operators import answers as AN
 from tidegate.operators import findings as FI
 from tidegate.operators import footers as FO
 from tidegate.operators import preflight as P
@@ -258,3 +259,82 @@ def replay_changes(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame],
 def measure(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame], views: dict[str, str] | None = None, samples: dict[str, str] | None = None, files: dict[str, str] | None = None) -> Evidence:
     """Everything that tables and log can say about the change events ``ops``."""
     return scan_tables(ops, tables, samples, files) | replay_changes(ops, log, tables, views)
+
+
+# ---- rows of reads -------------------------------------------------------------------------------------------------
+@dataclass
+class Drift:
+    """Reads whose number of rows a script changes; both tables are written."""
+
+    #: (script_id, query_id, service, before, after)
+    rows: DataFrame
+    #: (script_id, shape) of reads that can't be counted: on rows that nobody knows, or no longer resolved
+    uncounted: DataFrame
+    #: (form, state) pairs that were counted
+    counted: int
+
+
+def _left_by(state: list, tables: dict[str, DataFrame], views: dict[str, str]) -> tuple[dict[str, DataFrame], dict[str, str]] | None:
+    """Tables and views as a state leaves them; None where their rows can't be known."""
+    tables, views = dict(tables), dict(views)
+    first = dict(tables)
+    for name, left in state:
+        tables.pop(name, None)
+        views.pop(name, None)  # what is made anew comes last
+        if left is None:
+            return None
+        if "view" in left:
+            views[name] = left["view"]
+            continue
+        made = Scanned(first[left["base"]], {n: m for n, *m in left["steps"]})
+        if not made.has({"refs": [], "alive": left["alive"]}):
+            return None
+        tables[name] = made.df.where(made.alive(left)).select(*(F.col(ref).alias(c) for c, ref in left["columns"].items() if ref in made.types))
+    return tables, views
+
+
+def count_drift(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame], views: dict[str, str] | None = None) -> Drift:
+    """Reads of ``log`` (query_id, service, sql) that give another number of rows once a script has run as a whole.
+
+    Informational: no finding and no gap comes of it. A read counts with the literals that it was sent with; reads of one
+    form are counted together where Catalyst can (``operators.answers``), and only those that reach, over views too,
+    relations whose rows a script changes. Scripts that leave these alike share a count. Updates, defaults, deletes,
+    renames and views are followed; reads that reach new tables, inserted rows or columns set from other tables are
+    ``uncounted``.
+    """
+    spark, views = ops.sparkSession, views or {}
+    catalogue = {t: dict(df.dtypes) for t, df in tables.items()} | views
+    reads = materialize(AN.with_literals(log.select("query_id", "service", "sql")))
+    forms = {str(i): f for i, f in enumerate(AN.forms(reads))}
+    states = materialize(S.row_states(materialize(S.ordered(ops)), [(i, sql) for i, (_, _, sql) in forms.items()], catalogue))
+    asked: dict[str, list[str]] = {}
+    for r in states.select("query_id", "state").distinct().collect():
+        asked.setdefault(r["state"], []).append(r["query_id"])
+    world, before, some = AN.World(spark, tables, views), {}, {}
+    for form in sorted({f for own in asked.values() for f in own}):
+        shape, kinds, sql = forms[form]
+        some[form] = materialize(AN.of_form(reads, shape, kinds))
+        found = AN.count_reads(world, some[form], sql, kinds)
+        if found is not None:
+            before[form] = materialize(found)
+    drift, lost, counted = [], [], 0
+    for state, own in sorted(asked.items()):
+        left, differ = _left_by(json.loads(state), tables, views), []
+        after = AN.World(spark, *left) if left else None
+        for form in sorted(set(own) & before.keys()):
+            _, kinds, sql = forms[form]
+            found = AN.count_reads(after, some[form], sql, kinds) if after else None
+            if found is None:
+                lost.append((form, state))
+                continue
+            counted += 1
+            pair = before[form].withColumnRenamed("n", "before").join(found.withColumnRenamed("n", "after"), "lits")
+            differ.append(pair.where("before <> after").select(F.lit(form).alias("form"), F.lit(state).alias("state"), "lits", "before", "after"))
+        if differ:
+            drift.append(materialize(reduce(DataFrame.unionByName, differ)))  # each state's plan by itself
+    known = spark.createDataFrame([(f, s, list(k)) for f, (s, k, _) in forms.items()], "form string, shape string, kinds array<string>")
+    by_script = states.withColumnRenamed("query_id", "form")
+    every = reduce(DataFrame.unionByName, drift) if drift else spark.createDataFrame([], "form string, state string, lits array<string>, before long, after long")
+    met = reads.join(known, AN.FORM).join(every, ["form", "lits"]).join(by_script, ["form", "state"])
+    unknown = spark.createDataFrame(lost, "form string, state string").join(by_script, ["form", "state"]).join(known, "form")
+    return Drift(materialize(met.select("script_id", "query_id", "service", "before", "after")), materialize(unknown.select("script_id", "shape").distinct()), counted)
