@@ -610,6 +610,31 @@ def o_diff_rowcount_drift(spark, d):
     return RE.rowcount_drift(RE.replay(spark, READS, a, views=OPEN_ORDERS), RE.replay(spark, READS, b, views=OPEN_ORDERS))
 
 
+_LOOKUPS = """(SELECT event_id AS query_id, event_type || '-svc' AS service, user_id,
+  CASE event_id % 4
+    WHEN 0 THEN 'SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = ' || CAST(user_id AS STRING)
+    WHEN 1 THEN 'SELECT c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey = ' || CAST(user_id AS STRING) || ' AND o_orderstatus = ''F'''
+    WHEN 2 THEN 'SELECT o_orderkey FROM open_orders WHERE who = ' || CAST(user_id AS STRING) || ' LIMIT 3'
+    ELSE 'SELECT p_name FROM part WHERE p_partkey = ' || CAST(user_id AS STRING) END AS sql
+  FROM events)"""
+_ROW_CHANGES = [
+    "DELETE FROM orders WHERE o_orderstatus = 'P'", "UPDATE orders SET o_orderstatus = 'F' WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'",
+    "CREATE OR REPLACE VIEW open_orders AS SELECT o_orderkey, o_custkey AS who FROM orders", "ALTER TABLE customer ADD COLUMN z int; DELETE FROM customer WHERE c_acctbal < 0", "-- the same\nDELETE FROM orders WHERE o_orderstatus = 'P'",
+]
+_OWN = """(SELECT c_custkey, max(c_acctbal) AS bal, count(o_orderkey) AS n, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS u
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)"""
+#: script, form, rows before and after
+_COUNTS = [(0, 0, "n", "n - p"), (4, 0, "n", "n - p"), (1, 1, "f", "f + u"), (3, 1, "f", "CASE WHEN bal < 0 THEN 0 ELSE f END"), (1, 2, "least(3, o)", "least(3, o - u)"), (2, 2, "least(3, o)", "least(3, n)")]
+
+
+@query(" UNION ALL ".join(f"SELECT {s} AS script_id, query_id, service, {a} AS before, {b} AS after FROM {_LOOKUPS} q JOIN {_OWN} c ON user_id = c_custkey WHERE query_id % 4 = {k} AND {a} <> {b}" for s, k, a, b in _COUNTS))
+def o_diff_answer_counts(spark, d):
+    """Every read of a log whose number of rows a script changes, with its own literals: an aggregation and a join for each form of reads and each state of the tables."""
+    scripts = spark.createDataFrame(list(enumerate(_ROW_CHANGES)), "script_id long, text string")
+    log = B.rows(spark, d, _LOOKUPS).select("query_id", "service", "sql")
+    return EV.count_drift(change_events(CE.split_scripts(scripts)), log, _tables(spark, d), OPEN_ORDERS).rows
+
+
 @query("SELECT count(*) FILTER (o_orderstatus = 'P') AS only_before, 0 AS only_after FROM orders")
 def o_answer_drift(spark, d):
     o = table(spark, d, "orders")
