@@ -1,6 +1,7 @@
 """The training-text pipeline: each stage takes (spark, docs, sf_dir) and gives a DataFrame that the next one reads.
 
-All stages but the last give the columns of ``docs``; the last gives the pieces of every text that is left.
+All stages but the last give the columns of ``docs``; the last gives the pieces of every text that is left, with the
+language that the first has found for it.
 """
 
 from __future__ import annotations
@@ -71,9 +72,9 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, checked by decoding."""
-    found = sentencepiece_codec.encode(docs, sentencepiece_codec.pieces_of(TOKENIZER))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
+    """Piece ids of every document with its language, checked by decoding."""
+    found = sentencepiece_codec.encode(docs, sentencepiece_codec.pieces_of(TOKENIZER), keep=["lang"])
+    return found.select("doc_id", "lang", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [

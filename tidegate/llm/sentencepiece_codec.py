@@ -201,8 +201,8 @@ class _Sent:
 _kept: dict = {}
 
 
-def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids, round_trip) for every row of ``docs``. round_trip: the ids decode to the text's bytes.
+def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, ids, round_trip, *keep) for every row of ``docs``. keep: columns that go with their rows. round_trip: the ids decode to the text's bytes.
 
     Null and empty texts have no ids (and round_trip true). Words of any length and all bytes are encoded: a mark that
     a text holds itself is encoded by bytes. Repeated rows, equal and null ids give one row each; an empty table gives
@@ -224,10 +224,12 @@ def encode(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str
                 if not (len(back) == len(part) and same.all() and (back == part).all()):
                     same = np.array([np.array_equal(back[back_at[r] : back_at[r + 1]], part[o[r] : o[r + 1]]) for r in range(b - a)])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([t.column(0)[a:b].cast(pa.int64()), lists, pa.array(same)], ["id", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([t.column(0)[a:b].cast(pa.int64()), lists, pa.array(same), *(t.column(2 + k)[a:b] for k in range(len(keep)))], ["id", "ids", "round_trip", *keep])
             X.release()
 
-    return spread_out(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id long, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    types = dict(docs.dtypes)
+    schema = ", ".join(["id long, ids array<int>, round_trip boolean", *(f"`{c}` {types[c]}" for c in keep)])
+    return spread_out(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, model: tuple, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
