@@ -82,8 +82,24 @@ def view_reach(views: DataFrame) -> DataFrame:
 
 
 def dependent_views_through(views: DataFrame, touched: DataFrame) -> DataFrame:
-    """(script_id, name): views whose text, or that of a view below them, names anything touched."""
-    return view_reach(views).join(touched, "token").select("script_id", "name").distinct()
+    """(script_id, name): views whose text, or that of a view below them, names anything touched.
+
+    Rounds of joins from what is touched upwards, so that only views are met which the result holds, and not every
+    word that each view reaches. As many rounds as the longest chain has members; chains that go in a circle end too.
+    """
+    own = materialize(views.select("name", F.explode(X.identifiers(F.col("sql"))).alias("token")).distinct())
+    start = materialize(touched.select("script_id", "token").distinct())
+    every = new = _named_by(own, start.select(F.col("token").alias("start")).distinct().select("start", F.col("start").alias("token")))
+    while not new.isEmpty():
+        led = _named_by(own, new.select("start", F.col("name").alias("token")), every)
+        every, new = every.unionByName(led), led
+    return every.withColumnRenamed("start", "token").join(start, "token").select("script_id", "name").distinct()
+
+
+def _named_by(own: DataFrame, new: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """(start, name), distinct and written: views whose text names a token of ``new`` (start, token), without those in ``every``."""
+    led = new.join(own, "token").select("start", "name").distinct()
+    return materialize(led.join(every, ["start", "name"], "left_anti") if every is not None else led)
 
 
 def access_path_users(log: DataFrame, indexes: DataFrame) -> DataFrame:
