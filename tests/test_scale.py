@@ -2,8 +2,15 @@
 
 import random
 
-from tests.test_cuts import BITS, chunked_rows
+from pyspark.sql import functions as F
+
+from tests.conftest import SF
+from tests.test_cuts import BITS, chunked_rows, metric
 from tidegate.operators import census as CE
+from tidegate.operators import corpus as C
+from tidegate.operators import scripts as SC
+from tidegate.plans import reviews as RS
+from tidegate.plans import statements as ST
 
 
 # ---- one script in many runs of chunks -----------------------------------------------------------------------------
@@ -22,3 +29,40 @@ def test_scripts_over_many_runs(spark, monkeypatch):
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroups" not in plan and "windowspecdefinition(script_id#" in plan and "chunk" not in plan  # windows go over runs, and no group is a script
+
+
+# ---- what depends on what ------------------------------------------------------------------------------------------
+def test_views_are_met_from_what_is_touched(spark, monkeypatch):
+    """Views that the result lacks are in no round: of 400 views over each other, one token has two above it."""
+    views = [(f"v{k}", "SELECT a FROM base" if k == 1 else f"SELECT a.x FROM v{k // 2} a, v{max(1, k // 3)} b") for k in range(1, 401)]
+    written, keep = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df: written.append(keep(df)) or written[-1])
+    touched = spark.createDataFrame([(1, "v150"), (2, "v150"), (2, "nothing")], "script_id long, token string")
+    got = sorted(map(tuple, C.dependent_views_through(spark.createDataFrame(views, "name string, sql string"), touched).collect()))
+    assert got == [(i, f"v{k}") for i in (1, 2) for k in (300, 301)]
+    assert sum(df.count() for df in written[2:]) == 2
+
+
+def test_dependents_shuffle_sets_of_words(spark):
+    """Ten thousand statements of two forms: two sets of words are matched, whatever the number of statements."""
+    log = spark.range(10_000).select(F.col("id").alias("query_id"), F.lit("s").alias("service"), F.lit("high").alias("criticality"), F.concat(F.when(F.col("id") % 2 == 0, "SELECT * FROM orders WHERE b = ").otherwise("SELECT a FROM part LIMIT "), F.col("id").cast("string")).alias("sql"))
+    touched = spark.createDataFrame([("a,b", "a"), ("a,b", "b"), ("orders", "orders"), ("none", "none")], "change string, token string")
+    found = C.dependents(log, touched, "change")
+    got = sorted((r["change"], r["query_id"], ",".join(r["matched"]), r["select_star"]) for r in found.collect())
+    assert got == sorted([("a,b", i, "ab"[i % 2 == 0], i % 2 == 0) for i in range(10_000)] + [("orders", i, "orders", True) for i in range(0, 10_000, 2)])
+    assert metric(found, "shuffleRecordsWritten") < 1_000
+
+
+# ---- scripts are dealt before they are gathered --------------------------------------------------------------------
+def test_events_are_dealt_by_script_before_they_are_gathered(spark):
+    """No task gathers lists of all that it has read: nothing is aggregated before the exchange."""
+    plan = SC.ordered(ST._ops(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("collect_list") < plan.index("Exchange") and "collect_list" not in plan[plan.index("Exchange") :]
+    plan = RS._scripts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan[plan.index("Exchange") :]
+
+
+def test_scripts_of_one_file_are_split_by_all_cores(spark, tmp_path):
+    spark.range(1_000).select(F.col("id").alias("script_id"), F.lit("SELECT 1; SELECT 2").alias("text")).coalesce(1).write.parquet(str(tmp_path / "s"))
+    found = CE.split_scripts(spark.read.parquet(str(tmp_path / "s")))
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.count() == 2_000

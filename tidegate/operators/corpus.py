@@ -53,10 +53,14 @@ def dependents(log: DataFrame, touched: DataFrame, key: str = "script_id") -> Da
     """(key, query_id, service, criticality, matched, select_star): statements that name anything touched, by bare name.
 
     Keyed by `change`, these and ``change_members`` give each script's dependents without a row for each script and statement.
+    Statements of the same words are matched as one, so what is shuffled are sets of words; Spark broadcasts the matches
+    to the log if their measured size allows.
     """
-    met = token_index(log).join(touched, "token").groupBy(key, "query_id").agg(F.array_sort(F.collect_set("token")).alias("matched"))
-    own = log.select("query_id", "service", "criticality", X.uses_select_star(F.col("sql")).alias("select_star"))
-    return met.join(own, "query_id").select(key, "query_id", "service", "criticality", "matched", "select_star")
+    own = log.select("query_id", "service", "criticality", X.uses_select_star(F.col("sql")).alias("select_star"), X.identifiers(F.col("sql")).alias("_words"))
+    words = own.select("_words").distinct()
+    met = words.select("_words", F.explode("_words").alias("token")).join(touched.select(key, "token").distinct(), "token")
+    met = met.groupBy(key, "_words").agg(F.array_sort(F.collect_set("token")).alias("matched"))
+    return own.join(met, "_words").select(key, "query_id", "service", "criticality", "matched", "select_star")
 
 
 def dependent_views(views: DataFrame, touched: DataFrame) -> DataFrame:
