@@ -31,9 +31,9 @@ def read_scripts(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def claims(statements: DataFrame, ops: DataFrame) -> DataFrame:
     """``statements`` with claimed: whether a change event accounts for it, and destructive: no event does and its code takes something away."""
-    lost = C.unaccounted_statements(statements.select("script_id", "idx", F.col("code").alias("sql")), ops).withColumnRenamed("destructive", "_d")
-    out = statements.join(lost, ["script_id", "idx"], "left")
-    return out.withColumns({"claimed": F.col("_d").isNull(), "destructive": F.coalesce("_d", F.lit(False)), "sql": F.col("code")}).drop("_d")
+    own = ops.select("script_id", "idx").distinct().withColumn("_c", F.lit(True))
+    out = statements.join(own, ["script_id", "idx"], "left").withColumn("claimed", F.col("_c").isNotNull())
+    return out.withColumns({"destructive": ~F.col("claimed") & X.is_destructive(F.col("code")), "sql": F.col("code")}).drop("_c")
 
 
 def dropped_indexes(ops: DataFrame, indexes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ from tidegate.plans import bindings as B
 from tidegate.plans import evidence as EV
 from tidegate.plans import review as RV
 from tidegate.plans.registry import query
-from tidegate.session import table
+from tidegate.session import materialize, table
 from tidegate.operators.events import change_events
 from tidegate.streaming.learning import record_learning
 
@@ -176,7 +176,7 @@ def r9_procedural(spark, d):
 def r11_unparsed(spark, d):
     """A third of the scripts have an open quote at their end; change events of dropped tables are held back, so that no event claims them."""
     s = _scripts(spark, d).withColumn("text", F.concat("text", F.when(F.col("script_id") % 3 == 0, "; SELECT 'left open").otherwise("")))
-    statements = CE.split_scripts(s)
+    statements = materialize(CE.split_scripts(s))
     claimed = change_events(statements).where("kind not in ('drop_table', 'unsupported')")
     return R.unparsed(RV.claims(statements, claimed)).select("script_id", "seq", "code", "severity")
 
@@ -503,7 +503,7 @@ def k6_unused_path(spark, d):
 @query(f"SELECT script_id, CAST(idx AS BIGINT) AS seq, CASE WHEN kind = 'unsupported' THEN 'unattributed_statement' ELSE 'procedural_body' END AS kind, 'statement ' || CAST(idx AS VARCHAR) AS object, kind = 'procedural_block' AS irreversible FROM {_LOOSE} l WHERE kind IN ('unsupported', 'procedural_block')")
 def k7_unattributed(spark, d):
     """Change events of statements that have no model are held back, so that no event claims them."""
-    statements = CE.split_scripts(_scripts(spark, d))
+    statements = materialize(CE.split_scripts(_scripts(spark, d)))
     claimed = RV.claims(statements, change_events(statements).where("kind <> 'unsupported'"))
     return R.unattributed(claimed).select("script_id", "seq", "kind", "object", "irreversible")
 
