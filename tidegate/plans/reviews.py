@@ -121,7 +121,7 @@ _SCRIPTS = f"(SELECT script_id, string_agg(sql, '; ' ORDER BY idx) AS text FROM
 
 def _scripts(spark, d):
     """Scripts as text: the statements of a script in order. A script is as long as its customer has orders."""
-    o = _ops(spark, d).groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("idx", "sql"))).alias("s"))
+    o = _ops(spark, d).select("script_id", "idx", "sql").repartition("script_id").groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("idx", "sql"))).alias("s"))
     return o.select("script_id", F.array_join(F.transform("s", lambda x: x["sql"]), "; ").alias("text"))
 
 
@@ -148,7 +148,7 @@ _REMARKS = ["-- a note; with 'marks'\n", "/* old: DROP TABLE x; /* nested */ */
 def _remarked(spark, d):
     """The same scripts with comments before their statements."""
     remark = F.element_at(F.array(*map(F.lit, _REMARKS)), (F.col("idx") % 3 + 1).cast("int"))
-    o = _ops(spark, d).select("script_id", "idx", F.concat(remark, F.col("sql")).alias("sql")).groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("idx", "sql"))).alias("s"))
+    o = _ops(spark, d).select("script_id", "idx", F.concat(remark, F.col("sql")).alias("sql")).repartition("script_id").groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct("idx", "sql"))).alias("s"))
     return o.select("script_id", F.array_join(F.transform("s", lambda x: x["sql"]), ";\n").alias("text"))
 
 
