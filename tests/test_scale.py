@@ -9,6 +9,8 @@ from tests.test_cuts import BITS, chunked_rows, metric
 from tidegate.operators import census as CE
 from tidegate.operators import corpus as C
 from tidegate.operators import scripts as SC
+from tidegate.operators.events import change_events
+from tidegate.plans import evidence as EV
 from tidegate.plans import reviews as RS
 from tidegate.plans import statements as ST
 
@@ -66,3 +68,17 @@ def test_scripts_of_one_file_are_split_by_all_cores(spark, tmp_path):
     spark.range(1_000).select(F.col("id").alias("script_id"), F.lit("SELECT 1; SELECT 2").alias("text")).coalesce(1).write.parquet(str(tmp_path / "s"))
     found = CE.split_scripts(spark.read.parquet(str(tmp_path / "s")))
     assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.count() == 2_000
+
+
+# ---- checks that are alike -----------------------------------------------------------------------------------------
+def test_deletes_in_any_order_and_updates_again_are_one_check(spark):
+    """What leaves the same rows shares one check; an update that another stands between, or that reads its own column, doesn't."""
+    t = spark.createDataFrame([(1, None, 3), (None, 2, None), (None, 0, 5), (4, 4, 4)], "a int, b int, c int")
+    seal = "ALTER TABLE t ALTER COLUMN c SET NOT NULL"
+    a, b, fill, up = "DELETE FROM t WHERE a IS NULL", "DELETE FROM t WHERE b IS NULL", "UPDATE t SET c = 0 WHERE c IS NULL", "UPDATE t SET c = c + 1 WHERE a = 4"
+    texts = [[a, b], [b, a], [a, b, a], [fill], [fill, fill], [fill, fill, fill], [up], [up, up], [], [b], ["UPDATE t SET c = NULL WHERE a = 4", fill], [fill, "UPDATE t SET c = NULL WHERE a = 4", fill], [fill, "UPDATE t SET c = NULL WHERE a = 4"]]
+    ops = change_events(CE.split_scripts(spark.createDataFrame([(i, "; ".join([*x, seal])) for i, x in enumerate(texts)], "script_id long, text string")))
+    wanted = {r["script_id"]: r["spec"] for r in SC.row_checks(SC.ordered(ops), {"t": dict(t.dtypes)}).collect()}
+    assert wanted[0] == wanted[1] == wanted[2] and wanted[3] == wanted[4] == wanted[5] and len(set(wanted.values())) == len(texts) - 4
+    got = {r["script_id"]: r["violations"] for r in EV.scan_tables(ops, {"t": t}).data.collect()}
+    assert got == {i: {8: 1, 9: 1, 12: 1, 6: 1, 7: 1}.get(i, 0) for i in range(len(texts))}

@@ -100,15 +100,14 @@ class Scanned:
             where, value, ref = texts
             return f"CASE WHEN ({where}) THEN try_cast(({value}) AS {dict(self.df.dtypes)[ref]}) ELSE `{ref}` END"
         if kind == "left":
-            where, before = texts
-            return f"NOT coalesce(({where}), false)" + (f" AND `{before}`" if before else "")
+            return f"NOT coalesce(({texts[0]}), false)"
         return texts[0]
 
     def alive(self, spec: dict) -> Column:
-        return F.col(spec["alive"]) if spec["alive"] else F.lit(True)
+        return reduce(Column.__and__, map(F.col, spec["alive"]), F.lit(True))
 
     def has(self, spec: dict) -> bool:
-        return all(c in self.types for c in [*spec["refs"], *([spec["alive"]] if spec["alive"] else [])])
+        return all(c in self.types for c in [*spec["refs"], *spec["alive"]])
 
     def count(self, kind: str, spec: dict) -> Column | None:
         """Rows that break a check, as an aggregate; None where it can't be asked."""
