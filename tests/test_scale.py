@@ -70,6 +70,29 @@ def test_scripts_of_one_file_are_split_by_all_cores(spark, tmp_path):
     assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.count() == 2_000
 
 
+# ---- scripts and statements that are alike ---------------------------------------------------------------------------
+def test_scripts_of_a_text_are_read_once(spark, monkeypatch):
+    """As many scripts are scanned as there are texts, and every script gets what is found about its text."""
+    asked, keep = [], EV.scan_tables
+    monkeypatch.setattr(EV, "scan_tables", lambda ops, *more: asked.append(ops.select("script_id").distinct().count()) or keep(ops, *more))
+    found = RS.r16_keys_and_ranges(spark, SF)
+    assert asked == [8] and found.select("script_id").distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    scripts = spark.createDataFrame([(1, "a; b"), (2, "c"), (3, "a; b"), (4, None), (5, "a; b")], "script_id int, text string")
+    first, members = CE.by_text(scripts)
+    got = CE.for_members(CE.split_scripts(first).select("script_id", "sql"), members)
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b"), (2, "c"), (3, "a"), (3, "b"), (5, "a"), (5, "b")]
+
+
+def test_segments_are_what_the_scanner_finds():
+    """A script's statements, each scanned by itself, are those of one scan of the whole text."""
+    rng = random.Random(8)
+    for text in ["".join(rng.choice([*BITS, "/", "-", "$1$", "''", ";"]) for _ in range(rng.randint(0, 40))) for _ in range(3_000)]:
+        whole, comment = CE.scan(text)
+        parts = [(a, b, *CE._read(text[a:b])) for a, b in CE.segments(text)]
+        assert [(a, b, *x[:5]) for a, b, x, _ in parts if x] == [(s.start, s.stop, text[s.start : s.stop].rstrip(";").strip(), ",".join(s.clauses).strip(), [c.strip() for c in s.clauses], s.solid, s.left_open) for s in whole]
+        assert sum(n for *_, n in parts) == sum(s.solid for s in whole) + comment
+
+
 # ---- checks that are alike -----------------------------------------------------------------------------------------
 def test_deletes_in_any_order_and_updates_again_are_one_check(spark):
     """What leaves the same rows shares one check; an update that another stands between, or that reads its own column, doesn't."""

@@ -328,10 +328,11 @@ def r16_keys_and_ranges(spark, d):
     """Primary, foreign and unique keys and integer ranges, each on the rows that the statement before leaves."""
     texts = F.array(*(F.lit(f"{a}; {b}" if a else b) for a, b in _KEYED))
     scripts = table(spark, d, "orders").select(F.col("o_orderkey").alias("script_id"), F.get(texts, (F.col("o_orderkey") % 8).cast("int")).alias("text"))
-    e = EV.scan_tables(change_events(CE.split_scripts(scripts)), _tables(spark, d))
+    first, members = CE.by_text(scripts)
+    e = EV.scan_tables(change_events(CE.split_scripts(first)), _tables(spark, d))
     narrow = e.narrowed.select("script_id", F.col("object").alias("check"), F.lit("narrow").alias("kind"), F.col("offending_rows").alias("violations"))
     bounded = e.bounded.select("script_id", F.col("object").alias("check"), F.lit("bounded").alias("kind"), F.lit(None).cast("long").alias("violations"))
-    return e.data.unionByName(narrow).unionByName(bounded)
+    return CE.for_members(e.data.unionByName(narrow).unionByName(bounded), members)
 
 
 #: scripts that put another shape behind a name, one of six for each customer
@@ -348,8 +349,10 @@ def r14_redefined_names(spark, d):
     """Reads on what whole scripts leave behind a name: narrower views, views in a renamed table's place, and what is taken away and given back."""
     texts = F.array(*map(F.lit, _BEHIND))
     scripts = table(spark, d, "customer").select(F.col("c_custkey").alias("script_id"), F.get(texts, (F.col("c_custkey") % 6).cast("int")).alias("text"))
-    e = EV.replay_changes(change_events(CE.split_scripts(scripts)), B.rows(spark, d, _BEHIND_LOG), _tables(spark, d), OPEN_ORDERS)
-    return e.broken.where("not is_view").select("script_id", "query_id", F.lit("broken").alias("state"), F.lit("").alias("removed")).unionByName(e.drift.select("script_id", "query_id", F.lit("drift").alias("state"), F.array_join("removed", ",").alias("removed")))
+    first, members = CE.by_text(scripts)
+    e = EV.replay_changes(change_events(CE.split_scripts(first)), B.rows(spark, d, _BEHIND_LOG), _tables(spark, d), OPEN_ORDERS)
+    found = e.broken.where("not is_view").select("script_id", "query_id", F.lit("broken").alias("state"), F.lit("").alias("removed")).unionByName(e.drift.select("script_id", "query_id", F.lit("drift").alias("state"), F.array_join("removed", ",").alias("removed")))
+    return CE.for_members(found, members)
 
 
 # ---- findings ------------------------------------------------------------------------------------------------------
