@@ -8,8 +8,9 @@ from tests.conftest import SF
 from tests.test_cuts import BITS, chunked_rows, metric
 from tidegate.operators import census as CE
 from tidegate.operators import corpus as C
+from tidegate.operators import preflight as P
 from tidegate.operators import scripts as SC
-from tidegate.operators.events import change_events
+from tidegate.operators.events import change_events, events_by_text
 from tidegate.plans import evidence as EV
 from tidegate.plans import reviews as RS
 from tidegate.plans import statements as ST
@@ -105,3 +106,48 @@ def test_deletes_in_any_order_and_updates_again_are_one_check(spark):
     assert wanted[0] == wanted[1] == wanted[2] and wanted[3] == wanted[4] == wanted[5] and len(set(wanted.values())) == len(texts) - 4
     got = {r["script_id"]: r["violations"] for r in EV.scan_tables(ops, {"t": t}).data.collect()}
     assert got == {i: {8: 1, 9: 1, 12: 1, 6: 1, 7: 1}.get(i, 0) for i in range(len(texts))}
+
+
+def test_work_follows_what_checks_rest_on_and_not_their_number(spark, monkeypatch):
+    """Sixteen sets of deletes before three checks: a row is asked each delete and column once, and sent once for the key."""
+    t = spark.createDataFrame([(i % 7 or None, i % 3 or None, i % 5 or None, i % 2 or None, i // 2) for i in range(40)], "a int, b int, c int, d int, k int")
+    gone = [[f"DELETE FROM t WHERE {c} IS NULL" for i, c in enumerate("abcd") if n >> i & 1] for n in range(16)]
+    texts = ["; ".join([*x, "CREATE UNIQUE INDEX u ON t (k)", "ALTER TABLE t ALTER COLUMN a SET NOT NULL", "ALTER TABLE t ADD CONSTRAINT z CHECK (k < 9)"]) for x in gone]
+    ops = change_events(CE.split_scripts(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string")))
+    asked, sent, count, hashes = [], [], P.count_among, P._hashes
+    monkeypatch.setattr(P, "count_among", lambda df, conditions, needs, *more: asked.append((len(conditions), len(needs))) or count(df, conditions, needs, *more))
+    monkeypatch.setattr(P, "_hashes", lambda values: sent.append(len(values)) or hashes(values))
+    got = {(r["script_id"], r["kind"]): r["violations"] for r in EV.scan_tables(ops, {"t": t}).data.collect()}
+    assert asked == [(7, 48)] and sent == [1]
+    rows = t.collect()
+    for n in range(16):
+        left = [r for r in rows if all(r[c] is not None for i, c in enumerate("abcd") if n >> i & 1)]
+        want = {"unique": len(left) - len({r["k"] for r in left}), "not_null": sum(r["a"] is None for r in left), "check": sum(r["k"] >= 9 for r in left)}
+        assert {k: got[n, k] for k in want} == want
+
+
+def test_checks_that_only_deleted_rows_make_fail(spark):
+    """A division that the rows left can make is asked, though the deleted ones can't; where one of these is left, that check alone is open."""
+    t = spark.createDataFrame([(1, 0), (6, 2), (None, 3), (1, 1)], "a int, b int")
+    check = "ALTER TABLE t ADD CONSTRAINT z CHECK (a / b > 2)"
+    texts = [f"DELETE FROM t WHERE b = 0; {check}", check, "CREATE UNIQUE INDEX u ON t (a)", "ALTER TABLE t ALTER COLUMN a SET NOT NULL"]
+    ops = change_events(CE.split_scripts(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string")))
+    e = EV.scan_tables(ops, {"t": t})
+    assert {r["script_id"]: r["violations"] for r in e.data.collect()} == {0: 1, 2: 1, 3: 1} and [r["script_id"] for r in e.bounded.collect()] == [1]
+
+
+def test_statements_are_taken_apart_once_for_each_text(spark):
+    texts = ["ALTER TABLE t DROP COLUMN a, ADD COLUMN b int; DROP TABLE x, y", "DROP TABLE x, y; BEGIN", "/* c */ DROP TABLE x, y", "UPDATE t SET a = 'x,y' WHERE b IN (1, 2)"]
+    s = CE.split_scripts(spark.createDataFrame(list(enumerate(texts)), "script_id long, text string"))
+    want, got = change_events(s), events_by_text(s)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_statements_that_differ_in_numbers_are_one_form(spark):
+    """Users of an index are those of the whole log, found among its forms; numbers inside of words are no numbers."""
+    log = spark.createDataFrame([(i, f"s{i % 2}", "high", f"SELECT a1 FROM t WHERE k = {i} AND note = 'v{i % 3} 9'") for i in range(300)] + [(300, "s0", "low", "SELECT 1 FROM t WHERE a1=3.5")], "query_id long, service string, criticality string, sql string")
+    paths = spark.createDataFrame([("i", "t", ["k"]), ("j", "t", ["a1"])], "name string, tbl string, columns array<string>")
+    users = lambda df: sorted(map(tuple, C.access_path_users(df, paths).select("name", "service", "criticality").distinct().collect()))
+    words = lambda df: sorted(r[0] for r in C.token_index(df).select("token").distinct().collect())
+    few = C.forms(log)
+    assert few.count() == 7 and users(few) == users(log) and words(few) == words(log)

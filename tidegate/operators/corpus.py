@@ -19,6 +19,15 @@ def token_index(log: DataFrame) -> DataFrame:
     return log.select(F.explode(X.identifiers(F.col("sql"))).alias("token"), "query_id")
 
 
+def forms(log: DataFrame) -> DataFrame:
+    """Statements of ``log`` that differ in more than numbers, each once for a service and criticality, under the least query_id.
+
+    A number that stands alone is no word and no part of one, so words, tables and looked-up columns stay the same.
+    """
+    plain = F.regexp_replace("sql", r"(?<![\w$.\P{ASCII}])\d+(?![\w$.\P{ASCII}])", "0")
+    return log.groupBy("service", "criticality", plain.alias("sql")).agg(F.min("query_id").alias("query_id"))
+
+
 def distinct_changes(ops: DataFrame) -> DataFrame:
     """One row for each distinct change (kind, tbl, col, new_name), under the least script that makes it.
 

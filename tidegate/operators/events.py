@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
+from tidegate.session import materialize
 
 #: words of maintenance commands that are no relation
 _UPKEEP = "cluster vacuum full reindex table index schema database refresh materialized view concurrently verbose analyze ( )".split()
@@ -53,3 +54,12 @@ def change_events(statements: DataFrame) -> DataFrame:
         _name(F.when(kind.isin("create_index", "drop_index"), word(i, 2)).when(kind.isin("add_constraint", "drop_constraint", "validate_constraint"), after(w, "constraint"))).alias("index_name"),
         F.when(keyed, listed).otherwise(F.array().cast("array<string>")).alias("columns"),
     )
+
+
+def events_by_text(statements: DataFrame) -> DataFrame:
+    """As ``change_events``, with each distinct code taken apart once; statements of a fleet are often the same. Both are read twice, so ``statements`` should be written."""
+    texts = materialize(statements.select("code", "clauses").distinct().withColumn("_t", F.monotonically_increasing_id()))
+    each = change_events(texts.select(F.col("_t").alias("script_id"), F.lit(0).alias("idx"), "code", "clauses")).drop("idx").withColumnRenamed("script_id", "_t")
+    each = materialize(texts.join(each, "_t").drop("_t"))
+    own = statements.select("script_id", "idx", "code", "clauses").alias("s").join(each.alias("e"), (F.col("s.code") == F.col("e.code")) & (F.col("s.clauses") == F.col("e.clauses")))
+    return own.select("s.script_id", "s.idx", *(f"e.{c}" for c in each.columns if c not in ("code", "clauses")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
+from tidegate.session import materialize
 
 
 def check_unique(df: DataFrame, keys: list[str], samples: int = 5) -> DataFrame:
@@ -44,6 +45,63 @@ def rejected_by_keys(df: DataFrame, keys: dict[str, list[Column]]) -> DataFrame:
     return _by_key(df.sparkSession, list(keys), n.groupBy("k").agg(F.sum(F.col("n") - 1).alias("violations")))
 
 
+#: conditions told by the bits of one number
+BITS = 60
+
+
+def _bits(conditions: list[Column]) -> list[Column]:
+    """Which of ``conditions`` hold, as the bits of numbers."""
+    return [reduce(Column.bitwiseOR, (F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(conditions[at : at + BITS]))) for at in range(0, len(conditions), BITS)]
+
+
+def _bit(name: str, i: int) -> Column:
+    return F.col(f"{name}{i // BITS}").bitwiseAND(F.lit(1 << i % BITS).cast("long")) != 0
+
+
+def count_among(df: DataFrame, conditions: dict[str, Column], asked: list[list[str]], at_once: int = 200) -> list[int]:
+    """Rows in which all of the named conditions hold, for each of ``asked``.
+
+    Rows are first counted by which conditions hold, in one scan, so that a row is asked each condition once and not
+    each combination of them; what is asked is then added up over the few rows that this gives.
+    """
+    names = {name: i for i, name in enumerate(conditions)}
+    rows = materialize(df.groupBy(*(b.alias(f"b{i}") for i, b in enumerate(_bits(list(conditions.values()))))).agg(F.count(F.lit(1)).alias("n")))
+    out: list[int] = []
+    for at in range(0, len(asked), at_once):
+        every = (reduce(Column.__and__, (_bit("b", names[x]) for x in some)) for some in asked[at : at + at_once])
+        out += rows.agg(*(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(f"c{i}") for i, c in enumerate(every))).first()
+    return out
+
+
+def distinct_among(df: DataFrame, asked: list[tuple[list[str], list[str]]]) -> list[int]:
+    """Distinct keys without a null among the rows in which conditions hold, for each of ``asked`` (a key's columns, boolean columns).
+
+    One scan and one exchange: a row is sent once for each different key, as a number and a hash of 128 bits, with the
+    conditions that hold as bits; equal ones are combined on the map side.
+    """
+    keys: dict[tuple, list[int]] = {}
+    for i, (columns, _) in enumerate(asked):
+        keys.setdefault(tuple(columns), []).append(i)
+    width = -(-max(map(len, keys.values()), default=0) // BITS)
+    each = []
+    for k, (columns, own) in enumerate(keys.items()):
+        bits = _bits([reduce(Column.__and__, map(F.col, asked[i][1]), F.lit(True)) for i in own])
+        bits += [F.lit(0).cast("long")] * (width - len(bits))
+        each.append(F.struct(F.lit(k).alias("k"), *_hashes([F.col(c) for c in columns]), *(b.alias(f"b{i}") for i, b in enumerate(bits))))
+    if not each:
+        return []
+    names = [f"b{i}" for i in range(width)]
+    values = df.select(F.inline(F.array(*each))).where("h is not null").groupBy("k", "h", "g").agg(*(F.bit_or(b).alias(b) for b in names))
+    alike = values.groupBy("k", *names).agg(F.count(F.lit(1)).alias("n"))
+    most = max(map(len, keys.values()))
+    told = {r["k"]: r for r in alike.groupBy("k").agg(*(F.sum(F.when(_bit("b", i), F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(most))).collect()}
+    out = [0] * len(asked)
+    for k, own in enumerate(keys.values()):
+        for i, at in enumerate(own):
+            out[at] = told[k][f"c{i}"] if k in told else 0
+    return out
+
+
 def _by_key(spark: SparkSession, keys: list[str], found: DataFrame) -> DataFrame:
     names = spark.createDataFrame(list(enumerate(keys)), "k int, key string")
     return names.join(found, "k", "left").select("key", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))

@@ -20,6 +20,7 @@ from pyspark.sql.types import NumericType
 
 from tidegate.functions import exprs as X
 from tidegate.operators import answers as AN
+from tidegate.operators import corpus as C
 from tidegate.operators import findings as FI
 from tidegate.operators import footers as FO
 from tidegate.operators import preflight as P
@@ -93,7 +94,7 @@ class Scanned:
                     good[name] = one
             if good:
                 self.df = self.df.withColumns(good)
-        self.types = dict(self.df.dtypes)
+        self.types, self.known = dict(self.df.dtypes), {}
 
     def _sql(self, kind: str, *texts: str | None) -> str:
         if kind == "set":
@@ -109,23 +110,58 @@ class Scanned:
     def has(self, spec: dict) -> bool:
         return all(c in self.types for c in [*spec["refs"], *spec["alive"]])
 
-    def count(self, kind: str, spec: dict) -> Column | None:
-        """Rows that break a check, as an aggregate; None where it can't be asked."""
+    def breaks(self, kind: str, spec: dict) -> Column | None:
+        """Whether a row, if it is alive, breaks a check, or takes part in a unique key; None where it can't be asked."""
+        key = (kind, *spec["refs"], spec["text"])
         if not self.has(spec):
             return None
+        if key not in self.known:
+            self.known[key] = self._breaks(kind, spec)
+        return self.known[key]
+
+    def _breaks(self, kind: str, spec: dict) -> Column | None:
+        if kind == "unique":
+            return reduce(Column.__and__, (F.col(c).isNotNull() for c in spec["refs"]))
         if kind == "not_null":
-            return F.count_if(self.alive(spec) & F.col(spec["refs"][0]).isNull())
+            return F.col(spec["refs"][0]).isNull()
         if kind == "narrow":
             col, new = F.col(spec["refs"][0]), spec["text"]
             number = isinstance(self.df.schema[spec["refs"][0]].dataType, NumericType)
-            return F.count_if(self.alive(spec) & (X.offends(col if number else col.cast("string"), new, not number) | P.outside(col, new, number)))
+            return X.offends(col if number else col.cast("string"), new, not number) | P.outside(col, new, number)
         try:
-            found = F.count_if(self.alive(spec) & ~F.expr(spec["text"]))
-            self.df.agg(found).schema  # analysed only: a predicate of another dialect isn't asked
+            found = ~F.expr(spec["text"])
+            self.df.agg(F.count_if(found)).schema  # analysed only: a predicate of another dialect isn't asked
             return found
         except AnalysisException:
             return None
 
+    def together(self, seen: DataFrame, asked: list[tuple]) -> list[int]:
+        """Rows that break each of ``asked`` (kind, name, spec), or that a unique key rejects: each column's state and each delete is asked once of a row, however many checks rest on it."""
+        conditions, needs = {}, []
+        for kind, _, spec in asked:
+            own = json.dumps([kind, spec["refs"], spec["text"]])
+            conditions |= {a: F.col(a) for a in spec["alive"]} | {own: self.breaks(kind, spec)}
+            needs.append([*spec["alive"], own])
+        counts = P.count_among(seen, conditions, needs, AT_ONCE) if asked else []
+        keys = [i for i, (kind, *_) in enumerate(asked) if kind == "unique"]
+        for i, n in zip(keys, P.distinct_among(seen, [(asked[i][2]["refs"], asked[i][2]["alive"]) for i in keys]), strict=True):
+            counts[i] -= n
+        return counts
+
+    def apart(self, seen: DataFrame, asked: list[tuple]) -> list[tuple]:
+        """As ``together`` for those of ``asked`` that no row makes fail, each with its number: every check by itself, so that rows which a script has deleted aren't asked."""
+        counts = [x for x in asked if x[0] != "unique"]
+        some = []
+        for at in range(0, len(counts), AT_ONCE):
+            some += _answers(counts[at : at + AT_ONCE], lambda part: seen.agg(*(F.count_if(self.alive(s) & self.breaks(k, s)).alias(f"c{i}") for i, (k, _, s) in enumerate(part))).first())
+        keys = [(text, [F.when(self.alive(s), F.col(c)) for c in s["refs"]]) for k, text, s in asked if k == "unique"]
+        rows = _answers(keys, lambda part: _in_order(part, P.rejected_by_keys(seen, dict(part))))
+        return [((k, text), n) for (k, text, _), n in some] + [(("unique", text), n) for (text, _), n in rows]
+
+
+#: what a row can make an expression fail with
+FAILS = (ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, SparkRuntimeException)
+
 
 def _answers(some: list, ask: Callable[[list], Sequence[int]]) -> list[tuple]:
     """(item, number) for each of ``some`` that ``ask`` can answer, all at once; where a row makes an expression fail (a division by zero, a cast), the halves are asked apart, so that only the failing ones are left out."""
@@ -133,7 +169,7 @@ def _answers(some: list, ask: Callable[[list], Sequence[int]]) -> list[tuple]:
         return []
     try:
         return list(zip(some, ask(some), strict=True))
-    except (ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, SparkRuntimeException):
+    except FAILS:
         half = len(some) // 2
         return _answers(some[:half], ask) + _answers(some[half:], ask) if half else []
 
@@ -146,8 +182,8 @@ def _in_order(some: list[tuple], found: DataFrame) -> list[int]:
 def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str, str] | None = None, files: dict[str, str] | None = None) -> Evidence:
     """Data failures, narrowing and bounded scans of the scripts' checks, each on the rows as its script has left them by then.
 
-    One scan of each table for most checks; one more, with one exchange, for all its unique keys; and one exchange for
-    all foreign keys. ``samples`` (table to predicate): where given, only these rows are scanned, and a clean scan is
+    One scan of each table for most checks, whose cost follows the columns, updates and deletes that they rest on and not
+    their number; one more, with one exchange, for all its unique keys; and one exchange for all foreign keys. ``samples`` (table to predicate): where given, only these rows are scanned, and a clean scan is
     bounded if the table has others. A clean scan after an INSERT is bounded too, since no scan saw the new rows, and so
     is a check that can't be asked (``scripts.row_checks``), or that a row makes fail: nothing was seen. ``files`` (table to the path of the
     Parquet files that it reads whole): where given, footers settle checks on rows as they are (``footed`` counts them),
@@ -186,13 +222,12 @@ def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str,
             footed += 1
             own.remove((k, text, s))
             found.append((k, text, n, False))
-        counts = [(k, text, c) for k, text, s in own if k not in ("unique", "foreign") and (c := table.count(k, s)) is not None]
-        for at in range(0, len(counts), AT_ONCE):
-            rows = _answers(counts[at : at + AT_ONCE], lambda some: seen.agg(*(c.alias(f"c{i}") for i, (_, _, c) in enumerate(some))).first())  # noqa: B023
-            found += [(k, text, n, partly) for (k, text, _), n in rows]
-        keys = [(text, [F.when(table.alive(s), F.col(c)) for c in s["refs"]]) for k, text, s in own if k == "unique" and table.has(s)]
-        rows = _answers(keys, lambda some: _in_order(some, P.rejected_by_keys(seen, dict(some))))  # noqa: B023
-        found += [("unique", text, n, partly) for (text, _), n in rows]
+        every = [(k, text, s) for k, text, s in own if k != "foreign" and table.breaks(k, s) is not None]
+        try:
+            rows = [((k, text), n) for (k, text, _), n in zip(every, table.together(seen, every), strict=True)]
+        except FAILS:
+            rows = table.apart(seen, every)
+        found += [(k, text, n, partly) for (k, text), n in rows]
         foreign += [(text, s) for k, text, s in own if k == "foreign" and table.has(s) and scanned[s["parent"]["base"]].has(s["parent"])]
     side = lambda s: (scanned[s["base"]].df, [F.when(scanned[s["base"]].alive(s), F.col(c)) for c in s["refs"]], [scanned[s["base"]].types[c] for c in s["refs"]])
     rows = _answers([(text, (side(s), side(s["parent"]))) for text, s in foreign], lambda some: _in_order(some, P.orphans_by_keys(dict(some))))
@@ -245,7 +280,7 @@ def replay_changes(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame],
     sent = log.where(RE.is_read(F.col("sql"))).groupBy(RE.shape_of(F.col("sql")).alias("shape")).agg(F.min("query_id").cast("string").alias("query_id"), F.array_sort(F.collect_set("service")).alias("services")).drop("shape")
     met = states.join(hit, ["query_id", "state"]).join(sent, "query_id", "left")
     met = met.select("script_id", "query_id", "broken", F.array_sort("removed").alias("removed"), F.coalesce("services", F.array(F.lit("database"))).alias("services"), F.col("query_id").startswith(RE.VIEW).alias("is_view"))
-    words = log.select(F.explode(X.identifiers(F.col("sql"))).alias("token")).distinct()
+    words = C.forms(log).select(F.explode(X.identifiers(F.col("sql"))).alias("token")).distinct()
     named = [r["token"] for r in words.where(F.col("token").isin(*views)).collect()] if views else []
     met = met.where(~F.col("is_view") | ~F.col("query_id").isin(*[RE.VIEW + v for v in named])).withColumn("query_id", F.regexp_replace("query_id", f"^{RE.VIEW}", ""))
     met = materialize(met)

@@ -13,7 +13,7 @@ from tidegate.operators import census as CE
 from tidegate.operators import corpus as C
 from tidegate.operators import findings as FI
 from tidegate.operators import rules as R
-from tidegate.operators.events import change_events
+from tidegate.operators.events import events_by_text
 from tidegate.plans import audit as A
 from tidegate.plans.evidence import Evidence
 from tidegate.session import materialize
@@ -26,7 +26,7 @@ INCIDENT = "id string, hazard_code string, tables array<string>, services array<
 def read_scripts(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Statements and change events of ``scripts`` (script_id, text), scanned once and written: every rule reads them."""
     statements = materialize(CE.split_scripts(scripts))
-    return statements, materialize(change_events(statements))
+    return statements, materialize(events_by_text(statements))
 
 
 def claims(statements: DataFrame, ops: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def access_paths(ops: DataFrame, log: DataFrame, indexes: DataFrame) -> Paths:
     drops, replaced = dropped_indexes(ops, indexes)
     drops = materialize(drops)
     used = materialize(indexes.join(drops.select("name").distinct(), "name", "left_semi"))
-    return Paths(drops, replaced, materialize(C.access_path_users(log, used).select("name", "service", "criticality").distinct()))
+    return Paths(drops, replaced, materialize(C.access_path_users(C.forms(log), used).select("name", "service", "criticality").distinct()))
 
 
 def unused_drops(paths: Paths) -> DataFrame:
