@@ -151,3 +151,13 @@ def test_statements_that_differ_in_numbers_are_one_form(spark):
     words = lambda df: sorted(r[0] for r in C.token_index(df).select("token").distinct().collect())
     few = C.forms(log)
     assert few.count() == 7 and users(few) == users(log) and words(few) == words(log)
+
+
+def test_events_are_put_in_order_once(spark, monkeypatch):
+    """Scans and replay share the ordered events of the scripts."""
+    ops = change_events(CE.split_scripts(spark.createDataFrame([(1, "ALTER TABLE t ALTER COLUMN a SET NOT NULL; ALTER TABLE t DROP COLUMN a")], "script_id long, text string")))
+    log = spark.createDataFrame([(8, "s", "high", "SELECT a FROM t WHERE a = 1"), (7, "r", "high", "SELECT a FROM t WHERE a = 2")], "query_id long, service string, criticality string, sql string")
+    calls, keep = [], SC.ordered
+    monkeypatch.setattr(SC, "ordered", lambda df: calls.append(1) or keep(df))
+    e = EV.measure(ops, log, {"t": spark.createDataFrame([(None,), (1,)], "a int")})
+    assert calls == [1] and [tuple(r) for r in e.data.collect()] == [(1, "t.a", "not_null", 1)] and [(r["query_id"], r["services"]) for r in e.broken.collect()] == [("7", ["r", "s"])]

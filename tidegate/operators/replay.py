@@ -163,10 +163,10 @@ def shape_of(sql: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(sql, LITERAL, "?"), r"\s+", " "))
 
 
-def read_shapes(log: DataFrame) -> DataFrame:
-    """(shape, query_id, sql): the reads of a log by shape, each with the least query id and that query's text."""
-    reads = log.where(is_read(F.col("sql"))).select(shape_of(F.col("sql")).alias("shape"), "query_id", "sql")
-    return reads.groupBy("shape").agg(F.min(F.struct("query_id", "sql")).alias("x")).select("shape", "x.query_id", "x.sql")
+def read_shapes(log: DataFrame, *more: Column) -> DataFrame:
+    """(shape, query_id, sql): the reads of a log by shape, each with the least query id and that query's text; ``more``: further aggregates of the log's columns."""
+    reads = log.where(is_read(F.col("sql"))).withColumn("shape", shape_of(F.col("sql")))
+    return reads.groupBy("shape").agg(F.min(F.struct("query_id", "sql")).alias("x"), *more).select("*", "x.query_id", "x.sql").drop("x")
 
 
 def log_outcomes(log: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -136,9 +136,12 @@ def unparsed(statements: DataFrame) -> DataFrame:
 
 def suppress_unparsed(findings: DataFrame) -> DataFrame:
     """Where a script's text is unparsed, that is its only finding."""
-    bad = findings.where("code = 'MIGRATION_TEXT_UNPARSED'").select("script_id").distinct()
-    rest = findings.where("code <> 'MIGRATION_TEXT_UNPARSED'").join(bad, "script_id", "left_anti")
-    return rest.unionByName(findings.where("code = 'MIGRATION_TEXT_UNPARSED'"))
+    return keep_unparsed(findings.where("code <> 'MIGRATION_TEXT_UNPARSED'"), findings.where("code = 'MIGRATION_TEXT_UNPARSED'"))
+
+
+def keep_unparsed(rest: DataFrame, bad: DataFrame) -> DataFrame:
+    """As ``suppress_unparsed``, where findings of unparsed text (``bad``) come apart from the rest, which is then made once."""
+    return rest.join(bad.select("script_id").distinct(), "script_id", "left_anti").unionByName(bad)
 
 
 def missing_rollback(scripts: DataFrame) -> DataFrame:

@@ -182,6 +182,8 @@ def _in_order(some: list[tuple], found: DataFrame) -> list[int]:
 def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str, str] | None = None, files: dict[str, str] | None = None) -> Evidence:
     """Data failures, narrowing and bounded scans of the scripts' checks, each on the rows as its script has left them by then.
 
+    ``ops``: change events, or these in order (``scripts.ordered``).
+
     One scan of each table for most checks, whose cost follows the columns, updates and deletes that they rest on and not
     their number; one more, with one exchange, for all its unique keys; and one exchange for all foreign keys. ``samples`` (table to predicate): where given, only these rows are scanned, and a clean scan is
     bounded if the table has others. A clean scan after an INSERT is bounded too, since no scan saw the new rows, and so
@@ -190,7 +192,7 @@ def scan_tables(ops: DataFrame, tables: dict[str, DataFrame], samples: dict[str,
     and integer ranges that they leave open are asked of the row groups in doubt only.
     """
     spark, samples, files, footed = ops.sparkSession, samples or {}, files or {}, 0
-    wanted = materialize(S.row_checks(S.ordered(ops), {t: dict(df.dtypes) for t, df in tables.items()}))
+    wanted = materialize(S.row_checks(ops if "events" in ops.columns else S.ordered(ops), {t: dict(df.dtypes) for t, df in tables.items()}))
     asked = [(r["kind"], r["spec"], json.loads(r["spec"])) for r in wanted.where("spec is not null").select("kind", "spec").distinct().collect()]
     steps: dict[str, dict[str, list]] = {t: {} for t in tables}
     for _, _, spec in asked:
@@ -264,9 +266,10 @@ def replay_changes(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame],
     """
     spark, views = ops.sparkSession, views or {}
     catalogue = {t: dict(df.dtypes) for t, df in tables.items()} | views
-    shapes = [(str(r["query_id"]), r["sql"]) for r in RE.read_shapes(log).collect()]  # what applications hold, not what they send
+    held = materialize(RE.read_shapes(log, F.min("query_id").cast("string").alias("least"), F.array_sort(F.collect_set("service")).alias("services")))
+    shapes = [(str(r["query_id"]), r["sql"]) for r in held.collect()]  # what applications hold, not what they send
     reads = dict(RE.with_views(shapes, views))
-    events = materialize(S.ordered(ops))
+    events = ops if "events" in ops.columns else materialize(S.ordered(ops))
     states, first = S.read_states(events, list(reads.items()), catalogue)
     states = materialize(states)
     asked = [tuple(r) for r in states.select("query_id", "state").distinct().collect()]
@@ -277,7 +280,7 @@ def replay_changes(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame],
         if was_error is None and (error or (gone := [c for c in was if c not in columns])):
             rows.append((ident, state, error is not None, [] if error else gone))
     hit = spark.createDataFrame(rows, "query_id string, state string, broken boolean, removed array<string>")
-    sent = log.where(RE.is_read(F.col("sql"))).groupBy(RE.shape_of(F.col("sql")).alias("shape")).agg(F.min("query_id").cast("string").alias("query_id"), F.array_sort(F.collect_set("service")).alias("services")).drop("shape")
+    sent = held.select(F.col("least").alias("query_id"), "services")
     met = states.join(hit, ["query_id", "state"]).join(sent, "query_id", "left")
     met = met.select("script_id", "query_id", "broken", F.array_sort("removed").alias("removed"), F.coalesce("services", F.array(F.lit("database"))).alias("services"), F.col("query_id").startswith(RE.VIEW).alias("is_view"))
     words = C.forms(log).select(F.explode(X.identifiers(F.col("sql"))).alias("token")).distinct()
@@ -291,8 +294,9 @@ def replay_changes(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame],
 
 
 def measure(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame], views: dict[str, str] | None = None, samples: dict[str, str] | None = None, files: dict[str, str] | None = None) -> Evidence:
-    """Everything that tables and log can say about the change events ``ops``."""
-    return scan_tables(ops, tables, samples, files) | replay_changes(ops, log, tables, views)
+    """Everything that tables and log can say about the change events ``ops``, which are put in order once."""
+    events = materialize(S.ordered(ops))
+    return scan_tables(events, tables, samples, files) | replay_changes(events, log, tables, views)
 
 
 # ---- rows of reads -------------------------------------------------------------------------------------------------

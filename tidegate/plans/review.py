@@ -82,9 +82,10 @@ def review_findings(
     known, paths = (indexes, paths) if paths else _paths(ops, log, indexes)
     every = [
         R.apply_rules(ops, stats), R.access_path(ops, stats, known, paths.users, paths.replaced), R.constraint_removed(ops, texts),
-        R.procedural(statements), R.unparsed(claims(statements, ops)), *(evidence or Evidence()).findings(owners),
+        R.procedural(statements), *(evidence or Evidence()).findings(owners),
     ]
-    found = FI.merge_findings(R.suppress_unparsed(reduce(DataFrame.unionByName, every)).unionByName(R.missing_rollback(scripts)))
+    own = R.keep_unparsed(reduce(DataFrame.unionByName, every), R.unparsed(claims(statements, ops)))
+    found = FI.merge_findings(own.unionByName(R.missing_rollback(scripts)))
     return FI.escalate(found, incidents) if incidents is not None else found
 
 
