@@ -9,9 +9,11 @@ from tests.test_cuts import BITS, chunked_rows, metric
 from tidegate.operators import census as CE
 from tidegate.operators import corpus as C
 from tidegate.operators import preflight as P
+from tidegate.operators import rules as R
 from tidegate.operators import scripts as SC
 from tidegate.operators.events import change_events, events_by_text
 from tidegate.plans import evidence as EV
+from tidegate.plans import review as RV
 from tidegate.plans import reviews as RS
 from tidegate.plans import statements as ST
 
@@ -161,3 +163,33 @@ def test_events_are_put_in_order_once(spark, monkeypatch):
     monkeypatch.setattr(SC, "ordered", lambda df: calls.append(1) or keep(df))
     e = EV.measure(ops, log, {"t": spark.createDataFrame([(None,), (1,)], "a int")})
     assert calls == [1] and [tuple(r) for r in e.data.collect()] == [(1, "t.a", "not_null", 1)] and [(r["query_id"], r["services"]) for r in e.broken.collect()] == [("7", ["r", "s"])]
+
+
+# ---- what is of the fleet's size doesn't go through the driver --------------------------------------------------------
+def stored(spark, rows, schema, folder):
+    """Rows in a file, which Spark takes for as small as it is."""
+    spark.createDataFrame(rows, schema).write.parquet(str(folder))
+    return spark.read.schema(schema).parquet(str(folder))
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_claims_are_dealt_by_statement(spark, tmp_path):
+    """Events are as many as statements, however small their file: they are no broadcast."""
+    statements = stored(spark, [(1, 0, "DROP TABLE a"), (1, 1, "SELECT 1"), (2, 0, "DROP TABLE b")], "script_id long, idx int, code string", tmp_path / "s")
+    ops = stored(spark, [(1, 0, 0), (1, 0, 1)], "script_id long, idx int, part int", tmp_path / "o")
+    found = RV.claims(statements, ops)
+    assert broadcasts(statements.join(ops.distinct(), ["script_id", "idx"], "left")) == 1 and broadcasts(found) == 0
+    assert sorted((r["script_id"], r["idx"], r["claimed"], r["destructive"]) for r in found.collect()) == [(1, 0, True, False), (1, 1, False, False), (2, 0, False, True)]
+
+
+def test_rules_that_join_events_with_events_deal_them(spark, tmp_path):
+    rows = [(1, 0, "set_not_null", "t", "a", "ALTER TABLE t ALTER COLUMN a SET NOT NULL", None, []), (1, 1, "dml_update", "t", None, "UPDATE t SET a = 0 WHERE a IS NULL", None, []), (1, 2, "drop_index", None, None, "DROP INDEX i", "i", []), (1, 3, "create_index", "t", None, "CREATE INDEX j ON t (a, b)", "j", ["a", "b"])]
+    ops = stored(spark, rows, "script_id long, idx int, kind string, tbl string, col string, sql string, index_name string, columns array<string>", tmp_path / "o")
+    erased = R.erased_nulls(ops)
+    drops = ops.where("kind = 'drop_index'").select("script_id", F.col("index_name").alias("name"), F.lit("t").alias("tbl"), F.array(F.lit("a")).alias("columns"))
+    replaced = C.replaced_indexes(drops, ops.where("kind = 'create_index'").select("script_id", "tbl", F.col("index_name").alias("name"), "columns"))
+    assert broadcasts(erased) == 0 and broadcasts(replaced) == 0
+    assert list(map(tuple, erased.collect())) == [(1, "t", "a")] and list(map(tuple, replaced.collect())) == [(1, "i", "j")]

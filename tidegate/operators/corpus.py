@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import exprs as X
 from tidegate.functions import vocab as V
-from tidegate.session import materialize
+from tidegate.session import by_key, materialize
 
 
 def token_index(log: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def replaced_indexes(drops: DataFrame, creates: DataFrame) -> DataFrame:
     """
     within = ["script_id"] if "script_id" in drops.columns and "script_id" in creates.columns else []
     c = creates.select(*within, "tbl", F.col("name").alias("by"), F.col("columns").alias("have"))
-    return drops.join(c, [*within, "tbl"]).where(F.slice("have", F.lit(1), F.size("columns")) == F.col("columns")).select(*within, "name", "by")
+    return drops.join(by_key(c) if within else c, [*within, "tbl"]).where(F.slice("have", F.lit(1), F.size("columns")) == F.col("columns")).select(*within, "name", "by")
 
 
 def unaccounted_statements(scanned: DataFrame, ops: DataFrame) -> DataFrame:

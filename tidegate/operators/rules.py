@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegate.functions import exprs as X
 from tidegate.functions import vocab as V
 from tidegate.operators.findings import first_gap
+from tidegate.session import by_key
 
 LARGE, MEDIUM, HUGE = 100_000, 10_000, 5_000_000
 
@@ -244,7 +245,7 @@ def erased_nulls(ops: DataFrame) -> DataFrame:
     """(script_id, tbl, col), distinct: columns whose nulls an update tests for and overwrites, in a script that also sets them NOT NULL."""
     seal = ops.where("kind = 'set_not_null'").select("script_id", "tbl", "col")
     fill = ops.where("kind = 'dml_update'").select("script_id", "tbl", F.explode(X.nulls_erased(F.col("sql"), X.assigned_columns(F.col("sql")))).alias("col"))
-    return fill.join(seal, ["script_id", "tbl", "col"]).distinct()
+    return fill.join(by_key(seal), ["script_id", "tbl", "col"]).distinct()
 
 
 def value_class_erased(erased: DataFrame) -> DataFrame:

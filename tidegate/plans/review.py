@@ -16,7 +16,7 @@ from tidegate.operators import rules as R
 from tidegate.operators.events import events_by_text
 from tidegate.plans import audit as A
 from tidegate.plans.evidence import Evidence
-from tidegate.session import materialize
+from tidegate.session import by_key, materialize
 from tidegate.streaming.learning import record_learning
 
 INDEX = "name string, tbl string, columns array<string>"
@@ -32,7 +32,7 @@ def read_scripts(scripts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def claims(statements: DataFrame, ops: DataFrame) -> DataFrame:
     """``statements`` with claimed: whether a change event accounts for it, and destructive: no event does and its code takes something away."""
     own = ops.select("script_id", "idx").distinct().withColumn("_c", F.lit(True))
-    out = statements.join(own, ["script_id", "idx"], "left").withColumn("claimed", F.col("_c").isNotNull())
+    out = statements.join(by_key(own), ["script_id", "idx"], "left").withColumn("claimed", F.col("_c").isNotNull())
     return out.withColumns({"destructive": ~F.col("claimed") & X.is_destructive(F.col("code")), "sql": F.col("code")}).drop("_c")
 
 

@@ -93,6 +93,16 @@ def clean_shared(spark: SparkSession) -> None:
     _delete(spark, _scratch(spark))
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join whose rows are as many as a fleet's scripts or statements: dealt by key, and not broadcast.
+
+    Spark takes a scan for as large as its file, in which columns of few values take next to nothing: millions of rows
+    would pass for small ones, and be gathered by the driver. Nor does a plan that is adapted on its way take a broadcast
+    back once it is known how many there are.
+    """
+    return df.hint("merge")
+
+
 #: nodes of a logical plan after which partitions are only known once stages have run
 _DEALT = {"Join", "Aggregate", "Window", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Sort", "Distinct", "Deduplicate", "GlobalLimit", "Except", "Intersect", "FlatMapGroupsInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInArrow", "FlatMapCoGroupsInPandas"}
 
