@@ -12,6 +12,7 @@ from tidegate.operators import preflight as P
 from tidegate.operators import rules as R
 from tidegate.operators import scripts as SC
 from tidegate.operators.events import change_events, events_by_text
+from tidegate.plans import audit as A
 from tidegate.plans import evidence as EV
 from tidegate.plans import review as RV
 from tidegate.plans import reviews as RS
@@ -176,6 +177,22 @@ def broadcasts(df):
     return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
 
 
+def broadcast_rows(df):
+    """Rows that the joins of an executed plan broadcast."""
+    out, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+        elif kind.endswith("QueryStageExec"):
+            node = node.plan()
+        if node.getClass().getSimpleName() == "BroadcastExchangeExec":
+            out += node.metrics().get("numOutputRows").get().value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
 def test_claims_are_dealt_by_statement(spark, tmp_path):
     """Events are as many as statements, however small their file: they are no broadcast."""
     statements = stored(spark, [(1, 0, "DROP TABLE a"), (1, 1, "SELECT 1"), (2, 0, "DROP TABLE b")], "script_id long, idx int, code string", tmp_path / "s")
@@ -193,3 +210,26 @@ def test_rules_that_join_events_with_events_deal_them(spark, tmp_path):
     replaced = C.replaced_indexes(drops, ops.where("kind = 'create_index'").select("script_id", "tbl", F.col("index_name").alias("name"), "columns"))
     assert broadcasts(erased) == 0 and broadcasts(replaced) == 0
     assert list(map(tuple, erased.collect())) == [(1, "t", "a")] and list(map(tuple, replaced.collect())) == [(1, "i", "j")]
+
+
+def test_verdicts_deal_what_there_is_for_each_script(spark, tmp_path):
+    found = stored(spark, [(1, "BREAKING_QUERY", "blocker"), (2, "X", "high")], "script_id long, code string, severity string", tmp_path / "f")
+    gaps, defects = (stored(spark, [(i,)], "script_id long", tmp_path / n) for i, n in ((2, "g"), (3, "d")))
+    out = RV.verdicts(stored(spark, [(1,), (2,), (3,)], "script_id long", tmp_path / "s"), found, gaps, defects)
+    assert broadcasts(out) == 0
+    assert sorted((r["script_id"], r["verdict"], r["broken"]) for r in out.collect()) == [(1, "BLOCK", 1), (2, "NEEDS_COVERAGE_SIGNOFF", 0), (3, "NEEDS_COVERAGE_SIGNOFF", 0)]
+
+
+def test_audits_deal_the_names_that_texts_have(spark, tmp_path):
+    steps = stored(spark, [(1, "phase2", 0, "drop_table", "t"), (1, "phase2", 1, "drop_table", "other")], "script_id long, phase string, seq int, kind string, object string", tmp_path / "s")
+    found = A.ungated_steps(steps, stored(spark, [(1, "Confirm T is unused")], "script_id long, text string", tmp_path / "g"))
+    assert broadcasts(found) == 0 and list(map(tuple, found.collect())) == [(1, 1, "other")]
+
+
+def test_blast_scores_broadcast_neither_log_nor_fleet(spark, tmp_path):
+    """Two thousand statements of two forms and a thousand scripts: what the joins broadcast is the names and the sets of names."""
+    spark.range(2_000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "high").otherwise("low").alias("criticality"), F.concat(F.when(F.col("id") % 2 == 0, "SELECT * FROM orders WHERE b = ").otherwise("SELECT a FROM part LIMIT "), F.col("id").cast("string")).alias("sql")).write.parquet(str(tmp_path / "l"))
+    spark.range(1_000).select(F.col("id").alias("script_id"), F.when(F.col("id") % 2 == 0, "orders").otherwise("a").alias("token")).write.parquet(str(tmp_path / "t"))
+    found = C.blast_scores(spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "t")))
+    assert {(r["script_id"] % 2, r["score"]) for r in found.collect()} == {(0, 3_000), (1, 1_000)} and found.count() == 1_000
+    assert broadcast_rows(found) <= 10

@@ -167,11 +167,14 @@ def blast_score(found: DataFrame) -> DataFrame:
 def blast_scores(log: DataFrame, touched: DataFrame) -> DataFrame:
     """(script_id, score) of every script with dependents: as ``blast_score`` of ``dependents``, without the product of scripts and statements.
 
-    Statements that name the same touched things count as one, with the sum of their weights.
+    Statements of the same words count as one, with the sum of their weights, and so do those that name the same touched
+    things. Both are written, as are the touched names, so that joins know how few they are: by their estimates, the log
+    and the fleet's touched things may pass for the smaller side.
     """
-    named = token_index(log).join(touched.select("token").distinct(), "token").groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("matched"))
-    own = log.select("query_id", X.weight(F.col("criticality")).alias("w"))
-    alike = named.join(own, "query_id").groupBy("matched").agg(F.sum("w").alias("w"))
+    words = materialize(log.where("query_id is not null").groupBy(X.identifiers(F.col("sql")).alias("_words")).agg(F.sum(X.weight(F.col("criticality"))).alias("w")))
+    names = materialize(touched.select("token").distinct())
+    named = words.select("_words", "w", F.explode("_words").alias("token")).join(names, "token").groupBy("_words", "w").agg(F.array_sort(F.collect_set("token")).alias("matched"))
+    alike = materialize(named.groupBy("matched").agg(F.sum("w").alias("w")))
     met = alike.select("matched", "w", F.explode("matched").alias("token")).join(touched, "token").select("script_id", "matched", "w").distinct()
     return met.groupBy("script_id").agg(F.sum("w").alias("score"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions import vocab as V
 from tidegate.operators import rules as R
-from tidegate.session import ship
+from tidegate.session import by_key, ship
 
 
 def plan_steps(plans: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def named_in(texts: DataFrame, objects: DataFrame) -> DataFrame:
 def _named(steps: DataFrame, texts: DataFrame, how: str) -> DataFrame:
     """Steps whose object a text of the same script names."""
     hits = named_in(texts, steps).select("script_id", F.col("object").alias("_o"))
-    return steps.withColumn("_o", F.lower("object")).join(hits, ["script_id", "_o"], how).drop("_o")
+    return steps.withColumn("_o", F.lower("object")).join(by_key(hits), ["script_id", "_o"], how).drop("_o")
 
 
 def ungated_steps(steps: DataFrame, gates: DataFrame) -> DataFrame:
