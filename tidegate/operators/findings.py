@@ -60,7 +60,7 @@ def outcome_diff(pre: DataFrame, post: DataFrame) -> DataFrame:
 def cross_service(findings: DataFrame, owners: DataFrame) -> DataFrame:
     """(script_id, services): services hit by consumer breakage that are neither the owner nor `database`."""
     hit = findings.where(F.col("code").isin("BREAKING_QUERY", "SELECT_STAR_DRIFT", "VIEW_BREAKAGE")).select("script_id", F.explode("services").alias("service"))
-    return hit.join(owners, "script_id").where("service <> owner and service <> 'database'").groupBy("script_id").agg(F.array_sort(F.collect_set("service")).alias("services"))
+    return hit.join(by_key(owners), "script_id").where("service <> owner and service <> 'database'").groupBy("script_id").agg(F.array_sort(F.collect_set("service")).alias("services"))
 
 
 def fold_view_breakage(broken_views: DataFrame, log_tokens: DataFrame) -> DataFrame:
