@@ -8,6 +8,7 @@ from tests.conftest import SF
 from tests.test_cuts import BITS, chunked_rows, metric
 from tidegate.operators import census as CE
 from tidegate.operators import corpus as C
+from tidegate.operators import findings as FI
 from tidegate.operators import preflight as P
 from tidegate.operators import rules as R
 from tidegate.operators import scripts as SC
@@ -182,10 +183,9 @@ def broadcast_rows(df):
     out, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
-        kind = node.getClass().getSimpleName()
-        if kind == "AdaptiveSparkPlanExec":
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
             node = node.executedPlan()
-        elif kind.endswith("QueryStageExec"):
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
             node = node.plan()
         if node.getClass().getSimpleName() == "BroadcastExchangeExec":
             out += node.metrics().get("numOutputRows").get().value()
@@ -232,4 +232,23 @@ def test_blast_scores_broadcast_neither_log_nor_fleet(spark, tmp_path):
     spark.range(1_000).select(F.col("id").alias("script_id"), F.when(F.col("id") % 2 == 0, "orders").otherwise("a").alias("token")).write.parquet(str(tmp_path / "t"))
     found = C.blast_scores(spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "t")))
     assert {(r["script_id"] % 2, r["score"]) for r in found.collect()} == {(0, 3_000), (1, 1_000)} and found.count() == 1_000
-    assert broadcast_rows(found) <= 10
+    assert 0 < broadcast_rows(found) <= 10
+
+
+def test_breakage_meets_owners_by_script(spark, tmp_path):
+    found = stored(spark, [(1, "BREAKING_QUERY", ["a", "b"]), (2, "X", ["c"])], "script_id long, code string, services array<string>", tmp_path / "f")
+    hit = FI.cross_service(found, stored(spark, [(1, "a"), (2, "a")], "script_id long, owner string", tmp_path / "o"))
+    assert broadcasts(hit) == 0 and list(map(tuple, hit.collect())) == [(1, ["b"])]
+
+
+def test_replay_broadcasts_outcomes_and_not_the_fleet(spark, monkeypatch):
+    """A thousand scripts leave a read the same state: its outcome, found once, is the side that joins take for the smaller."""
+    met, keep = [], EV.materialize
+    monkeypatch.setattr(EV, "materialize", lambda df: met.append(df) or keep(df))
+    t = spark.createDataFrame([(1, 2)], "a int, b int")
+    ops = change_events(CE.split_scripts(spark.range(1_000).select(F.col("id").alias("script_id"), F.lit("ALTER TABLE t DROP COLUMN a").alias("text"))))
+    log = spark.createDataFrame([(7, "s", "high", "SELECT a FROM t")], "query_id long, service string, criticality string, sql string")
+    found = EV.replay_changes(ops, log, {"t": t})
+    assert found.broken.count() == 1_000
+    (plan,) = (df._jdf.queryExecution().executedPlan().toString() for df in met if "is_view" in df.columns)
+    assert "Inner, BuildRight" in plan and "Inner, BuildLeft" not in plan

@@ -279,7 +279,7 @@ def replay_changes(ops: DataFrame, log: DataFrame, tables: dict[str, DataFrame],
         was_error, was = before[ident]
         if was_error is None and (error or (gone := [c for c in was if c not in columns])):
             rows.append((ident, state, error is not None, [] if error else gone))
-    hit = spark.createDataFrame(rows, "query_id string, state string, broken boolean, removed array<string>")
+    hit = materialize(spark.createDataFrame(rows, "query_id string, state string, broken boolean, removed array<string>"))  # a list from the driver has no size, and the fleet's states would pass for the smaller side
     sent = held.select(F.col("least").alias("query_id"), "services")
     met = states.join(hit, ["query_id", "state"]).join(sent, "query_id", "left")
     met = met.select("script_id", "query_id", "broken", F.array_sort("removed").alias("removed"), F.coalesce("services", F.array(F.lit("database"))).alias("services"), F.col("query_id").startswith(RE.VIEW).alias("is_view"))
